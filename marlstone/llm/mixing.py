@@ -135,9 +135,9 @@ WITH d AS (
     row_number() OVER (ORDER BY cap / weight, pos) AS n
   FROM r WINDOW w AS (ORDER BY cap / weight, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), l AS (
-  SELECT level AS lambda FROM o WHERE level <= ratio ORDER BY n LIMIT 1
+  SELECT level AS lam FROM o WHERE level <= ratio ORDER BY n LIMIT 1
 ), t AS (
-  SELECT source, source_size, n_docs, least(cap, lambda * weight) AS target FROM o LEFT JOIN l ON true
+  SELECT source, source_size, n_docs, least(cap, lam * weight) AS target FROM o LEFT JOIN l ON true
 ), q AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS INT) ELSE 0 END AS passes,
     CASE WHEN source_size > 0 THEN CAST(round(target - floor(target / source_size) * source_size) AS BIGINT) ELSE 0 END AS rest FROM t
