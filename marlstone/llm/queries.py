@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import marlstone.llm as package
 
-from . import mixing, quality_rules, sharding, warc
+from . import ann, mixing, quality_rules, sharding, toxicity, warc
 from .common import table
 
 cloudpickle.register_pickle_by_value(package)  # workers need no copy of the package on their path
@@ -23,6 +23,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -31,5 +39,5 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.read(warc.write(table(spark, sf_dir, "pages"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op6_sharding, op7_mixing, op8_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_toxicity, op5_nearest, op6_sharding, op7_mixing, op8_warc)}
 SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op7_mixing": mixing.SQL, "op8_warc": warc.SQL}
