@@ -1,9 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary texts, are interpolated with their class's unigrams, and those with backoff
-counts that both classes share: in how many contexts a word occurs at all. So a rare expression gets nearly the same
-probability from both, and only what one class prefers moves the score. The difference of the log-likelihoods per word
-is turned into a probability by a logistic curve, fitted on a fold of the labelled rows that the counts have not seen.
+Two bigram models, of toxic and of ordinary texts, back off to their class's unigrams, those to their class's stems (a
+word's first STEM bytes), and those to counts that both classes share: in how many contexts a word occurs at all. Words
+and bigrams count once a document, and a word moves the score by MOST at most, as passages that are copied often would
+otherwise outweigh all else. The
+absolute discount of a class is in proportion to its size, so that an expression too rare to tell the classes apart is
+left to the shared backoff in both; so is one whose counts differ by less than ERRORS standard errors. Only what one class
+prefers for certain moves the score. Of equal texts only one is counted.
+The difference of the log-likelihoods per word is turned into a probability by a logistic curve, fitted on a fold of the
+labelled rows that the counts have not seen.
 
 Words, contexts and bigrams are counted in hashed tables of a fixed size (SLOTS entries a class), filled from every
 labelled row; so what a task or the driver holds doesn't grow with the corpus. Numbers of different neighbours are
@@ -24,13 +29,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, hashed_words, materialise, mix, slices
+from .common import FOLD, U, joined, materialise, mix, prefix_hash, slices, span_hash, word_spans
 
 FOLDS = 5
 #: Of the folds, this one is never learned from; the counts leave out CALIBRATION too, on which the curve is fitted.
 HELD_OUT, CALIBRATION = 0, 4
 BIGRAMS, WORDS = 1 << 21, 1 << 19
-DISCOUNT = 0.75
+#: The absolute discount of the smaller class; the larger class's is larger in proportion.
+DISCOUNT = 1.5
+#: Bytes of a stem, and the most that a word's log-likelihoods may differ by.
+STEM, MOST = 6, 4.0
+#: Standard errors by which the classes must differ.
+ERRORS = 4.0
+#: Bounds of the weight that a context leaves to the unigrams.
+BACKOFF = (0.05, 1.0)
 #: Pieces in which the tables are added up.
 RANGES = 32
 #: Rows that the curve is fitted on, at most (a bounded sample of the calibration fold, the smallest hashes of doc_id).
@@ -40,17 +52,22 @@ CURVE_ROWS = 50_000
 SEPARATOR = np.array([not (chr(b).isalnum() or b > 127) for b in range(256)])
 
 #: Tables by name: entries and how they are merged.
-TABLES = {f"{n}{c}": (size, how) for c in (0, 1) for n, size, how in (("bigram", BIGRAMS, "add"), ("context", WORDS, "add"), ("word", WORDS, "add"), ("follow", WORDS, "or"))} | {"shared": (WORDS, "or")}
+TABLES = {f"{n}{c}": (size, how) for c in (0, 1) for n, size, how in (("bigram", BIGRAMS, "add"), ("context", WORDS, "add"), ("word", WORDS, "add"), ("stem", WORDS, "add"))} | {"follow": (WORDS, "or"), "shared": (WORDS, "or"), "stems": (WORDS, "or")}
 
 
-def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words of all texts: word slot, slot of the word before (or of the text's start), bigram slot, and where texts begin."""
-    h, first = hashed_words(texts, SEPARATOR)
+def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of all texts: word slot, stem slot, slot of the word before (or of the text's start), bigram, and where texts begin."""
+    data, at = joined(texts)
+    data = FOLD[data]
+    start, end = word_spans(data, SEPARATOR)
+    prefix = prefix_hash(data)
+    h, first = span_hash(prefix, start, end), np.searchsorted(start, at)
+    stem = span_hash(prefix, start, np.minimum(end, start + STEM))
     before = np.concatenate([[U(0)], h[:-1]]) if len(h) else h
     begins = first[:-1][first[:-1] < first[1:]]
     before[begins] = U(0x5DEECE66D)
-    pair = mix(before * U(3) + h)
-    return (h & U(WORDS - 1)).astype(np.int64), (mix(before) & U(WORDS - 1)).astype(np.int64), pair, first
+    slot = lambda x: (x & U(WORDS - 1)).astype(np.int64)
+    return slot(h), slot(stem), slot(mix(before)), mix(before * U(3) + h), first
 
 
 def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,13 +79,19 @@ def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts = pdf["text"][pdf["toxic"] == c].tolist()
             for a, b in slices(texts):
                 some = True
-                word, before, pair, _ = tokens(texts[a:b])
-                np.add.at(held[f"word{c}"], word, 1)
-                np.add.at(held[f"context{c}"], before, 1)
-                np.add.at(held[f"bigram{c}"], (pair & U(BIGRAMS - 1)).astype(np.int64), 1)
-                bit = pair >> U(58)
-                np.bitwise_or.at(held[f"follow{c}"], before, U(1) << bit)
-                np.bitwise_or.at(held["shared"], word, U(1) << bit)
+                word, stem, before, pair, first = tokens(texts[a:b])
+                doc = np.repeat(np.arange(1, len(first), dtype=np.uint64), np.diff(first)) * U(0x9E3779B97F4A7C15)
+                once = np.unique(mix(doc ^ word.astype(np.uint64)), return_index=True)[1]
+                held[f"word{c}"] += np.bincount(word[once], minlength=WORDS)
+                once = np.unique(mix(doc ^ stem.astype(np.uint64)), return_index=True)[1]
+                held[f"stem{c}"] += np.bincount(stem[once], minlength=WORDS)
+                once = np.unique(mix(doc ^ pair), return_index=True)[1]
+                held[f"context{c}"] += np.bincount(before[once], minlength=WORDS)
+                held[f"bigram{c}"] += np.bincount((pair[once] & U(BIGRAMS - 1)).astype(np.int64), minlength=BIGRAMS)
+                bit = U(1) << (pair >> U(58))
+                np.bitwise_or.at(held["follow"], before, bit)
+                np.bitwise_or.at(held["shared"], word, bit)
+                np.bitwise_or.at(held["stems"], stem, bit)
     for name, x in held.items() if some else ():
         for part, piece in enumerate(np.split(x, RANGES)):
             at = np.flatnonzero(piece)
@@ -104,30 +127,57 @@ class Model:
         for name, part, at, value in pieces:
             step = TABLES[name][0] // RANGES
             t[name][np.frombuffer(at, np.int32) + part * step] = np.frombuffer(value, np.int64).view(np.uint64)
-        shared = _neighbours(t["shared"])
-        self.base = ((shared + 0.5) / (shared.sum() + 0.5 * WORDS)).astype(np.float32)
-        self.bigram, self.context, self.backoff, self.word = [], [], [], []
-        for c in "01":
-            words, total = t["word" + c].astype(np.float32), max(float(t["word" + c].sum()), 1.0)
-            kinds = float((words > 0).sum())
-            self.word.append(np.maximum(words - DISCOUNT, 0) / total + (DISCOUNT * kinds / total if kinds else 1.0) * self.base)
-            context = t["context" + c].astype(np.float32)
-            follow = np.minimum(_neighbours(t["follow" + c]), context)
-            self.bigram.append(t["bigram" + c].astype(np.float32))
-            self.context.append(context)
-            self.backoff.append(np.where(context > 0, DISCOUNT * follow / np.maximum(context, 1), 1.0).astype(np.float32))
-
-    def likelihood(self, c: int, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        seen = self.context[c][before]
-        direct = np.where(seen > 0, np.maximum(self.bigram[c][pair] - DISCOUNT, 0) / np.maximum(seen, 1), 0)
-        return np.log(direct + np.maximum(self.backoff[c][before], 1e-6) * self.word[c][word] + 1e-30)
+        shares = lambda n: ((n + 0.5) / (n.sum() + 0.5 * WORDS)).astype(np.float32)
+        self.base, self.stems = shares(_neighbours(t["shared"])), shares(_neighbours(t["stems"]))
+        of = lambda name: [t[name + c].astype(np.float64) for c in "01"]
+        self.word, words_tell = self._classes(of("word"), self.base)
+        self.stem, stems_tell = self._classes(of("stem"), self.stems)
+        both = self.stem[0] + self.stem[1]
+        self.lean = [np.where(stems_tell, 2 * x / both, 1.0).astype(np.float32) for x in self.stem]
+        pooled = self._shares(sum(of("word")), DISCOUNT, self.base)
+        self.tells = words_tell
+        self.word = [np.where(words_tell, x, pooled).astype(np.float32) for x in self.word]
+        self.bigram, self.context = of("bigram"), of("context")
+        self.pairs_tell = self._tell(*[np.maximum(x - 2 * x.mean(), 0) for x in self.bigram])  # rare bigrams share slots; what a slot holds on average tells nothing
+        scale = self._scales(self.bigram)
+        self.bigram = [np.maximum(x - DISCOUNT * f - 2 * x.mean(), 0).astype(np.float32) for x, f in zip(self.bigram, scale)]
+        seen = self.context[0] + self.context[1]
+        self.backoff = np.where(seen > 0, np.clip(DISCOUNT * _neighbours(t["follow"]) / np.maximum(seen, 1), *BACKOFF), 1.0).astype(np.float32)
+
+    @staticmethod
+    def _scales(counts: list) -> list[float]:
+        sizes = [max(float(x.sum()), 1.0) for x in counts]
+        return [n / min(sizes) for n in sizes]
+
+    @staticmethod
+    def _shares(counts: np.ndarray, discount: float, base: np.ndarray) -> np.ndarray:
+        """Kneser-Ney: discounted counts, and what they leave in proportion to the shared backoff."""
+        kept = np.maximum(counts - discount, 0) / max(float(counts.sum()), 1.0)
+        return kept + (1 - kept.sum()) * base
+
+    @staticmethod
+    def _tell(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+        """Where the classes' counts differ by more than ERRORS standard errors."""
+        n = ordinary.sum() + toxic.sum()
+        s = toxic.sum() / n if n else 0.0
+        k = ordinary + toxic
+        return np.abs(toxic - k * s) > ERRORS * np.sqrt(k * s * (1 - s) + 1)
+
+    def _classes(self, counts: list, base: np.ndarray) -> tuple[list, np.ndarray]:
+        scale = self._scales(counts)
+        return [self._shares(x, DISCOUNT * f, base) for x, f in zip(counts, scale)], self._tell(*counts)
+
+    def likelihood(self, c: int, word: np.ndarray, stem: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        single = self.word[c][word] * np.where(self.tells[word], 1, self.lean[c][stem])
+        direct = np.where(self.pairs_tell[pair], self.bigram[c][pair] / np.maximum(self.context[c][before], 1), 0)
+        return np.log(direct + self.backoff[before] * single + 1e-30)
 
     def differences(self, texts: list) -> np.ndarray:
         out = np.zeros(len(texts))
         for a, b in slices(texts):
-            word, before, pair, first = tokens(texts[a:b])
+            word, stem, before, pair, first = tokens(texts[a:b])
             pair = (pair & U(BIGRAMS - 1)).astype(np.int64)
-            d = self.likelihood(1, word, before, pair) - self.likelihood(0, word, before, pair)
+            d = np.clip(self.likelihood(1, word, stem, before, pair) - self.likelihood(0, word, stem, before, pair), -MOST, MOST)
             total = np.concatenate([[0.0], np.cumsum(d, dtype=np.float64)])
             out[a:b] = (total[first[1:]] - total[first[:-1]]) / np.maximum(first[1:] - first[:-1], 1)
         return out
@@ -156,7 +206,8 @@ def fold(column: str = "doc_id"):
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("cast(toxic > 0 as int)")).alias("toxic")).withColumn("fold", fold()).filter(f"fold <> {HELD_OUT}")
-    pairs = docs.select("doc_id", "text").join(known, "doc_id")
+    single = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")).join(known, "doc_id").groupBy("digest", "toxic", "fold").agg(F.min("doc_id").alias("doc_id"))
+    pairs = docs.select("doc_id", "text").join(single, "doc_id")
     pieces = pairs.filter(f"fold <> {CALIBRATION}").select("text", "toxic").mapInPandas(count, PIECE)
     once = pieces.withColumn("salt", F.expr("pmod(spark_partition_id(), 64)")).groupBy("name", "part", "salt").applyInPandas(lambda pdf: _merge(pdf), PIECE)
     merged = materialise(once.groupBy("name", "part").applyInPandas(_merge, PIECE), "toxicity")
