@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import marlstone.llm as package
 
-from . import ann, mixing, quality_rules, sharding, toxicity, warc
+from . import ann, mixing, pieces, quality_rules, sharding, surrogates, toxicity, warc
 from .common import table
 
 cloudpickle.register_pickle_by_value(package)  # workers need no copy of the package on their path
@@ -39,5 +39,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.read(warc.write(table(spark, sf_dir, "pages"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_toxicity, op5_nearest, op6_sharding, op7_mixing, op8_warc)}
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.selectExpr("doc_id", "text", "cast(size(entities) as long) as n_entities", "entities")
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_toxicity, op5_nearest, op6_sharding, op7_mixing, op8_warc, op9_surrogates, op10_pieces)}
 SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op7_mixing": mixing.SQL, "op8_warc": warc.SQL}
