@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 import marlstone.llm as package
 
-from . import ann, mixing, pieces, quality_rules, sharding, surrogates, toxicity, warc
+from . import ann, mixing, ngram_join, pieces, quality_rules, sharding, surrogates, toxicity, warc
 from .common import table
 
 cloudpickle.register_pickle_by_value(package)  # workers need no copy of the package on their path
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,8 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_toxicity, op5_nearest, op6_sharding, op7_mixing, op8_warc, op9_surrogates, op10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_ngram_join, op2_quality_rules, op3_toxicity, op5_nearest, op6_sharding, op7_mixing, op8_warc, op9_surrogates, op10_pieces)
+}
 SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op7_mixing": mixing.SQL, "op8_warc": warc.SQL}
