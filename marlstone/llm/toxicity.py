@@ -22,7 +22,7 @@ score is that class's share; an empty table gives an empty result; only text, do
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,7 @@ from .common import FOLD, U, joined, materialise, mix, prefix_hash, slices, span
 FOLDS = 5
 #: Of the folds, this one is never learned from; the counts leave out CALIBRATION too, on which the curve is fitted.
 HELD_OUT, CALIBRATION = 0, 4
-BIGRAMS, WORDS = 1 << 21, 1 << 19
+BIGRAMS, WORDS = 1 << 20, 1 << 19
 #: The absolute discount of the smaller class; the larger class's is larger in proportion.
 DISCOUNT = 1.5
 #: Bytes of a stem, and the most that a word's log-likelihoods may differ by.
@@ -45,6 +45,8 @@ ERRORS = 4.0
 BACKOFF = (0.05, 1.0)
 #: Pieces in which the tables are added up.
 RANGES = 32
+#: Tasks whose pieces are added up in a first step.
+MERGED = 32
 #: Rows that the curve is fitted on, at most (a bounded sample of the calibration fold, the smallest hashes of doc_id).
 CURVE_ROWS = 50_000
 
@@ -70,6 +72,17 @@ def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     return slot(h), slot(stem), slot(mix(before)), mix(before * U(3) + h), first
 
 
+def packed(name: str, part: int, at: np.ndarray, value: np.ndarray) -> dict:
+    """A piece of a table: the places of its entries as steps, and the entries, compressed."""
+    wide = value if TABLES[name][1] == "or" else value.astype(np.uint32)
+    return {"name": name, "part": part, "at": compress(np.diff(at, prepend=0).astype(np.uint16).tobytes(), 1), "value": compress(wide.tobytes(), 1)}
+
+
+def unpacked(name: str, at: bytes, value: bytes) -> tuple[np.ndarray, np.ndarray]:
+    kind = np.uint64 if TABLES[name][1] == "or" else np.uint32
+    return np.cumsum(np.frombuffer(decompress(at), np.uint16), dtype=np.int64), np.frombuffer(decompress(value), kind).astype(np.uint64)
+
+
 def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Adds up (text, toxic) rows; gives pieces (name, part, index, value) of the tables' entries that aren't zero."""
     held = {n: np.zeros(size, np.uint64 if how == "or" else np.int64) for n, (size, how) in TABLES.items()}
@@ -96,7 +109,7 @@ def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, piece in enumerate(np.split(x, RANGES)):
             at = np.flatnonzero(piece)
             if len(at):
-                yield pd.DataFrame({"name": [name], "part": [part], "at": [at.astype(np.int32).tobytes()], "value": [piece[at].astype(np.int64).tobytes()]})
+                yield pd.DataFrame([packed(name, part, at, piece[at].astype(np.uint64))])
 
 
 PIECE = "name string, part int, at binary, value binary"
@@ -107,10 +120,10 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     size, how = TABLES[name]
     x = np.zeros(size // RANGES, np.uint64)
     for at, value in zip(pdf["at"], pdf["value"]):
-        i, v = np.frombuffer(at, np.int32), np.frombuffer(value, np.int64).view(np.uint64)
+        i, v = unpacked(name, at, value)
         x[i] = x[i] | v if how == "or" else x[i] + v
     at = np.flatnonzero(x)
-    return pd.DataFrame({"name": [name], "part": [part], "at": [at.astype(np.int32).tobytes()], "value": [x[at].view(np.int64).tobytes()]})
+    return pd.DataFrame([packed(name, part, at, x[at])])
 
 
 def _neighbours(maps: np.ndarray) -> np.ndarray:
@@ -126,7 +139,8 @@ class Model:
         t = {n: np.zeros(size, np.uint64) for n, (size, _) in TABLES.items()}
         for name, part, at, value in pieces:
             step = TABLES[name][0] // RANGES
-            t[name][np.frombuffer(at, np.int32) + part * step] = np.frombuffer(value, np.int64).view(np.uint64)
+            i, v = unpacked(name, at, value)
+            t[name][i + part * step] = v
         shares = lambda n: ((n + 0.5) / (n.sum() + 0.5 * WORDS)).astype(np.float32)
         self.base, self.stems = shares(_neighbours(t["shared"])), shares(_neighbours(t["stems"]))
         of = lambda name: [t[name + c].astype(np.float64) for c in "01"]
@@ -207,9 +221,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("cast(toxic > 0 as int)")).alias("toxic")).withColumn("fold", fold()).filter(f"fold <> {HELD_OUT}")
     single = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")).join(known, "doc_id").groupBy("digest", "toxic", "fold").agg(F.min("doc_id").alias("doc_id"))
-    pairs = docs.select("doc_id", "text").join(single, "doc_id")
-    pieces = pairs.filter(f"fold <> {CALIBRATION}").select("text", "toxic").mapInPandas(count, PIECE)
-    once = pieces.withColumn("salt", F.expr("pmod(spark_partition_id(), 64)")).groupBy("name", "part", "salt").applyInPandas(lambda pdf: _merge(pdf), PIECE)
+    learned = f"fold not in ({HELD_OUT}, {CALIBRATION})"
+    pairs = docs.select("doc_id", "text").withColumn("fold", fold()).filter(learned).drop("fold").join(single.filter(learned), "doc_id")
+    pieces = pairs.select("text", "toxic").mapInPandas(count, PIECE)
+    once = pieces.withColumn("salt", F.expr(f"spark_partition_id() div {MERGED}")).groupBy("name", "part", "salt").applyInPandas(lambda pdf: _merge(pdf), PIECE)
     merged = materialise(once.groupBy("name", "part").applyInPandas(_merge, PIECE), "toxicity")
     model = spark.sparkContext.broadcast([(r["name"], r["part"], bytes(r["at"]), bytes(r["value"])) for r in merged.collect()])  # bounded: the tables' sizes are fixed
 
