@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import marlstone.llm as package
 
-from . import ann, mixing, ngram_join, pieces, quality_rules, sharding, surrogates, toxicity, warc
+from . import ann, mixing, ngram_join, pieces, quality_rules, repeats, sharding, surrogates, toxicity, warc
 from .common import table
 
 cloudpickle.register_pickle_by_value(package)  # workers need no copy of the package on their path
@@ -31,6 +31,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove(table(spark, sf_dir, "documents")))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -54,6 +58,6 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_quality_rules, op3_toxicity, op5_nearest, op6_sharding, op7_mixing, op8_warc, op9_surrogates, op10_pieces)
+    for f in (op1_ngram_join, op2_quality_rules, op3_toxicity, op4_repeats, op5_nearest, op6_sharding, op7_mixing, op8_warc, op9_surrogates, op10_pieces)
 }
 SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op7_mixing": mixing.SQL, "op8_warc": warc.SQL}
