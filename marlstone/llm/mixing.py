@@ -19,11 +19,15 @@ from pyspark.sql import functions as F
 
 from .common import WORD_SQL, materialise
 
+SPACES_SQL = r"[\\x20\\x09-\\x0D]"
+
 WEIGHTS = (3, 1, 2)
 #: Words to take, as a multiple of all words, and the most of one source, as a multiple of its words.
 TOTAL, CAP = 1.5, 2
 #: Documents in a block, about.
 BLOCK_DOCS = 4096
+#: Documents of a shard that are shuffled together, about.
+RUN_DOCS = 65_536
 #: 2**DEPTH output shards.
 DEPTH = 4
 SEED = "mix-1"
@@ -107,6 +111,24 @@ def mix(docs: DataFrame) -> DataFrame:
     )
 
 
+def arranged(docs: DataFrame) -> DataFrame:
+    """The mix itself: rows of docs, once for each time they are drawn, dealt to shards and shuffled within them.
+
+    The document on the edge of a quota is cut after its last word that is drawn; n_chars, if there is one, follows.
+    """
+    names, n = docs.columns, docs.count()
+    plan = mix(docs).filter("taken > 0").selectExpr("doc_id as mix_id", "size as mix_size", "extra as mix_extra", "passes as mix_passes", "shards as mix_shards").dropDuplicates(["mix_id"])
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("own_id"))
+    copies = row.join(plan, F.col("own_id") == F.col("mix_id")).select("row", "mix_id", "mix_size", "mix_extra", "mix_passes", F.posexplode("mix_shards").alias("copy", "shard"))
+    part = F.expr("copy >= mix_passes and mix_extra < mix_size")
+    text = F.when(part, F.expr(f"array_join(slice(regexp_extract_all(row.text, '{SPACES_SQL}*{WORD_SQL}', 0), 1, cast(mix_extra as int)), '')")).otherwise(F.col("row.text"))
+    runs = max(1, -(-n // (RUN_DOCS << DEPTH)))
+    spread = copies.withColumn("cut", text).withColumn("run", F.expr(f"pmod(xxhash64(mix_id, copy), {runs})")).withColumn("order", _key("'shuffle'", "mix_id", "copy"))
+    dealt = spread.repartition("shard", "run").sortWithinPartitions("shard", "run", "order")
+    new = {"text": F.col("cut"), "n_chars": F.when(F.col("row.n_chars").isNull(), None).otherwise(F.length("cut").cast("long")) if "n_chars" in names else None}
+    return dealt.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in names])
+
+
 def digest(mixed: DataFrame) -> DataFrame:
     return mixed.selectExpr("doc_id", "size", "source_size", "target", "taken", "array_join(shards, ',') as shards")
 

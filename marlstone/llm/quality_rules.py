@@ -26,19 +26,19 @@ PRIOR_WEIGHT = (1.0, 1e6)
 SYMBOLS = "#*$%&|<>"
 
 
-def metrics(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the base measures of every whole text.
+def metrics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, the columns in carry, and the base measures of every whole text.
 
     A window is a 64-bit hash of its words' hashes. Only a text with a repeated window sorts its windows with their
     positions: neighbours in that order with equal hashes are repeated, and their positions are merged into covered words.
     """
     h = ", ".join(f"h[i + {k}]" for k in range(WINDOW))
+    own = ("doc_id", "source", *carry)
     return (
-        docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("t"))
-        .select("doc_id", "source", "t", F.expr(f"regexp_extract_all(t, '{WORD_SQL}', 0)").alias("w"))
+        docs.select(*own, F.coalesce("text", F.lit("")).alias("t"))
+        .select(*own, "t", F.expr(f"regexp_extract_all(t, '{WORD_SQL}', 0)").alias("w"))
         .selectExpr(
-            "doc_id",
-            "source",
+            *own,
             "cast(size(w) as long) as n_words",
             "cast(length(translate(t, ' \\t\\n\\u000B\\u000C\\r', '')) as long) as word_chars",
             f"cast(length(t) - length(translate(t, '{SYMBOLS}', '')) as long) as n_symbols",
@@ -46,20 +46,20 @@ def metrics(docs: DataFrame) -> DataFrame:
             "transform(w, x -> xxhash64(x)) as h",
         )
         .selectExpr(
-            "doc_id", "source", "n_words", "word_chars", "n_symbols",
+            *own, "n_words", "word_chars", "n_symbols",
             "cast(size(lines) - size(array_distinct(lines)) as long) as n_dup_lines",
             f"case when n_words >= {WINDOW} then transform(sequence(0, cast(n_words as int) - {WINDOW}), i -> xxhash64({h})) end as wins",
         )
         .selectExpr(
-            "doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+            *own, "n_words", "word_chars", "n_symbols", "n_dup_lines",
             "case when size(wins) > size(array_distinct(wins)) then sort_array(transform(wins, (x, i) -> struct(x as h, i as p))) end as s",
         )
         .selectExpr(
-            "doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+            *own, "n_words", "word_chars", "n_symbols", "n_dup_lines",
             "sort_array(array_distinct(flatten(zip_with(s, slice(s, 2, size(s)), (a, b) -> case when a.h = b.h then array(a.p, b.p) else cast(array() as array<int>) end)))) as p",
         )
         .selectExpr(
-            "doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+            *own, "n_words", "word_chars", "n_symbols", "n_dup_lines",
             f"coalesce(aggregate(zip_with(p, slice(p, 2, greatest(size(p), 1)), (a, b) -> case when b is null then {WINDOW} else least({WINDOW}, b - a) end), 0L, (t, x) -> t + x), 0L) as n_repeat_words",
         )
         .withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
@@ -92,6 +92,15 @@ def judge(docs: DataFrame) -> DataFrame:
     )
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with all their columns. Texts are measured twice, so that none is shuffled or written."""
+    h = materialise(hosts(materialise(metrics(docs).select("source", "base_failed"), "quality")), "quality-host")
+    row = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"))
+    judged = metrics(row, ("whole_row",)).select("source", "whole_row", F.explode(F.array("base_failed")).alias("failed"))
+    passed = judged.filter("not failed")  # a filter on base_failed itself would be pushed down and its expression unfolded many times over
+    return passed.join(h.filter("not host_ok"), F.col("source").eqNullSafe(F.col("host")), "left_anti").select("whole_row.*")
+
+
 SQL = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents

@@ -4,16 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyspark.cloudpickle as cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-import marlstone.llm as package
-
 from . import ann, mixing, ngram_join, pieces, quality_rules, repeats, sharding, surrogates, toxicity, warc
 from .common import table
 
-cloudpickle.register_pickle_by_value(package)  # workers need no copy of the package on their path
-
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
