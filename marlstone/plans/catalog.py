@@ -6,14 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.sources import panel
+
+from . import engine
+from .profiles import PROFILES
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").count()
+    """The ten best of each market and horizon by the first profile."""
+    return ranking("sample_price_trend_v1")(spark, sf_dir).filter("rank <= 10")
+
+
+def ranking(profile_id: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = PROFILES[profile_id]
+        return engine.rankings(p, engine.snapshot(p, panel.bars(spark, sf_dir)))
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f"rank_{p}": ranking(p) for p in PROFILES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f"rank_{p}": engine.rankings_sql(PROFILES[p], panel.bars_sql()) for p in PROFILES}
