@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from marlstone.sources import panel
 
 from . import engine
-from .profiles import PROFILES
+from .profiles import PROFILES as PLAIN
+from .profiles_setups import SETUPS
+
+PROFILES = PLAIN | SETUPS
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
