@@ -38,7 +38,9 @@ from .suffix_sort import common_prefixes, suffix_array
 LENGTH, GRAM = 100, 24
 LEFT = (LENGTH - GRAM) // 2
 #: Bytes of text for one pack of segments and for one shard, about; a shard is sorted in pieces of PIECE bytes at most (unless one key has more).
-PACK_BYTES, SHARD_BYTES, PIECE = 40 << 20, 16 << 20, 2 << 20
+PACK_BYTES, SHARD_BYTES, PIECE = 16 << 20, 8 << 20, 1 << 20
+#: Characters of text whose segments are found at once.
+SLICE = 1 << 20
 
 
 def _least_ahead(key: np.ndarray, width: int) -> np.ndarray:
@@ -92,7 +94,7 @@ def sent(batches: Iterator[pa.RecordBatch], packs: int) -> Iterator[pa.RecordBat
     """Packed segments (pack, minimizers, contents, docs, places, repeated) of slices of (doc_id, text)."""
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_pylist()
-        for a, b in slices(texts):
+        for a, b in slices(texts, SLICE):
             of, start, size, anchor, gram, content = segments(texts[a:b])
             if not len(of):
                 continue
@@ -235,7 +237,7 @@ def remove(docs: DataFrame) -> DataFrame:
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, marked = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 rows = [cut(t, [(x["start"], x["size"]) for x in m] if m else None) for t, m in zip(texts[a:b], marked[a:b])]
                 runs = pa.array([[{"start": s, "end": e} for s, e in r] for _, r, _ in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([n for _, _, n in rows], pa.int64()), runs, pa.array([k for k, _, _ in rows], pa.binary())], ["doc_id", "n_bytes", "runs", "kept"])
