@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.sources import panel
 
-from . import engine
+from . import engine, fundamentals, relational, valuation
 from .profiles import PROFILES as PLAIN
 from .profiles_setups import SETUPS
 
@@ -28,9 +28,30 @@ def ranking(profile_id: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def valuation_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return valuation.value(valuation.facts(spark, sf_dir), valuation.scenarios(spark))
+
+
+def fundamental_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(fundamentals.spark_sql(), bars=panel.bars(spark, sf_dir), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def snapshot(profile_id: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: engine.rounded(engine.snapshot(PROFILES[profile_id], panel.bars(spark, sf_dir)))
+
+
+def relation(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in relational.TABLES if f"{{{t}}}" in text})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f"rank_{p}": ranking(p) for p in PROFILES}
+    out = {f"rank_{p}": ranking(p) for p in PROFILES} | {"rank_fundamental_quality_profitability_v1": fundamental_ranking}
+    out |= {f"snapshot_{p}": snapshot(p) for p in PROFILES} | {"valuation_models": valuation_models}
+    return out | {f"op_{n}": relation(x) for n, x in relational.SQL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f"rank_{p}": engine.rankings_sql(PROFILES[p], panel.bars_sql()) for p in PROFILES}
+    bars = panel.bars_sql()
+    out = {f"rank_{p}": engine.rankings_sql(PROFILES[p], bars) for p in PROFILES} | {"rank_fundamental_quality_profitability_v1": fundamentals.oracle(bars)}
+    out |= {f"snapshot_{p}": engine.snapshot_sql(PROFILES[p], bars) for p in PROFILES} | {"valuation_models": valuation.value_sql()}
+    return out | {f"op_{n}": x.format(**{t: t for t in relational.TABLES}) for n, x in relational.SQL.items()}

@@ -12,8 +12,8 @@ from marlstone.operators import features
 
 from .profiles import Profile
 
-#: Places to which metrics and scores are rounded in results.
-PLACES = 8
+#: Places to which metrics and scores are rounded in results; of traded values, which are large, fewer.
+PLACES, VALUE_PLACES, SNAPSHOT_PLACES = 8, 2, 6
 
 
 def wanted(p: Profile) -> list[str]:
@@ -44,6 +44,29 @@ def rankings(p: Profile, snap: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("market", "horizon").orderBy(F.desc("score"), "ticker")).cast("long"))
 
 
+def places(name: str) -> int:
+    if "amihud" in name:
+        return 14
+    return VALUE_PLACES if "_traded_value_" in name and not name.endswith(("_score", "_cv_60d", "_concentration_60d")) else SNAPSHOT_PLACES
+
+
+def cut(x: str, n: int) -> str:
+    """x to n places, by the same arithmetic in every engine (their own round() may treat halves of binary fractions differently)."""
+    return f"(floor(({x}) * {10.0**n:.1f} + 0.5) / {10.0**n:.1f})"
+
+
+def rounded(snap: DataFrame) -> DataFrame:
+    return snap.select(*[F.expr(doubles(cut(c, places(c)))).alias(c) if t == "double" else F.col(c) for c, t in snap.dtypes])
+
+
+def snapshot_sql(p: Profile, bars: str) -> str:
+    metrics = ", ".join(f"{doubles(cut(f'CAST({x} AS DOUBLE)', places(n)))} AS {n}" for n, x in p.snapshot.items())
+    gates = " AND ".join(f"({doubles(g)})" for g in p.gates)
+    full = " AND ".join(f"{n} IS NOT NULL" for n in p.snapshot)
+    heads = ", ".join(f"{doubles(cut(f'f_{c}', SNAPSHOT_PLACES))} AS {c}" for c in ("close", "adjusted_close"))
+    return f"WITH f AS ({features.aggregate_sql(bars, p.rule, wanted(p))}), s AS (SELECT market, ticker, {heads}, {metrics} FROM f WHERE {gates}) SELECT * FROM s WHERE {full}"
+
+
 def rankings_sql(p: Profile, bars: str) -> str:
     layers, last = [], "s"
     for i, layer in enumerate(p.layers):
