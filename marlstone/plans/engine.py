@@ -39,8 +39,8 @@ def scored(p: Profile, snap: DataFrame) -> DataFrame:
 
 def rankings(p: Profile, snap: DataFrame) -> DataFrame:
     """market, horizon, ticker, ranking metrics, score, rank: a row for each ticker and horizon."""
-    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.expr(f"round(CAST({doubles(x)} AS DOUBLE), {PLACES})").alias("score")) for h, x in p.horizons.items()])).alias("h")
-    rows = scored(p, snap).select("market", "ticker", *[F.round(k, PLACES).alias(k) for k in p.ranking_keys], each).select("market", "h.horizon", "ticker", *p.ranking_keys, "h.score")
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.expr(doubles(cut(f"CAST({x} AS DOUBLE)", PLACES))).alias("score")) for h, x in p.horizons.items()])).alias("h")
+    rows = scored(p, snap).select("market", "ticker", *[F.expr(doubles(cut(k, PLACES))).alias(k) for k in p.ranking_keys], each).select("market", "h.horizon", "ticker", *p.ranking_keys, "h.score")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("market", "horizon").orderBy(F.desc("score"), "ticker")).cast("long"))
 
 
@@ -72,8 +72,8 @@ def rankings_sql(p: Profile, bars: str) -> str:
     for i, layer in enumerate(p.layers):
         layers.append(f"l{i} AS (SELECT *, {', '.join(f'CAST({doubles(x)} AS DOUBLE) AS {n}' for n, x in layer.items())} FROM {last})")
         last = f"l{i}"
-    keys = ", ".join(f"round({k}, {PLACES}) AS {k}" for k in p.ranking_keys)
-    parts = " UNION ALL ".join(f"SELECT market, '{h}' AS horizon, ticker, {keys}, round(CAST({doubles(x)} AS DOUBLE), {PLACES}) AS score FROM {last}" for h, x in p.horizons.items())
+    keys = ", ".join(f"{doubles(cut(k, PLACES))} AS {k}" for k in p.ranking_keys)
+    parts = " UNION ALL ".join(f"SELECT market, '{h}' AS horizon, ticker, {keys}, {doubles(cut(f"CAST({x} AS DOUBLE)", PLACES))} AS score FROM {last}" for h, x in p.horizons.items())
     gates = " AND ".join(f"({doubles(g)})" for g in p.gates)
     metrics = ", ".join(f"CAST({doubles(x)} AS DOUBLE) AS {n}" for n, x in p.snapshot.items())
     full = " AND ".join(f"{n} IS NOT NULL" for n in p.snapshot)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from marlstone.functions.sqlexpr import div, doubles, percentile, tag, weighted
 
-from .profiles import AS_OF_NUMBER  # noqa: F401
+from .engine import cut
 
 #: Days by which shipments are moved so that the last ones fall near the end of the bar panel; days after which facts are stale.
 SHIFT, STALE_DAYS = 8_738, 550
@@ -56,8 +56,8 @@ s AS (
   SELECT f.* FROM facts f JOIN latest l ON f.market = l.market AND f.ticker = l.ticker JOIN run r ON l.last_date = r.as_of
   WHERE datediff_days(r.as_of, {fresh}) <= {STALE_DAYS} AND {' AND '.join(f'f.{x} IS NOT NULL' for x in REQUIRED)} AND revenue_ttm > 0.0 AND total_assets > 0.0 AND shareholders_equity > 0.0 AND total_debt >= 0.0 AND cash_and_cash_equivalents >= 0.0
 ), p AS (SELECT *, {scores}, CASE WHEN free_cash_flow_ttm > 0.0 THEN 100.0 ELSE 0.0 END AS score_positive_fcf FROM s),
-q AS (SELECT *, {', '.join(f'{x} AS {n}' for n, x in parts.items())} FROM p), t AS (SELECT *, round({score}, {PLACES}) AS score FROM q)
-SELECT market, 'composite' AS horizon, ticker, {', '.join(f'round({k}, {PLACES}) AS {k}' for k in KEYS)}, score, CAST(row_number() OVER (PARTITION BY market ORDER BY {ORDER}) AS BIGINT) AS rank FROM t
+q AS (SELECT *, {', '.join(f'{x} AS {n}' for n, x in parts.items())} FROM p), t AS (SELECT *, {cut(score, PLACES)} AS score FROM q)
+SELECT market, 'composite' AS horizon, ticker, {', '.join(f'{cut(k, PLACES)} AS {k}' for k in KEYS)}, score, CAST(row_number() OVER (PARTITION BY market ORDER BY {ORDER}) AS BIGINT) AS rank FROM t
 """)
 
 

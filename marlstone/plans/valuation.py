@@ -34,7 +34,7 @@ FACTS = {
     "starting_fcf": "CAST(1000 * q + 5000 * n AS DOUBLE)",
     "net_debt": "CAST(2000 * n - 300 * p_size AS DOUBLE)",
     "shares": "CAST(1000 + 10 * p_size AS DOUBLE)",
-    "price": "CAST(100 + p_partkey % 400 AS DOUBLE)",
+    "price": "CAST(5000 + p_partkey * 37 % 15000 AS DOUBLE)",
 }
 
 
