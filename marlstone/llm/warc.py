@@ -149,8 +149,9 @@ def plan(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame) -> DataFrame:
     """Archives (archive, body) of all pages, written to the shared folder."""
-    sample = pages.select("page_id", F.col("html").cast("binary").alias("b")).filter("b is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).select(F.substring("b", 1, SAMPLE_BYTES).alias("b"))
-    dictionary = train([bytes(r["b"]) for r in sample.collect()])  # at most SAMPLE_PAGES rows of SAMPLE_BYTES
+    ids = pages.filter("page_id is not null and html is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).collect()
+    sample = pages.filter(F.col("page_id").isin([r["page_id"] for r in ids])).select(F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("b")).filter("b is not null").limit(SAMPLE_PAGES)
+    dictionary = train(sorted(bytes(r["b"]) for r in sample.collect()))  # ids first: what tasks send is SAMPLE_PAGES numbers, then SAMPLE_PAGES rows of SAMPLE_BYTES in all
     start = opened(dictionary)
 
     def archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
