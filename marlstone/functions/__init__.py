@@ -1 +1 @@
-"""Package part."""
+"""Expression text shared by engines."""

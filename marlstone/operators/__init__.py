@@ -1 +1 @@
-"""Package part."""
+"""Windowed features and the run store."""

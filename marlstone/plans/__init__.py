@@ -1 +1 @@
-"""Package part."""
+"""Profiles, the engine that runs them, valuation, and the catalogue of queries."""

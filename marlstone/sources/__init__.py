@@ -1 +1 @@
-"""Package part."""
+"""Where listings and bars come from."""

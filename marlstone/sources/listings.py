@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Words in a security's name that leave it out, that make it a depositary receipt, and that make it a common stock.
@@ -68,3 +68,68 @@ def request_symbols(listings: DataFrame) -> DataFrame:
     if out.groupBy("request_symbol").agg(F.count_distinct("ticker").alias("n")).filter("n > 1").limit(1).collect():
         raise DataError("two listings have one request symbol")
     return out
+
+
+# ---------------------------------------------------------------- listing pages in HTML, as bytes of code page 950
+
+# The stock section's name, and per source the market's text and the exchange it stands for.
+STOCK_SECTION = "股票"
+TW_SOURCES = {"twse_isin_str_mode_2": ("上市", "TWSE"), "twse_isin_str_mode_4": ("上櫃", "TPEX")}
+HEADER = "有價證券代號"
+
+
+def table_rows(html: bytes) -> list[list[str]]:
+    """Cells of each table row, with white space collapsed."""
+    from html.parser import HTMLParser
+
+    rows: list[list[str]] = []
+    cell: list[str] | None = None
+
+    class Rows(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            nonlocal cell
+            if tag == "tr":
+                rows.append([])
+            elif tag in ("td", "th") and rows:
+                cell = []
+
+        def handle_endtag(self, tag):
+            nonlocal cell
+            if tag in ("td", "th") and cell is not None:
+                rows[-1].append(" ".join("".join(cell).split()))
+                cell = None
+
+        def handle_data(self, data):
+            if cell is not None:
+                cell.append(data)
+
+    parser = Rows()
+    parser.feed(html.decode("cp950"))
+    parser.close()
+    return [r for r in rows if r]
+
+
+def tw_listings(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Stocks of the pages in paths (source id -> path). A page's sections follow one another, so a page is read by one task."""
+    parts = [spark.read.format("binaryFile").load(p).select(F.lit(s).alias("source_id"), "content") for s, p in paths.items()]
+    pages = parts[0]
+    for more in parts[1:]:
+        pages = pages.unionByName(more)
+
+    def cells(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for source, content in zip(pdf["source_id"], pdf["content"]):
+                rows = table_rows(bytes(content))
+                yield pd.DataFrame({"source_id": source, "place": range(len(rows)), "cells": rows})
+
+    rows = pages.mapInPandas(cells, "source_id string, place int, cells array<string>").withColumn("listed", F.expr(r"cells[0] rlike '^[0-9A-Za-z]+\\s'"))
+    section = F.last(F.when((F.size("cells") == 1) & ~F.col("listed"), F.col("cells")[0]), ignorenulls=True).over(Window.partitionBy("source_id").orderBy("place"))
+    expected, segment = F.lit(None), F.lit(None)
+    for s, (text, exchange) in TW_SOURCES.items():
+        expected, segment = F.when(F.col("source_id") == s, text).otherwise(expected), F.when(F.col("source_id") == s, exchange).otherwise(segment)
+    stocks = rows.withColumn("section", section).filter((F.col("section") == STOCK_SECTION) & F.col("listed") & (F.size("cells") > 1) & ~F.col("cells")[0].startswith(HEADER)).withColumn("market_text", F.try_element_at(F.expr("filter(cells, c -> c in ('上市', '上櫃'))"), F.lit(1)))
+    symbol = F.upper(F.regexp_extract(F.col("cells")[0], "^([0-9A-Za-z]+)", 1))
+    out = stocks.filter(F.col("market_text") == expected).select(symbol.alias("ticker"), symbol.alias("listing_symbol"), segment.alias("exchange_segment"), F.lit("active").alias("listing_status"), F.lit("common_stock").alias("instrument_type"), "source_id")
+    return unique(out).withColumn("market", F.lit("TW"))

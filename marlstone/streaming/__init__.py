@@ -1 +1 @@
-"""Package part."""
+"""Nothing yet: every input of the screening engine is a finite panel."""

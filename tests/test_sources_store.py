@@ -40,6 +40,17 @@ def test_us_listings(spark, tmp_path):
         listings.us_listings(spark, written(tmp_path, "a.txt", NASDAQ), written(tmp_path, "c.txt", OTHER + "GOOD|Other Good Common Stock|N|GOOD|N|100|N|GOOD\n"))
 
 
+def test_tw_listings(spark, tmp_path):
+    row = "<tr><td>{}</td><td>TW0001</td><td>2000/01/01</td><td>{}</td></tr>"
+    page = "<table>" + row.format("9999　早", "上市") + "<tr><td> 股票 </td></tr>" + row.format("有價證券代號及名稱", "市場別") + row.format("2330　台積電", "上市") + row.format("1101　台泥", "上市") + row.format("6543　普通", "上櫃") + "<tr><td>上市認購(售)權證</td></tr>" + row.format("0300　權證", "上市") + "</table>"
+    other = "<table><tr><td>股票</td></tr>" + row.format("1234　黑松", "上櫃") + "</table>"
+    (tmp_path / "two.html").write_bytes(page.encode("cp950"))
+    (tmp_path / "four.html").write_bytes(other.encode("cp950"))
+    got = listings.tw_listings(spark, {"twse_isin_str_mode_2": str(tmp_path / "two.html"), "twse_isin_str_mode_4": str(tmp_path / "four.html")})
+    assert [(r["ticker"], r["exchange_segment"]) for r in got.orderBy("ticker").collect()] == [("1101", "TWSE"), ("1234", "TPEX"), ("2330", "TWSE")]
+    assert {r["request_symbol"] for r in listings.request_symbols(got).collect()} == {"1101.TW", "1234.TWO", "2330.TW"}
+
+
 def test_store(spark, tmp_path):
     store, p = RunStore(spark, str(tmp_path / "store")), catalog.PROFILES["sample_price_trend_v1"]
     snap = engine.snapshot(p, panel.bars(spark, SF)).filter("market = 'US'").cache()
