@@ -38,9 +38,11 @@ from .suffix_sort import common_prefixes, suffix_array
 LENGTH, GRAM = 100, 24
 LEFT = (LENGTH - GRAM) // 2
 #: Bytes of text for one pack of segments and for one shard, about; a shard is sorted in pieces of PIECE bytes at most (unless one key has more).
-PACK_BYTES, SHARD_BYTES, PIECE = 16 << 20, 8 << 20, 1 << 20
+PACK_BYTES, SHARD_BYTES, PIECE = 12 << 20, 8 << 20, 1 << 20
+#: Rows that are handed to Python at once: whole texts are long.
+BATCH_ROWS = 512
 #: Characters of text whose segments are found at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def _least_ahead(key: np.ndarray, width: int) -> np.ndarray:
@@ -222,6 +224,7 @@ def cut(text: str | None, marks: list | None) -> tuple[bytes, list[tuple[int, in
 
 def remove(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, runs (array of start and end), kept (the bytes left)."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     packs, shards = max(1, -(-size // PACK_BYTES)), max(1, -(-size // SHARD_BYTES))
     thin = docs.select("doc_id", "text")
