@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, joined, materialise, prefix_hash, slices, span_hash
+from .common import U, joined, materialise, mix, prefix_hash, slices, span_hash
 from .suffix_sort import common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 24
@@ -104,7 +104,7 @@ def sent(batches: Iterator[pa.RecordBatch], packs: int) -> Iterator[pa.RecordBat
             order, first = _firsts(content, doc, where)
             repeated = np.ones(len(of), bool)
             repeated[order] = ~first
-            pack = ((gram >> U(32)) * U(packs) >> U(32)).astype(np.int64)
+            pack = ((mix(gram) >> U(32)) * U(packs) >> U(32)).astype(np.int64)  # minimizers are small hashes: mixed again, they spread
             order = np.lexsort((where, doc, repeated, pack))
             ends = np.searchsorted(pack[order], np.arange(packs + 1))
             rows = []
