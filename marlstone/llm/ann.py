@@ -1,13 +1,16 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A table's hash turns a unit vector by three rounds of random signs and a fast Hadamard transform and takes the signed
-axis nearest to it; several such axes are joined if there are many vectors. A query probes, in each table, the buckets
-whose axes are nearest to it, in that order. Candidates are reranked by exact distance on the original vectors. TABLES and
-PROBES were set so that recall of the 10 nearest stays above 0.9 (tests measure it against brute force).
+axis nearest to it; two such axes are joined if there are many vectors of a dimension. A query probes, in each table, the
+buckets whose axes are nearest to it, in that order. Candidates are reranked by exact distance on the original vectors.
+TABLES and PROBES were set so that recall of the 10 nearest stays above 0.9 with one axis and with two (tests measure both
+against brute force). A third axis would need so many probes for that recall that it spares nothing. A query that finds
+fewer than K candidates is compared with all vectors of its dimension.
 
 Equal vectors are one class before any candidates are formed; of a class only the K + 1 smallest ids can be among the
-nearest. A bucket of more than CHUNK classes is dealt out in chunks, to each of which its queries are sent, so that no
-candidate is lost and no task holds a whole hot bucket. A task returns K + 1 candidates for each query and chunk.
+nearest. Neighbouring buckets make up packs, to which a query is sent once with the buckets that it probes there. A pack of
+more than CHUNK classes is dealt out in chunks, to each of which its queries are sent, so that no candidate is lost and no
+task holds a whole hot bucket. A task returns K + 1 candidates for each query and chunk.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part; vectors of other
 dimensions never meet; ties go to the smaller id; rows that repeat an id with an equal vector count once; an empty table
@@ -25,10 +28,14 @@ from .common import materialise
 
 K = 10
 QUERY_EVERY = 100
-TABLES, PROBES = 12, 16
+TABLES = 12
+#: Buckets that a query probes in a table, by axes.
+PROBES = {1: 16, 2: 512}
 CHUNK = 4096
 #: Classes in a bucket, about, above which hashes take another axis.
 BUCKET = 4096
+#: Queries whose probes are found together.
+PROBED = 64
 
 
 class CrossPolytope:
@@ -95,13 +102,15 @@ def _search(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFra
     """The K + 1 nearest classes of a chunk for each of its queries."""
     out: list[tuple[int, int, float]] = []
     if len(rows) and len(queries):
-        x, ids = np.stack(rows["v"].to_numpy()).astype(np.float64), rows["class_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        x, ids = x[order], ids[order]
-        for q, v in zip(queries["q_class"].to_numpy(), queries["qv"]):
-            d = _distance(np.asarray(v, np.float64), x)
-            for i in np.argsort(d, kind="stable")[: K + 1]:
-                out.append((int(q), int(ids[i]), float(d[i])))
+        x, ids, bucket = np.stack(rows["v"].to_numpy()).astype(np.float64), rows["class_id"].to_numpy(), rows["bucket"].to_numpy()
+        order = np.lexsort((ids, bucket))
+        x, ids, bucket = x[order], ids[order], bucket[order]
+        for q, v, probed in zip(queries["q_class"].to_numpy(), queries["qv"], queries["probed"]):
+            ends = zip(np.searchsorted(bucket, probed, "left"), np.searchsorted(bucket, probed, "right"))
+            at = np.concatenate([np.arange(a, b) for a, b in ends])
+            d, own = _distance(np.asarray(v, np.float64), x[at]), ids[at]
+            for i in np.lexsort((own, d))[: K + 1]:
+                out.append((int(q), int(own[i]), float(d[i])))
     return pd.DataFrame(out, columns=["q_class", "class_id", "score"])
 
 
@@ -112,42 +121,60 @@ def search(vectors: DataFrame) -> DataFrame:
     few = used.dropDuplicates(["vec_id", "v"]).withColumn("rn", F.row_number().over(in_class)).filter(f"rn <= {K + 1}")
     classes = materialise(few.groupBy("v").agg(F.min("vec_id").alias("class_id"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "ann-class")  # K + 1 ids at most
     queries = materialise(used.filter(f"vec_id % {QUERY_EVERY} = 0").dropDuplicates(["vec_id", "v"]).join(classes.select("v", "class_id"), "v").select(F.col("vec_id").alias("query_id"), F.col("class_id").alias("q_class")), "ann-query")
-    n = classes.count()
-    shape = "table int, bucket long, dim int"
+    sized = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"))
+    many_of = {r["dim"]: r["n"] for r in sized.filter(f"n > {BUCKET}").collect()}  # classes / BUCKET rows at most
+    shape = "table int, pack long, dim int"
 
     def axes_for(dim: int) -> int:
-        codes, axes = 2 << max(1, (dim - 1).bit_length()), 1
-        while n / codes**axes > BUCKET:
-            axes += 1
-        return axes
+        return 2 if many_of.get(dim, 0) / (2 << max(1, (dim - 1).bit_length())) > BUCKET else 1
+
+    def run_of(h: CrossPolytope) -> int:
+        """Buckets in a pack."""
+        buckets = (2 * h.width) ** h.axes
+        return max(1, CHUNK * buckets // (2 * many_of[h.dim])) if h.dim in many_of else buckets
 
     def hashed(batches):
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["v"].map(len), sort=False):
                 h, unit = CrossPolytope(int(dim), axes_for(int(dim))), _unit(part["v"])
                 for t in range(TABLES):
-                    yield pd.DataFrame({"table": t, "bucket": h.buckets(unit, t), "dim": int(dim), "class_id": part["class_id"].to_numpy(), "v": part["v"].to_numpy()})
+                    codes = h.buckets(unit, t)
+                    yield pd.DataFrame({"table": t, "pack": codes // run_of(h), "bucket": codes, "dim": int(dim), "class_id": part["class_id"].to_numpy(), "v": part["v"].to_numpy()})
 
     def probed(batches):
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["v"].map(len), sort=False):
-                h, unit = CrossPolytope(int(dim), axes_for(int(dim))), _unit(part["v"])
-                for t in range(TABLES):
-                    codes = h.probes(unit, t, PROBES)
-                    m = codes.shape[1]
-                    yield pd.DataFrame({"table": t, "bucket": codes.ravel(), "dim": int(dim), "q_class": np.repeat(part["class_id"].to_numpy(), m), "qv": np.repeat(part["v"].to_numpy(), m)})
+                h = CrossPolytope(int(dim), axes_for(int(dim)))
+                for at in range(0, len(part), PROBED):
+                    some = part.iloc[at : at + PROBED]
+                    unit = _unit(some["v"])
+                    for t in range(TABLES):
+                        to: list[tuple] = []
+                        for q, v, codes in zip(some["class_id"], some["v"], np.sort(h.probes(unit, t, PROBES[h.axes]), 1)):
+                            pack, first = np.unique(codes // run_of(h), return_index=True)
+                            to += [(p, q, v, c) for p, c in zip(pack, np.split(codes, first[1:]))]
+                        yield pd.DataFrame(to, columns=["pack", "q_class", "qv", "probed"]).assign(table=t, dim=int(dim))
 
     v_type = classes.schema["v"].dataType.simpleString()
-    rows = materialise(classes.select("class_id", "v").mapInPandas(hashed, f"{shape}, class_id long, v {v_type}"), "ann-row")
-    asked = classes.select("class_id", "v").join(queries.select(F.col("q_class").alias("class_id")).distinct(), "class_id", "left_semi").mapInPandas(probed, f"{shape}, q_class long, qv {v_type}")
-    bucket = ["table", "bucket", "dim"]
-    chunks = rows.groupBy(bucket).agg(F.expr(f"cast(ceil(count(*) / {CHUNK}D) as int)").alias("chunks"))
+    rows = materialise(classes.select("class_id", "v").mapInPandas(hashed, f"{shape}, bucket long, class_id long, v {v_type}"), "ann-row")
+    asking = classes.select("class_id", "v").join(queries.select(F.col("q_class").alias("class_id")).distinct(), "class_id", "left_semi")
+    asked = asking.mapInPandas(probed, f"{shape}, q_class long, qv {v_type}, probed array<long>")
+    pack = ["table", "pack", "dim"]
+    chunks = rows.groupBy(pack).agg(F.expr(f"cast(ceil(count(*) / {CHUNK}D) as int)").alias("chunks"))
     many = chunks.filter("chunks > 1")
-    placed = rows.join(many, bucket, "left").withColumn("chunk", F.expr("cast(pmod(xxhash64(class_id), coalesce(chunks, 1)) as int)")).drop("chunks")
-    sent = asked.join(chunks, bucket).withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).drop("chunks")
-    key = [*bucket, "chunk"]
-    near = placed.groupBy(key).cogroup(sent.groupBy(key)).applyInPandas(_search, "q_class long, class_id long, score double").distinct()
+    placed = rows.join(many, pack, "left").withColumn("chunk", F.expr("cast(pmod(xxhash64(class_id), coalesce(chunks, 1)) as int)")).drop("chunks")
+    sent = asked.join(chunks, pack).withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).drop("chunks")
+    key = [*pack, "chunk"]
+    near = materialise(placed.groupBy(key).cogroup(sent.groupBy(key)).applyInPandas(_search, "q_class long, class_id long, score double").distinct(), "ann-near")
     ids = classes.select("class_id", "ids")
+    enough = near.join(classes.select("class_id", F.size("ids").alias("n")), "class_id").groupBy("q_class").agg(F.sum("n").alias("n")).filter(f"n > {K}")
+    short = materialise(asking.selectExpr("class_id as q_class", "v as qv", "size(v) as dim").join(enough, "q_class", "left_anti"), "ann-short")
+    if short.head(1):
+        parts = sized.join(short.select("dim").distinct(), "dim", "left_semi").selectExpr("dim", f"cast(ceil(n / {CHUNK}D) as int) as parts")
+        all_of = classes.selectExpr("0L as bucket", "class_id", "v", "size(v) as dim").join(parts, "dim").withColumn("chunk", F.expr("cast(pmod(xxhash64(class_id), parts) as int)")).drop("parts")
+        to_all = short.withColumn("probed", F.expr("array(0L)")).join(parts, "dim").withColumn("chunk", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+        more = all_of.groupBy("dim", "chunk").cogroup(to_all.groupBy("dim", "chunk")).applyInPandas(_search, "q_class long, class_id long, score double")
+        near = near.unionByName(more).distinct()
     best = near.withColumn("rn", F.row_number().over(Window.partitionBy("q_class").orderBy("score", "class_id"))).filter(f"rn <= {K + 1}")
     listed = (
         best.join(ids, "class_id").select("q_class", "score", F.explode("ids").alias("vec_id"))

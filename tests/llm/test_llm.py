@@ -165,6 +165,22 @@ def test_nearest(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [2, 0.1])
+def test_nearest_with_more_axes(spark, monkeypatch, bucket):
+    """Hashes of joined axes lose no neighbours: bucket sizes that asked for two and for three axes of 16 probes each."""
+    monkeypatch.setattr(ann, "BUCKET", bucket)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 24))
+    few = rng.normal(size=(7, 12))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_000 + i, v.tolist()) for i, v in enumerate(few)]
+    got = collections.defaultdict(set)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    best = {q: set(np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[1:11].tolist()) for q in range(0, 500, 100)}
+    assert sum(len(got[q] & b) for q, b in best.items()) >= 9 * len(best)
+    assert got[10_000] == set(range(10_001, 10_007))
+
+
 def test_sharding(docs, empty):
     got = sharding.shard(docs).collect()
     by_text, load, slot = collections.defaultdict(set), collections.Counter(), collections.defaultdict(list)
