@@ -10,9 +10,11 @@ prefers for certain moves the score. Of equal texts only one is counted.
 The difference of the log-likelihoods per word is turned into a probability by a logistic curve, fitted on a fold of the
 labelled rows that the counts have not seen.
 
-Words, contexts and bigrams are counted in hashed tables of a fixed size (SLOTS entries a class), filled from every
-labelled row; so what a task or the driver holds doesn't grow with the corpus. Numbers of different neighbours are
-estimated from 64-bit maps by linear counting. The tables are added up range by range, in two steps.
+Words, stems and bigrams are counted exactly, under keys of 64 bits, and so are the numbers of different neighbours: the
+counts are keyed tables that grow with the corpus. What a word adds to a score is written as a sum: its stem's value, what
+the word's own counts change in that, and what the bigram's counts change in that again. Only keys that tell the classes
+apart have a value. The HEAD most frequent ones are sent to all tasks; n-grams that may be among the others (a filter of
+BITS bits tells which cannot be) are joined to the table. Values are whole multiples of 1 / UNIT, so sums are exact.
 
 Defined cases: null and empty texts have no words; they and texts of unseen words get the score of a difference of 0;
 null labels are left out; a doc_id with several labels counts as toxic if one of them is; with one class missing, every
@@ -22,7 +24,7 @@ score is that class's share; an empty table gives an empty result; only text, do
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import compress, crc32, decompress
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,8 @@ from .common import FOLD, U, joined, materialise, mix, prefix_hash, slices, span
 FOLDS = 5
 #: Of the folds, this one is never learned from; the counts leave out CALIBRATION too, on which the curve is fitted.
 HELD_OUT, CALIBRATION = 0, 4
-BIGRAMS, WORDS = 1 << 20, 1 << 19
+#: Keys that are sent to all tasks, bits of the filter of the others, and the unit of values.
+HEAD, BITS, UNIT = 1 << 18, 1 << 25, 1 << 32
 #: The absolute discount of the smaller class; the larger class's is larger in proportion.
 DISCOUNT = 1.5
 #: Bytes of a stem, and the most that a word's log-likelihoods may differ by.
@@ -43,158 +46,91 @@ STEM, MOST = 6, 4.0
 ERRORS = 4.0
 #: Bounds of the weight that a context leaves to the unigrams.
 BACKOFF = (0.05, 1.0)
-#: Pieces in which the tables are added up.
-RANGES = 32
-#: Tasks whose pieces are added up in a first step.
-MERGED = 32
 #: Rows that the curve is fitted on, at most (a bounded sample of the calibration fold, the smallest hashes of doc_id).
 CURVE_ROWS = 50_000
 
 #: Words are runs of letters, digits and bytes above 127.
 SEPARATOR = np.array([not (chr(b).isalnum() or b > 127) for b in range(256)])
 
-#: Tables by name: entries and how they are merged.
-TABLES = {f"{n}{c}": (size, how) for c in (0, 1) for n, size, how in (("bigram", BIGRAMS, "add"), ("context", WORDS, "add"), ("word", WORDS, "add"), ("stem", WORDS, "add"))} | {"follow": (WORDS, "or"), "shared": (WORDS, "or"), "stems": (WORDS, "or")}
+#: Kinds of counts; of a bigram `before` is the word before, of a word its stem.
+BIGRAM, WORD, STEM_KIND = 0, 1, 2
+STEM_SALT, START = 0x5DEECE66D, U(0x2545F4914F6CDD1D)
+COUNTS = "kind int, before long, key long, n0 long, n1 long"
+BIGRAM_KEY = "key ^ (shiftleft(before, 21) | shiftrightunsigned(before, 43))"
 
 
 def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words of all texts: word slot, stem slot, slot of the word before (or of the text's start), bigram, and where texts begin."""
+    """Of all words of all texts: word, stem, the word before (or START), key of the bigram, and where texts begin."""
     data, at = joined(texts)
     data = FOLD[data]
     start, end = word_spans(data, SEPARATOR)
     prefix = prefix_hash(data)
     h, first = span_hash(prefix, start, end), np.searchsorted(start, at)
     stem = span_hash(prefix, start, np.minimum(end, start + STEM))
-    before = np.concatenate([[U(0)], h[:-1]]) if len(h) else h
-    begins = first[:-1][first[:-1] < first[1:]]
-    before[begins] = U(0x5DEECE66D)
-    slot = lambda x: (x & U(WORDS - 1)).astype(np.int64)
-    return slot(h), slot(stem), slot(mix(before)), mix(before * U(3) + h), first
-
-
-def packed(name: str, part: int, at: np.ndarray, value: np.ndarray) -> dict:
-    """A piece of a table: the places of its entries as steps, and the entries, compressed."""
-    wide = value if TABLES[name][1] == "or" else value.astype(np.uint32)
-    return {"name": name, "part": part, "at": compress(np.diff(at, prepend=0).astype(np.uint16).tobytes(), 1), "value": compress(wide.tobytes(), 1)}
-
-
-def unpacked(name: str, at: bytes, value: bytes) -> tuple[np.ndarray, np.ndarray]:
-    kind = np.uint64 if TABLES[name][1] == "or" else np.uint32
-    return np.cumsum(np.frombuffer(decompress(at), np.uint16), dtype=np.int64), np.frombuffer(decompress(value), kind).astype(np.uint64)
+    before = np.concatenate([[START], h[:-1]]) if len(h) else h
+    before[first[:-1][first[:-1] < first[1:]]] = START
+    return h, stem, before, h ^ (before << U(21) | before >> U(43)), first
 
 
 def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds up (text, toxic) rows; gives pieces (name, part, index, value) of the tables' entries that aren't zero."""
-    held = {n: np.zeros(size, np.uint64 if how == "or" else np.int64) for n, (size, how) in TABLES.items()}
-    some = False
+    """Partial counts of (text, toxic) rows."""
     for pdf in batches:
         for c in (0, 1):
             texts = pdf["text"][pdf["toxic"] == c].tolist()
             for a, b in slices(texts):
-                some = True
                 word, stem, before, pair, first = tokens(texts[a:b])
                 doc = np.repeat(np.arange(1, len(first), dtype=np.uint64), np.diff(first)) * U(0x9E3779B97F4A7C15)
-                once = np.unique(mix(doc ^ word.astype(np.uint64)), return_index=True)[1]
-                held[f"word{c}"] += np.bincount(word[once], minlength=WORDS)
-                once = np.unique(mix(doc ^ stem.astype(np.uint64)), return_index=True)[1]
-                held[f"stem{c}"] += np.bincount(stem[once], minlength=WORDS)
-                once = np.unique(mix(doc ^ pair), return_index=True)[1]
-                held[f"context{c}"] += np.bincount(before[once], minlength=WORDS)
-                held[f"bigram{c}"] += np.bincount((pair[once] & U(BIGRAMS - 1)).astype(np.int64), minlength=BIGRAMS)
-                bit = U(1) << (pair >> U(58))
-                np.bitwise_or.at(held["follow"], before, bit)
-                np.bitwise_or.at(held["shared"], word, bit)
-                np.bitwise_or.at(held["stems"], stem, bit)
-    for name, x in held.items() if some else ():
-        for part, piece in enumerate(np.split(x, RANGES)):
-            at = np.flatnonzero(piece)
-            if len(at):
-                yield pd.DataFrame([packed(name, part, at, piece[at].astype(np.uint64))])
-
-
-PIECE = "name string, part int, at binary, value binary"
-
-
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    name, part = pdf["name"].iloc[0], int(pdf["part"].iloc[0])
-    size, how = TABLES[name]
-    x = np.zeros(size // RANGES, np.uint64)
-    for at, value in zip(pdf["at"], pdf["value"]):
-        i, v = unpacked(name, at, value)
-        x[i] = x[i] | v if how == "or" else x[i] + v
-    at = np.flatnonzero(x)
-    return pd.DataFrame([packed(name, part, at, x[at])])
-
-
-def _neighbours(maps: np.ndarray) -> np.ndarray:
-    """Linear counting: how many different values a 64-bit map has seen, about."""
-    ones = np.unpackbits(maps.view(np.uint8)).reshape(-1, 64).sum(1)
-    return np.where(ones == 0, 0.0, -64.0 * np.log(np.maximum(64 - ones, 0.5) / 64.0)).astype(np.float32)
-
-
-class Model:
-    """Log-likelihood differences per word, from the tables' pieces."""
-
-    def __init__(self, pieces: list) -> None:
-        t = {n: np.zeros(size, np.uint64) for n, (size, _) in TABLES.items()}
-        for name, part, at, value in pieces:
-            step = TABLES[name][0] // RANGES
-            i, v = unpacked(name, at, value)
-            t[name][i + part * step] = v
-        shares = lambda n: ((n + 0.5) / (n.sum() + 0.5 * WORDS)).astype(np.float32)
-        self.base, self.stems = shares(_neighbours(t["shared"])), shares(_neighbours(t["stems"]))
-        of = lambda name: [t[name + c].astype(np.float64) for c in "01"]
-        self.word, words_tell = self._classes(of("word"), self.base)
-        self.stem, stems_tell = self._classes(of("stem"), self.stems)
-        both = self.stem[0] + self.stem[1]
-        self.lean = [np.where(stems_tell, 2 * x / both, 1.0).astype(np.float32) for x in self.stem]
-        pooled = self._shares(sum(of("word")), DISCOUNT, self.base)
-        self.tells = words_tell
-        self.word = [np.where(words_tell, x, pooled).astype(np.float32) for x in self.word]
-        self.bigram, self.context = of("bigram"), of("context")
-        self.pairs_tell = self._tell(*[np.maximum(x - 2 * x.mean(), 0) for x in self.bigram])  # rare bigrams share slots; what a slot holds on average tells nothing
-        scale = self._scales(self.bigram)
-        self.bigram = [np.maximum(x - DISCOUNT * f - 2 * x.mean(), 0).astype(np.float32) for x, f in zip(self.bigram, scale)]
-        seen = self.context[0] + self.context[1]
-        self.backoff = np.where(seen > 0, np.clip(DISCOUNT * _neighbours(t["follow"]) / np.maximum(seen, 1), *BACKOFF), 1.0).astype(np.float32)
-
-    @staticmethod
-    def _scales(counts: list) -> list[float]:
-        sizes = [max(float(x.sum()), 1.0) for x in counts]
-        return [n / min(sizes) for n in sizes]
-
-    @staticmethod
-    def _shares(counts: np.ndarray, discount: float, base: np.ndarray) -> np.ndarray:
-        """Kneser-Ney: discounted counts, and what they leave in proportion to the shared backoff."""
-        kept = np.maximum(counts - discount, 0) / max(float(counts.sum()), 1.0)
-        return kept + (1 - kept.sum()) * base
+                for kind, key, left, whole in ((BIGRAM, word, before, pair), (WORD, word, stem, word), (STEM_KIND, stem, np.zeros_like(stem), stem)):
+                    once = np.unique(mix(doc ^ whole), return_index=True)[1]
+                    _, at, n = np.unique(whole[once], return_index=True, return_counts=True)
+                    at = once[at]
+                    yield pd.DataFrame({"kind": kind, "before": left[at].view(np.int64), "key": key[at].view(np.int64), "n0": n * (1 - c), "n1": n * c})
+
+
+def contexts(counts: DataFrame) -> DataFrame:
+    """Of each context: how many different words follow, and the classes' counts."""
+    return counts.filter(f"kind = {BIGRAM}").groupBy("before").agg(F.count("*").alias("follow"), F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
+
+
+def values(counts: DataFrame) -> DataFrame:
+    """k, v, n: what each word, stem and bigram that tells the classes apart adds, in UNITs, and its documents."""
+    total = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("n")).collect()}
+    if not total:
+        return counts.selectExpr("key as k", "0L as v", "0L as n").limit(0)
+    size = {k: [max(float(r[c]), 1.0) for c in ("n0", "n1")] for k, r in total.items()}
+    less = {k: [DISCOUNT * x / min(n) for x in n] for k, n in size.items()}
 
-    @staticmethod
-    def _tell(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    def tell(kind: int) -> str:
         """Where the classes' counts differ by more than ERRORS standard errors."""
-        n = ordinary.sum() + toxic.sum()
-        s = toxic.sum() / n if n else 0.0
-        k = ordinary + toxic
-        return np.abs(toxic - k * s) > ERRORS * np.sqrt(k * s * (1 - s) + 1)
-
-    def _classes(self, counts: list, base: np.ndarray) -> tuple[list, np.ndarray]:
-        scale = self._scales(counts)
-        return [self._shares(x, DISCOUNT * f, base) for x, f in zip(counts, scale)], self._tell(*counts)
-
-    def likelihood(self, c: int, word: np.ndarray, stem: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        single = self.word[c][word] * np.where(self.tells[word], 1, self.lean[c][stem])
-        direct = np.where(self.pairs_tell[pair], self.bigram[c][pair] / np.maximum(self.context[c][before], 1), 0)
-        return np.log(direct + self.backoff[before] * single + 1e-30)
-
-    def differences(self, texts: list) -> np.ndarray:
-        out = np.zeros(len(texts))
-        for a, b in slices(texts):
-            word, stem, before, pair, first = tokens(texts[a:b])
-            pair = (pair & U(BIGRAMS - 1)).astype(np.int64)
-            d = np.clip(self.likelihood(1, word, stem, before, pair) - self.likelihood(0, word, stem, before, pair), -MOST, MOST)
-            total = np.concatenate([[0.0], np.cumsum(d, dtype=np.float64)])
-            out[a:b] = (total[first[1:]] - total[first[:-1]]) / np.maximum(first[1:] - first[:-1], 1)
-        return out
+        s = total[kind]["n1"] / (total[kind]["n0"] + total[kind]["n1"])
+        return f"abs(n1 - (n0 + n1) * {s!r}D) > {ERRORS!r}D * sqrt((n0 + n1) * {s * (1 - s)!r}D + 1)"
+
+    def shares(table: DataFrame, kind: int, name: str) -> DataFrame:
+        """Kneser-Ney: discounted counts, and what they leave in proportion to the shared backoff."""
+        kept = [f"greatest(n{c} - {less[kind][c]!r}D, 0D) / {size[kind][c]!r}D" for c in (0, 1)] + [f"greatest(n0 + n1 - {DISCOUNT!r}D, 0D) / {sum(size[kind])!r}D"]
+        sums = counts.filter(f"kind = {kind}").agg(*[F.expr(f"sum({k})").alias(f"k{i}") for i, k in enumerate(kept)]).first()
+        base = f"(shared + 0.5D) / {total[BIGRAM]['n'] + 0.5 * (total[kind]['n'] + 1)!r}D"
+        return table.select("*", *[F.expr(f"{k} + {1 - sums[i]!r}D * {base}").alias(f"{name}{i}") for i, k in enumerate(kept)], F.expr(tell(kind)).alias(f"{name}_tells"))
+
+    clip = lambda x: f"greatest(-{MOST!r}D, least({MOST!r}D, {x}))"
+    shared = counts.filter(f"kind = {BIGRAM}").groupBy("key").agg(F.count("*").alias("shared"))
+    words = shares(counts.filter(f"kind = {WORD}").join(shared, "key"), WORD, "w").withColumnsRenamed({"before": "stem", "n0": "wn0", "n1": "wn1"})
+    stems = counts.filter(f"kind = {STEM_KIND}").selectExpr("key as stem", "n0", "n1").join(words.groupBy("stem").agg(F.sum("shared").alias("shared")), "stem")
+    stems = shares(stems, STEM_KIND, "s").withColumn("sd", F.expr(f"case when s_tells then {clip('ln(s1 / s0)')} else 0D end"))
+    lean = lambda c: f"case when w_tells then w{c} when s_tells then w2 * 2 * s{c} / (s0 + s1) else w2 end"
+    words = materialise(
+        words.drop("shared", "kind").join(stems.select("stem", "s0", "s1", "s_tells", "sd"), "stem")
+        .selectExpr("key", "wn0 + wn1 as n", "sd", f"case when w_tells then {clip('ln(w1 / w0)')} else sd end as wd", f"{lean(0)} as one0", f"{lean(1)} as one1"), "toxicity-word"
+    )
+    backoff = f"greatest({BACKOFF[0]!r}D, least({BACKOFF[1]!r}D, {DISCOUNT!r}D * follow / greatest(c0 + c1, 1)))"
+    log = lambda c: f"ln(greatest(n{c} - {less[BIGRAM][c]!r}D, 0D) / greatest(c{c}, 1) + {backoff} * one{c} + 1e-30D)"
+    pairs = counts.filter(f"kind = {BIGRAM} and {tell(BIGRAM)}").join(contexts(counts), "before").join(words.select("key", "wd", "one0", "one1"), "key")
+    fixed = lambda x: f"cast(round(({x}) * {UNIT}D) as long) as v"
+    every = (
+        pairs.selectExpr(f"{BIGRAM_KEY} as k", fixed(f"{clip(log(1) + ' - ' + log(0))} - wd"), "n0 + n1 as n")
+        .unionByName(words.selectExpr("key as k", fixed("wd - sd"), "n")).unionByName(stems.selectExpr(f"stem ^ {STEM_SALT}L as k", fixed("sd"), "n0 + n1 as n"))
+    )
+    return every.filter("v <> 0")
 
 
 def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -217,24 +153,59 @@ def fold(column: str = "doc_id"):
     return F.expr(f"crc32(cast(cast({column} as string) as binary)) % {FOLDS}")
 
 
+def differences(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """doc_id, x: the difference of the log-likelihoods per word, of every row."""
+    head = table.orderBy(F.desc("n"), "k").limit(HEAD).toPandas()  # HEAD rows at most
+    more = len(head) == HEAD
+    bits = np.zeros(BITS // 64, np.uint64)
+    if more:
+        n, k = int(head["n"].iloc[-1]), int(head["k"].iloc[-1])
+        rest = materialise(table.filter((F.col("n") < n) | ((F.col("n") == n) & (F.col("k") > k))).select("k", "v"), "toxicity-rest")
+        held = rest.groupBy(F.expr(f"shiftright(k & {BITS - 1}L, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(k & 63L as int)))").alias("bits")).toPandas()  # BITS / 64 rows at most
+        bits[held["at"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64).view(np.uint64)
+    head = head.sort_values("k")
+    model = docs.sparkSession.sparkContext.broadcast((head["k"].to_numpy(np.int64), head["v"].to_numpy(np.int64), bits))
+
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, vs, bits = model.value
+        rng = np.random.default_rng()
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for a, b in slices(texts):
+                word, stem, _, pair, first = tokens(texts[a:b])
+                total, left = np.zeros(len(word), np.int64), [np.zeros((2, 0), np.int64)]
+                doc = np.repeat(np.arange(b - a), np.diff(first))
+                for k in (word, stem ^ U(STEM_SALT), pair):
+                    k = k.view(np.int64)
+                    at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+                    hit = keys[at] == k if len(keys) else np.zeros(len(k), bool)
+                    total[hit] += vs[at[hit]]
+                    if more:
+                        place = k & (BITS - 1)
+                        may = ~hit & ((bits[place >> 6] >> (place & 63).astype(np.uint64)) & U(1)).astype(bool)
+                        left.append(np.stack([doc[may], k[may]]))
+                sums = np.concatenate([[0], np.cumsum(total)])
+                found = np.concatenate(left, 1)
+                found = found[:, np.argsort(found[0], kind="stable")]
+                ends = np.searchsorted(found[0], np.arange(1, b - a))
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].to_numpy(), "row": rng.integers(0, (1 << 63) - 1, b - a), "known": sums[first[1:]] - sums[first[:-1]], "n": np.diff(first), "keys": np.split(found[1], ends)})
+
+    rows = docs.select("doc_id", "text").mapInPandas(known, "doc_id long, row long, known long, n long, keys array<long>")
+    if not more:
+        return rows.selectExpr("doc_id", f"known / {UNIT}D / greatest(n, 1) as x")
+    rows = materialise(rows, "toxicity-known")
+    added = rows.select("row", F.explode("keys").alias("k")).groupBy("row", "k").agg(F.count("*").alias("c")).join(rest, "k").groupBy("row").agg(F.expr("sum(c * v)").alias("added"))
+    return rows.join(added, "row", "left").selectExpr("doc_id", f"(known + coalesce(added, 0L)) / {UNIT}D / greatest(n, 1) as x")
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("cast(toxic > 0 as int)")).alias("toxic")).withColumn("fold", fold()).filter(f"fold <> {HELD_OUT}")
     single = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")).join(known, "doc_id").groupBy("digest", "toxic", "fold").agg(F.min("doc_id").alias("doc_id"))
     learned = f"fold not in ({HELD_OUT}, {CALIBRATION})"
     pairs = docs.select("doc_id", "text").withColumn("fold", fold()).filter(learned).drop("fold").join(single.filter(learned), "doc_id")
-    pieces = pairs.select("text", "toxic").mapInPandas(count, PIECE)
-    once = pieces.withColumn("salt", F.expr(f"spark_partition_id() div {MERGED}")).groupBy("name", "part", "salt").applyInPandas(lambda pdf: _merge(pdf), PIECE)
-    merged = materialise(once.groupBy("name", "part").applyInPandas(_merge, PIECE), "toxicity")
-    model = spark.sparkContext.broadcast([(r["name"], r["part"], bytes(r["at"]), bytes(r["value"])) for r in merged.collect()])  # bounded: the tables' sizes are fixed
-
-    def differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = None
-        for pdf in batches:
-            m = m or Model(model.value)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": m.differences(pdf["text"].tolist())})
-
-    scored = materialise(docs.select("doc_id", "text").mapInPandas(differences, "doc_id long, x double"), "toxicity-x")
+    counts = materialise(pairs.select("text", "toxic").mapInPandas(count, COUNTS).groupBy("kind", "before", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-count")
+    table = materialise(values(counts), "toxicity-value")
+    scored = materialise(differences(docs, table), "toxicity-x")
     sample = scored.join(known.filter(f"fold = {CALIBRATION}"), "doc_id").select("x", "toxic").orderBy(F.xxhash64("doc_id")).limit(CURVE_ROWS).toPandas()
     a, b = curve(sample["x"].to_numpy(float), sample["toxic"].to_numpy(float))
     return scored.select("doc_id", (fold() == HELD_OUT).alias("held_out"), F.expr(f"1D / (1D + exp(-greatest(-700D, least(700D, {a!r}D * x + {b!r}D))))").alias("score")).withColumn("predicted", F.expr("cast(score >= 0.5 as int)"))

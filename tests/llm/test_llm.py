@@ -118,6 +118,20 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, none).count() == 0
 
 
+def test_toxicity_counts_grow(spark, monkeypatch):
+    """Neighbours are counted to the last one, and values beyond those sent to all tasks are joined."""
+    rows = [(" ".join(f"hub w{k}" for k in range(1000)), 0), ("hub vile", 1), ("hub w1", 1)]
+    counts = spark.createDataFrame(rows, "text string, toxic int").mapInPandas(toxicity.count, toxicity.COUNTS).groupBy("kind", "before", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    assert toxicity.contexts(counts).agg(F.max("follow")).first()[0] == 1001
+    texts = [(i, ("vile scum " if i % 4 == 0 else "kind folk ") * 3 + text(20)) for i in range(200)] + [(None, "scum"), (None, "vile"), (3, "folk"), (3, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    order = lambda rs: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"]) for r in rs)
+    want = order(toxicity.score(docs, labels).collect())
+    monkeypatch.setattr(toxicity, "HEAD", 2)
+    assert len(want) == 204 and order(toxicity.score(docs, labels).collect()) == want
+
+
 def test_repeats(docs, empty):
     seen, want = set(), {}
     for i, t, _ in sorted(ROWS, key=lambda r: r[0]):
