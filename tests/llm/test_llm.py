@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -274,6 +275,13 @@ def test_surrogates(docs, empty, spark):
     assert surrogates.collisions(docs).count() == 0 and surrogates.replace(empty).count() == 0
 
 
+def test_secrets_of_two_kinds_never_meet():
+    """Values that aren't hexadecimal get no hexadecimal surrogate, and different ones."""
+    values = ["".join(v) for v in itertools.product("aeiou", repeat=6) if set(v) - set("ae")]
+    new = [surrogates.rewritten(f"token = {v}")[0].split()[-1] for v in values]
+    assert not [v for v in new if re.fullmatch("[0-9a-f]+", v)] and len(set(new)) == len(values)
+
+
 def test_pieces(docs, empty):
     import sentencepiece
 
