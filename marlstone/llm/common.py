@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import functools
+import hashlib
+import inspect
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the contracts: the space and the controls 0x09 to 0x0D.
 SPACE_BYTES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -21,17 +31,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only if that is unset (tests) a local folder."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a driver that runs all tasks itself (tests) may leave it unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not (spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (root or os.path.join(tempfile.gettempdir(), "marlstone-shared")).rstrip("/")
 
 
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: it is computed once, lineage ends, and a lost executor costs a reread."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing reads any more: what came of them has been written too."""
+    for df in tables:
+        path = df.written_to
+        spark = _WRITTEN.pop(path)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _discard_all() -> None:
+    for path, spark in list(_WRITTEN.items()):
+        with contextlib.suppress(Exception):  # the session may have ended
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def filed(docs: DataFrame) -> DataFrame:
+    """docs if it is read from files, whose rows can be told apart by their place; else it is written first."""
+    try:
+        docs.select("_metadata.row_index")
+        return docs
+    except AnalysisException:
+        return materialise(docs, "filed")
+
+
+def keyed(docs: DataFrame, file: str = "row_file", at: str = "row_at") -> DataFrame:
+    """docs with a key of each row: its file (hashed) and its place in that; the same at each reading of filed() tables."""
+    return filed(docs).select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name like `name` that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def tasks_for(spark: SparkSession, least: int = 1) -> int:
@@ -91,6 +147,29 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix((prefix[end] - prefix[start]) * down[start] + U(0x51ED270B) * (end - start).astype(np.uint64))
 
 
+_LONG, _SALT = 1 << 12, U(0xA0761D6478BD642F)
+
+
+def byte_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end), by eight bytes at a time; spans of one length up to 8 never collide."""
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    left = end - start
+    h = mix(left.astype(np.uint64) ^ _SALT)
+    live, at = np.flatnonzero(left <= _LONG), start
+    if len(live) < len(left):
+        for i in np.flatnonzero(left > _LONG):
+            h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+        at, left = at[live], left[live]
+    while len(live):
+        chunk = eight[at]
+        short = np.flatnonzero(left < 8)
+        chunk[short] &= (U(1) << (U(8) * left[short].astype(np.uint64))) - U(1)
+        h[live] = mix(h[live] ^ chunk)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return h
+
+
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
@@ -117,7 +196,7 @@ def hashed_words(texts: list, separator: np.ndarray = IS_SPACE) -> tuple[np.ndar
     data, at = joined(texts)
     data = FOLD[data]
     start, end = word_spans(data, separator)
-    return span_hash(prefix_hash(data), start, end), np.searchsorted(start, at)
+    return byte_hash(data, start, end), np.searchsorted(start, at)
 
 
 def slices(texts: list, limit: int = 4 << 20):
@@ -130,3 +209,30 @@ def slices(texts: list, limit: int = 4 << 20):
             begin, total = i + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker process lives on beside the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(f: Callable) -> Callable:
+    """f, which is run by worker processes on groups or batches, with release() at its end."""
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def run(*args, **kwargs):
+            yield from f(*args, **kwargs)
+            release()
+
+        return run
+
+    @functools.wraps(f)
+    def once(*args, **kwargs):
+        out = f(*args, **kwargs)
+        release()
+        return out
+
+    return once

@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps on edge tables.
 
 Each step is an aggregation with partial sums and a join; a hot vertex is a hot join key, which adaptive execution
-splits. Every second step the table is written to the shared folder, which cuts lineage.
+splits. Every second step the table is written to the shared folder, which cuts lineage, and the one before is deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = materialise(edges.select("a", "b").filter("a is not null and b is not null and a <> b").distinct(), "star")
     mark = None
     while True:
-        e = materialise(_small_star(_large_star(e)), "star")
+        before, e = e, materialise(_small_star(_large_star(e)), "star")
+        discard(before)
         now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
         if now == mark or now[0] == 0:
             break

@@ -5,19 +5,22 @@ are alike enough share a token among the first n - ceil(t n) + 1 of each; candid
 once. All orders put tokens that no other document holds first, then go by document frequency (ever more coarsely) and a
 hash of their own; the frequencies are counted over all documents.
 
-1. Documents are dealt into chunks. Each chunk sends its tokens' fingerprints to token buckets, which answer with a byte
-   for each: how many documents hold it. So each document knows its prefixes. If tokens that it alone holds fill them, it
-   has no partner. (A fingerprint shared by chance only makes a token look more frequent, which loses nothing.)
+1. Rows are dealt into chunks of about CHUNK_BYTES. Each chunk sends its tokens' fingerprints to token buckets, which
+   answer with a byte for each: how many documents hold it. So each document knows its prefixes. If tokens that it alone
+   holds fill them, it has no partner. (A fingerprint shared by chance only makes a token look more frequent, which loses
+   nothing.)
 2. Equal sets are one class. Classes that share a prefix token under the first order are joined into clusters, by a star
-   from each token's smallest class, so that rows stay linear in the prefixes.
+   from each token's smallest class, so that rows stay linear in the prefixes. Clusters of more than TILE classes are
+   split again in the same way under the second and third order: links need a shared token under each.
 3. Small clusters are verified in packs. A large one is cut into tiles of TILE classes, each with the cluster's smallest
    class; only classes that are not linked with that one by then meet all other tiles. Within a task, the filters of all
    orders are intersected, what is left is verified exactly, and a spanning forest of the links is given back.
 4. The forests' components are the result.
 
 Defined cases: a null, empty or blank text has an empty set (n_shingles 0) and is linked with nothing; a text of fewer
-words than a shingle has one shingle, its whole sequence; rows that repeat a doc_id are joined each by its own text; an
-empty table gives an empty result; other columns are neither read nor returned.
+words than a shingle has one shingle, its whole sequence; rows are told apart by their place in the table, so those that
+repeat a doc_id, or have none, are each joined by their own text (component_id is the smallest doc_id that links lead to,
+null if no row there has one); an empty table gives an empty result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -29,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, hashed_words, materialise, mix
+from .common import U, discard, hashed_words, keyed, materialise, mix, release, tidy
 from .components import components
 
 ORDERS = 3
 SEEDS = [U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0)]
 #: By what frequencies are divided under each order before hashes decide.
 COARSE = (1, 4, 16)
-#: Documents in a chunk, tokens in a bucket, about.
-CHUNK_DOCS, BUCKET_TOKENS = 2_048, 4_000_000
+#: Documents and bytes of text in a chunk, tokens in a bucket, about.
+CHUNK_DOCS, CHUNK_BYTES, BUCKET_TOKENS = 2_048, 4 << 20, 2_000_000
 #: Classes in a tile and in a pack of small clusters, about.
 TILE, PACK = 512, 2_048
 
@@ -69,25 +72,24 @@ def shingles(texts: list, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Chunk:
-    """A chunk's sets in an order that doesn't depend on the order of its rows, and its tokens by bucket."""
+    """A chunk's sets in order of their rows' keys, and its tokens by bucket."""
 
     def __init__(self, rows: pa.Table, width: int, buckets: int) -> None:
-        ids, texts = rows["doc_id"].to_pylist(), rows["text"].to_pylist()
-        tokens, at = shingles(texts, width)
-        with np.errstate(over="ignore"):
-            sums = [np.concatenate([[U(0)], np.cumsum(mix(tokens ^ s), dtype=np.uint64)]) for s in SEEDS[:2]]
-            high, low = (x[at[1:]] - x[at[:-1]] for x in sums)
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, int(high[i]), int(low[i])))
-        size = np.diff(at)
-        self.ids = [ids[i] for i in order]
-        self.high, self.low, self.size = high[order].view(np.int64), low[order].view(np.int64), size[order]
-        self.tokens = np.concatenate([tokens[at[i] : at[i + 1]] for i in order]) if len(tokens) else tokens
-        self.at = np.concatenate([[0], np.cumsum(self.size)])
-        bucket = ((self.tokens >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+        keys = [rows[c].to_numpy() for c in ("row_file", "row_at")]
+        self.order = np.lexsort(keys[::-1])
+        self.tokens, self.at = shingles(rows["text"].take(pa.array(self.order)).to_pylist(), width)
+        self.size = np.diff(self.at)
+        bucket = ((self.tokens >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
         self.by_bucket = np.argsort(bucket, kind="stable")
         self.ends = np.searchsorted(bucket[self.by_bucket], np.arange(buckets + 1))
 
+    def digests(self) -> list[np.ndarray]:
+        with np.errstate(over="ignore"):
+            sums = [np.concatenate([[U(0)], np.cumsum(mix(self.tokens ^ s), dtype=np.uint64)]) for s in SEEDS[:2]]
+            return [(x[self.at[1:]] - x[self.at[:-1]]).view(np.int64) for x in sums]
+
 
+@tidy
 def requests(rows: pa.Table, width: int, buckets: int) -> pa.Table:
     c = Chunk(rows, width, buckets)
     prints = c.tokens[c.by_bucket].astype(np.uint32)
@@ -96,6 +98,7 @@ def requests(rows: pa.Table, width: int, buckets: int) -> pa.Table:
     return pa.table({"bucket": pa.array(some.astype(np.int32)), "chunk": pa.array([chunk] * len(some), pa.int64()), "prints": pa.array([prints[c.ends[b] : c.ends[b + 1]].tobytes() for b in some], pa.binary())})
 
 
+@tidy
 def answers(rows: pa.Table) -> pa.Table:
     """For each fingerprint of a bucket a byte that grows with its number of documents; 0: only one."""
     parts = [np.frombuffer(x, np.uint32) for x in rows["prints"].to_pylist()]
@@ -118,13 +121,14 @@ def prefix(tokens: np.ndarray, codes: np.ndarray, order: int, length: int) -> np
     return tokens[first[codes[first] > 0]]
 
 
-MEMBERS = "doc_id long, n_shingles long, high long, low long, tokens binary, codes binary"
+MEMBERS = "row_file long, row_at long, doc_id long, n_shingles long, high long, low long, tokens binary, codes binary"
 
 
+@tidy
 def members(rows: pa.Table, replies: pa.Table, width: int, buckets: int, percent: int) -> pa.Table:
     """All documents of a chunk; with tokens and codes if other documents hold tokens of its prefixes."""
     if not rows.num_rows:
-        return pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("tokens", pa.binary()), ("codes", pa.binary()))})
+        rows = pa.table({"row_file": pa.array([], pa.int64()), "row_at": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
     c = Chunk(rows, width, buckets)
     sorted_codes = np.zeros(len(c.tokens), np.uint8)
     for b, held in zip(replies["bucket"].to_pylist(), replies["codes"].to_pylist()):
@@ -138,7 +142,33 @@ def members(rows: pa.Table, replies: pa.Table, width: int, buckets: int, percent
         keep = n > 0 and alone < n - needed(n, percent) + 1
         tokens_out.append(c.tokens[a:b].tobytes() if keep else None)
         codes_out.append(codes[a:b].tobytes() if keep else None)
-    return pa.table({"doc_id": pa.array(c.ids, pa.int64()), "n_shingles": pa.array(c.size), "high": pa.array(c.high), "low": pa.array(c.low), "tokens": pa.array(tokens_out, pa.binary()), "codes": pa.array(codes_out, pa.binary())})
+    high, low = c.digests()
+    own = rows.select(["row_file", "row_at", "doc_id"]).take(pa.array(c.order))
+    return pa.table({"row_file": own["row_file"], "row_at": own["row_at"], "doc_id": own["doc_id"], "n_shingles": pa.array(c.size), "high": pa.array(high), "low": pa.array(low), "tokens": pa.array(tokens_out, pa.binary()), "codes": pa.array(codes_out, pa.binary())})
+
+
+def heads(batches, percent: int, order: int):
+    """token, cls, part: the prefix of each class under an order."""
+    for batch in batches:
+        out_t, out_c, out_p = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for cls, t, k, part in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            t, k = np.frombuffer(t, np.uint64), np.frombuffer(k, np.uint8)
+            p = prefix(t, k, order, len(t) - needed(len(t), percent) + 1)
+            out_t.append(p.view(np.int64))
+            out_c.append(np.full(len(p), cls, np.int64))
+            out_p.append(np.full(len(p), part, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_t, out_c, out_p)], ["token", "cls", "part"])
+    release()
+
+
+def clusters(rows: DataFrame, percent: int, order: int) -> DataFrame:
+    """cls, cluster: classes of one part that prefix tokens under an order lead to; those that share none are left out."""
+    posted = materialise(rows.select("cls", "tokens", "codes", "part").mapInArrow(lambda it: heads(it, percent, order), "token long, cls long, part long"), "ngram-prefix")
+    least = posted.groupBy("part", "token").agg(F.min("cls").alias("low"), F.count("*").alias("c")).filter("c > 1").select("part", "token", "low")
+    stars = posted.join(least, ["part", "token"]).filter("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct()
+    out = components(stars).selectExpr("node as cls", "root as cluster")
+    discard(posted)
+    return out
 
 
 def _incidence(sets: list, least: int = 2):
@@ -199,6 +229,7 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+@tidy
 def verified(rows: pa.Table, percent: int) -> pa.Table:
     """Spanning links within each cluster of a group of rows."""
     cluster, ids = rows["cluster"].to_numpy(), rows["cls"].to_numpy()
@@ -216,46 +247,40 @@ def verified(rows: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
 
 
-def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
-    spark = docs.sparkSession
+def groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """row_file, row_at, doc_id, n_shingles, component_id, component: one row per row of docs; component is null for a row without links."""
     size = docs.select(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    chunks, buckets = max(1, -(-size["n"] // CHUNK_DOCS)), max(1, -(-size["b"] // (6 * BUCKET_TOKENS)))
-    dealt = docs.select("doc_id", "text", F.expr(f"pmod(xxhash64(doc_id), {chunks})").alias("chunk"))
+    chunks, buckets = max(1, -(-size["n"] // CHUNK_DOCS), -(-size["b"] // CHUNK_BYTES)), max(1, -(-size["b"] // (6 * BUCKET_TOKENS)))
+    dealt = keyed(docs.select("doc_id", "text")).withColumn("chunk", F.expr(f"pmod(xxhash64(row_file, row_at), {chunks})"))
     asked = dealt.groupBy("chunk").applyInArrow(lambda t: requests(t, width, buckets), "bucket int, chunk long, prints binary")
-    told = asked.groupBy("bucket").applyInArrow(answers, "chunk long, bucket int, codes binary")
-    all_rows = materialise(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda t, r: members(t, r, width, buckets, percent), MEMBERS), "ngram-members")
-    some = all_rows.filter("tokens is not null")
+    told = asked.groupBy("bucket").applyInArrow(lambda t: answers(t), "chunk long, bucket int, codes binary")
+    rows = materialise(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda t, r: members(t, r, width, buckets, percent), MEMBERS), "ngram-members")
     digest = ["high", "low", "n_shingles"]
-    classes = some.groupBy(digest).agg(F.min("doc_id").alias("cls"))
-    held = materialise(
-        some.join(classes, digest).filter("doc_id = cls").dropDuplicates(["cls"]).select("cls", "tokens", "codes"), "ngram-classes"
-    )
-
-    def heads(batches):
-        for batch in batches:
-            cls, out_t, out_c = batch.column(0).to_pylist(), [], []
-            for c, t, k in zip(cls, batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                t, k = np.frombuffer(t, np.uint64), np.frombuffer(k, np.uint8)
-                p = prefix(t, k, 0, len(t) - needed(len(t), percent) + 1)
-                out_t.append(p.view(np.int64))
-                out_c.append(np.full(len(p), c, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t)), pa.array(np.concatenate(out_c))], ["token", "cls"])
-
-    posted = materialise(held.mapInArrow(heads, "token long, cls long"), "ngram-prefix")
-    least = posted.groupBy("token").agg(F.min("cls").alias("low"), F.count("*").alias("c")).filter("c > 1").select("token", "low")
-    stars = posted.join(least, "token").filter("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct()
-    cluster = components(stars).selectExpr("node as cls", "root as cluster")
-    placed = materialise(held.join(cluster, "cls"), "ngram-placed")
+    classes = rows.filter("tokens is not null").groupBy(digest).agg(F.min("doc_id").alias("least"), F.first("tokens").alias("tokens"), F.first("codes").alias("codes"))
+    held = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "ngram-classes")
+    thin = materialise(rows.select("row_file", "row_at", "doc_id", "n_shingles", "high", "low", F.col("tokens").isNotNull().alias("some")), "ngram-rows")
+    named = materialise(held.select(*digest, "cls", "least"), "ngram-names")
+    discard(rows)
+    cluster = materialise(clusters(held.withColumn("part", F.lit(0).cast("long")), percent, 0), "ngram-cluster")
+    large = lambda: cluster.groupBy("cluster").count().filter(f"count > {TILE}").select("cluster")
+    for order in range(1, ORDERS):
+        if not large().head(1):
+            break
+        inside = cluster.join(large(), "cluster", "left_semi").withColumnRenamed("cluster", "part")
+        finer = materialise(cluster.join(large(), "cluster", "left_anti").select("cls", "cluster").unionByName(clusters(held.join(inside, "cls"), percent, order)), "ngram-cluster")
+        discard(cluster)
+        cluster = finer
+    placed = materialise(held.select("cls", "tokens", "codes").join(cluster, "cls"), "ngram-placed")
+    discard(held, cluster)
     sizes = placed.groupBy("cluster").agg(F.count("*").alias("m"))
-    large = materialise(sizes.filter(f"m > {TILE}").selectExpr("cluster", f"cast(ceil(m / {TILE}D) as int) as tiles"), "ngram-large")
+    tiles = materialise(sizes.filter(f"m > {TILE}").selectExpr("cluster", f"cast(ceil(m / {TILE}D) as int) as tiles"), "ngram-large")
     packs = max(1, -(-placed.count() // PACK))
     check = lambda t: verified(t, percent)
     edge = "a long, b long"
-    small = placed.join(large, "cluster", "left_anti").withColumn("pack", F.expr(f"pmod(xxhash64(cluster), {packs})"))
+    small = placed.join(tiles, "cluster", "left_anti").withColumn("pack", F.expr(f"pmod(xxhash64(cluster), {packs})"))
     found = [materialise(small.groupBy("pack").applyInArrow(check, edge), "ngram-links")]
-    tiled = placed.join(large, "cluster").withColumn("tile", F.expr("pmod(xxhash64(cls), tiles)"))
-    pivots = placed.join(large, "cluster").filter("cls = cluster").withColumn("tile", F.explode(F.expr("sequence(0L, tiles - 1L)")))
+    tiled = placed.join(tiles, "cluster").withColumn("tile", F.expr("pmod(xxhash64(cls), tiles)"))
+    pivots = placed.join(tiles, "cluster").filter("cls = cluster").withColumn("tile", F.explode(F.expr("sequence(0L, tiles - 1L)")))
     found.append(materialise(tiled.unionByName(pivots).groupBy("cluster", "tile").applyInArrow(check, edge), "ngram-links"))
     near = components(found[1]).selectExpr("node as cls", "root")
     rest = tiled.join(near, "cls", "left").filter("coalesce(root, cls) <> cluster").drop("root")
@@ -264,7 +289,24 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     with_all = left.withColumn("tile", F.explode(F.expr("sequence(0L, tiles - 1L)"))).unionByName(tiled.join(many, "cluster").withColumn("part", F.explode(F.expr("sequence(0L, rests - 1L)"))))
     found.append(materialise(with_all.groupBy("cluster", "part", "tile").applyInArrow(check, edge), "ngram-links"))
     linked = components(found[0].unionByName(found[1]).unionByName(found[2])).selectExpr("node as cls", "root")
-    root = classes.join(linked, "cls", "left").select(*[F.col(c).alias(f"k_{c}") for c in digest], F.coalesce("root", "cls").alias("root"))
-    thin = all_rows.select("doc_id", "n_shingles", "high", "low", F.col("tokens").isNotNull().alias("some"))
+    rooted = named.join(linked, "cls", "left").withColumn("component", F.coalesce("root", "cls"))
+    names = rooted.groupBy("component").agg(F.min("least").alias("name"))
+    root = rooted.join(names, "component").select(*[F.col(c).alias(f"k_{c}") for c in digest], "component", "name")
     on = (F.col("some")) & (F.col("high") == F.col("k_high")) & (F.col("low") == F.col("k_low")) & (F.col("n_shingles") == F.col("k_n_shingles"))
-    return thin.join(root, on, "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    out = materialise(thin.join(root, on, "left").select("row_file", "row_at", "doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"), "component"), "ngram-groups")
+    discard(thin, named, placed, tiles, *found)
+    return out
+
+
+def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
+    return groups(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def repeated(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """row_file, row_at (of keyed()) of all rows but one of each component: that with the smallest doc_id stays, none being the largest."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_file", "row_at")
+    rows = groups(docs, width, percent)
+    linked = rows.filter("component is not null")
+    stays = linked.groupBy("component").agg(F.min(order).alias("stays"))
+    return linked.join(stays, "component").filter(order != F.col("stays")).select("row_file", "row_at")

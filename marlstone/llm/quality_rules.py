@@ -1,10 +1,12 @@
 """Quality rules with host verdicts, in DataFrame and SQL functions only.
 
-Base rules are measured per document; failures are counted per host (the column source), the hosts' failure rates are
-shrunk towards an empirical beta prior fitted by moments over all hosts, and the hosts' verdicts are joined back.
+Rules are measured per document; each rule's failures are counted per host (the column source), the hosts' failure rates
+are shrunk towards that rule's empirical beta prior, fitted by moments over all hosts, and the hosts' verdicts are joined
+back: a host whose shrunk rate under any rule is above MAX_HOST_RATE is rejected as a whole.
 
 Defined cases: a null text counts as empty (no word, base_failed); a null source is a host of its own; repeated rows are
-each judged and counted; an empty table gives an empty result; other columns are neither read nor returned.
+each judged and counted; an empty table gives an empty result; judge() neither reads nor returns other columns, keep()
+keeps all, whatever their names are.
 """
 
 from __future__ import annotations
@@ -21,6 +23,11 @@ MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 #: A host whose shrunk failure rate is above this is rejected as a whole.
 MAX_HOST_RATE = 0.8
+#: Rules that hosts are judged by, in terms of a document's measures; the first two make base_failed.
+RULES = {
+    "few_words": f"n_words < {MIN_WORDS}", "repeated_words": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
+    "symbols": "10 * n_symbols > word_chars", "repeated_lines": "n_dup_lines > 2",
+}
 #: Bounds of the prior's weight, in documents.
 PRIOR_WEIGHT = (1.0, 1e6)
 SYMBOLS = "#*$%&|<>"
@@ -62,24 +69,36 @@ def metrics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             *own, "n_words", "word_chars", "n_symbols", "n_dup_lines",
             f"coalesce(aggregate(zip_with(p, slice(p, 2, greatest(size(p), 1)), (a, b) -> case when b is null then {WINDOW} else least({WINDOW}, b - a) end), 0L, (t, x) -> t + x), 0L) as n_repeat_words",
         )
-        .withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
+        .withColumn("base_failed", F.expr(f"{RULES['few_words']} or {RULES['repeated_words']}"))
     )
 
 
+def _double(x: str) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+def _weight(rule: str) -> str:
+    """The weight of a rule's prior from sums over the hosts: n documents, k hosts, f_ failures, q_ sum of failures squared per document."""
+    mean, (low, high) = f"{_double(f'f_{rule}')} / n", PRIOR_WEIGHT
+    spread = f"(q_{rule} / n - ({mean}) * ({mean}) - ({mean}) * (1 - {mean}) * k / n)"
+    return f"CASE WHEN {spread} > {_double('1e-9')} THEN greatest({_double(low)}, least({_double(high)}, ({mean}) * (1 - {mean}) / {spread} - 1)) ELSE {_double(high)} END"
+
+
+COUNTED = ", ".join(f"CAST(sum(CASE WHEN {x} THEN 1 ELSE 0 END) AS BIGINT) AS host_{r}" for r, x in RULES.items())
+SUMMED = "CAST(sum(host_docs) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS k, " + ", ".join(f"CAST(sum(host_{r}) AS BIGINT) AS f_{r}, sum(host_{r} * {_double(f'host_{r}')} / host_docs) AS q_{r}" for r in RULES)
+PRIORS = ", ".join(f"{_double(f'f_{r}')} / n AS m_{r}, {_weight(r)} AS w_{r}" for r in RULES)
+HOST_OK = " AND ".join(f"(host_{r} + m_{r} * w_{r}) / (host_docs + w_{r}) <= {_double(MAX_HOST_RATE)}" for r in RULES)
+HOST_COLUMNS = ["host_docs", *[f"host_{r}" for r in RULES]]
+
+
 def hosts(measured: DataFrame) -> DataFrame:
-    """One row per host: documents, failures, the shrunk rate and the verdict."""
-    per = measured.groupBy("source").agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failures"))
-    total = per.agg(
-        F.sum("host_docs").alias("n"), F.sum("host_failures").alias("f"), F.count("*").alias("k"),
-        F.sum(F.expr("host_failures * cast(host_failures as double) / host_docs")).alias("q"),
-    )
-    low, high = PRIOR_WEIGHT
-    prior = total.selectExpr("cast(f as double) / n as m", "q / n - (cast(f as double) / n) * (cast(f as double) / n) - (cast(f as double) / n) * (1 - cast(f as double) / n) * k / n as tau2").selectExpr(
-        "m", f"case when tau2 > 1e-9 then greatest({low}D, least({high}D, m * (1 - m) / tau2 - 1)) else {high}D end as weight"
-    )
-    return per.crossJoin(F.broadcast(prior)).selectExpr(  # one row
-        "source as host", "host_docs", "host_failures", f"(host_failures + m * weight) / (host_docs + weight) <= {MAX_HOST_RATE}D as host_ok"
-    )
+    """One row per host: documents, failures of each rule, and the verdict on the shrunk rates."""
+    per = measured.groupBy("source").agg(F.count("*").alias("host_docs"), *[F.expr(x) for x in COUNTED.split(", ")])
+    prior = per.agg(*[F.expr(x) for x in SUMMED.split(", ")]).select("*", *[F.expr(f"{_double(f'f_{r}')} / n").alias(f"m_{r}") for r in RULES], *[F.expr(_weight(r)).alias(f"w_{r}") for r in RULES])
+    return per.crossJoin(F.broadcast(prior)).select(F.col("source").alias("host"), *HOST_COLUMNS, F.expr(HOST_OK).alias("host_ok"))  # one row
+
+
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -87,18 +106,17 @@ def judge(docs: DataFrame) -> DataFrame:
     measured = materialise(metrics(docs), "quality")
     h = hosts(measured)
     return measured.join(h, F.col("source").eqNullSafe(F.col("host")), "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept"), "host_docs", "host_failures",
-    )
+        "doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept"), *HOST_COLUMNS
+    )
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Texts are measured twice, so that none is shuffled or written."""
-    h = materialise(hosts(materialise(metrics(docs).select("source", "base_failed"), "quality")), "quality-host")
+    """The rows of docs that are kept, with all their columns. Texts are measured once: what passes the base rules is written beside its measures."""
     row = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"))
-    judged = metrics(row, ("whole_row",)).select("source", "whole_row", F.explode(F.array("base_failed")).alias("failed"))
-    passed = judged.filter("not failed")  # a filter on base_failed itself would be pushed down and its expression unfolded many times over
-    return passed.join(h.filter("not host_ok"), F.col("source").eqNullSafe(F.col("host")), "left_anti").select("whole_row.*")
+    measured = metrics(row, ("whole_row",)).select("source", *MEASURES, "base_failed", F.expr("case when not base_failed then whole_row end").alias("whole_row"))
+    judged = materialise(measured, "quality")
+    bad = hosts(judged).filter("not host_ok").select("host")
+    return judged.filter("not base_failed").join(bad, F.col("source").eqNullSafe(F.col("host")), "left_anti").select("whole_row.*")
 
 
 SQL = f"""
@@ -122,14 +140,10 @@ WITH d AS (
 ), b AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m
 ), h AS (
-  SELECT source, count(*) AS host_docs, CAST(sum(CAST(base_failed AS INT)) AS BIGINT) AS host_failures FROM b GROUP BY source
-), p0 AS (
-  SELECT CAST(sum(host_failures) AS DOUBLE) / sum(host_docs) AS m, sum(host_docs) AS n, count(*) AS k, sum(host_failures * CAST(host_failures AS DOUBLE) / host_docs) AS q FROM h
+  SELECT source, count(*) AS host_docs, {COUNTED} FROM b GROUP BY source
 ), p AS (
-  SELECT m, CASE WHEN q / n - m * m - m * (1 - m) * k / n > 1e-9
-    THEN greatest({PRIOR_WEIGHT[0]}, least({PRIOR_WEIGHT[1]}, m * (1 - m) / (q / n - m * m - m * (1 - m) * k / n) - 1)) ELSE {PRIOR_WEIGHT[1]} END AS weight FROM p0
+  SELECT {PRIORS} FROM (SELECT {SUMMED} FROM h)
 )
-SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND (host_failures + m * weight) / (host_docs + weight) <= {MAX_HOST_RATE} AS kept, host_docs, host_failures
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {HOST_OK} AS kept, {", ".join(HOST_COLUMNS)}
 FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source CROSS JOIN p
 """

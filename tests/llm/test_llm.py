@@ -70,6 +70,20 @@ def test_ngram_join(docs, width, percent):
     assert rows_of(ngram_join.join(docs, width, percent), "n_shingles", "component_id") == links_brute(width, percent)
 
 
+def test_ngram_join_of_repeated_ids(spark):
+    """Two texts under one doc_id lose no link, and rows without one are joined too."""
+    a, b = text(120), text(120)
+    rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (9, a), (10, b), (None, b), (None, "all alone here " + text(9)), (11, None)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, row_at int, component string")
+    got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in ngram_join.join(docs).collect())
+    assert got == [(-1, -1), (-1, 5), (5, 5), (5, 5), (7, 5), (8, 5), (9, 5), (10, 5), (11, 11)]
+    import corpus_pipeline as c
+
+    kept = c.near_duplicates(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept if r["text"]) == sorted([(5, a), (5, b), (-1, rows[7][1])]) and len(kept) == 4
+    assert c.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_ngram_join_tiles(docs, monkeypatch):
     """A cluster larger than a tile loses no link."""
     monkeypatch.setattr(ngram_join, "TILE", 2)
@@ -119,15 +133,87 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, none).count() == 0
 
 
+def kneser_ney(rows, start="^"):
+    """P_c(w | v) by the book, from (text, toxic) rows: plain dictionaries instead of hashed tables. Also what the parts sum to."""
+    split = lambda t: re.findall(r"[a-z0-9\x80-\uffff]+", t.lower())
+    pair, word = collections.Counter(), collections.Counter()
+    for t, c in rows:
+        w = split(t)
+        pair.update((x, c) for x in set(zip([start, *w], w)))
+        word.update((x, c) for x in set(w))
+    share = sum(n for (_, c), n in word.items() if c) / sum(word.values())
+
+    def part(n0, n1, share):
+        n, e = n0 + n1, (n0 + n1) * share
+        d = n1 - e
+        return e + np.sign(d) * max(abs(d) - toxicity.ERRORS * np.sqrt(n * share * (1 - share) + 1), 0)
+
+    d = toxicity.DISCOUNT
+    w_part = {x: part(word[x, 0], word[x, 1], share) for x in {x for x, _ in word}}
+    n_of = {x: word[x, 0] + word[x, 1] for x in w_part}
+    share_of = {x: w_part[x] / n_of[x] for x in w_part}
+    pairs = {x: (pair[x, 0] + pair[x, 1], part(pair[x, 0], pair[x, 1], share_of[x[1]])) for x in {x for x, _ in pair}}
+    of_class = lambda n, p, c: p if c else n - p
+    contexts = collections.Counter(w for _, w in pairs)
+    size = [sum(of_class(n_of[x], w_part[x], c) for x in n_of) for c in (0, 1)]
+    left = [1 - sum(of_class(n_of[x], w_part[x], c) * (1 - d / n_of[x]) for x in n_of) / size[c] for c in (0, 1)]
+
+    def p_word(w, c):
+        return of_class(n_of[w], w_part[w], c) * (1 - d / n_of[w]) / size[c] + left[c] * contexts[w] / len(pairs)
+
+    def p_pair(w, v, c):
+        under = {x: n for x, n in pairs.items() if x[0] == v}
+        s = sum(of_class(*n, c) for n in under.values())
+        kept = lambda n: of_class(*n, c) * (1 - d / n[0])
+        back = 1 - sum(map(kept, under.values())) / s
+        return (kept(pairs[v, w]) / s if (v, w) in pairs else 0) + back * p_word(w, c)
+
+    return p_word, p_pair, n_of, pairs, w_part, share, size
+
+
+def test_toxicity_is_kneser_ney(spark):
+    """The models sum to one, and the table's values are their differences of logarithms."""
+    rng = np.random.default_rng(5)
+    rows = [(" ".join(["vile" if c and rng.random() < 0.7 else "kind", "is", *rng.choice(["a", "b", "c", "d"], 4), *(["so", "very"] if c else ["very", "so"])]), c) for c in [0, 0, 0, 1] * 60]
+    rows = list(dict.fromkeys(rows))
+    p_word, p_pair, n_of, pairs, w_part, share, size = kneser_ney(rows)
+    for c in (0, 1):
+        assert abs(sum(p_word(w, c) for w in n_of) - 1) < 1e-9
+        assert abs(sum(p_pair(w, "is", c) for w in n_of) - 1) < 1e-9 and abs(sum(p_pair(w, "so", c) for w in n_of) - 1) < 1e-9
+    texts = spark.createDataFrame(rows, "text string, toxic int").repartition(3)
+    n = toxicity.sizes(texts)
+    assert n[1] / (n[0] + n[1]) == share
+    counts = toxicity.counted(texts, share, 3)
+    table = {r["k"]: r["v"] / toxicity.UNIT for r in toxicity.values(counts, share).collect()}
+    same = np.log((share / size[1]) / ((1 - share) / size[0]))
+
+    def found(v, w):
+        word, before, pair, _ = toxicity.tokens([f"{v} {w}"])
+        keys = [word[1], before[1] ^ np.uint64(toxicity.CONTEXT_SALT), pair[1]]
+        return sum(table.get(int(k.view(np.int64)), 0.0) for k in keys)
+
+    told = 0
+    for v, w in pairs:
+        telling = w_part[w] != n_of[w] * share
+        if v != "^" and pairs[v, w][1] != pairs[v, w][0] * (w_part[w] / n_of[w]):
+            told += 1
+            assert abs(found(v, w) + same - np.log(p_pair(w, v, 1) / p_pair(w, v, 0))) < 1e-6
+        elif telling and v not in {x for x, _ in pairs}:
+            assert abs(found(v, w) + same - np.log(p_word(w, 1) / p_word(w, 0))) < 1e-6
+    assert told >= 2
+    word = toxicity.tokens(["vile"])[0][0].view(np.int64)
+    assert abs(table[int(word)] + same - np.log(p_word("vile", 1) / p_word("vile", 0))) < 1e-6
+
+
 def test_toxicity_counts_grow(spark, monkeypatch):
-    """Neighbours are counted to the last one, and values beyond those sent to all tasks are joined."""
-    rows = [(" ".join(f"hub w{k}" for k in range(1000)), 0), ("hub vile", 1), ("hub w1", 1)]
-    counts = spark.createDataFrame(rows, "text string, toxic int").mapInPandas(toxicity.count, toxicity.COUNTS).groupBy("kind", "before", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    assert toxicity.contexts(counts).agg(F.max("follow")).first()[0] == 1001
+    """Contexts are counted to the last one, and values beyond those sent to all tasks are joined; odd rows have scores."""
+    rows = [(" ".join(f"w{k} hub" for k in range(1000)), 0), ("hub vile", 1), ("w1 hub", 1)]
+    counts = toxicity.counted(spark.createDataFrame(rows, "text string, toxic int"), 0.2, 1)
+    assert counts.filter(f"kind = {toxicity.TOTAL}").first()["contexts"] == 2003
     texts = [(i, ("vile scum " if i % 4 == 0 else "kind folk ") * 3 + text(20)) for i in range(200)] + [(None, "scum"), (None, "vile"), (3, "folk"), (3, None)]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs = spark.createDataFrame([(*r, 1, "x") for r in texts], "doc_id long, text string, toxic int, at string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
-    order = lambda rs: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"]) for r in rs)
+    order = lambda rs: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"], r["held_out"]) for r in rs)
     want = order(toxicity.score(docs, labels).collect())
     monkeypatch.setattr(toxicity, "HEAD", 2)
     assert len(want) == 204 and order(toxicity.score(docs, labels).collect()) == want
@@ -225,7 +311,8 @@ def test_mixing(docs, empty):
         by[(r["source_size"], r["target"])].append(r)
         assert 0 <= r["taken"] <= 2 * r["size"]
     for (_, target), rows in by.items():
-        assert abs(sum(r["taken"] for r in rows) - target) <= 1
+        assert abs(sum(r["taken"] for r in rows) - target) <= max(r["size"] for r in rows) / 2  # documents are drawn whole
+        assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in rows)
     assert abs(sum(t for _, t in by) - 1.5 * sum(r["size"] for r in got)) < 1e-6
     out = mixing.arranged(docs)
     assert out.columns == docs.columns
@@ -234,6 +321,31 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+ODD = [(None, BASE), (None, NEAR), (None, None), (5, text(90)), (5, text(60)), (7, "seven words are here in this text"), (7, "seven words are here in this text"), (8, text(40)), (9, text(30))]
+
+
+def test_mixing_of_repeated_ids(spark):
+    """Rows without doc_id and rows that repeat one are drawn each for itself: what is planned is what is put out."""
+    docs = spark.createDataFrame([(i, t, "s", f"r{k}", 1) for k, (i, t) in enumerate(ODD)], "doc_id long, text string, source string, row_file string, size int")
+    plan, out = mixing.mix(docs).collect(), mixing.arranged(docs).collect()
+    assert sum(r["taken"] for r in plan) == sum(len(WORD.findall(r["text"])) for r in out)
+    assert sorted((r["doc_id"] or -1, r["size"]) for r in plan) == sorted((i or -1, len(WORD.findall(t or ""))) for i, t in ODD)
+    assert mixing.arranged(docs).columns == docs.columns
+
+
+def test_mixing_sql(docs):
+    """The query's SQL gives the same rows, with null and repeated ids too."""
+    import duckdb
+
+    rows = [(i, t, s) for i, t, s in ROWS] + [(i, t, None) for i, t in ODD]
+    df = docs.sparkSession.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas().astype({"doc_id": "Int64"}))
+    key = lambda r: tuple((x is None, x or 0) if not isinstance(x, str) else (False, x) for x in r)
+    got = sorted((tuple(r) for r in mixing.digest(mixing.mix(df)).collect()), key=key)
+    assert got == sorted((tuple(None if x is not None and x != x else x for x in r) for r in con.sql(mixing.SQL).fetchall()), key=key)
+
+
 def test_warc(spark):
     same = "<html>" + "y" * 200
     rows = [(3, "http://a/\r\nx", same), (1, None, same), (2, "u", "short"), (5, "u", "short"), (4, "u", None), (9, "u", "é" * 5000), (7, "u", same)]
@@ -302,6 +414,29 @@ def test_pieces_hard_texts():
     for x in ["  a  b   c", " " * 40, "日本語 テキスト", "\n\n a\n", "😀😀", "tab\there", "    def f():\n        return 1", "привет мир", "a\x00b", "!!!!!!!!", "▁ x", "x" * 500]:
         assert t.encode(x).tolist() == sp.encode(x)
         assert [t.path(c) for c in t.chunks(t.normalised(x))] == [t.any_path(c) for c in t.chunks(t.normalised(x))]
+    texts = ["", "a b", "\n", " x\n\n y ", "▁ z", "é" * 90, text(300)]
+    ids, ends = t.encode_batch(texts)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [sp.encode(x) for x in texts]
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+def test_pieces_compiled_normaliser(tmp_path, rule):
+    """A model with a character map and white space taken together, as the library reads it."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.normalizer_spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec())
+    m.trainer_spec.model_type = pieces.UNIGRAM
+    held = "▁ a b c é ﬁ f i K ab ▁a ▁b bc fi １ 1 ... . ア ー".split()
+    for i, (p, kind) in enumerate([("<unk>", 2), ("<s>", 3), ("</s>", 3), *[(x, 1) for x in dict.fromkeys(held)]]):
+        m.pieces.add(piece=p, score=-0.37 * i - 1, type=kind)
+    path = str(tmp_path / "m.model")
+    with open(path, "wb") as f:
+        f.write(m.SerializeToString())
+    sp, t = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Transducer(pieces.load(path))
+    for x in ["", "  a  b ", "ﬁ １２ ①", "e\u0301 ab\tc", "ＡＢＣ ｱｰ ｶﾞ", "a\u00a0b\u200bc", "İẞ", "   ", "…a\r\nb", "가 각", "x" * 70 + "ﬁ"]:
+        assert t.encode(x).tolist() == sp.encode(x), x
 
 
 def test_unigram_takes_the_shortest_path():
