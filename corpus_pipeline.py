@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import mixing, ngram_join, pieces, quality_rules, surrogates
-from marlstone.llm.common import materialise, table
+from marlstone.llm.common import filed, keyed, materialise, table, unused
 
 #: Near duplicates share so many hundredths of their shingles of so many words.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -23,10 +23,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays; one without doc_id stays."""
-    groups = ngram_join.join(docs, NEAR_WORDS, NEAR_PERCENT)
-    gone = materialise(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")), "near-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """Of each group of near duplicates one row stays, that with the smallest doc_id; rows that repeat a doc_id are told apart by their place."""
+    docs = filed(docs)
+    gone = materialise(ngram_join.repeated(docs, NEAR_WORDS, NEAR_PERCENT), "near-gone")
+    file, at = unused("row_file", docs), unused("row_at", docs)
+    return keyed(docs, file, at).join(gone.withColumnsRenamed({"row_file": file, "row_at": at}), [file, at], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
