@@ -312,17 +312,22 @@ def differences(docs: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(added, "row", "left").selectExpr("doc_id", f"(known + coalesce(added, 0L)) / {UNIT}D / greatest(n, 1) as x")
 
 
+def sifted(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose key may be among keys: what comes before a join, so that it shuffles few others. A filter of BITS bits tells which can't be (at 100 keys a bit it lets all pass)."""
+    place = F.expr(f"xxhash64({key}) & {BITS - 1}L")
+    bits = keys.select(place.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63L as int)))").alias("bits"))
+    placed = rows.withColumn("p", place).withColumn("at", F.expr("shiftright(p, 6)"))
+    return placed.join(F.broadcast(bits), "at").filter("shiftright(bits, cast(p & 63L as int)) & 1L = 1L").drop("p", "at", "bits")  # BITS / 64 rows at most
+
+
 def learned_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """text, toxic of the labelled rows of the learned folds, of equal texts one. A filter of BITS bits, made of the labels, keeps most other texts out of the join's shuffle."""
+    """text, toxic of the labelled rows of the learned folds, of equal texts one."""
     learned = f"fold not in ({HELD_OUT}, {CALIBRATION})"
     own = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
     single = own.select("doc_id", "digest").join(known.filter(learned), "doc_id").groupBy("digest", "toxic").agg(F.min("doc_id").alias("doc_id"))
     single = materialise(single, "toxicity-single")
-    place = F.expr(f"xxhash64(doc_id) & {BITS - 1}L")
-    bits = single.select(place.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63L as int)))").alias("bits"))
-    may = own.withColumn("fold", fold()).filter(learned).drop("fold").withColumn("p", place).withColumn("at", F.expr("shiftright(p, 6)"))
-    may = may.join(F.broadcast(bits), "at").filter("shiftright(bits, cast(p & 63L as int)) & 1L = 1L")  # BITS / 64 rows at most
-    out = materialise(may.select("doc_id", "digest", "text").join(single, ["doc_id", "digest"]).select("text", "toxic"), "toxicity-text")
+    may = sifted(own.withColumn("fold", fold()).filter(learned), "doc_id", single)
+    out = materialise(may.select("doc_id", "digest", "text").join(single.hint("merge"), ["doc_id", "digest"]).select("text", "toxic"), "toxicity-text")
     discard(single)
     return out
 
