@@ -13,7 +13,8 @@ more than CHUNK classes is dealt out in chunks, to each of which its queries are
 task holds a whole hot bucket. A task returns K + 1 candidates for each query and chunk.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part; vectors of other
-dimensions never meet; ties go to the smaller id; rows that repeat an id with an equal vector count once; an empty table
+dimensions never meet; ties go to the smaller id; rows that repeat an id with an equal vector count once, and those that
+repeat it with another vector are candidates of each other; an empty table
 gives an empty result; fewer than K candidates give all; other columns are neither read nor returned.
 """
 
@@ -177,11 +178,11 @@ def search(vectors: DataFrame) -> DataFrame:
         near = near.unionByName(more).distinct()
     best = near.withColumn("rn", F.row_number().over(Window.partitionBy("q_class").orderBy("score", "class_id"))).filter(f"rn <= {K + 1}")
     listed = (
-        best.join(ids, "class_id").select("q_class", "score", F.explode("ids").alias("vec_id"))
-        .withColumn("rn", F.row_number().over(Window.partitionBy("q_class").orderBy("score", "vec_id"))).filter(f"rn <= {K + 1}")
-        .groupBy("q_class").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("found"))  # K + 1 at most
+        best.join(ids, "class_id").select("q_class", "class_id", "score", F.explode("ids").alias("vec_id"))
+        .withColumn("rn", F.row_number().over(Window.partitionBy("q_class").orderBy("score", "vec_id", "class_id"))).filter(f"rn <= {K + 1}")
+        .groupBy("q_class").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id", "class_id"))).alias("found"))  # K + 1 at most
     )
     return (
-        queries.join(listed, "q_class").select("query_id", F.expr(f"slice(filter(found, x -> x.vec_id <> query_id), 1, {K})").alias("found"))
+        queries.join(listed, "q_class").select("query_id", F.expr(f"slice(filter(found, x -> x.vec_id <> query_id or x.class_id <> q_class), 1, {K})").alias("found"))
         .select("query_id", F.posexplode("found")).selectExpr("query_id", "pos + 1 as rank", "col.vec_id as vec_id", "col.score as score")
     )

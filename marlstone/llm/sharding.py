@@ -2,8 +2,9 @@
 
 Texts are grouped by digest and summed before any shuffle of rows; the groups are dealt into buckets by hash. Each bucket
 is differenced by itself: the two partial partitions with the largest spread are combined, the larger parts of one with
-the smaller parts of the other, until one is left. The buckets' partial partitions (16 sums each, MAX_BUCKETS of them at
-most) are then differenced in the same way on the driver, which gives each bucket's parts their shards.
+the smaller parts of the other, until one is left. FAN buckets' partial partitions (16 sums each) are then differenced in
+the same way in a task, and so on, level by level, until FAN or fewer are left, which the driver differences. Going back,
+each bucket's parts get their shards.
 
 Defined cases: a null text has size 1 and forms a group with other null texts; an empty text is another group; repeated
 rows count each; ties in size are broken by digest; an empty table gives an empty result; other columns are not read.
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SHARDS = 16
-#: Groups in a bucket, about, and the most buckets: what the driver gets is bounded by MAX_BUCKETS * SHARDS rows.
-BUCKET_GROUPS, MAX_BUCKETS = 16_384, 4_096
+#: Groups in a bucket, about, and buckets that are differenced together: what the driver gets is bounded by FAN * SHARDS rows.
+BUCKET_GROUPS, FAN = 16_384, 4_096
 #: Rows in a run of slots, about.
 SLOT_ROWS = 65_536
 
@@ -73,6 +74,16 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(part=part)[["bucket", "key", "total", "part"]]
 
 
+def _combined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The parts of FAN buckets, each with its part in what they are combined to."""
+    sums: dict[int, list[int]] = {}
+    for bucket, part, total in zip(pdf["bucket"].tolist(), pdf["part"].tolist(), pdf["total"].tolist()):
+        sums.setdefault(bucket, [0] * SHARDS)[part] = total
+    parts = difference([(s, [f"{b}:{p}" for p in range(SHARDS)]) for b, s in sorted(sums.items())])
+    rows = [(*map(int, x.split(":")), up) for up, held in enumerate(parts) for x in flatten(held)]
+    return pd.DataFrame([(b, p, up, sums[b][p]) for b, p, up in rows], columns=["bucket", "part", "up_part", "total"]).assign(up=int(pdf["up"].iloc[0]))
+
+
 def shard(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sized = materialise(
@@ -84,17 +95,25 @@ def shard(docs: DataFrame) -> DataFrame:
     )
     groups = materialise(sized.groupBy("key").agg(F.sum("size").alias("total")), "shard-group")
     n = groups.count()
-    buckets = min(MAX_BUCKETS, max(1, -(-n // BUCKET_GROUPS)))
+    buckets = max(1, -(-n // BUCKET_GROUPS))
     dealt = materialise(
         groups.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(key), {buckets}) as int)")).groupBy("bucket").applyInPandas(_bucket, "bucket int, key string, total long, part int"), "shard-part"
     )
-    sums: dict[int, list[int]] = {}
-    for r in dealt.groupBy("bucket", "part").agg(F.sum("total").alias("total")).collect():  # at most MAX_BUCKETS * SHARDS rows
-        sums.setdefault(r["bucket"], [0] * SHARDS)[r["part"]] = r["total"]
-    parts = difference([(s, [f"{b}:{p}" for p in range(SHARDS)]) for b, s in sorted(sums.items())])
+    sums, levels = dealt.groupBy("bucket", "part").agg(F.sum("total").alias("total")), []
+    while buckets > FAN:
+        buckets = -(-buckets // FAN)
+        level = sums.withColumn("up", F.expr(f"cast(pmod(bucket, {buckets}) as int)")).groupBy("up").applyInPandas(_combined, "bucket int, part int, up int, up_part int, total long")
+        levels.append(materialise(level, "shard-level"))
+        sums = levels[-1].groupBy(F.col("up").alias("bucket"), F.col("up_part").alias("part")).agg(F.sum("total").alias("total"))
+    last: dict[int, list[int]] = {}
+    for r in sums.collect():  # at most FAN * SHARDS rows
+        last.setdefault(r["bucket"], [0] * SHARDS)[r["part"]] = r["total"]
+    parts = difference([(s, [f"{b}:{p}" for p in range(SHARDS)]) for b, s in sorted(last.items())])
     rows = [(*map(int, x.split(":")), s) for s, held in enumerate(parts) for x in flatten(held)]
     to = spark.createDataFrame(rows, "bucket int, part int, shard int")
-    key_shard = dealt.join(F.broadcast(to), ["bucket", "part"]).select("key", "shard")  # to: at most MAX_BUCKETS * SHARDS rows
+    for level in reversed(levels):
+        to = level.join(to.toDF("up", "up_part", "shard"), ["up", "up_part"]).select("bucket", "part", "shard")
+    key_shard = dealt.join(to, ["bucket", "part"]).select("key", "shard")
     placed = sized.join(key_shard, "key")
     return slots(placed)
 
@@ -104,7 +123,7 @@ def slots(placed: DataFrame) -> DataFrame:
     spark = placed.sparkSession
     placed = materialise(placed, "shard-row")
     runs = max(1, -(-placed.count() // (SLOT_ROWS * SHARDS)))
-    placed = placed.withColumn("run", F.expr(f"pmod(xxhash64(doc_id), {runs})"))
+    placed = placed.withColumn("run", F.expr(f"pmod(xxhash64(doc_id, key), {runs})"))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     offset = placed.groupBy("shard", "run").count().withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).select("shard", "run", "offset")
     order = Window.partitionBy("shard", "run").orderBy("doc_id", "key")

@@ -5,12 +5,13 @@ places), numbered by mixed radix. A keyed permutation of that set, s = P(P'(x) +
 P is a Feistel network over the numbers, walked on until it stays within the set. As it is a permutation without fixed
 points, equal entities have equal surrogates in every document and task (coreference), different ones have different
 surrogates (no collisions), and none is its own; nothing has to be gathered, so one pass over the texts does, without a
-shuffle. A replacement is checked all the same: if it equals its entity, or two entities of a document meet in one
-surrogate, the pass fails. collisions() looks for such meetings over a whole table.
+shuffle. Replacements of a document are checked all the same: should one equal its entity, or two entities of a kind meet
+in one surrogate, other keys are tried in turn. collisions() looks for such meetings over a whole table.
 
 Checksums are kept (Luhn, IBAN's mod 97). Given names map within lists of their gender and script; other names map to
-words with letters of the same script, case and kind (vowel or not), and never into the lists. Domains of example.com and
-its like keep that ending; others keep their last label.
+words with letters of the same script, case and kind (vowel or not), whose ending stays where it tells a gender, and never
+into the lists. A name that is found with a title or a listed given name is replaced wherever its words occur in the
+document, also alone. Domains of example.com and its like keep that ending; others keep their last label.
 
 Defined cases: a null text stays null with no entities; an empty text has none; repeated rows are treated alike; an empty
 table gives an empty result; whole texts are searched. replace() keeps all other columns, whatever their names are.
@@ -212,19 +213,24 @@ def secret(m: re.Match, key: bytes) -> str:
     return m[0][:at] + new + m[0][at + len(value) :]
 
 
-def name_word(word: str, key: bytes, gender: str) -> str:
+# Endings of names that tell a gender, longest first.
+ENDING = re.compile("(?:ская|ский|цкая|цкий|ова|ева|ина|ов|ев|ин|[aeioаяйеи])$")
+
+
+def name_word(word: str, key: bytes) -> str:
     if word in LISTED:
         names = NAMES[LISTED[word]]
         return names[permute(names.index(word), len(names), key, "given" + "".join(LISTED[word]))]
-    new = shape(word, key, "name")
-    while new in LISTED:  # a walk along the permutation's cycle is a permutation of what lies outside the lists
-        new = shape(new, key, "name")
-    return new
+    m = ENDING.search(word)
+    stem, ending = (word[: m.start()], m[0]) if m and m.start() > 1 else (word, "")
+    while True:  # a walk along the permutation's cycle is a permutation of what lies outside the lists (and has no longer ending)
+        stem = shape(stem, key, "name" + ending)
+        if stem + ending not in LISTED and ((n := ENDING.search(stem + ending)) is None) == (not ending) and (n is None or n[0] == ending):
+            return stem + ending
 
 
 def person(m: re.Match, key: bytes) -> str:
-    title = m["title"] or ""
-    return title + "".join(name_word(w, key, TITLES.get(title.strip(), "")) if i % 2 == 0 else w for i, w in enumerate(re.split(r"([ ]+)", m["names"])))
+    return (m["title"] or "") + "".join(name_word(w, key) if i % 2 == 0 else w for i, w in enumerate(re.split(r"([ ]+)", m["names"])))
 
 
 _W = r"[A-ZÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜА-ЯΑ-Ω][^\W\d_]+"
@@ -245,7 +251,7 @@ NEED_DIGIT = {"iban", "card", "ip", "ssn", "phone", "access_key"}
 _DIGIT = re.compile("[0-9]")
 
 
-def find(text: str, key: bytes = KEY) -> list[tuple[str, int, int, str]]:
+def find(text: str, key: bytes = KEY, tries: int = 8) -> list[tuple[str, int, int, str]]:
     """Entities (kind, start, end, surrogate) in order of place; of overlapping ones the kind that comes first in KINDS."""
     found: list[tuple[str, int, int, str]] = []
     digit = bool(_DIGIT.search(text))
@@ -258,14 +264,29 @@ def find(text: str, key: bytes = KEY) -> list[tuple[str, int, int, str]]:
             new = surrogate(m, key)
             if new is not None:
                 found.append((kind, m.start(), m.end(), new))
+    words: dict[str, str] = {}
+    for kind, s, e, new in found:
+        if kind == "person":
+            old_words, new_words = (re.findall(r"[^\W\d_]+", x) for x in (text[s:e], new))
+            words.update((w, n) for w, n in zip(old_words, new_words) if w != n and len(w) > 2)
+    if words:  # mentions of the same people by one name only
+        for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, sorted(words, key=len, reverse=True)))})\b", text):
+            if not any(m.start() < e and s < m.end() for _, s, e, _ in found):
+                found.append(("person", m.start(), m.end(), words[m[0]]))
     found.sort(key=lambda x: x[1])
+    return found if distinct(text, found) else again(text, key, tries) if tries else found
+
+
+def distinct(text: str, found: list[tuple[str, int, int, str]]) -> bool:
+    """Whether no entity is its own surrogate and no two of a kind share one."""
     met: dict[tuple[str, str], str] = {}
-    for kind, s, e, new in found:
-        if new == text[s:e] and any(c in PLACE for c in text[s:e]):
-            raise ValueError(f"a {kind} is its own surrogate")
-        if met.setdefault((kind, new), text[s:e]) != text[s:e]:
-            raise ValueError(f"two entities of kind {kind} meet in one surrogate")
-    return found
+    same = lambda s, e, new: new == text[s:e] and any(c in PLACE for c in text[s:e])
+    return not any(same(s, e, new) or met.setdefault((kind, new), text[s:e]) != text[s:e] for kind, s, e, new in found)
+
+
+def again(text: str, key: bytes, tries: int) -> list[tuple[str, int, int, str]]:
+    """The entities of a document whose surrogates met, under the next key."""
+    return find(text, hashlib.blake2b(key, digest_size=16).digest(), tries - 1)
 
 
 def rewritten(text: str | None, key: bytes = KEY) -> tuple[str | None, list[dict]]:

@@ -1,9 +1,10 @@
 """WARC archives in Zstandard: a writer, and a reader of dictionary frames and one frame per record.
 
 An archive begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary, itself compressed or not; each
-record is a frame of its own. The reader finds the frames by their block headers, decodes each with the dictionary, and
-checks version, headers, lengths and the payload's digest; a record that fails raises ValueError. Archives are kept as
-rows (archive, body) of a table in the shared folder, which any store of Spark's can hold; save() writes one to a file.
+record is a frame of its own. The reader finds the frames by their block headers, decodes each with the dictionary,
+whether or not it says its length, and checks version, headers, lengths and the payload's digest; a frame or record that
+fails raises ValueError. Archives are kept as rows (archive, body) of a table in the shared folder, which any store of
+Spark's can hold; files() reads .warc.zst files of others as such rows (each is held in memory, so up to 2 GB).
 
 Defined cases: a null html is an empty payload; a null url leaves out the target header; line breaks in a url are
 escaped; repeated rows with the same page_id and payload are all responses if that page_id is the smallest; a null
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -96,7 +97,7 @@ def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
                 if len(held) != n:
                     raise ValueError("the dictionary is cut short")
                 if held[:4] == struct.pack("<I", FRAME_MAGIC):
-                    held = zstandard.ZstdDecompressor().decompress(held)
+                    held = decoded(zstandard.ZstdDecompressor(), held)
                 d = _dictionary(held)
                 decoder = zstandard.ZstdDecompressor(dict_data=d) if d else decoder
             at += 8 + n
@@ -104,10 +105,22 @@ def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if magic != FRAME_MAGIC:
             raise ValueError(f"no frame at byte {at}")
         end = frame_end(data, at)
-        yield parse(decoder.decompress(data[at:end]))
+        yield parse(decoded(decoder, bytes(data[at:end])))
         at = end
 
 
+def decoded(decoder: zstandard.ZstdDecompressor, frame: bytes) -> bytes:
+    """One frame's content; writers that stream leave out its length."""
+    try:
+        out = decoder.decompressobj()
+        raw = out.decompress(frame)
+    except zstandard.ZstdError as e:
+        raise ValueError(f"a frame can't be decoded: {e}") from e
+    if not out.eof:
+        raise ValueError("a frame is cut short")
+    return raw
+
+
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     head, found, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
@@ -195,9 +208,9 @@ def read(archives: DataFrame) -> DataFrame:
     return archives.select("body").mapInPandas(pages, schema)
 
 
-def save(body: bytes, path: str) -> None:
-    with open(path, "wb") as f:
-        f.write(body)
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """Archives (archive, body) of the files that a path or pattern names."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), F.col("content").alias("body"))
 
 
 def digest(pages: DataFrame) -> DataFrame:

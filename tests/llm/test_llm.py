@@ -266,6 +266,14 @@ def test_nearest(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_of_repeated_ids(spark):
+    """A row that repeats the query's id with another vector is a candidate; clashing names don't matter."""
+    rows = [(100, [1.0, 0.0], 1), (100, [1.0, 0.1], 2), (100, [1.0, 0.0], 3), (1, [1.0, 0.0], 4), (2, [0.0, 1.0], 5)]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, class_id int")).collect())
+    near, far, off = 0.1, round(2**0.5, 6), round((1 + 0.81) ** 0.5, 6)
+    assert got == sorted([(100, 1, 1, 0.0), (100, 2, 100, near), (100, 3, 2, far), (100, 1, 1, near), (100, 2, 100, near), (100, 3, 2, off)])
+
+
 @pytest.mark.parametrize("bucket", [2, 0.1])
 def test_nearest_with_more_axes(spark, monkeypatch, bucket):
     """Hashes of joined axes lose no neighbours: bucket sizes that asked for two and for three axes of 16 probes each."""
@@ -291,10 +299,27 @@ def test_sharding(docs, empty):
         load[r["shard"]] += r["size"]
         slot[r["shard"]].append(r["slot"])
         assert r["size"] == len((texts[r["doc_id"]] or "").encode()) + 1 and r["law"] == "bytes"
+    biggest = max(sum(r["size"] for r in got if texts[r["doc_id"]] == t) for t in set(texts.values()))
+    assert max(load.values()) <= max(biggest, sum(load.values()) / 16 * 1.05)
     assert all(len(s) == 1 for s in by_text.values()) and all(sorted(s) == list(range(len(s))) for s in slot.values())
     assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_by_levels(spark, monkeypatch):
+    """Many buckets are differenced level by level; loads stay near equal, and odd rows keep slots of their own."""
+    monkeypatch.setattr(sharding, "BUCKET_GROUPS", 8)
+    monkeypatch.setattr(sharding, "FAN", 3)
+    rows = [(i % 700 if i % 5 else None, "w" * (1 + i * 37 % 500) + str(i % 900)) for i in range(1000)]
+    got = sharding.shard(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, shard string, total int")).collect()
+    load, slot = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        load[r["shard"]] += r["size"]
+        slot[r["shard"]].append(r["slot"])
+    assert len(got) == 1000 and sum(load.values()) == sum(len(t) + 1 for _, t in rows)
+    assert max(load.values()) - min(load.values()) <= sum(load.values()) / 16 / 100
+    assert all(sorted(s) == list(range(len(s))) for s in slot.values())
+
+
 def test_differencing_is_tight():
     sizes = RNG.integers(1, 1000, 500).tolist()
     parts = sharding.difference([([s] + [0] * 15, [i] + [None] * 15) for i, s in enumerate(sizes)])
@@ -361,6 +386,14 @@ def test_warc(spark):
     assert len(list(warc.records(body))) >= 1
     with pytest.raises(ValueError):
         list(warc.records(body[:-3]))
+    raw = warc.record(1, "u", b"x" * 300, hashlib.sha256(b"x" * 300).hexdigest(), "response", None)
+    import zstandard
+
+    streamed = zstandard.ZstdCompressor(write_content_size=False).compressobj()
+    frame = streamed.compress(raw) + streamed.flush()
+    assert [b for _, b in warc.records(frame)] == [raw.partition(b"\r\n\r\n")[2][:-4]]
+    with pytest.raises(ValueError):
+        list(warc.records(frame[:10] + bytes([frame[10] ^ 255]) + frame[11:]))
     with pytest.raises(ValueError):
         warc.parse(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n")
     assert warc.read(warc.write(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
@@ -387,6 +420,22 @@ def test_surrogates(docs, empty, spark):
     assert surrogates.collisions(docs).count() == 0 and surrogates.replace(empty).count() == 0
 
 
+def test_surrogates_of_people():
+    """Mentions of one person by parts of the name agree; endings that tell a gender stay; equal names agree over documents."""
+    t = "Mr. James Miller came. Miller left; James too. Frau Petrova met Иван Смирнов. Millers stay."
+    new, spans = surrogates.rewritten(t)
+    assert not re.search(r"\b(James|Miller|Petrova|Иван|Смирнов)\b", new) and new.endswith("Millers stay.")
+    given, name = re.match(r"Mr\. (\w+) (\w+) came\. (\w+) left; (\w+) too", new).group(1, 2)
+    assert new.startswith(f"Mr. {given} {name} came. {name} left; {given} too") and given in surrogates.NAMES["latin", "m"]
+    assert re.search(r"Frau \w+a met", new) and re.search(r"met \w+ \w+ов\.", new)
+    assert surrogates.rewritten("Herr Miller")[0].split()[1] == name
+    words = ["".join(x) for x in itertools.product("BDK", "aeo", "rs", "lmn", "aks")]
+    assert len({surrogates.name_word(w, b"k") for w in words}) == len(words)
+    pair = "token=0641917ea4e9feb9 token=487ndnl8n72w78gu"
+    out = surrogates.rewritten(pair)[0].split()
+    assert out[0] != out[1] and not set(out) & set(pair.split())
+
+
 def test_secrets_of_two_kinds_never_meet():
     """Values that aren't hexadecimal get no hexadecimal surrogate, and different ones."""
     values = ["".join(v) for v in itertools.product("aeiou", repeat=6) if set(v) - set("ae")]
