@@ -68,5 +68,6 @@ def percentile(x: str, better: str = "high", group: str = "market") -> str:
 
 def _place(x: str, order: str, keys: str) -> str:
     n = f"count(*) OVER (PARTITION BY {keys})"
-    place = f"(rank() OVER (PARTITION BY {keys} ORDER BY {x} {order}) - 1 + (count(*) OVER (PARTITION BY {keys}, {x}) - 1) / 2.0)"
+    w = f"PARTITION BY {keys} ORDER BY {x} {order}"  # one order for places and ties
+    place = f"(rank() OVER ({w}) - 1 + (count(*) OVER ({w} RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / 2.0)"
     return f"CASE WHEN {n} = 1 THEN 1.0 ELSE 1.0 - {place} / nullif(CAST({n} - 1 AS DOUBLE), 0.0) END"

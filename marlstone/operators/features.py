@@ -16,8 +16,9 @@ _SOFAR = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 #: Columns of the windowed bars; the second step uses those of the first.
 FIRST = {
-    "rn": "row_number() OVER (PARTITION BY market, ticker ORDER BY bar_date DESC)",
+    "rn": f"(count(*) OVER (PARTITION BY market, ticker) - row_number() OVER ({_W}) + 1)",
     "ac": "adjusted_close",
+    "pdate": f"lag(bar_date) OVER ({_W})",
     "pac": f"lag(adjusted_close) OVER ({_W})",
     "pc": f"lag(close) OVER ({_W})",
     "ac21": f"lag(adjusted_close, 21) OVER ({_W})",
@@ -66,7 +67,7 @@ def _count(condition: str) -> str:
 
 FEATURES: dict[str, str] = {
     "bars": "count(*)",
-    "repeated_dates": "count(*) - count(DISTINCT bar_date)",
+    "repeated_dates": "count(CASE WHEN bar_date = pdate THEN 1 END)",
     "last_date": "max(bar_date)",
     "close": _bar(1, "close"),
     "adjusted_close": _bar(1),
@@ -135,11 +136,11 @@ FEATURES |= dict(FOLLOWED.values())
 
 
 def as_of(bars: DataFrame, rule: str) -> DataFrame:
-    """Bars up to the as-of date. A and C: all; B: without the run's latest date, which may be incomplete."""
-    if rule != "B":
-        return bars
-    latest = bars.agg(F.max("bar_date").alias("latest"))
-    return bars.join(F.broadcast(latest), F.col("bar_date") < F.col("latest")).drop("latest")  # one row
+    """Bars up to their market's as-of date, with that date (as_of). A and C: the market's latest date; B: the one before, as the latest may be incomplete."""
+    # dates of a market's calendar: one row a market, so an equi-join that the optimizer broadcasts by its size
+    dates = bars.groupBy("market").agg(F.sort_array(F.collect_set("bar_date"), asc=False).alias("dates"))
+    calendar = dates.selectExpr("market", f"try_element_at(dates, {2 if rule == 'B' else 1}) AS as_of")
+    return bars.join(calendar, "market").filter("bar_date <= as_of")
 
 
 def windowed(bars: DataFrame) -> DataFrame:
@@ -149,16 +150,16 @@ def windowed(bars: DataFrame) -> DataFrame:
 
 
 def aggregate(bars: DataFrame, wanted: list[str]) -> DataFrame:
-    """One row per ticker with the wanted features, and as_of, the latest date of its market's candidates."""
-    rows = windowed(bars).groupBy("market", "ticker").agg(*[F.expr(doubles(FEATURES[n])).alias(f"f_{n}") for n in wanted])
-    latest = bars.agg(F.max("bar_date").alias("as_of"))
-    return rows.crossJoin(F.broadcast(latest))  # one row
+    """One row per ticker of bars (with as_of) with the wanted features, and as_of."""
+    return windowed(bars).groupBy("market", "ticker").agg(*[F.expr(doubles(FEATURES[n])).alias(f"f_{n}") for n in wanted], F.max("as_of").alias("as_of"))
 
 
 def aggregate_sql(bars: str, rule: str, wanted: list[str]) -> str:
-    source = f"(SELECT * FROM ({bars}) WHERE bar_date < (SELECT max(bar_date) FROM ({bars})))" if rule == "B" else f"({bars})"
-    q = source
+    latest = f"(SELECT market, max(bar_date) AS as_of FROM ({bars}) GROUP BY market)"
+    if rule == "B":
+        latest = f"(SELECT b.market, max(bar_date) AS as_of FROM ({bars}) b JOIN {latest} l ON b.market = l.market WHERE bar_date < as_of GROUP BY b.market)"
+    q = f"(SELECT b.*, as_of FROM ({bars}) b JOIN {latest} l ON b.market = l.market WHERE bar_date <= as_of)"
     for step in (FIRST, SECOND, THIRD):
         q = f"(SELECT *, {', '.join(f'{doubles(x)} AS {n}' for n, x in step.items())} FROM {q})"
     columns = ", ".join(f"{doubles(FEATURES[n])} AS f_{n}" for n in wanted)
-    return f"SELECT market, ticker, {columns}, (SELECT max(bar_date) FROM {source}) AS as_of FROM {q} GROUP BY market, ticker"
+    return f"SELECT market, ticker, {columns}, max(as_of) AS as_of FROM {q} GROUP BY market, ticker"

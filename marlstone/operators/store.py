@@ -6,6 +6,7 @@ runs with such a row alone, so a run that broke off is never seen, whatever it h
 
 from __future__ import annotations
 
+import functools
 import uuid
 from datetime import datetime, timezone
 
@@ -43,13 +44,26 @@ class RunStore:
         return run_id
 
     def fail(self, run_id: str, market: str, profile_id: str, detail: str) -> None:
-        self._append(run_id, market, profile_id, "failed", detail)
+        """Mark a run as failed, if it is still running: a run that ended keeps its status."""
+        if self.status(run_id) == "running":
+            self._append(run_id, market, profile_id, "failed", detail)
+
+    def status(self, run_id: str) -> str:
+        found = self.log().filter(F.col("run_id") == run_id).limit(1).collect()
+        if not found:
+            raise NotFound(f"no run {run_id}")
+        return found[0]["status"]
 
     def commit(self, run_id: str, market: str, profile_id: str, snapshot: DataFrame, rankings: DataFrame, horizons: list[str]) -> None:
         """Write both tables of a run, check them as written, and make the run visible; on any error it is marked as failed."""
+        if self.status(run_id) != "running":
+            raise IntegrityError(f"run {run_id} isn't running")
         try:
             for name, df in (("snapshot", snapshot), ("rankings", rankings)):
                 metrics = [c for c in sorted(df.columns) if c not in CORE]
+                bad = [F.expr(f"coalesce(abs(`{c}`) < double('Infinity'), false)") for c, t in df.dtypes if t == "double"]
+                if bad and df.filter(~functools.reduce(lambda a, b: a & b, bad)).limit(1).count():
+                    raise IntegrityError(f"{name}: a number is missing or not finite")
                 packed = df.withColumn("metrics_json", F.to_json(F.struct(*metrics)) if metrics else F.lit("{}")).select(*[c for c in df.columns if c in CORE], "metrics_json")
                 packed.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{self.path}/{name}")
             self.check(self.table("snapshot", run_id), self.table("rankings", run_id), market, horizons)
@@ -64,7 +78,7 @@ class RunStore:
         one = snapshot.agg(F.count("*").alias("n"), F.count_distinct("ticker").alias("t"), F.sum(F.when(F.col("market") == market, 0).otherwise(1)).alias("other")).first()
         if one["n"] != one["t"] or one["other"]:
             raise IntegrityError("snapshot: repeated tickers or another market")
-        per = {r["horizon"]: r for r in rankings.groupBy("horizon").agg(F.count("*").alias("n"), F.count_distinct("rank").alias("ranks"), F.count_distinct("ticker").alias("t"), F.min("rank").alias("low"), F.max("rank").alias("high"), F.sum(F.expr("case when market = '" + market + "' and abs(score) < double('Infinity') then 0 else 1 end")).alias("bad")).collect()}
+        per = {r["horizon"]: r for r in rankings.groupBy("horizon").agg(F.count("*").alias("n"), F.count_distinct("rank").alias("ranks"), F.count_distinct("ticker").alias("t"), F.min("rank").alias("low"), F.max("rank").alias("high"), F.sum(F.when((F.col("market") == market) & F.expr("abs(score) < double('Infinity')"), 0).otherwise(1)).alias("bad")).collect()}
         if one["n"] == 0 and not per:
             return
         if set(per) != set(horizons):

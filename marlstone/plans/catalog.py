@@ -12,6 +12,8 @@ from . import engine, fundamentals, relational, valuation
 from .profiles import PROFILES as PLAIN
 from .profiles_setups import SETUPS
 
+if twice := PLAIN.keys() & SETUPS.keys():
+    raise ValueError(f"profiles registered twice: {sorted(twice)}")
 PROFILES = PLAIN | SETUPS
 
 

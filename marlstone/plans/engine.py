@@ -28,7 +28,12 @@ def snapshot(p: Profile, bars: DataFrame, listings: DataFrame | None = None) ->
     rows = features.aggregate(features.as_of(bars, p.rule), wanted(p))
     passed = rows.filter(" AND ".join(f"({doubles(g)})" for g in p.gates))
     out = passed.select("market", "ticker", F.col("f_close").alias("close"), F.col("f_adjusted_close").alias("adjusted_close"), *[F.expr(f"CAST({doubles(x)} AS DOUBLE)").alias(n) for n, x in p.snapshot.items()])
-    return out.filter(" AND ".join(f"{n} IS NOT NULL" for n in p.snapshot))
+    return out.filter(finite(p))
+
+
+def finite(p: Profile) -> str:
+    """No metric is null, infinite or not a number."""
+    return " AND ".join(doubles(f"coalesce(abs({n}) < 1e300, false)") for n in p.snapshot)
 
 
 def scored(p: Profile, snap: DataFrame) -> DataFrame:
@@ -62,9 +67,8 @@ def rounded(snap: DataFrame) -> DataFrame:
 def snapshot_sql(p: Profile, bars: str) -> str:
     metrics = ", ".join(f"{doubles(cut(f'CAST({x} AS DOUBLE)', places(n)))} AS {n}" for n, x in p.snapshot.items())
     gates = " AND ".join(f"({doubles(g)})" for g in p.gates)
-    full = " AND ".join(f"{n} IS NOT NULL" for n in p.snapshot)
     heads = ", ".join(f"{doubles(cut(f'f_{c}', SNAPSHOT_PLACES))} AS {c}" for c in ("close", "adjusted_close"))
-    return f"WITH f AS ({features.aggregate_sql(bars, p.rule, wanted(p))}), s AS (SELECT market, ticker, {heads}, {metrics} FROM f WHERE {gates}) SELECT * FROM s WHERE {full}"
+    return f"WITH f AS ({features.aggregate_sql(bars, p.rule, wanted(p))}), s AS (SELECT market, ticker, {heads}, {metrics} FROM f WHERE {gates}) SELECT * FROM s WHERE {finite(p)}"
 
 
 def rankings_sql(p: Profile, bars: str) -> str:
@@ -76,9 +80,8 @@ def rankings_sql(p: Profile, bars: str) -> str:
     parts = " UNION ALL ".join(f"SELECT market, '{h}' AS horizon, ticker, {keys}, {doubles(cut(f"CAST({x} AS DOUBLE)", PLACES))} AS score FROM {last}" for h, x in p.horizons.items())
     gates = " AND ".join(f"({doubles(g)})" for g in p.gates)
     metrics = ", ".join(f"CAST({doubles(x)} AS DOUBLE) AS {n}" for n, x in p.snapshot.items())
-    full = " AND ".join(f"{n} IS NOT NULL" for n in p.snapshot)
     return (
-        f"WITH f AS ({features.aggregate_sql(bars, p.rule, wanted(p))}), s0 AS (SELECT market, ticker, f_close AS close, f_adjusted_close AS adjusted_close, {metrics} FROM f WHERE {gates}), s AS (SELECT * FROM s0 WHERE {full}), "
+        f"WITH f AS ({features.aggregate_sql(bars, p.rule, wanted(p))}), s0 AS (SELECT market, ticker, f_close AS close, f_adjusted_close AS adjusted_close, {metrics} FROM f WHERE {gates}), s AS (SELECT * FROM s0 WHERE {finite(p)}), "
         + ", ".join(layers)
         + f", r AS ({parts}) SELECT *, row_number() OVER (PARTITION BY market, horizon ORDER BY score DESC, ticker) AS rank FROM r"
     )

@@ -51,9 +51,9 @@ def ranking_sql(day_added: str) -> str:
     }
     score = weighted((0.6, "score_profitability"), (0.25, "score_cash_generation"), (0.15, "score_balance_sheet"))
     return doubles(f"""
-WITH facts AS ({FACTS_SQL}), latest AS (SELECT market, ticker, max(bar_date) AS last_date FROM {{bars}} GROUP BY market, ticker), run AS (SELECT max(bar_date) AS as_of FROM {{bars}}),
+WITH facts AS ({FACTS_SQL}), latest AS (SELECT market, ticker, max(bar_date) AS last_date FROM {{bars}} GROUP BY market, ticker), run AS (SELECT market, max(last_date) AS as_of FROM latest GROUP BY market),
 s AS (
-  SELECT f.* FROM facts f JOIN latest l ON f.market = l.market AND f.ticker = l.ticker JOIN run r ON l.last_date = r.as_of
+  SELECT f.* FROM facts f JOIN latest l ON f.market = l.market AND f.ticker = l.ticker JOIN run r ON l.market = r.market AND l.last_date = r.as_of
   WHERE datediff_days(r.as_of, {fresh}) <= {STALE_DAYS} AND {' AND '.join(f'f.{x} IS NOT NULL' for x in REQUIRED)} AND revenue_ttm > 0.0 AND total_assets > 0.0 AND shareholders_equity > 0.0 AND total_debt >= 0.0 AND cash_and_cash_equivalents >= 0.0
 ), p AS (SELECT *, {scores}, CASE WHEN free_cash_flow_ttm > 0.0 THEN 100.0 ELSE 0.0 END AS score_positive_fcf FROM s),
 q AS (SELECT *, {', '.join(f'{x} AS {n}' for n, x in parts.items())} FROM p), t AS (SELECT *, {cut(score, PLACES)} AS score FROM q)

@@ -240,6 +240,10 @@ _WEAK = [
     "trend_slope_60d > 0.0 AND trend_slope_60d < 0.0002", "return_60d >= 0.0 AND return_60d < 0.02", "price_vs_sma_50d >= 0.0 AND price_vs_sma_50d < 0.01",
     "price_vs_sma_200d >= 0.0 AND price_vs_sma_200d < 0.02", "sma_50d_vs_sma_200d >= 0.0 AND sma_50d_vs_sma_200d < 0.01",
 ]
+# What failures of the structure cap a score at, with a large drawdown and without.
+HARD_CAPS_LARGE = ((0, 0.65), (1, 0.35), (2, 0.30), (3, 0.25), (4, 0.20), (5, 0.15))
+HARD_CAPS = ((1, 0.40), (2, 0.35), (3, 0.30), (4, 0.25), (5, 0.20))
+
 _SEVERE, _MODERATE, _LARGE = "return_20d > 0.50 OR price_vs_sma_50d > 0.30", "return_20d > 0.30 OR price_vs_sma_50d > 0.20", "max_drawdown_120d <= -0.25"
 _TQ_LAYERS = [
     {
@@ -260,8 +264,7 @@ _TQ_LAYERS = [
         "trend_cleanliness_score": "least(" + weighted((0.35, "score_uptrend_r2_60d"), (0.25, "score_trend_consistency_60d"), (0.25, "score_sma_50d_vs_sma_200d"), (0.15, "score_drawdown_control_120d")) + ", trend_cleanliness_cap_score)",
         "breakout_position_score": weighted((0.4, "score_pct_below_120d_high"), (0.25, "score_return_20d"), (0.2, "score_price_vs_sma_50d"), (0.15, "score_sma_50d_vs_sma_200d")),
         "drawdown_control_score": "score_drawdown_control_120d",
-        # with a large drawdown five failures cap at .15, each failure less adds .05; none: .65; without one, .20 to .40; none: 1
-        "hard_structure_cap_score": f"CASE WHEN weak_structure_fail_count = 0.0 THEN {ladder((_LARGE, 0.65))} ELSE round((40.0 - 5.0 * weak_structure_fail_count + CASE WHEN {_LARGE} THEN 0.0 ELSE 5.0 END) / 100.0, 2) END",
+        "hard_structure_cap_score": ladder(*[(f"({_LARGE}) AND weak_structure_fail_count = {n}.0", v) for n, v in HARD_CAPS_LARGE], *[(f"weak_structure_fail_count = {n}.0", v) for n, v in HARD_CAPS]),
         "trend_magnitude_cap_score": ladder(("weak_structure_fail_count <> 0.0", 1.0), ("weak_positive_structure_count >= 3.0", 0.45), ("weak_positive_structure_count = 2.0", 0.6), ("weak_positive_structure_count = 1.0", 0.75)),
         "penalty_score": penalties(("stale_close_days_20d >= 3.0", 0.1), (_SEVERE, 0.15), (f"NOT ({_SEVERE}) AND ({_MODERATE})", 0.1), *[(c, 0.1) for c in _FAILS])
         + " + CASE WHEN weak_structure_fail_count = 0.0 THEN 0.05 * weak_positive_structure_count ELSE 0.0 END + CASE WHEN trend_slope_60d > 0.0 AND uptrend_r2_60d < 0.50 THEN 0.05 ELSE 0.0 END"

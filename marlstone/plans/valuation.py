@@ -53,8 +53,12 @@ def _growing(g: str) -> str:
 
 
 def dcf(g: str, r: str) -> str:
-    last = _growing(g).replace("{t}", str(YEARS))
-    return f"({_present(_growing(g), r)} + ({last}) * (1.0 + tg) / ({r} - tg) / pow(1.0 + {r}, {YEARS}.0))"
+    """Flows that grow by g, discounted by r, and what follows them: a nested product, as each flow is the one before times q."""
+    q = f"((1.0 + {g}) / (1.0 + {r}))"
+    out = f"(1.0 + (1.0 + tg) / ({r} - tg))"
+    for _ in range(YEARS - 1):
+        out = f"(1.0 + {q} * {out})"
+    return f"(starting_fcf * {q} * {out})"
 
 
 def _two_stage() -> str:
@@ -76,8 +80,9 @@ TARGET = "(price * shares + net_debt)"
 def _bisected(value: str, low: float, high: float, rising: bool) -> str:
     """A root between bounds, or null if both ends lie on one side: value is an expression of x."""
     at = lambda x: value.replace("{x}", x)
-    up = f"({at('((s.lo + s.hi) / 2.0)')}) {'<' if rising else '>'} {TARGET}"
-    fold = f"aggregate(sequence(1, {STEPS}), named_struct('lo', {low}, 'hi', {high}), (s, i) -> named_struct('lo', CASE WHEN {up} THEN (s.lo + s.hi) / 2.0 ELSE s.lo END, 'hi', CASE WHEN {up} THEN s.hi ELSE (s.lo + s.hi) / 2.0 END), s -> (s.lo + s.hi) / 2.0)"
+    mid = "((s.lo + s.hi) / 2.0)"
+    up = f"({at(mid)}) {'<' if rising else '>'} {TARGET}"
+    fold = f"aggregate(sequence(1, {STEPS}), named_struct('lo', {low}, 'hi', {high}), (s, i) -> CASE WHEN {up} THEN named_struct('lo', {mid}, 'hi', s.hi) ELSE named_struct('lo', s.lo, 'hi', {mid}) END, s -> {mid})"
     return f"CASE WHEN ({at(str(low))} - {TARGET}) * ({at(str(high))} - {TARGET}) <= 0.0 THEN {fold} END"
 
 
@@ -90,7 +95,9 @@ SOLUTION = {"reverse_dcf_v1": dcf("{x}", "r"), "implied_discount_rate_v1": dcf("
 
 def value(known: DataFrame, cases: DataFrame) -> DataFrame:
     """ticker, model_id, scenario, enterprise_value, equity_value, value_per_share, spread, solved (the rate found, if the model solves for one)."""
-    rows = known.crossJoin(F.broadcast(cases))  # a few scenarios
+    # solving is the work here, so tickers are spread over all cores however few bytes they have
+    tasks = max(known.sparkSession.sparkContext.defaultParallelism, int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = known.repartition(tasks, "ticker").crossJoin(F.broadcast(cases))  # a few scenarios
     rows = rows.select("*", *[F.expr(doubles(x)).alias(f"s_{m}") for m, x in SOLVED.items()])
     models = [F.struct(F.lit(m).alias("model_id"), F.expr(doubles(x)).alias("ev"), F.lit(None).cast("double").alias("solved")) for m, x in VALUES.items()]
     models += [F.struct(F.lit(m).alias("model_id"), F.expr(doubles(x.replace("{x}", f"s_{m}"))).alias("ev"), F.col(f"s_{m}").alias("solved")) for m, x in SOLUTION.items()]

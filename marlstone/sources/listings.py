@@ -34,7 +34,7 @@ def classified(rows: DataFrame, source_id: str) -> DataFrame:
     """ticker, listing_symbol, exchange_segment, listing_status, instrument_type, source_id of the listed stocks of one file."""
     nasdaq = source_id == "nasdaqlisted"
     is_yes = lambda n: F.upper(F.col(f"`{n}`")) == "Y" if n in rows.columns else F.lit(False)
-    is_no = lambda n: F.upper(F.col(f"`{n}`")) == "N" if n in rows.columns else F.lit(True)
+    is_no = lambda n: F.upper(F.col(f"`{n}`")) == "N" if n in rows.columns else F.lit(False)  # noqa: E731  a missing column is no answer
     symbol = _first_filled(rows, "Symbol") if nasdaq else _first_filled(rows, "NASDAQ Symbol", "ACT Symbol", "CQS Symbol")
     name = F.col("`Security Name`")
     kind = F.when(name.rlike(RECEIPT), "depositary_receipt").when(name.rlike(STOCK), "common_stock")
@@ -63,7 +63,7 @@ def request_symbols(listings: DataFrame) -> DataFrame:
     """What the price feed calls each listing (request_symbol); listings without such a name are left out."""
     t = F.col("ticker")
     us = F.when(t.rlike("^[A-Z0-9]+$"), t).when(t.rlike(r"^[A-Z0-9]+\.[A-Z0-9]+$"), F.regexp_replace(t, r"\.", "-"))
-    tw = F.when(t.rlike("^[A-Z0-9]+$"), F.concat(t, F.when(F.upper("exchange_segment") == "TWSE", ".TW").when(F.upper("exchange_segment") == "TPEX", ".TWO")))
+    tw = F.when(t.rlike("^[A-Z0-9]+$"), F.concat(t, F.when(F.upper("exchange_segment") == "TWSE", ".TW").when(F.upper("exchange_segment") == "TPEX", ".TWO").otherwise(F.raise_error(F.concat(F.lit("unknown exchange segment of "), t)))))
     out = listings.withColumn("request_symbol", F.when(F.col("market") == "US", us).otherwise(tw)).filter("request_symbol is not null")
     if out.groupBy("request_symbol").agg(F.count_distinct("ticker").alias("n")).filter("n > 1").limit(1).collect():
         raise DataError("two listings have one request symbol")
@@ -96,7 +96,8 @@ def table_rows(html: bytes) -> list[list[str]]:
         def handle_endtag(self, tag):
             nonlocal cell
             if tag in ("td", "th") and cell is not None:
-                rows[-1].append(" ".join("".join(cell).split()))
+                if words := " ".join("".join(cell).split()):  # empty cells are no cells
+                    rows[-1].append(words)
                 cell = None
 
         def handle_data(self, data):

@@ -23,16 +23,16 @@ def _pow(base: float, exponent: str) -> str:
     return f"pow({base}, CAST({exponent} AS DOUBLE))"
 
 
-# The closes of each regime on day i before scaling.
+#: The closes of each regime on day i before scaling: our own shapes, each meant to pass some setups' gates and to fail others'.
 CLOSE = {
-    1: f"45.0 + 0.18 * {_I} + 0.55 * sin({_I} / 7.0 + {_PH})",
-    2: f"CASE WHEN i < 190 THEN 45.0 + 0.2 * i ELSE 82.0 + 0.035 * (i - 190) + 1.25 * sin((i - 190) / 4.0 + {_PH}) END",
-    3: f"50.0 * {_pow(1.003, 'least(i, 253)')} * {_pow(0.9975, 'greatest(i - 253, 0)')} * (1.0 + 0.002 * sin(i / 2.0 + {_PH}))",
-    4: f"(52.0 + 0.13 * least(i, 237) + 0.4 * sin(least(i, 237) / 8.0 + {_PH})) * {_pow(0.9925, 'greatest(0, least(i, 274) - 237)')} * {_pow(1.006, 'greatest(0, i - 274)')}",
-    5: f"50.0 * {_pow(1.003, 'least(i, 235)')} * {_pow(0.982, 'greatest(i - 235, 0)')}",
-    6: f"60.0 * {_pow(1.0005, 'i')} * (1.0 + 0.0005 * (i % 2))",
+    1: f"33.0 + 0.24 * {_I} + 0.8 * sin({_I} / 5.0 + {_PH})",  # steady climb
+    2: f"46.0 + 41.0 * (1.0 - {_pow(0.985, 'i')}) + 0.9 * sin(i / 6.0 + {_PH})",  # climb that levels off into a base
+    3: f"36.0 * {_pow(1.0032, 'least(i, 248)')} * {_pow(0.9981, 'greatest(i - 248, 0)')} * (1.0 + 0.003 * sin(i / 3.0 + {_PH}))",  # pullback
+    4: f"(61.0 + 0.1 * least(i, 246) + 0.5 * sin(least(i, 246) / 10.0 + {_PH})) * {_pow(0.9945, 'greatest(0, least(i, 273) - 246)')} * {_pow(1.005, 'greatest(0, i - 273)')}",  # slump that turns
+    5: f"58.0 * {_pow(1.0025, 'least(i, 244)')} * {_pow(0.978, 'greatest(i - 244, 0)')}",  # slump that goes on
+    6: f"72.0 * {_pow(1.0006, 'i')} * (1.0 + 0.0007 * (i % 3))",  # hardly moving
 }
-_ELSE = f"40.0 + 0.08 * {_I} + 0.35 * sin({_I} / 9.0 + {_PH})"
+_ELSE = f"35.0 + 0.07 * {_I} + 0.45 * sin({_I} / 11.0 + {_PH})"
 _RAW = f"CASE {' '.join(f'WHEN {_R} = {r} THEN {x}' for r, x in CLOSE.items())} ELSE {_ELSE} END"
 _SCALE = f"((1.0 + (k % 17) / 20.0) * CASE WHEN {_R} = 12 THEN 0.05 ELSE 1.0 END)"
 

@@ -45,10 +45,30 @@ def test_relational_like_duckdb(spark, con):
         same(spark, con, f"op_{n}")
 
 
+def test_markets_have_their_own_as_of_dates(spark):
+    """A market whose last bar is a day behind another's loses no ticker."""
+    bars = panel.bars(spark, SF)
+    behind = bars.filter("market = 'US' or bar_date < (date '2025-01-01' + 279)")
+    for profile_id in ("sample_price_trend_v1", "trend_quality_v1"):
+        p = catalog.PROFILES[profile_id]
+        for market in ("US", "TW"):
+            alone = engine.snapshot(p, behind.filter(f"market = '{market}'"))
+            both = engine.snapshot(p, behind).filter(f"market = '{market}'")
+            assert sorted(map(repr, both.collect())) == sorted(map(repr, alone.collect())) and alone.count() > 10
+
+
+def test_metrics_that_are_no_numbers_go(spark):
+    bars = panel.bars(spark, SF).filter("ticker in ('P1', 'P2', 'P5')")
+    p = catalog.PROFILES["sample_price_trend_v1"]
+    some = {r["ticker"] for r in engine.snapshot(p, bars).collect()}
+    broken = bars.selectExpr("market", "ticker", "bar_date", "open", "high", "low", "close", "adjusted_close", "case when ticker = 'P1' then double('NaN') else volume end as volume")
+    assert "P1" in some and {r["ticker"] for r in engine.snapshot(p, broken).collect()} == some - {"P1"}
+
+
 def test_features_like_python(spark):
     bars = panel.bars(spark, SF).filter("ticker in ('P1', 'P3', 'P4', 'P9')")
     names = ["return_60d", "volatility_60d", "max_drawdown_120d", "slope_60d", "r2_60d", "sma_200d", "median_range_pct_20d", "days_since_60d_high", "amihud_60d", "above_ma60", "stale_close_59", "downside_std_60d"]
-    got = {r["ticker"]: r for r in features.aggregate(bars, names).collect()}
+    got = {r["ticker"]: r for r in features.aggregate(features.as_of(bars, "A"), names).collect()}
     series = {}
     for r in bars.orderBy("bar_date").collect():
         series.setdefault(r["ticker"], []).append(r)
