@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, discard, hashed_words, keyed, materialise, mix, release, tidy
+from .common import U, discard, hashed_words, keyed, materialise, mix, release, slices, tidy
 from .components import components
 
 ORDERS = 3
@@ -47,28 +47,23 @@ TILE, PACK = 512, 2_048
 
 def shingles(texts: list, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text one after the other, and where each text's begin."""
-    words, first = hashed_words(texts)
-    count = np.diff(first)
-    n = len(words)
-    long = np.zeros(n, np.uint64)
-    if n >= width:
-        s = words[: n - width + 1].copy()
+    out, sizes = [np.zeros(0, np.uint64)], [0]
+    for a, b in slices(texts, 1 << 19):
+        words, first = hashed_words(texts[a:b])
+        n = len(words)
+        long = words[: max(n - width + 1, 0)].copy()
         for k in range(1, width):
-            s = mix(s * U(3) + words[k : n - width + 1 + k])
-        long[: n - width + 1] = s
-    out, at = [], np.zeros(len(texts) + 1, np.int64)
-    for i, (a, c) in enumerate(zip(first, count)):
-        if c >= width:
-            x = np.unique(long[a : a + c - width + 1])
-        elif c:
-            x = np.array([c], np.uint64)
-            for w in words[a : a + c]:
-                x = mix(x * U(5) + w)
-        else:
-            x = np.zeros(0, np.uint64)
-        out.append(x)
-        at[i + 1] = at[i] + len(x)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), at
+            long = mix(long * U(3) + words[k : k + len(long)])
+        for i, c in zip(first.tolist(), np.diff(first).tolist()):
+            if c >= width:
+                out.append(np.unique(long[i : i + c - width + 1]))
+            else:
+                x = np.array([c] if c else [], np.uint64)
+                for w in words[i : i + c]:
+                    x = mix(x * U(5) + w)
+                out.append(x)
+            sizes.append(len(out[-1]))
+    return np.concatenate(out), np.cumsum(sizes)
 
 
 class Chunk:

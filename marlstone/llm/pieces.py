@@ -36,7 +36,7 @@ UNIGRAM, BPE = 1, 2
 CACHE, CACHED_BYTES = 1 << 18, 64
 INFINITE = float("inf")
 #: Characters of text that are cut into chunks at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def load(path: str = MODEL) -> dict:

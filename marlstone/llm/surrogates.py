@@ -24,8 +24,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from .common import release
 
 KEY = b"surrogate-key-1"
 ROUNDS = 6
@@ -302,22 +307,38 @@ def rewritten(text: str | None, key: bytes = KEY) -> tuple[str | None, list[dict
 
 
 SPANS = "array<struct<kind: string, start: int, end: int, new_start: int, new_end: int>>"
+#: Characters of text that are rewritten at once.
+SLICE = 1 << 19
 
 
 def replace(docs: DataFrame, key: bytes = KEY, column: str = "text", spans: str | None = "entities") -> DataFrame:
-    """docs with surrogates in the text column; `spans` names a column of the entities' places, or None for none."""
-
-    @F.pandas_udf(f"text string, spans {SPANS}")
-    def both(texts: pd.Series) -> pd.DataFrame:
-        done = [rewritten(t, key) for t in texts]
-        return pd.DataFrame({"text": pd.Series([t for t, _ in done], dtype=object), "spans": pd.Series([s for _, s in done], dtype=object)})
-
-    names = [c for c in docs.columns if c != spans]
-    fresh = "rewritten"
-    while fresh in docs.columns:
-        fresh += "_"
-    done = docs.withColumn(fresh, both(F.col(f"`{column}`")))
-    return done.select(*[F.col(f"`{fresh}`.text").alias(c) if c == column else F.col(f"`{c}`") for c in names], *([F.col(f"`{fresh}`.spans").alias(spans)] if spans else []))
+    """docs with surrogates in the text column; `spans` names a column of the entities' places (in the place of one of that name), or None for none."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != spans])
+    at = rows.columns.index(column)
+    schema = StructType([StructField(f.name, StringType()) if f.name == column else StructField(f.name, f.dataType) for f in rows.schema])
+    if spans:
+        schema = schema.add(spans, StructType.fromDDL(f"e {SPANS}")["e"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entity = pa.list_(pa.struct([("kind", pa.string()), *[(x, pa.int32()) for x in ("start", "end", "new_start", "new_end")]]))
+        for batch in batches:
+            begin, held, n = 0, 0, batch.column(at)
+            sizes = pc.fill_null(pc.binary_length(n), 0).to_pylist()
+            for i, size in enumerate(sizes):
+                held += size
+                if held < SLICE and i + 1 < len(sizes):
+                    continue
+                part, held = batch.slice(begin, i + 1 - begin), 0
+                done = [rewritten(t, key) for t in part.column(at).to_pylist()]
+                columns = [pa.array([t for t, _ in done], pa.string()) if k == at else c for k, c in enumerate(part.columns)]
+                if spans:
+                    columns.append(pa.array([s for _, s in done], entity))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                begin = i + 1
+        release()
+
+    done = rows.mapInArrow(run, schema)
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns], *([spans] if spans and spans not in docs.columns else []))
 
 
 def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
