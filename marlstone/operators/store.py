@@ -8,26 +8,39 @@ from __future__ import annotations
 
 import functools
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.config import digest
+from marlstone.errors import IntegrityError, NotFound, SchemaMismatch
+
+#: The store's version; a store that was made by another one is refused.
+VERSION = 2
 LOG = "run_id string, market string, profile_id string, status string, created_at timestamp, detail string"
+ARTIFACTS = "run_id string, format string, content string"
+FORMATS = ("markdown", "json")
 CORE = {"run_id", "market", "ticker", "horizon", "close", "adjusted_close", "score", "rank"}
 
 
-class IntegrityError(ValueError):
-    """A run's tables contradict each other."""
-
-
-class NotFound(LookupError):
-    """No such run."""
-
-
 class RunStore:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self._agree()
+
+    def _agree(self) -> None:
+        """A new store gets the version and the digest of its tables' columns; an old one must have the same."""
+        want = (VERSION, digest([LOG, sorted(CORE), ARTIFACTS]))
+        try:
+            held = self.spark.read.parquet(f"{self.path}/version").select("version", "tables").collect()
+        except AnalysisException:  # nothing there yet
+            self.spark.createDataFrame([want], "version int, tables string").coalesce(1).write.mode("ignore").parquet(f"{self.path}/version")
+            return
+        if [tuple(r) for r in held] != [want]:
+            raise SchemaMismatch(f"{self.path} was made by another version")
 
     def _append(self, run_id: str, market: str, profile_id: str, status: str, detail: str = "") -> None:
         row = [(run_id, market, profile_id, status, datetime.now(timezone.utc).replace(tzinfo=None), detail)]
@@ -35,7 +48,10 @@ class RunStore:
 
     def log(self) -> DataFrame:
         """The latest status of each run, and when it began."""
-        log = self.spark.read.schema(LOG).parquet(f"{self.path}/run_log")
+        try:
+            log = self.spark.read.schema(LOG).parquet(f"{self.path}/run_log")
+        except AnalysisException:  # no run yet
+            log = self.spark.createDataFrame([], LOG)
         return log.groupBy("run_id").agg(F.max_by(F.struct("market", "profile_id", "status", "detail"), "created_at").alias("s"), F.min("created_at").alias("created_at")).select("run_id", "s.*", "created_at")
 
     def begin(self, market: str, profile_id: str) -> str:
@@ -54,7 +70,7 @@ class RunStore:
             raise NotFound(f"no run {run_id}")
         return found[0]["status"]
 
-    def commit(self, run_id: str, market: str, profile_id: str, snapshot: DataFrame, rankings: DataFrame, horizons: list[str]) -> None:
+    def commit(self, run_id: str, market: str, profile_id: str, snapshot: DataFrame, rankings: DataFrame, horizons: list[str], artifacts: Callable[[DataFrame, DataFrame], dict[str, str]] | None = None) -> None:
         """Write both tables of a run, check them as written, and make the run visible; on any error it is marked as failed."""
         if self.status(run_id) != "running":
             raise IntegrityError(f"run {run_id} isn't running")
@@ -66,7 +82,11 @@ class RunStore:
                     raise IntegrityError(f"{name}: a number is missing or not finite")
                 packed = df.withColumn("metrics_json", F.to_json(F.struct(*metrics)) if metrics else F.lit("{}")).select(*[c for c in df.columns if c in CORE], "metrics_json")
                 packed.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{self.path}/{name}")
-            self.check(self.table("snapshot", run_id), self.table("rankings", run_id), market, horizons)
+            tables = self.table("snapshot", run_id), self.table("rankings", run_id)
+            self.check(*tables, market, horizons)
+            texts = [(run_id, k, v) for k, v in (artifacts(*tables) if artifacts else {}).items() if k in FORMATS]
+            if texts:
+                self.spark.createDataFrame(texts, ARTIFACTS).coalesce(1).write.mode("append").parquet(f"{self.path}/artifacts")
         except Exception as e:
             self.fail(run_id, market, profile_id, str(e)[:500])
             raise
@@ -92,6 +112,14 @@ class RunStore:
     def table(self, name: str, run_id: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}").filter(F.col("run_id") == run_id)
 
+    def artifact(self, run_id: str, form: str) -> str:
+        """A successful run's report as it was when the run ended."""
+        self.resolve(run_id)
+        found = self.spark.read.schema(ARTIFACTS).parquet(f"{self.path}/artifacts").filter((F.col("run_id") == run_id) & (F.col("format") == form)).limit(2).collect()
+        if len(found) != 1:
+            raise IntegrityError(f"run {run_id} has {len(found)} reports in {form}")
+        return found[0]["content"]
+
     def latest(self, market: str, profile_id: str | None = None) -> str:
         runs = self.log().filter((F.col("status") == "successful") & (F.col("market") == market))
         if profile_id:

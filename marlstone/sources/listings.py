@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.errors import DataError
+
 # Words in a security's name that leave it out, that make it a depositary receipt, and that make it a common stock.
 NOT_STOCK = r"(?i)\bwarrants?\b|\bunits?\b|\brights?\b|\bpreferred\s+(stock|shares?)\b|\bpreference\s+shares?\b|\bdepositary\s+shares?.*\bpreferred\s+stock\b"
 RECEIPT = r"(?i)\bADR\b|\bADS\b|AMERICAN DEPOSITARY RECEIPTS?|AMERICAN DEPOSITARY SHARES?"
@@ -12,10 +14,6 @@ STOCK = r"(?i)common stock|ordinary shares|common shares"
 FOOTER = "file creation time"
 
 
-class DataError(ValueError):
-    """Input that contradicts itself."""
-
-
 def read_pipes(spark: SparkSession, path: str) -> DataFrame:
     """All columns as trimmed strings; rows with a cell that begins like the footer are left out."""
     raw = spark.read.option("sep", "|").option("header", True).csv(path)
