@@ -9,7 +9,7 @@ _ORDERS = "SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (PARTIT
 
 SQL: dict[str, str] = {
     "semi_join_listed": "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_mktsegment = 'BUILDING')",
-    "anti_join_unlisted": "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)",
+    "anti_join_unlisted": "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)",
     "equi_join_latest": f"SELECT c.c_custkey, c.c_name, o.o_orderkey FROM {{customer}} c JOIN ({_ORDERS}) o ON o.o_custkey = c.c_custkey WHERE o.rn = 1",
     "left_lookup": "SELECT c.c_custkey, n.n_name FROM {customer} c LEFT JOIN {nation} n ON c.c_nationkey = n.n_nationkey AND n.n_regionkey = 1",
     "full_outer_difference": "SELECT s.s_nationkey AS left_key, c.c_nationkey AS right_key FROM (SELECT DISTINCT s_nationkey FROM {supplier} WHERE s_acctbal > 5000) s FULL OUTER JOIN (SELECT DISTINCT c_nationkey FROM {customer} WHERE c_acctbal > 9000) c ON s.s_nationkey = c.c_nationkey",
