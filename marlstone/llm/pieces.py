@@ -20,6 +20,7 @@ says whether decoding gives the normalised text again (with the identity normali
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -292,7 +293,7 @@ class Transducer:
         ids = self.cache.get(chunk)
         if ids is None:
             s = chunk.decode("utf-8", "surrogatepass")
-            ids = np.array(self.path(s.replace(" ", SPACE) if self.escape else s), np.int32).tobytes()
+            ids = array("i", self.path(s.replace(" ", SPACE) if self.escape else s)).tobytes()
             if len(chunk) <= CACHED_BYTES:
                 if len(self.cache) >= CACHE:
                     self.cache.clear()
@@ -319,7 +320,7 @@ class Transducer:
         code, different = pd.factorize(byte_hash(data, start, end))
         first = np.empty(len(different), np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
-        found = [self.remembered(body[start[i] : end[i]]) for i in first]
+        found = [self.remembered(body[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist())]
         size = np.array([len(x) for x in found], np.int64) // 4
         at, flat = np.cumsum(size) - size, np.frombuffer(b"".join(found), np.int32)
         n = size[code]
