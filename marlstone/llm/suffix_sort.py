@@ -1,14 +1,19 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, over whole numpy arrays.
 
-Induction goes through the buckets of the bytes in order. All suffixes that wait in a bucket are taken at once; those that
-they induce are dealt to their buckets by a stable sort of bytes. A suffix induced into the same bucket waits for the
-next round, so a bucket takes as many rounds as its longest run of one byte, and all of it is linear in the text.
+Induction over bytes goes through the buckets of the bytes in order. All suffixes that wait in a bucket are taken at once;
+those that they induce are dealt to their buckets by a stable sort of bytes. A suffix induced into the same bucket waits
+for the next round, so a bucket takes as many rounds as its longest run of one byte, and all of it is linear in the text.
+The names of leftmost-smaller substrings are a shorter text, sorted by recursion; its buckets are many and short, so they
+are induced entry by entry.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Alphabets of fewer letters are induced by whole buckets, others entry by entry; both give the same.
+FEW = 256
+
 
 def _types(s: np.ndarray) -> np.ndarray:
     """True for suffixes that are smaller than the next one, by run: a run has the type of its last member. The end of the text is smaller than all."""
@@ -30,9 +35,9 @@ def _deal(sa: np.ndarray, place: np.ndarray, items: np.ndarray, byte: np.ndarray
     place += step * count
 
 
-def induced(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The suffix array from leftmost-smaller suffixes in order; from such in any order, one sorted by leftmost-smaller substrings."""
-    n, count = len(s), np.bincount(s, minlength=256)
+def _by_bucket(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Induction over an alphabet of few letters: whole buckets at once."""
+    n, count = len(s), np.bincount(s, minlength=FEW)
     end = np.cumsum(count)
     start = end - count
     sa = np.full(n, -1, np.int32)
@@ -74,24 +79,38 @@ def induced(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return sa
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """The suffix array of a text of many different names: ranks of ever longer prefixes, by pairs."""
-    n, rank, k = len(names), names.astype(np.int64), 1
-    while True:
-        ahead = np.full(n, -1, np.int64)
-        ahead[: n - k] = rank[k:]
-        key = rank * (n + 1) + ahead + 1
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        k *= 2
+def _by_entry(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Induction over an alphabet of many letters, whose buckets are short: entry by entry."""
+    n, end = len(s), np.cumsum(np.bincount(s))
+    head, tail = np.concatenate([[0], end[:-1]]).tolist(), end.tolist()
+    text, kind, sa = s.tolist(), small.tolist(), [-1] * n
+    for i in reversed(lms.tolist()):
+        tail[text[i]] -= 1
+        sa[tail[text[i]]] = i
+    sa[head[text[-1]]] = n - 1  # what the end induces
+    head[text[-1]] += 1
+    for i in sa:  # sees what it writes ahead of itself
+        if i > 0 and not kind[i - 1]:
+            c = text[i - 1]
+            sa[head[c]] = i - 1
+            head[c] += 1
+    tail = end.tolist()
+    for at in range(n - 1, -1, -1):
+        i = sa[at]
+        if i > 0 and kind[i - 1]:
+            c = text[i - 1]
+            tail[c] -= 1
+            sa[tail[c]] = i - 1
+    return np.array(sa, np.int32)
+
+
+def induced(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The suffix array from leftmost-smaller suffixes in order; from such in any order, one sorted by leftmost-smaller substrings."""
+    return (_by_bucket if s.max() < FEW else _by_entry)(s, small, lms)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Of a uint8 text; a suffix that is a prefix of another comes first."""
+    """Of a text of whole numbers from 0; a suffix that is a prefix of another comes first."""
     n = len(s)
     if n < 2:
         return np.arange(n, dtype=np.int32)
@@ -115,8 +134,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         name[order] = np.concatenate([[0], np.cumsum(~same)])
         names = name[lms]
         if names.max() + 1 < len(lms):
-            # names under 256 make a text of bytes, which is sorted in the same way again; more names are sorted by doubling
-            lms = lms[suffix_array(names.astype(np.uint8)) if names.max() < 256 else _doubled(names)]
+            lms = lms[suffix_array(names.astype(np.uint8 if names.max() < FEW else np.int32))]
         else:
             lms = order
     return induced(s, small, lms)

@@ -248,6 +248,20 @@ def test_suffix_array():
             assert common[r] == h
 
 
+def test_suffix_array_of_many_letters():
+    """Alphabets beyond a byte are induced entry by entry, and texts whose reduced text is one are sorted by recursion."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 50, 400):
+        for letters in (2, 5, 40):
+            s = rng.integers(0, letters, n) * 100
+            s[n // 2 :] = s[: n - n // 2]
+            assert suffix_array(s.astype(np.int32)).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
+    raw = rng.integers(97, 123, 20_000).astype(np.uint8)
+    raw[10_000:15_000] = raw[:5_000]
+    whole = raw.tobytes()
+    assert suffix_array(raw).tolist() == sorted(range(len(raw)), key=lambda i: whole[i:])
+
+
 def test_nearest(spark):
     x = RNG.normal(size=(600, 24))
     x[50:90] = x[0]
