@@ -7,7 +7,7 @@ least hash; so equal windows have equal minimizers, at equal places.
 1. Each text falls into segments, runs of windows with one minimizer. A segment is sent on as a hash of its minimizer, a
    hash of its bytes, and its place. Of equal segments of a batch only the first is sent; the others' windows all start
    earlier there. What is sent is packed by ranges of minimizers, not by document, so a passage that a third of all
-   documents share is one entry a batch.
+   documents share is one entry a batch; the places of the batch's other copies are marked, and dealt by batch.
 2. In a pack, all but the first of equal segments are marked as repeated. Minimizers with segments of different bytes
    remain: their windows may be equal in part.
 3. For those, the bytes are fetched and cut once more, by whether LEFT bytes before the minimizer or those after it are
@@ -93,7 +93,7 @@ MARK, OPEN = 0, 1
 
 
 def sent(batches: Iterator[pa.RecordBatch], packs: int) -> Iterator[pa.RecordBatch]:
-    """Packed segments (pack, minimizers, contents, docs, places, repeated) of slices of (doc_id, text)."""
+    """Packed segments (pack, minimizers, contents, docs, places) of slices of (doc_id, text); places of repeated ones come without the first two."""
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_pylist()
         for a, b in slices(texts, SLICE):
@@ -105,13 +105,18 @@ def sent(batches: Iterator[pa.RecordBatch], packs: int) -> Iterator[pa.RecordBat
             repeated = np.ones(len(of), bool)
             repeated[order] = ~first
             pack = ((mix(gram) >> U(32)) * U(packs) >> U(32)).astype(np.int64)  # minimizers are small hashes: mixed again, they spread
-            order = np.lexsort((where, doc, repeated, pack))
-            ends = np.searchsorted(pack[order], np.arange(packs + 1))
-            rows = []
-            for p in np.flatnonzero(np.diff(ends)):
-                k = order[ends[p] : ends[p + 1]]
-                new = k[~repeated[k]]
-                rows.append((int(p), gram[new].astype(np.uint32).tobytes(), content[new].tobytes(), zlib.compress(np.diff(doc[k], prepend=0).tobytes(), 1), zlib.compress(where[k].tobytes(), 1)))
+            new = np.flatnonzero(~repeated)
+            new = new[np.lexsort((where[new], doc[new], pack[new]))]
+            ends = np.searchsorted(pack[new], np.arange(packs + 1))
+            rows = [(p, new[ends[p] : ends[p + 1]], True) for p in np.flatnonzero(np.diff(ends)).tolist()]
+            again = np.flatnonzero(repeated)
+            if len(again):  # settled already: dealt by slice, so that a segment of many documents fills no pack
+                again = again[np.lexsort((where[again], doc[again]))]
+                rows.append((int(mix(doc[again[:1]].astype(np.uint64))[0] % U(packs)), again, False))
+            rows = [
+                (p, *((gram[k].astype(np.uint32).tobytes(), content[k].tobytes()) if fresh else (b"", b"")), zlib.compress(np.diff(doc[k], prepend=0).tobytes(), 1), zlib.compress(where[k].tobytes(), 1))
+                for p, k, fresh in rows
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["pack", "grams", "contents", "docs", "places"])
 
 
