@@ -255,11 +255,11 @@ def test_suffix_array_of_many_letters():
         for letters in (2, 5, 40):
             s = rng.integers(0, letters, n) * 100
             s[n // 2 :] = s[: n - n // 2]
-            assert suffix_array(s.astype(np.int32)).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
+            assert suffix_sort.suffix_array(s.astype(np.int32)).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
     raw = rng.integers(97, 123, 20_000).astype(np.uint8)
     raw[10_000:15_000] = raw[:5_000]
     whole = raw.tobytes()
-    assert suffix_array(raw).tolist() == sorted(range(len(raw)), key=lambda i: whole[i:])
+    assert suffix_sort.suffix_array(raw).tolist() == sorted(range(len(raw)), key=lambda i: whole[i:])
 
 
 def test_nearest(spark):
