@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as configuration
 from . import output
-from .errors import DataError, Invalid, MarlstoneError, NotFound
+from .errors import Invalid, MarlstoneError, NotFound
 from .locking import writer
 from .operators.store import RunStore, markdown
 from .plans import assumptions, contract, engine, valuation
 from .plans.catalog import PROFILES
+from .sources import live
 from .sources.bundle import Bundle
 
 
@@ -30,10 +33,8 @@ def _profile(profile_id: str):
 
 def run(spark: SparkSession, cfg: configuration.Config, market: str, profile_id: str) -> str:
     """One profile's run over one market: snapshot, rankings and reports, visible only when all of it is written."""
-    if cfg["data_mode"] != "fixture":
-        raise DataError("live data need a connection; give a bundle of files (data_mode: fixture)")
     p, store = _profile(profile_id), RunStore(spark, cfg["duckdb_path"])
-    data = Bundle(spark, cfg["fixture_dir"]).load(market)
+    data = live.load(live.REGISTRY, cfg, market, datetime.now(timezone.utc)) if cfg["data_mode"] == "live" else Bundle(spark, cfg["fixture_dir"]).load(market)
     run_id = store.begin(market, profile_id)
     about = {"run_id": run_id, "market": market, "profile_id": profile_id, "as_of": data.run_latest_bar_date, "provider_hash": configuration.digest(cfg.provider_payload(False)), "ranking_hash": configuration.digest({"profile": profile_id})}
     horizons = list(p.horizons)
@@ -110,6 +111,7 @@ def as_text(found: dict) -> str:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     top = argparse.ArgumentParser(prog="marlstone")
     top.add_argument("--config", default="config.yaml")
+    top.add_argument("--providers", help="a module whose register(registry) adds the providers of live runs")
     commands = top.add_subparsers(dest="command", required=True)
     b = commands.add_parser("batch")
     b.add_argument("market")
@@ -131,6 +133,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = top.parse_args(argv)
     try:
         cfg = configuration.load(args.config)
+        if args.providers:
+            importlib.import_module(args.providers).register(live.REGISTRY)
         spark = spark or session()
         if args.command == "batch":
             print("\n".join(batch(spark, cfg, args.market, args.ranking_profile)))

@@ -3,14 +3,16 @@
 import copy
 import json
 import math
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta, timezone
 
+import numpy as np
+import pandas as pd
 import pytest
 import yaml
 
 from marlstone import cli, config, errors, locking, output
 from marlstone.plans import assumptions, catalog, contract, valuation
-from marlstone.sources import bundle
+from marlstone.sources import bundle, live
 
 DAYS = 280
 LAST = date(2025, 1, 1) + timedelta(DAYS - 1)
@@ -146,6 +148,66 @@ def test_wide_bars(spark):
     assert [(r["ticker"], r["bar_date"], r["close"], r["open"]) for r in got] == [("A", date(2025, 1, 1), 1.0, 2.0)]
 
 
+def feed():
+    """Made inside a function, so that executors get it by value."""
+
+    def answer(symbols, first, end):
+        """A feed: a day of bars before `end` for all but GONE, one of them without a volume, and a row that has no date."""
+        symbols = [s for s in symbols if s != "GONE"]
+        columns = pd.MultiIndex.from_product([list(live.FIELDS), symbols])
+        wide = pd.DataFrame(np.full((3, len(columns)), 2.0), index=[str(first), str(end - timedelta(1)), "no date"], columns=columns)
+        if "B-C" in symbols:
+            wide.loc[str(first), ("Volume", "B-C")] = np.nan
+        return wide.swaplevel(axis=1) if len(symbols) % 2 else wide
+
+    return answer
+
+
+def live_config(**live_keys):
+    return config.parse(CONFIG | {"data_mode": "live", "live": CONFIG["live"] | live_keys})
+
+
+@pytest.fixture
+def registry(spark, tmp_path):
+    held = live.Registry()
+    rows = [("US", t, "NASDAQ") for t in ("D", "A", "B.C", "X^Y", "GONE")]
+    held.register("listings", "a", lambda cfg: lambda market: spark.createDataFrame(rows, "market string, ticker string, exchange_segment string"), ("us",))
+    held.register("bars", "c", lambda cfg: live.BarFeed(feed(), cfg["live.yfinance.batch_size"], str(tmp_path / "bars")))
+    return held
+
+
+STARTED = datetime(2025, 6, 2, 2, tzinfo=timezone.utc)  # still the first of June in New York
+
+
+@pytest.mark.parametrize("size", (1, 5))
+def test_live_run(registry, size):
+    data = live.load(registry, live_config(yfinance={"batch_size": size}), "US", STARTED)
+    last, first = date(2025, 6, 1), date(2025, 6, 1) - timedelta(420)
+    got = {(r["ticker"], r["bar_date"]) for r in data.bars.collect()}
+    assert got == {("A", first), ("A", last), ("D", first), ("D", last), ("B.C", last)}
+    assert data.run_latest_bar_date == last and data.metadata["market_timezone"] == "America/New_York" and data.fundamentals is None
+    assert [r["ticker"] for r in data.listings.collect()] == ["A", "B.C", "D", "GONE", "X^Y"]
+
+
+def test_live_limit_and_silence(registry, spark, tmp_path):
+    data = live.load(registry, live_config(ticker_limit=1), "US", STARTED)
+    assert {r["ticker"] for r in data.bars.collect()} == {"A"}
+    silent = live.BarFeed(lambda *_: pd.DataFrame(), 2, str(tmp_path / "none"))
+    with pytest.raises(errors.DataError):
+        silent.bars(data.listings, date(2025, 6, 1))
+
+
+def test_registry(registry):
+    assert registry.ids("bars", "TW") == ["c"] and registry.ids("listings", "TW") == []
+    for kind, name in (("bars", "c"), ("news", "x"), ("bars", " ")):
+        with pytest.raises(errors.Invalid):
+            registry.register(kind, name, lambda cfg: None)
+    with pytest.raises(errors.Invalid):
+        registry.make("listings", "a", "TW", live_config())
+    with pytest.raises(errors.NotFound):
+        registry.make("fundamentals", "a", "US", live_config())
+
+
 def test_contract(spark):
     for profile_id, lenient in (("sample_price_trend_v1", True), ("trend_quality_v1", False)):
         p = catalog.PROFILES[profile_id]
