@@ -134,7 +134,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         cfg = configuration.load(args.config)
         if args.providers:
-            importlib.import_module(args.providers).register(live.REGISTRY)
+            try:
+                module = importlib.import_module(args.providers)
+            except ModuleNotFoundError as e:
+                raise Invalid(f"there is no module {e.name}") from e
+            module.register(live.REGISTRY)
         spark = spark or session()
         if args.command == "batch":
             print("\n".join(batch(spark, cfg, args.market, args.ranking_profile)))

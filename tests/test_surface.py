@@ -208,6 +208,18 @@ def test_registry(registry):
         registry.make("fundamentals", "a", "US", live_config())
 
 
+def test_live_command(spark, tmp_path, monkeypatch, capsys):
+    """--providers fills the registry; ids that nobody registers, and modules that aren't there, end with their codes."""
+    monkeypatch.setattr(live, "REGISTRY", live.Registry())
+    (tmp_path / "made_providers.py").write_text("def register(registry):\n    registry.register('listings', 'a', lambda cfg: None)\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    (tmp_path / "c.yaml").write_text(yaml.safe_dump(CONFIG | {"data_mode": "live", "duckdb_path": str(tmp_path / "store"), "lock_path": str(tmp_path / "lock"), "fixture_dir": "none"}))
+    call = lambda module: cli.main(["--config", str(tmp_path / "c.yaml"), "--providers", module, "batch", "US"], spark)
+    assert call("no_such_providers") == 1
+    assert call("made_providers") == 2 and live.REGISTRY.ids("listings", "US") == ["a"]
+    assert "no provider of bars named c" in capsys.readouterr().err
+
+
 def test_contract(spark):
     for profile_id, lenient in (("sample_price_trend_v1", True), ("trend_quality_v1", False)):
         p = catalog.PROFILES[profile_id]
