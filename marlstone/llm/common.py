@@ -236,3 +236,15 @@ def tidy(f: Callable) -> Callable:
         return out
 
     return once
+
+
+# ---------------------------------------------------------------- CRC-32 in DuckDB, for oracles
+
+#: A one-row table whose column crc_table is the table of CRC-32, built by its rule.
+CRC_TABLE_SQL = """(SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS crc_table FROM range(256) r(i))"""
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, in DuckDB; crc_table must be in scope."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: CAST('0x' || p AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, crc_table[xor(c & 255, b) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"

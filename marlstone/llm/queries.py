@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, mixing, ngram_join, pieces, quality_rules, repeats, sharding, surrogates, toxicity, warc
+from . import ann, conversations, importance, mixing, ngram_join, pieces, quality_rules, repeats, sharding, surrogates, token_counts, toxicity, warc
 from .common import table
 
 
@@ -51,8 +51,20 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(conversations.repair(conversations.damage(table(spark, sf_dir, "conversations"))))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), token_counts.model_file("byte_bpe_50k.json"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_quality_rules, op3_toxicity, op4_repeats, op5_nearest, op6_sharding, op7_mixing, op8_warc, op9_surrogates, op10_pieces)
+    for f in (op1_ngram_join, op2_quality_rules, op3_toxicity, op4_repeats, op5_nearest, op6_sharding, op7_mixing, op8_warc, op9_surrogates, op10_pieces, op11_conversations, op12_token_counts, op13_importance)
 }
-SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op7_mixing": mixing.SQL, "op8_warc": warc.SQL}
+SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op7_mixing": mixing.SQL, "op8_warc": warc.SQL, "op11_conversations": conversations.SQL, "op13_importance": importance.SQL}
