@@ -2,8 +2,8 @@
 
 Each kind of entity is a set of values of one format (the same letters' classes, digits and punctuation in the same
 places), numbered by mixed radix. A keyed permutation of that set, s = P(P'(x) + step), maps an entity to its surrogate;
-P is a Feistel network over the numbers, walked on until it stays within the set. As it is a permutation without fixed
-points, equal entities have equal surrogates in every document and task (coreference), different ones have different
+P is a Feistel network over the numbers, walked on until it stays within the set, and step has no divisor in common with the set's
+size, so s is one cycle. As it is a permutation without fixed points, equal entities have equal surrogates in every document and task (coreference), different ones have different
 surrogates (no collisions), and none is its own; nothing has to be gathered, so one pass over the texts does, without a
 shuffle. Replacements of a document are checked all the same: should one equal its entity, or two entities of a kind meet
 in one surrogate, other keys are tried in turn. collisions() looks for such meetings over a whole table.
@@ -20,6 +20,7 @@ table gives an empty result; whole texts are searched. replace() keeps all other
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -56,7 +57,7 @@ def _feistel(x: int, half: int, key: bytes, label: bytes, back: bool) -> int:
 
 
 def permute(x: int, size: int, key: bytes, label: str) -> int:
-    """A keyed permutation of 0..size-1 without fixed points (if size is over 1)."""
+    """A keyed permutation of 0..size-1 in one cycle, so without fixed points (if size is over 1)."""
     if size < 2:
         return x
     half = max(1, ((size - 1).bit_length() + 1) // 2)
@@ -69,6 +70,8 @@ def permute(x: int, size: int, key: bytes, label: str) -> int:
         return v
 
     step = 1 + int.from_bytes(hashlib.blake2b(tag, key=key, digest_size=8).digest(), "big") % (size - 1)
+    while math.gcd(step, size) > 1:  # one cycle through all numbers: a walk that starts in a subset meets all of it before it comes back
+        step = step % (size - 1) + 1
     return walk((walk(x, True) + step) % size, False)
 
 
@@ -90,7 +93,7 @@ CLASSES = [
     "0123456789",
     "aeiou", "AEIOU", "bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ",
     "áàâäãåéèêëíìîïóòôöõúùûü", "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜ",
-    "аеиоуыэюя", "АЕИОУЫЭЮЯ", "бвгджзклмнпрстфхцчшщ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ",
+    "аеёиоуыэюя", "АЕЁИОУЫЭЮЯ", "бвгджзйклмнпрстфхцчшщ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ",
     "αεηιουω", "ΑΕΗΙΟΥΩ", "βγδζθκλμνξπρστφχψ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
 ]
 PLACE = {c: (k, i) for k, cs in enumerate(CLASSES) for i, c in enumerate(cs)}
@@ -222,15 +225,26 @@ def secret(m: re.Match, key: bytes) -> str:
 ENDING = re.compile("(?:ская|ский|цкая|цкий|ова|ева|ина|ов|ев|ин|[aeioаяйеи])$")
 
 
+def split_name(word: str) -> tuple[str, str]:
+    """A name's stem and its ending that tells a gender (nothing, if the stem would be a single letter)."""
+    m = ENDING.search(word)
+    return (word[: m.start()], m[0]) if m and m.start() > 1 else (word, "")
+
+
 def name_word(word: str, key: bytes) -> str:
+    """A listed name becomes one of its list; another one a word that is not listed and splits into a stem of the same shape and the same ending.
+
+    These words are a subset of the stems of that shape, and the word itself is one of them. The permutation of the shape is one cycle, so walking on
+    to the next word of the subset is a cycle through the subset: it ends, different names stay different, and only a name that is alone in
+    its subset (no letter of it has a class) stays itself.
+    """
     if word in LISTED:
         names = NAMES[LISTED[word]]
         return names[permute(names.index(word), len(names), key, "given" + "".join(LISTED[word]))]
-    m = ENDING.search(word)
-    stem, ending = (word[: m.start()], m[0]) if m and m.start() > 1 else (word, "")
-    while True:  # a walk along the permutation's cycle is a permutation of what lies outside the lists (and has no longer ending)
+    stem, ending = split_name(word)
+    while True:
         stem = shape(stem, key, "name" + ending)
-        if stem + ending not in LISTED and ((n := ENDING.search(stem + ending)) is None) == (not ending) and (n is None or n[0] == ending):
+        if split_name(stem + ending) == (stem, ending) and stem + ending not in LISTED:
             return stem + ending
 
 
