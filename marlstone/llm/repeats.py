@@ -1,11 +1,11 @@
 """Removal of repeated byte strings by suffix arrays of shards.
 
 A byte is removed if a string of LENGTH bytes covers it that also starts earlier: in a document of smaller doc_id, or in
-the same one further ahead. Every such string (window) is told by its minimizer, the GRAM-byte string within it of the
+the same one further ahead. Every row is a document; rows of one doc_id come in the order of their places. Every such string (window) is told by its minimizer, the GRAM-byte string within it of the
 least hash; so equal windows have equal minimizers, at equal places.
 
-1. Each text falls into segments, runs of windows with one minimizer. A segment is sent on as a hash of its minimizer, a
-   hash of its bytes, and its place. Of equal segments of a batch only the first is sent; the others' windows all start
+1. Each text falls into segments, runs of windows with one minimizer. A segment is sent on as a hash of its minimizer, 96
+   bits of two independent hashes of its bytes, and its place. Of equal segments of a batch only the first is sent; the others' windows all start
    earlier there. What is sent is packed by ranges of minimizers, not by document, so a passage that a third of all
    documents share is one entry a batch; the places of the batch's other copies are marked, and dealt by batch.
 2. In a pack, all but the first of equal segments are marked as repeated. Minimizers with segments of different bytes
@@ -16,23 +16,24 @@ least hash; so equal windows have equal minimizers, at equal places.
    and all but the first are marked.
 4. The marked windows are merged to runs, which are cut from the texts.
 
-Defined cases: a null text is empty; texts of fewer than LENGTH bytes are kept whole; doc_id identifies a document, so
-rows that repeat both doc_id and text are one document and each gives its own equal result; rows without doc_id are kept
-whole and take no part; an empty table gives an empty result; other columns are neither read nor returned by digest().
+Defined cases: a null text is empty; texts of fewer than LENGTH bytes are kept whole; rows that repeat a doc_id are told apart by
+file and place in it, with the same text or another, so the later copy of a row goes; rows without doc_id come
+last, in order of place; an empty table gives an empty result; other columns are neither read nor returned by digest().
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, joined, materialise, mix, prefix_hash, slices, span_hash
+from .common import U, discard, filed, joined, materialise, mix, prefix_hash, slices, span_hash
 from .suffix_sort import common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 24
@@ -45,6 +46,10 @@ BATCH_ROWS = 512
 SLICE = 1 << 19
 
 
+#: Bytes in another order, for a second hash that is independent of the first.
+OTHER = np.random.default_rng(77).permutation(256).astype(np.uint8)
+
+
 def _least_ahead(key: np.ndarray, width: int) -> np.ndarray:
     """For each place the least of the `width` keys from there on."""
     done = 1
@@ -55,11 +60,11 @@ def _least_ahead(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(texts: list) -> tuple[np.ndarray, ...]:
-    """Of all texts: text number, start, length, the minimizer's place from the start, its hash, and the hash of the bytes."""
+    """Of all texts: text number, start, length, the minimizer's place from the start, its hash, and two hashes of the bytes."""
     data, at = joined(texts)
     n = len(data)
     if n < LENGTH + 1:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(3))
     prefix = prefix_hash(data)
     grams = span_hash(prefix, np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
     bits = U(n.bit_length())
@@ -72,7 +77,8 @@ def segments(texts: list) -> tuple[np.ndarray, ...]:
     run = np.cumsum(begins) - 1
     size = np.bincount(run[inside], minlength=len(first)) + LENGTH - 1
     of = text[first]
-    return of, first - at[of], size, anchor[first] - first, grams[anchor[first]], span_hash(prefix, first, first + size)
+    other = span_hash(prefix_hash(OTHER[data]), first, first + size)
+    return of, first - at[of], size, anchor[first] - first, grams[anchor[first]], span_hash(prefix, first, first + size), other
 
 
 def place(start: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -80,101 +86,94 @@ def place(start: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> np.ndarray
     return start.astype(np.int64) << 16 | size << 8 | anchor
 
 
-def _firsts(content: np.ndarray, doc: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries in order of content and place; which are first of their content (or the same place as the first)."""
-    order = np.lexsort((where, doc, content))
-    c, d, w = content[order], doc[order], where[order]
-    new = np.concatenate([[True], c[1:] != c[:-1]]) if len(c) else np.zeros(0, bool)
-    head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(c) else np.zeros(0, np.int64)
-    return order, new | ((d == d[head]) & (w == w[head]))
+def _firsts(content: np.ndarray, other: np.ndarray, doc: np.ndarray, row: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries in order of content and place; which are first of their content."""
+    order = np.lexsort((where, row, doc, other, content))
+    c, o = content[order], other[order]
+    return order, np.concatenate([[True], (c[1:] != c[:-1]) | (o[1:] != o[:-1])]) if len(c) else np.zeros(0, bool)
 
 
 MARK, OPEN = 0, 1
 
 
 def sent(batches: Iterator[pa.RecordBatch], packs: int) -> Iterator[pa.RecordBatch]:
-    """Packed segments (pack, minimizers, contents, docs, places) of slices of (doc_id, text); places of repeated ones come without the first two."""
+    """Packed segments (pack, minimizers, contents, docs, rows, places) of slices of (doc, row, text); places of repeated ones come without the first two."""
     for batch in batches:
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_pylist()
+        ids, keys = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+        texts = batch.column(2).to_pylist()
         for a, b in slices(texts, SLICE):
-            of, start, size, anchor, gram, content = segments(texts[a:b])
+            of, start, size, anchor, gram, content, other = segments(texts[a:b])
             if not len(of):
                 continue
-            doc, where = ids[a:b][of], place(start, size, anchor)
-            order, first = _firsts(content, doc, where)
+            doc, key, where, other = ids[a:b][of], keys[a:b][of], place(start, size, anchor), (other >> U(32)).astype(np.uint32)
+            order, first = _firsts(content, other, doc, key, where)
             repeated = np.ones(len(of), bool)
             repeated[order] = ~first
             pack = ((mix(gram) >> U(32)) * U(packs) >> U(32)).astype(np.int64)  # minimizers are small hashes: mixed again, they spread
             new = np.flatnonzero(~repeated)
-            new = new[np.lexsort((where[new], doc[new], pack[new]))]
+            new = new[np.lexsort((where[new], key[new], doc[new], pack[new]))]
             ends = np.searchsorted(pack[new], np.arange(packs + 1))
             rows = [(p, new[ends[p] : ends[p + 1]], True) for p in np.flatnonzero(np.diff(ends)).tolist()]
             again = np.flatnonzero(repeated)
             if len(again):  # settled already: dealt by slice, so that a segment of many documents fills no pack
-                again = again[np.lexsort((where[again], doc[again]))]
+                again = again[np.lexsort((where[again], key[again], doc[again]))]
                 rows.append((int(mix(doc[again[:1]].astype(np.uint64))[0] % U(packs)), again, False))
+            deltas = lambda x: zlib.compress(np.diff(x, prepend=0).tobytes(), 1)
             rows = [
-                (p, *((gram[k].astype(np.uint32).tobytes(), content[k].tobytes()) if fresh else (b"", b"")), zlib.compress(np.diff(doc[k], prepend=0).tobytes(), 1), zlib.compress(where[k].tobytes(), 1))
+                (p, *((gram[k].astype(np.uint32).tobytes(), content[k].tobytes(), other[k].tobytes()) if fresh else (b"", b"", b"")), deltas(doc[k]), deltas(key[k]), zlib.compress(where[k].tobytes(), 1))
                 for p, k, fresh in rows
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["pack", "grams", "contents", "docs", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 6))], ["pack", "grams", "contents", "others", "docs", "rows", "places"])
 
 
-PACKED = "pack int, grams binary, contents binary, docs binary, places binary"
-FOUND = "kind int, doc long, place long"
+PACKED = "pack int, grams binary, contents binary, others binary, docs binary, rows binary, places binary"
+FOUND = "kind int, doc long, row long, place long"
 
 
 def settled(rows: pa.Table) -> pa.Table:
     """Of a pack: places of repeated segments (MARK), and first places of segments whose minimizers have others (OPEN)."""
-    gram, content, doc, where, marks = [], [], [], [], []
-    for g, c, d, w in zip(*(rows[x].to_pylist() for x in ("grams", "contents", "docs", "places"))):
-        g, c = np.frombuffer(g, np.uint32), np.frombuffer(c, np.uint64)
-        d, w = np.cumsum(np.frombuffer(zlib.decompress(d), np.int64)), np.frombuffer(zlib.decompress(w), np.int64)
-        gram.append(g)
-        content.append(c)
-        doc.append(d[: len(g)])
-        where.append(w[: len(g)])
-        marks.append((d[len(g) :], w[len(g) :]))
-    gram, content, doc, where = map(np.concatenate, (gram, content, doc, where))
-    order, first = _firsts(content, doc, where)
-    again = order[~first]
-    c = content[order]
-    head = order[np.concatenate([[True], c[1:] != c[:-1]])] if len(c) else order
+    fresh, marks = [], []
+    for g, c, o, d, r, w in zip(*(rows[x].to_pylist() for x in ("grams", "contents", "others", "docs", "rows", "places"))):
+        g, c, o, w = np.frombuffer(g, np.uint32), np.frombuffer(c, np.uint64), np.frombuffer(o, np.uint32), np.frombuffer(zlib.decompress(w), np.int64)
+        d, r = (np.cumsum(np.frombuffer(zlib.decompress(x), np.int64)) for x in (d, r))
+        fresh.append((g, c, o, d[: len(g)], r[: len(g)], w[: len(g)]))
+        marks.append((d[len(g) :], r[len(g) :], w[len(g) :]))
+    gram, content, other, *at = (np.concatenate(x) for x in zip(*fresh))
+    order, first = _firsts(content, other, *at)
+    again, head = order[~first], order[first]
     _, back, count = np.unique(gram[head], return_inverse=True, return_counts=True)
     opened = head[count[back] > 1]
-    docs = np.concatenate([*[d for d, _ in marks], doc[again], doc[opened]])
-    places = np.concatenate([*[w for _, w in marks], where[again], where[opened]])
-    kind = np.full(len(docs), MARK, np.int32)
-    kind[len(docs) - len(opened) :] = OPEN
-    return pa.table({"kind": kind, "doc": docs, "place": places})
+    doc, row, place = (np.concatenate([*known, x[again], x[opened]]) for known, x in zip(zip(*marks), at))
+    kind = np.full(len(doc), MARK, np.int32)
+    kind[len(doc) - len(opened) :] = OPEN
+    return pa.table({"kind": kind, "doc": doc, "row": row, "place": place})
 
 
 def fetched(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """The bytes of open segments, cut by which side of the minimizer their windows hold, with key and shard."""
     for batch in batches:
-        doc, texts, places = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
         rows = []
-        for d, t, ps in zip(doc, texts, places):
+        for d, r, t, ps in zip(*(c.to_pylist() for c in batch.columns)):
             raw = t.encode("utf-8", "surrogatepass")
             for p in set(ps):
                 start, size = p >> 16, p >> 8 & 255
                 a, end = start + (p & 255), start + size
                 if start <= a - LEFT:
-                    rows.append((raw[a - LEFT : a + GRAM] + b"<", d, start, raw[start : min(end, a - LEFT + LENGTH)]))
+                    rows.append((raw[a - LEFT : a + GRAM] + b"<", d, r, start, raw[start : min(end, a - LEFT + LENGTH)]))
                 right = max(start, a - LEFT + 1)
                 if right + LENGTH <= end:
-                    rows.append((raw[a : a + LENGTH - LEFT + 1] + b">", d, right, raw[right:end]))
+                    rows.append((raw[a : a + LENGTH - LEFT + 1] + b">", d, r, right, raw[right:end]))
         key = np.array([int.from_bytes(hashlib.blake2b(k, digest_size=8).digest(), "little") >> 1 for k, *_ in rows], np.int64)
         for a in range(0, max(len(rows), 1), 65_536):
             part = rows[a : a + 65_536]
             if part:
-                yield pa.RecordBatch.from_arrays([pa.array((key[a : a + 65_536] % shards).astype(np.int32)), pa.array(key[a : a + 65_536]), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64()), pa.array([r[3] for r in part], pa.binary())], ["shard", "key", "doc", "start", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array((key[a : a + 65_536] % shards).astype(np.int32)), pa.array(key[a : a + 65_536]), *[pa.array([x[i] for x in part], pa.int64()) for i in (1, 2, 3)], pa.array([x[4] for x in part], pa.binary())], ["shard", "key", "doc", "row", "start", "bytes"])
 
 
-def repeated_windows(doc: np.ndarray, start: np.ndarray, parts: list[bytes]) -> list[tuple[int, int, int]]:
-    """Runs (doc, start, length) of windows that also start earlier among the parts, whose windows are all different in place."""
-    order = np.lexsort((start, doc))
-    doc, start, parts = doc[order], start[order], [parts[i] for i in order]
+def repeated_windows(doc: np.ndarray, row: np.ndarray, start: np.ndarray, parts: list[bytes]) -> list[tuple[int, int, int]]:
+    """Runs (row, start, length) of windows that also start earlier among the parts, whose windows are all different in place."""
+    order = np.lexsort((start, row, doc))
+    row, start, parts = row[order], start[order], [parts[i] for i in order]
     size = np.array([len(x) for x in parts])
     at = np.concatenate([[0], np.cumsum(size + 1)])
     raw = np.frombuffer(b"\0".join(x.replace(b"\0", b"\xfe") for x in parts) + b"\0", np.uint8)  # 0xFE is in no UTF-8
@@ -191,12 +190,12 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, parts: list[bytes]) ->
     cut = np.flatnonzero(np.concatenate([[True], (late[1:] != late[:-1] + 1) | (of[late[1:]] != of[late[:-1]])]))
     runs = np.diff(np.concatenate([cut, [len(late)]])) + LENGTH - 1
     head = late[cut]
-    return list(zip(doc[of[head]].tolist(), (start[of[head]] + head - at[of[head]]).tolist(), runs.tolist()))
+    return list(zip(row[of[head]].tolist(), (start[of[head]] + head - at[of[head]]).tolist(), runs.tolist()))
 
 
 def sorted_shard(rows: pa.Table) -> pa.Table:
     """Marks of a shard: its segments go to the sort in pieces that hold whole keys; keys of one segment are left out."""
-    key, doc, start = (rows[x].to_numpy() for x in ("key", "doc", "start"))
+    key, doc, row, start = (rows[x].to_numpy() for x in ("key", "doc", "row", "start"))
     order = np.argsort(key, kind="stable")
     _, back, count = np.unique(key, return_inverse=True, return_counts=True)
     order = order[count[back][order] > 1]
@@ -206,9 +205,9 @@ def sorted_shard(rows: pa.Table) -> pa.Table:
         last = i + 1 == len(order)
         if last or (size >= PIECE and key[order[i + 1]] != key[k]):
             piece = order[begin : i + 1]
-            out += repeated_windows(doc[piece], start[piece], body.take(pa.array(piece)).to_pylist())
+            out += repeated_windows(doc[piece], row[piece], start[piece], body.take(pa.array(piece)).to_pylist())
             begin, size = i + 1, 0
-    return pa.table({"doc": pa.array([x for x, _, _ in out], pa.int64()), "start": pa.array([x for _, x, _ in out], pa.int64()), "size": pa.array([x for _, _, x in out], pa.int64())})
+    return pa.table({"row": pa.array([x for x, _, _ in out], pa.int64()), "start": pa.array([x for _, x, _ in out], pa.int64()), "size": pa.array([x for _, _, x in out], pa.int64())})
 
 
 def cut(text: str | None, marks: list | None) -> tuple[bytes, list[tuple[int, int]], int]:
@@ -227,20 +226,41 @@ def cut(text: str | None, marks: list | None) -> tuple[bytes, list[tuple[int, in
     return b"".join(kept) + raw[at:], [tuple(r) for r in runs], len(raw)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, doc (doc_id, or the largest number where there is none) and row, a number of each row: its file's in the order of names, and its place in that."""
+    docs = filed(docs)
+    files = docs.select(F.col("_metadata.file_path").alias("file")).distinct().orderBy("file").toPandas()["file"]  # the driver has listed these files already
+    numbers = docs.sparkSession.createDataFrame([(f, i << 36) for i, f in enumerate(files)], "repeat_file string, file_row long")
+    thin = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("repeat_file"), F.col("_metadata.row_index").alias("row_at"))
+    return thin.join(F.broadcast(numbers), "repeat_file").select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), (F.col("file_row") + F.col("row_at")).alias("row"))
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Few rows at once for Python while a job runs; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def remove(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, runs (array of start and end), kept (the bytes left)."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     packs, shards = max(1, -(-size // PACK_BYTES)), max(1, -(-size // SHARD_BYTES))
-    thin = docs.select("doc_id", "text")
-    whole = thin.filter("doc_id is not null and octet_length(text) >= 100")
-    packed = whole.mapInArrow(lambda it: sent(it, packs), PACKED)
-    found = materialise(packed.groupBy("pack").applyInArrow(settled, FOUND), "repeat-found")
-    opened = found.filter(f"kind = {OPEN}").groupBy("doc").agg(F.collect_list("place").alias("places"))  # bounded by the document's own length
-    bytes_of = thin.join(opened.withColumnRenamed("doc", "doc_id"), "doc_id").mapInArrow(lambda it: fetched(it, shards), "shard int, key long, doc long, start long, bytes binary")
-    marks = bytes_of.groupBy("shard").applyInArrow(sorted_shard, "doc long, start long, size long")
-    all_marks = found.filter(f"kind = {MARK}").selectExpr("doc", "shiftright(place, 16) as start", "shiftright(place, 8) & 255L as size").unionByName(marks)
-    per = all_marks.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("marks")).withColumnRenamed("doc", "doc_id")
+    thin = placed(docs)
+    whole = thin.filter(f"octet_length(text) >= {LENGTH}").select("doc", "row", "text")
+    with small_batches(docs.sparkSession):
+        found = materialise(whole.mapInArrow(lambda it: sent(it, packs), PACKED).groupBy("pack").applyInArrow(settled, FOUND), "repeat-found")
+        opened = found.filter(f"kind = {OPEN}").groupBy("row").agg(F.collect_list("place").alias("places"))  # bounded by the document's own length
+        bytes_of = whole.join(opened, "row").select("doc", "row", "text", "places").mapInArrow(lambda it: fetched(it, shards), "shard int, key long, doc long, row long, start long, bytes binary")
+        marks = bytes_of.groupBy("shard").applyInArrow(sorted_shard, "row long, start long, size long")
+        all_marks = found.filter(f"kind = {MARK}").selectExpr("row", "shiftright(place, 16) as start", "shiftright(place, 8) & 255L as size").unionByName(marks)
+        per = materialise(all_marks.groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("marks")), "repeat-marks")
+    discard(found)
 
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,7 +270,7 @@ def remove(docs: DataFrame) -> DataFrame:
                 runs = pa.array([[{"start": s, "end": e} for s, e in r] for _, r, _ in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([n for _, _, n in rows], pa.int64()), runs, pa.array([k for k, _, _ in rows], pa.binary())], ["doc_id", "n_bytes", "runs", "kept"])
 
-    return thin.join(per, "doc_id", "left").mapInArrow(done, "doc_id long, n_bytes long, runs array<struct<start: long, end: long>>, kept binary")
+    return thin.join(per, "row", "left").select("doc_id", "text", "marks").mapInArrow(done, "doc_id long, n_bytes long, runs array<struct<start: long, end: long>>, kept binary")
 
 
 def digest(removed: DataFrame) -> DataFrame:

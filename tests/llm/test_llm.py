@@ -543,3 +543,27 @@ def test_surrogates_are_the_same_in_all_documents():
     alone = {n: surrogates.rewritten(f"Mr. {n} came.")[0].split()[1] for n in names}
     together = surrogates.rewritten(" ".join(f"Mr. {n}," for n in names))[0].replace(",", "").split()[1::2]
     assert together == [alone[n] for n in names] and len(set(together)) == len(names)
+
+
+def test_repeats_of_rows(spark):
+    """Rows are told apart by place: a repeated doc_id with the same or another text, rows without doc_id; the session's settings stay."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    a, b, c = word(400), word(400), word(300)
+    rows = [(3, a), (5, a), (5, b), (None, c + c), (None, b[:150]), (5, b), (2, word(50) + a[100:260]), (9, None), (9, ""), (None, None), (1, c[:120] + "é" * 60), (1, word(99))]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    seen, want = set(), []
+    for i in order:
+        raw = (rows[i][1] or "").encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(raw[k : k + 100])
+        want.append((rows[i][0] or -1, len(raw), sum(gone), hashlib.sha256(bytes(x for x, g in zip(raw, gone) if not g)).hexdigest()))
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, row string, doc int").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    got = repeats.digest(repeats.remove(df)).collect()
+    assert sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(want)
+    assert spark.conf.get(name) == before
