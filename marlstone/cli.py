@@ -14,8 +14,9 @@ from . import config as configuration
 from . import output
 from .errors import Invalid, MarlstoneError, NotFound
 from .locking import writer
+from .operators import checks
 from .operators.store import RunStore, markdown
-from .plans import assumptions, contract, engine, valuation
+from .plans import assumptions, contract, engine, fundamentals, valuation
 from .plans.catalog import PROFILES
 from .sources import live
 from .sources.bundle import Bundle
@@ -25,27 +26,39 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("marlstone").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def _profile(profile_id: str):
-    if profile_id not in PROFILES:
+def _known(profile_id: str) -> None:
+    if profile_id not in PROFILES and profile_id != fundamentals.PROFILE_ID:
         raise Invalid(f"there is no profile {profile_id}")
-    return PROFILES[profile_id]
 
 
 def run(spark: SparkSession, cfg: configuration.Config, market: str, profile_id: str) -> str:
-    """One profile's run over one market: snapshot, rankings and reports, visible only when all of it is written."""
-    p, store = _profile(profile_id), RunStore(spark, cfg["duckdb_path"])
-    data = live.load(live.REGISTRY, cfg, market, datetime.now(timezone.utc)) if cfg["data_mode"] == "live" else Bundle(spark, cfg["fixture_dir"]).load(market)
+    """One profile's run over one market, as of the run's date: snapshot, rankings and reports, visible only when all of it is written.
+
+    The panel is computed once, by the job that writes the snapshot and carries its checks; rankings are made from what was written.
+    """
+    _known(profile_id)
+    store, by_facts = RunStore(spark, cfg["duckdb_path"]), profile_id == fundamentals.PROFILE_ID
+    data = live.load(live.REGISTRY, cfg, market, datetime.now(timezone.utc), by_facts) if cfg["data_mode"] == "live" else Bundle(spark, cfg["fixture_dir"]).load(market, by_facts)
     run_id = store.begin(market, profile_id)
-    about = {"run_id": run_id, "market": market, "profile_id": profile_id, "as_of": data.run_latest_bar_date, "provider_hash": configuration.digest(cfg.provider_payload(False)), "ranking_hash": configuration.digest({"profile": profile_id})}
-    horizons = list(p.horizons)
+    about = {"run_id": run_id, "market": market, "profile_id": profile_id, "as_of": data.run_latest_bar_date, "provider_hash": configuration.digest(cfg.provider_payload(by_facts)), "ranking_hash": configuration.digest({"profile": profile_id})}
+    summary = output.provider_summary(data.metadata, profile_id, about["ranking_hash"])
+    horizons = list(fundamentals.HORIZONS if by_facts else PROFILES[profile_id].horizons)
 
     def artifacts(snapshot: DataFrame, rankings: DataFrame) -> dict[str, str]:
         best = rankings.filter(F.col("rank") <= cfg["report.top_n"]).join(snapshot.select("ticker", "close"), "ticker", "left").orderBy("horizon", "rank")
-        return {"markdown": markdown(best, f"{market} {profile_id} {run_id}"), "json": output.as_json(output.report(about, snapshot, rankings, horizons, cfg["report.top_n"]))}
+        held = output.report(about, snapshot, rankings, horizons, cfg["report.top_n"]) | {"provider_summary": summary}
+        return {"markdown": markdown(best, f"{market} {profile_id} {run_id}") + output.context(about, summary, len(held["snapshots"])), "json": output.as_json(held)}
 
     try:
-        snap = engine.snapshot(p, data.bars, data.listings)
-        store.commit(run_id, market, profile_id, snap, contract.ranked(profile_id, p, snap), horizons, artifacts)
+        if by_facts:
+            snap, watch = fundamentals.snapshot(data.fundamentals, data.bars, data.listings, data.run_latest_bar_date), {}
+            rank, settle = fundamentals.rankings, lambda seen: fundamentals.settle(market, seen)
+        else:
+            p = PROFILES[profile_id]
+            dates = spark.createDataFrame([(market, data.run_latest_bar_date)], "market string, run_date date")
+            snap, watch = contract.watched(profile_id, p, engine.snapshot(p, data.bars, data.listings, dates, dated=True))
+            rank, settle = lambda written: engine.rankings(p, written), lambda seen: contract.settle(profile_id, market, seen)
+        store.commit(run_id, market, profile_id, snap, rank, horizons, artifacts, watch, settle)
     except Exception as e:
         store.fail(run_id, market, profile_id, str(e)[:500])
         raise
@@ -55,7 +68,7 @@ def run(spark: SparkSession, cfg: configuration.Config, market: str, profile_id:
 def batch(spark: SparkSession, cfg: configuration.Config, market: str, profiles: list[str]) -> list[str]:
     market, ids = configuration.market_of(market), profiles or [cfg["ranking.profile"]]
     for i in ids:
-        _profile(i)
+        _known(i)
     done: list[str] = []
     with writer(cfg["lock_path"]):
         for i in ids:
@@ -85,7 +98,8 @@ def value(spark: SparkSession, cfg: configuration.Config, market: str, ticker: s
     model_id = model or document["default_model"]
     if model_id not in document["models"]:
         raise Invalid(f"the document has no model {model_id}")
-    data = Bundle(spark, cfg["fixture_dir"]).load(market, fundamentals=True)
+    data = live.load(live.REGISTRY, cfg, market, datetime.now(timezone.utc), True) if cfg["data_mode"] == "live" else Bundle(spark, cfg["fixture_dir"]).load(market, fundamentals=True)
+    checks.only(data.listings.filter((F.col("market") == market) & (F.upper("ticker") == ticker)), f"listing of {market} {ticker}")
     price = data.bars.filter(F.col("ticker") == ticker).agg(F.max_by("close", "bar_date").alias("price"), F.max("bar_date").alias("as_of"))
     facts = data.fundamentals.filter(F.col("ticker") == ticker).crossJoin(F.broadcast(price)).select("ticker", "currency", F.col("free_cash_flow_ttm").alias("free_cash_flow"), F.expr("total_debt - cash_and_cash_equivalents").alias("net_debt"), F.lit(None).cast("double").alias("shares"), "price")  # one row
     if not facts.limit(1).count():
@@ -143,7 +157,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.command == "batch":
             print("\n".join(batch(spark, cfg, args.market, args.ranking_profile)))
         elif args.command == "value":
-            found = value(spark, cfg, args.market, args.ticker, args.model, args.assumptions)
+            with checks.translated():
+                found = value(spark, cfg, args.market, args.ticker, args.model, args.assumptions)
             print(output.as_json(found) if args.json else as_text(found))
         else:
             store = RunStore(spark, cfg["duckdb_path"])

@@ -1,7 +1,9 @@
-"""Trailing-window features: one pass of windows over each ticker's bars, then one aggregation with conditions.
+"""Trailing-window features of a universe as it stood on the dates of runs.
 
-A feature is the text of an aggregate over the windowed bars, in which rn counts bars from the latest (1). The windows and
-the aggregation share one shuffle on (market, ticker). Only the features that a plan asks for are computed.
+A feature is the text of an aggregate over a run's bars, in which rn counts bars from the latest (1). Windows that look back from a bar
+are computed once for each ticker, whatever the number of runs. A bar is among the last n of a run from its own date until the n-th bar
+after it, so runs are joined to bars by that interval: each run sees exactly the bars that its profile keeps. What depends on the
+bar's number in the run (running peaks) and the aggregation follow. All of it shares one shuffle on (market, ticker).
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ from marlstone.functions.sqlexpr import div, doubles, ln
 _W = "PARTITION BY market, ticker ORDER BY bar_date"
 _SOFAR = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
-#: Columns of the windowed bars; the second step uses those of the first.
+#: Columns of the windowed bars; the second step uses those of the first. {keep}: how many bars a run's ticker keeps.
 FIRST = {
-    "rn": f"(count(*) OVER (PARTITION BY market, ticker) - row_number() OVER ({_W}) + 1)",
+    "seq": f"row_number() OVER ({_W})",
+    "out_date": f"lead(bar_date, {{keep}}) OVER ({_W})",
     "ac": "adjusted_close",
     "pdate": f"lag(bar_date) OVER ({_W})",
     "pac": f"lag(adjusted_close) OVER ({_W})",
@@ -29,8 +32,7 @@ SECOND = {
     "ret21": f"({div('ac', 'ac21')} - 1.0)",
     "tv": "close * volume",
     "range_pct": div("high - low", "close"),
-    "peak120": f"max(CASE WHEN rn <= 120 THEN ac END) OVER ({_W} {_SOFAR})",
-    "peak252": f"max(CASE WHEN rn <= 252 THEN ac END) OVER ({_W} {_SOFAR})",
+    "repeats": f"sum(CASE WHEN bar_date = pdate THEN 1 ELSE 0 END) OVER ({_W} {_SOFAR})",
     "fine": "(coalesce(abs(open) + abs(high) + abs(low) + abs(close) + abs(ac) + abs(volume) < 1e300, false) AND open > 0.0 AND high > 0.0 AND low > 0.0 AND close > 0.0 AND ac > 0.0 AND volume >= 0.0)",
     "fine_cav": "(coalesce(abs(close) + abs(ac) + abs(volume) < 1e300, false) AND close > 0.0 AND ac > 0.0 AND volume >= 0.0)",
     "ordered": "NOT (high < low OR high < open OR high < close OR low > open OR low > close)",
@@ -66,8 +68,8 @@ def _count(condition: str) -> str:
 
 
 FEATURES: dict[str, str] = {
-    "bars": "count(*)",
-    "repeated_dates": "count(CASE WHEN bar_date = pdate THEN 1 END)",
+    "bars": "max(seq)",
+    "repeated_dates": "max(repeats)",
     "last_date": "max(bar_date)",
     "close": _bar(1, "close"),
     "adjusted_close": _bar(1),
@@ -131,35 +133,74 @@ for _n in (63, 126, 252, 274):
 FEATURES["fine_cav_274"] = "count(CASE WHEN rn <= 274 AND fine_cav THEN 1 END)"
 #: The most recent of the highest closes: how many bars ago. Its peak is the running one seen from the end.
 FOLLOWED = {n: (f"days_since_{n}d_high", f"CAST(min(CASE WHEN rn <= {n} AND ac = top{n} THEN rn END) - 1 AS DOUBLE)") for n in (60, 120)}
-THIRD = {f"top{n}": f"max(CASE WHEN rn <= {n} THEN ac END) OVER (PARTITION BY market, ticker)" for n in FOLLOWED}
+#: Of a run's bars: their number from the latest, then running peaks and tops. {keys} are the columns that tell a run's ticker.
+THIRD = {"rn": "(max(seq) OVER (PARTITION BY {keys}) - seq + 1)"}
+FOURTH = {f"peak{n}": f"max(CASE WHEN rn <= {n} THEN ac END) OVER (PARTITION BY {{keys}} ORDER BY bar_date {_SOFAR})" for n in (120, 252)}
+FOURTH |= {f"top{n}": f"max(CASE WHEN rn <= {n} THEN ac END) OVER (PARTITION BY {{keys}})" for n in FOLLOWED}
 FEATURES |= dict(FOLLOWED.values())
 
 
-def as_of(bars: DataFrame, rule: str) -> DataFrame:
-    """Bars up to their market's as-of date, with that date (as_of). A and C: the market's latest date; B: the one before, as the latest may be incomplete."""
-    # dates of a market's calendar: one row a market, so an equi-join that the optimizer broadcasts by its size
-    dates = bars.groupBy("market").agg(F.sort_array(F.collect_set("bar_date"), asc=False).alias("dates"))
-    calendar = dates.selectExpr("market", f"try_element_at(dates, {2 if rule == 'B' else 1}) AS as_of")
-    return bars.join(calendar, "market").filter("bar_date <= as_of")
+#: Run calendars of up to so many rows are sent to all tasks; longer ones are joined by their market.
+SENT_RUNS = 100_000
+IN_RUN = "bar_date <= as_of AND (out_date IS NULL OR out_date > as_of)"
 
 
-def windowed(bars: DataFrame) -> DataFrame:
-    for step in (FIRST, SECOND, THIRD):
-        bars = bars.select("*", *[F.expr(doubles(x)).alias(n) for n, x in step.items()])
-    return bars
+def calendar(bars: DataFrame, rule: str, runs: DataFrame | None = None) -> DataFrame:
+    """Runs (market, run_date, and run_id where there are several) with the as-of date by a profile's rule.
+
+    A: the run's date. B: the last date of the market's bars before it, as the run's own may be incomplete. C: the last one up to it. A run without
+    such a date is left out. Without runs there is one for each market, on the last date of its bars.
+    """
+    if runs is None:
+        runs = bars.groupBy("market").agg(F.max("bar_date").alias("run_date"))
+        if rule == "C":
+            return runs.withColumn("as_of", F.col("run_date"))
+    if rule == "A":
+        return runs.withColumn("as_of", F.col("run_date"))
+    dates = bars.select("market", "bar_date").distinct()  # a row a market and day
+    return runs.join(dates, "market").filter("bar_date < run_date" if rule == "B" else "bar_date <= run_date").groupBy(*runs.columns).agg(F.max("bar_date").alias("as_of"))
 
 
-def aggregate(bars: DataFrame, wanted: list[str]) -> DataFrame:
-    """One row per ticker of bars (with as_of) with the wanted features, and as_of."""
-    return windowed(bars).groupBy("market", "ticker").agg(*[F.expr(doubles(FEATURES[n])).alias(f"f_{n}") for n in wanted], F.max("as_of").alias("as_of"))
+def windowed(bars: DataFrame, keep: int) -> DataFrame:
+    """Bars with what can be told by looking back from them, and the date from which they are no longer among the last `keep`."""
+    for step in (FIRST, SECOND):
+        bars = bars.select("*", *[F.expr(doubles(x.replace("{keep}", str(keep)))).alias(n) for n, x in step.items()])
+    return bars
 
 
-def aggregate_sql(bars: str, rule: str, wanted: list[str]) -> str:
-    latest = f"(SELECT market, max(bar_date) AS as_of FROM ({bars}) GROUP BY market)"
-    if rule == "B":
-        latest = f"(SELECT b.market, max(bar_date) AS as_of FROM ({bars}) b JOIN {latest} l ON b.market = l.market WHERE bar_date < as_of GROUP BY b.market)"
-    q = f"(SELECT b.*, as_of FROM ({bars}) b JOIN {latest} l ON b.market = l.market WHERE bar_date <= as_of)"
-    for step in (FIRST, SECOND, THIRD):
-        q = f"(SELECT *, {', '.join(f'{doubles(x)} AS {n}' for n, x in step.items())} FROM {q})"
+def keys_of(runs: DataFrame) -> list[str]:
+    return [*(["run_id"] if "run_id" in runs.columns else []), "market", "ticker"]
+
+
+def aggregate(bars: DataFrame, rule: str, keep: int, wanted: list[str], runs: DataFrame | None = None) -> DataFrame:
+    """One row for each ticker (and run, if runs are given) that has bars by the as-of date: the wanted features, as_of and run_date.
+
+    keep: how many of a ticker's last bars features look at; only the number of all bars and of repeated dates reach farther back.
+    """
+    dated = calendar(bars, rule, runs)
+    if runs is None or runs.count() <= SENT_RUNS:
+        dated = F.broadcast(dated)  # a row a market, or so many as counted
+    keys = keys_of(dated)
+    held = windowed(bars, keep).join(dated, "market").filter(IN_RUN)
+    for step in (THIRD, FOURTH):
+        held = held.select("*", *[F.expr(doubles(x.replace("{keys}", ", ".join(keys)))).alias(n) for n, x in step.items()])
+    return held.groupBy(*keys).agg(*[F.expr(doubles(FEATURES[n])).alias(f"f_{n}") for n in wanted], F.max("as_of").alias("as_of"), F.max("run_date").alias("run_date"))
+
+
+def aggregate_sql(bars: str, rule: str, keep: int, wanted: list[str], runs: str | None = None) -> str:
+    """The same in SQL. runs: a query's text with run_id, market, run_date."""
+    own = "run_id, " if runs else ""
+    calendar = runs or f"SELECT market, max(bar_date) AS run_date FROM ({bars}) GROUP BY market"
+    if rule == "A":
+        dated = f"SELECT *, run_date AS as_of FROM ({calendar})"
+    else:
+        dated = f"SELECT {own}r.market, run_date, max(bar_date) AS as_of FROM ({calendar}) r JOIN ({bars}) d ON d.market = r.market WHERE bar_date {'<' if rule == 'B' else '<='} run_date GROUP BY {own}r.market, run_date"
+    q = f"({bars})"
+    for step in (FIRST, SECOND):
+        q = f"(SELECT *, {', '.join(f'{doubles(x.replace("{keep}", str(keep)))} AS {n}' for n, x in step.items())} FROM {q})"
+    q = f"(SELECT w.*, {own}run_date, as_of FROM {q} w JOIN ({dated}) c ON c.market = w.market WHERE {IN_RUN})"
+    keys = f"{own}market, ticker"
+    for step in (THIRD, FOURTH):
+        q = f"(SELECT *, {', '.join(f'{doubles(x.replace("{keys}", keys))} AS {n}' for n, x in step.items())} FROM {q})"
     columns = ", ".join(f"{doubles(FEATURES[n])} AS f_{n}" for n in wanted)
-    return f"SELECT market, ticker, {columns}, max(as_of) AS as_of FROM {q} GROUP BY market, ticker"
+    return f"SELECT {keys}, {columns}, max(as_of) AS as_of, max(run_date) AS run_date FROM {q} GROUP BY {keys}"

@@ -12,20 +12,41 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.config import digest
 from marlstone.errors import IntegrityError, NotFound, SchemaMismatch
 
+from . import checks
+
 #: The store's version; a store that was made by another one is refused.
 VERSION = 2
 LOG = "run_id string, market string, profile_id string, status string, created_at timestamp, detail string"
 ARTIFACTS = "run_id string, format string, content string"
 FORMATS = ("markdown", "json")
+TABLES = {
+    "snapshot": "market string, ticker string, close double, adjusted_close double, metrics_json string, run_id string",
+    "rankings": "market string, horizon string, ticker string, score double, rank long, metrics_json string, run_id string",
+}
 CORE = {"run_id", "market", "ticker", "horizon", "close", "adjusted_close", "score", "rank"}
 
 
+def _ticker():
+    return F.xxhash64("ticker").cast("decimal(38,0)")
+
+
+def _of_horizon(name: str) -> dict:
+    """Metrics of one horizon's rankings."""
+    here = F.col("horizon").eqNullSafe(F.lit(name))
+    whole = F.col("rank").cast("decimal(38,0)")
+    total = lambda c: F.coalesce(F.sum(F.when(here, c)), F.lit(0))
+    return {
+        "n": checks.how_many(here), "low": F.coalesce(F.min(F.when(here, F.col("rank"))), F.lit(0)).cast("long"), "high": F.coalesce(F.max(F.when(here, F.col("rank"))), F.lit(0)).cast("long"),
+        "sum": total(whole), "squares": total(whole * whole), "tickers": total(_ticker()),
+    }
+
+
 class RunStore:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -70,20 +91,27 @@ class RunStore:
             raise NotFound(f"no run {run_id}")
         return found[0]["status"]
 
-    def commit(self, run_id: str, market: str, profile_id: str, snapshot: DataFrame, rankings: DataFrame, horizons: list[str], artifacts: Callable[[DataFrame, DataFrame], dict[str, str]] | None = None) -> None:
-        """Write both tables of a run, check them as written, and make the run visible; on any error it is marked as failed."""
+    def commit(
+        self, run_id: str, market: str, profile_id: str, snapshot: DataFrame, rankings: DataFrame | Callable[[DataFrame], DataFrame], horizons: list[str],
+        artifacts: Callable[[DataFrame, DataFrame], dict[str, str]] | None = None, watch: dict | None = None, settle: Callable[[dict], None] | None = None,
+    ) -> None:
+        """Write both tables of a run and make it visible; on any error it is marked as failed.
+
+        Each table is computed once, in the job that writes it, and that job's metrics tell whether the table holds together. rankings may be a
+        function of the written snapshot. watch: more metrics of the snapshot, which settle() judges with the count of rows.
+        """
         if self.status(run_id) != "running":
             raise IntegrityError(f"run {run_id} isn't running")
         try:
-            for name, df in (("snapshot", snapshot), ("rankings", rankings)):
-                metrics = [c for c in sorted(df.columns) if c not in CORE]
-                bad = [F.expr(f"coalesce(abs(`{c}`) < double('Infinity'), false)") for c, t in df.dtypes if t == "double"]
-                if bad and df.filter(~functools.reduce(lambda a, b: a & b, bad)).limit(1).count():
-                    raise IntegrityError(f"{name}: a number is missing or not finite")
-                packed = df.withColumn("metrics_json", F.to_json(F.struct(*metrics)) if metrics else F.lit("{}")).select(*[c for c in df.columns if c in CORE], "metrics_json")
-                packed.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{self.path}/{name}")
+            with checks.translated():
+                held = self._write("snapshot", run_id, snapshot, market, {"tickers": F.coalesce(F.sum(_ticker()), F.lit(0))} | (watch or {}))
+                if settle:
+                    settle(held)
+                ranked = rankings(self.metrics("snapshot", run_id, snapshot)) if callable(rankings) else rankings
+                per = {f"{m}_{i}": c for i, h in enumerate(horizons) for m, c in _of_horizon(h).items()}
+                listed = self._write("rankings", run_id, ranked, market, per | {"elsewhere": checks.how_many(~F.coalesce(F.col("horizon").isin(horizons), F.lit(False)))})
+            self._agreed(held, listed, horizons)
             tables = self.table("snapshot", run_id), self.table("rankings", run_id)
-            self.check(*tables, market, horizons)
             texts = [(run_id, k, v) for k, v in (artifacts(*tables) if artifacts else {}).items() if k in FORMATS]
             if texts:
                 self.spark.createDataFrame(texts, ARTIFACTS).coalesce(1).write.mode("append").parquet(f"{self.path}/artifacts")
@@ -92,6 +120,48 @@ class RunStore:
             raise
         self._append(run_id, market, profile_id, "successful")
 
+    def _write(self, name: str, run_id: str, df: DataFrame, market: str, watch: dict) -> dict:
+        """Write a table of a run, with numbers beside the core columns as JSON; refuse it by the metrics of its rows."""
+        metrics, doubles = [c for c in sorted(df.columns) if c not in CORE and c != "as_of"], [c for c, t in df.dtypes if t == "double"]
+        fine = functools.reduce(lambda a, b: a & b, [checks.finite(c) for c in doubles], F.lit(True))
+        own = {"rows": F.count(F.lit(1)), "not_finite": checks.how_many(~fine), "other_market": checks.how_many(~F.col("market").eqNullSafe(F.lit(market)))}
+        if name == "snapshot":  # one row a ticker; a snapshot is grouped by market and ticker already, so this moves nothing
+            df = df.withColumn("ticker_rows", F.count("*").over(Window.partitionBy("market", "ticker")))
+            own["repeated"] = checks.how_many(F.col("ticker_rows") > 1)
+        watched = checks.Watch(df, own | watch)
+        packed = watched.rows.withColumn("metrics_json", F.to_json(F.struct(*metrics)) if metrics else F.lit("{}")).select(*[c for c in df.columns if c in CORE], "metrics_json")
+        packed.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{self.path}/{name}")
+        seen = watched.seen()
+        if seen["other_market"]:
+            raise IntegrityError(f"{name}: rows of another market")
+        if seen.get("repeated"):
+            raise IntegrityError(f"{name}: repeated tickers")
+        if seen["not_finite"] and not any(v for k, v in seen.items() if k.startswith("bad_")):
+            raise IntegrityError(f"{name}: a number is missing or not finite")
+        return seen
+
+    def metrics(self, name: str, run_id: str, like: DataFrame) -> DataFrame:
+        """A written table with its metrics as columns again, as in the table `like` that was written."""
+        kinds = {c: t for c, t in like.dtypes if c not in CORE and c != "as_of"}
+        m = F.from_json("metrics_json", ", ".join(f"`{c}` {t}" for c, t in kinds.items()) or "none double")
+        rows = self.table(name, run_id).withColumn("m", m)
+        return rows.select(*[c for c in like.columns if c in CORE and c != "run_id"], *[F.col(f"m.`{c}`") for c in like.columns if c in kinds])
+
+    @staticmethod
+    def _agreed(snapshot: dict, rankings: dict, horizons: list[str]) -> None:
+        """Each horizon ranks the snapshot's tickers, from 1 on without a gap.
+
+        By sums: as many rows, ranks between 1 and that number with the sum of 1 to n and of their squares, and the same sum of the tickers' hashes.
+        check() looks at every row, for tables that come from elsewhere.
+        """
+        n = snapshot["rows"]
+        if rankings["elsewhere"]:
+            raise IntegrityError("rankings hold other horizons")
+        for i, h in enumerate(horizons):
+            got = tuple(rankings[f"{m}_{i}"] for m in ("n", "low", "high", "sum", "squares", "tickers"))
+            if got != (n, 1 if n else 0, n, n * (n + 1) // 2, n * (n + 1) * (2 * n + 1) // 6, snapshot["tickers"]):
+                raise IntegrityError(f"rankings of {h} are incomplete")
+
     @staticmethod
     def check(snapshot: DataFrame, rankings: DataFrame, market: str, horizons: list[str]) -> None:
         """One market; unique tickers; the same tickers in each horizon; ranks 1 to n without gaps; finite scores."""
@@ -110,7 +180,7 @@ class RunStore:
             raise IntegrityError("rankings hold tickers that the snapshot lacks")
 
     def table(self, name: str, run_id: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}").filter(F.col("run_id") == run_id)
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}").filter(F.col("run_id") == run_id)
 
     def artifact(self, run_id: str, form: str) -> str:
         """A successful run's report as it was when the run ended."""

@@ -61,3 +61,23 @@ def inspected(found: dict) -> str:
         lines.append(f"- {plain(r['horizon'])}: rank {r['rank']}, score {r['score']:.4f}")
     lines += ["", "| metric | value |", "|---|---|", *[f"| {plain(k)} | {v:.6g} |" for k, v in sorted((found["metrics"] or {}).items())]]
     return "\n".join(lines) + "\n"
+
+
+# What a report tells of where its data came from, and of the facts' coverage where a profile needs them.
+SUMMARY = ("data_mode", "listing_provider_id", "listing_source_id", "ohlcv_provider_id", "ohlcv_source_id", "provider_config_hash", "data_fetch_started_at", "market_timezone", "run_latest_bar_date")
+COVERAGE = {"latest_source_date": "fundamentals_latest_source_date", "listed": "fundamentals_requested_count", "with_facts": "fundamentals_returned_count", "without_facts": "fundamentals_missing_count", "invalid": "fundamentals_invalid_count"}
+
+
+def provider_summary(metadata: dict, profile_id: str, ranking_hash: str) -> dict[str, str]:
+    """Where a run's data came from, by name, as text; what a provider doesn't tell is empty."""
+    held = metadata | {"data_fetch_started_at": metadata.get("data_fetch_started_at") or metadata.get("fetched_at")}
+    out = {k: str(held.get(k) or "") for k in SUMMARY} | {"ranking_profile": profile_id, "ranking_config_hash": ranking_hash}
+    if "fundamentals" in metadata:
+        out |= {name: str(metadata["fundamentals"].get(k, 0)) for k, name in COVERAGE.items()}
+    return out
+
+
+def context(about: dict, summary: dict[str, str], candidates: int) -> str:
+    """A report's last part: the run, how many tickers it ranked, its providers, and how ranks are meant."""
+    lines = ["", "## Run", "", *[f"- {k}: {plain(v)}" for k, v in about.items()], f"- candidates: {candidates}", "", "## Providers", "", *[f"- {k}: {plain(v)}" for k, v in summary.items()]]
+    return "\n".join([*lines, "", "Ranks compare listed stocks with one another; they are no advice.", ""])

@@ -30,6 +30,16 @@ def ranking(profile_id: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def over_runs(profile_id: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Rankings of all runs of the panel's calendar in one plan."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = PROFILES[profile_id]
+        return engine.rankings(p, engine.snapshot(p, panel.bars(spark, sf_dir), runs=panel.runs(spark, sf_dir)))
+
+    return run
+
+
 def valuation_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valuation.value(valuation.facts(spark, sf_dir), valuation.scenarios(spark))
 
@@ -49,6 +59,7 @@ def relation(text: str) -> Callable[[SparkSession, str], DataFrame]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"rank_{p}": ranking(p) for p in PROFILES} | {"rank_fundamental_quality_profitability_v1": fundamental_ranking}
     out |= {f"snapshot_{p}": snapshot(p) for p in PROFILES} | {"valuation_models": valuation_models}
+    out |= {f"runs_{p}": over_runs(p) for p in PROFILES}
     return out | {f"op_{n}": relation(x) for n, x in relational.SQL.items()}
 
 
@@ -56,4 +67,5 @@ def oracle_sql() -> dict[str, str]:
     bars = panel.bars_sql()
     out = {f"rank_{p}": engine.rankings_sql(PROFILES[p], bars) for p in PROFILES} | {"rank_fundamental_quality_profitability_v1": fundamentals.oracle(bars)}
     out |= {f"snapshot_{p}": engine.snapshot_sql(PROFILES[p], bars) for p in PROFILES} | {"valuation_models": valuation.value_sql()}
+    out |= {f"runs_{p}": engine.rankings_sql(PROFILES[p], bars, panel.runs_sql()) for p in PROFILES}
     return out | {f"op_{n}": x.format(**{t: t for t in relational.TABLES}) for n, x in relational.SQL.items()}

@@ -21,13 +21,22 @@ def wanted(p: Profile) -> list[str]:
     return [n for n in features.FEATURES if n in used]
 
 
-def snapshot(p: Profile, bars: DataFrame, listings: DataFrame | None = None) -> DataFrame:
-    """One row per ticker that passes the gates: market, ticker, close, adjusted_close, metrics."""
+def run_keys(df: DataFrame) -> list[str]:
+    """The columns that tell a run: its id, if there are several, and its market."""
+    return [*(["run_id"] if "run_id" in df.columns else []), "market"]
+
+
+def snapshot(p: Profile, bars: DataFrame, listings: DataFrame | None = None, runs: DataFrame | None = None, dated: bool = False) -> DataFrame:
+    """One row per ticker that passes the gates: market, ticker, close, adjusted_close, metrics.
+
+    runs (run_id, market, run_date) asks for each run by itself, with its run_id before the market; without it, each market is
+    taken on the last date of its bars. dated adds as_of.
+    """
     if listings is not None:
         bars = bars.join(listings.select("market", "ticker").distinct(), ["market", "ticker"], "left_semi")
-    rows = features.aggregate(features.as_of(bars, p.rule), wanted(p))
+    rows = features.aggregate(bars, p.rule, p.keep, wanted(p), runs)
     passed = rows.filter(" AND ".join(f"({doubles(g)})" for g in p.gates))
-    out = passed.select("market", "ticker", F.col("f_close").alias("close"), F.col("f_adjusted_close").alias("adjusted_close"), *[F.expr(f"CAST({doubles(x)} AS DOUBLE)").alias(n) for n, x in p.snapshot.items()])
+    out = passed.select(*run_keys(rows), "ticker", *(["as_of"] if dated else []), F.col("f_close").alias("close"), F.col("f_adjusted_close").alias("adjusted_close"), *[F.expr(f"CAST({doubles(x)} AS DOUBLE)").alias(n) for n, x in p.snapshot.items()])
     return out.filter(finite(p))
 
 
@@ -36,17 +45,24 @@ def finite(p: Profile) -> str:
     return " AND ".join(doubles(f"coalesce(abs({n}) < 1e300, false)") for n in p.snapshot)
 
 
+def of_run(x: str, several: bool) -> str:
+    """A score's expression, in which places are taken among the tickers of a market: with several runs, among those of the run."""
+    return x.replace("PARTITION BY market", "PARTITION BY run_id, market") if several else x
+
+
 def scored(p: Profile, snap: DataFrame) -> DataFrame:
+    several = "run_id" in snap.columns
     for layer in p.layers:
-        snap = snap.select("*", *[F.expr(f"CAST({doubles(x)} AS DOUBLE)").alias(n) for n, x in layer.items()])
+        snap = snap.select("*", *[F.expr(f"CAST({of_run(doubles(x), several)} AS DOUBLE)").alias(n) for n, x in layer.items()])
     return snap
 
 
 def rankings(p: Profile, snap: DataFrame) -> DataFrame:
     """market, horizon, ticker, ranking metrics, score, rank: a row for each ticker and horizon."""
     each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.expr(doubles(cut(f"CAST({x} AS DOUBLE)", PLACES))).alias("score")) for h, x in p.horizons.items()])).alias("h")
-    rows = scored(p, snap).select("market", "ticker", *[F.expr(doubles(cut(k, PLACES))).alias(k) for k in p.ranking_keys], each).select("market", "h.horizon", "ticker", *p.ranking_keys, "h.score")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("market", "horizon").orderBy(F.desc("score"), "ticker")).cast("long"))
+    run = run_keys(snap)
+    rows = scored(p, snap).select(*run, "ticker", *[F.expr(doubles(cut(k, PLACES))).alias(k) for k in p.ranking_keys], each).select(*run, "h.horizon", "ticker", *p.ranking_keys, "h.score")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*run, "horizon").orderBy(F.desc("score"), "ticker")).cast("long"))
 
 
 def places(name: str) -> int:
@@ -64,24 +80,25 @@ def rounded(snap: DataFrame) -> DataFrame:
     return snap.select(*[F.expr(doubles(cut(c, places(c)))).alias(c) if t == "double" else F.col(c) for c, t in snap.dtypes])
 
 
-def snapshot_sql(p: Profile, bars: str) -> str:
+def snapshot_sql(p: Profile, bars: str, runs: str | None = None) -> str:
+    own = "run_id, " if runs else ""
     metrics = ", ".join(f"{doubles(cut(f'CAST({x} AS DOUBLE)', places(n)))} AS {n}" for n, x in p.snapshot.items())
     gates = " AND ".join(f"({doubles(g)})" for g in p.gates)
     heads = ", ".join(f"{doubles(cut(f'f_{c}', SNAPSHOT_PLACES))} AS {c}" for c in ("close", "adjusted_close"))
-    return f"WITH f AS ({features.aggregate_sql(bars, p.rule, wanted(p))}), s AS (SELECT market, ticker, {heads}, {metrics} FROM f WHERE {gates}) SELECT * FROM s WHERE {finite(p)}"
+    return f"WITH f AS ({features.aggregate_sql(bars, p.rule, p.keep, wanted(p), runs)}), s AS (SELECT {own}market, ticker, {heads}, {metrics} FROM f WHERE {gates}) SELECT * FROM s WHERE {finite(p)}"
 
 
-def rankings_sql(p: Profile, bars: str) -> str:
-    layers, last = [], "s"
+def rankings_sql(p: Profile, bars: str, runs: str | None = None) -> str:
+    own, layers, last = "run_id, " if runs else "", [], "s"
     for i, layer in enumerate(p.layers):
-        layers.append(f"l{i} AS (SELECT *, {', '.join(f'CAST({doubles(x)} AS DOUBLE) AS {n}' for n, x in layer.items())} FROM {last})")
+        layers.append(f"l{i} AS (SELECT *, {', '.join(f'CAST({of_run(doubles(x), bool(runs))} AS DOUBLE) AS {n}' for n, x in layer.items())} FROM {last})")
         last = f"l{i}"
     keys = ", ".join(f"{doubles(cut(k, PLACES))} AS {k}" for k in p.ranking_keys)
-    parts = " UNION ALL ".join(f"SELECT market, '{h}' AS horizon, ticker, {keys}, {doubles(cut(f"CAST({x} AS DOUBLE)", PLACES))} AS score FROM {last}" for h, x in p.horizons.items())
+    parts = " UNION ALL ".join(f"SELECT {own}market, '{h}' AS horizon, ticker, {keys}, {doubles(cut(f"CAST({x} AS DOUBLE)", PLACES))} AS score FROM {last}" for h, x in p.horizons.items())
     gates = " AND ".join(f"({doubles(g)})" for g in p.gates)
     metrics = ", ".join(f"CAST({doubles(x)} AS DOUBLE) AS {n}" for n, x in p.snapshot.items())
     return (
-        f"WITH f AS ({features.aggregate_sql(bars, p.rule, wanted(p))}), s0 AS (SELECT market, ticker, f_close AS close, f_adjusted_close AS adjusted_close, {metrics} FROM f WHERE {gates}), s AS (SELECT * FROM s0 WHERE {finite(p)}), "
+        f"WITH f AS ({features.aggregate_sql(bars, p.rule, p.keep, wanted(p), runs)}), s0 AS (SELECT {own}market, ticker, f_close AS close, f_adjusted_close AS adjusted_close, {metrics} FROM f WHERE {gates}), s AS (SELECT * FROM s0 WHERE {finite(p)}), "
         + ", ".join(layers)
-        + f", r AS ({parts}) SELECT *, row_number() OVER (PARTITION BY market, horizon ORDER BY score DESC, ticker) AS rank FROM r"
+        + f", r AS ({parts}) SELECT *, row_number() OVER (PARTITION BY {own}market, horizon ORDER BY score DESC, ticker) AS rank FROM r"
     )

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from marlstone.functions.sqlexpr import div, doubles, percentile, tag, weighted
+from marlstone.operators import checks
 
 from .engine import cut
 
@@ -40,9 +46,12 @@ ORDER = "score DESC, score_profitability DESC, score_cash_generation DESC, score
 KEYS = [*SCORES, "score_positive_fcf", "score_profitability", "score_cash_generation", "score_balance_sheet", "tag_fundamentals_annual_fallback", "tag_negative_net_income", "tag_negative_fcf"]
 
 
-def ranking_sql(day_added: str) -> str:
-    """The profile over {bars} and {lineitem}; one list for each market's run. day_added: how the engine adds SHIFT days to a date."""
-    fresh = day_added.format(day="fiscal_period_end", n=SHIFT)
+#: What facts must hold, beside being fresh, for a ticker to be ranked.
+ELIGIBLE = " AND ".join(f"{x} IS NOT NULL" for x in REQUIRED) + " AND revenue_ttm > 0.0 AND total_assets > 0.0 AND shareholders_equity > 0.0 AND total_debt >= 0.0 AND cash_and_cash_equivalents >= 0.0"
+
+
+def scoring_sql(rows: str) -> str:
+    """Scores and ranks of eligible facts: common table expressions and the query that ends them."""
     scores = ", ".join(f"CAST(100.0 * ({percentile(x, better)}) AS DOUBLE) AS {n}" for n, (x, better) in SCORES.items())
     parts = {
         "score_profitability": weighted((0.35, "score_roe"), (0.25, "score_roa"), (0.25, "score_operating_margin"), (0.15, "score_net_margin")),
@@ -50,15 +59,22 @@ def ranking_sql(day_added: str) -> str:
         "score_balance_sheet": "score_low_debt_to_equity",
     }
     score = weighted((0.6, "score_profitability"), (0.25, "score_cash_generation"), (0.15, "score_balance_sheet"))
+    return f"""
+p AS (SELECT *, {scores}, CASE WHEN free_cash_flow_ttm > 0.0 THEN 100.0 ELSE 0.0 END AS score_positive_fcf FROM {rows}),
+q AS (SELECT *, {', '.join(f'{x} AS {n}' for n, x in parts.items())} FROM p), t AS (SELECT *, {cut(score, PLACES)} AS score FROM q)
+SELECT market, 'composite' AS horizon, ticker, {', '.join(f'{cut(k, PLACES)} AS {k}' for k in KEYS)}, score, CAST(row_number() OVER (PARTITION BY market ORDER BY {ORDER}) AS BIGINT) AS rank FROM t
+"""
+
+
+def ranking_sql(day_added: str) -> str:
+    """The profile over {bars} and {lineitem}; one list for each market's run. day_added: how the engine adds SHIFT days to a date."""
+    fresh = day_added.format(day="fiscal_period_end", n=SHIFT)
     return doubles(f"""
 WITH facts AS ({FACTS_SQL}), latest AS (SELECT market, ticker, max(bar_date) AS last_date FROM {{bars}} GROUP BY market, ticker), run AS (SELECT market, max(last_date) AS as_of FROM latest GROUP BY market),
 s AS (
   SELECT f.* FROM facts f JOIN latest l ON f.market = l.market AND f.ticker = l.ticker JOIN run r ON l.market = r.market AND l.last_date = r.as_of
-  WHERE datediff_days(r.as_of, {fresh}) <= {STALE_DAYS} AND {' AND '.join(f'f.{x} IS NOT NULL' for x in REQUIRED)} AND revenue_ttm > 0.0 AND total_assets > 0.0 AND shareholders_equity > 0.0 AND total_debt >= 0.0 AND cash_and_cash_equivalents >= 0.0
-), p AS (SELECT *, {scores}, CASE WHEN free_cash_flow_ttm > 0.0 THEN 100.0 ELSE 0.0 END AS score_positive_fcf FROM s),
-q AS (SELECT *, {', '.join(f'{x} AS {n}' for n, x in parts.items())} FROM p), t AS (SELECT *, {cut(score, PLACES)} AS score FROM q)
-SELECT market, 'composite' AS horizon, ticker, {', '.join(f'{cut(k, PLACES)} AS {k}' for k in KEYS)}, score, CAST(row_number() OVER (PARTITION BY market ORDER BY {ORDER}) AS BIGINT) AS rank FROM t
-""")
+  WHERE datediff_days(r.as_of, {fresh}) <= {STALE_DAYS} AND {ELIGIBLE}
+), {scoring_sql("s")}""")
 
 
 def spark_sql() -> str:
@@ -67,3 +83,32 @@ def spark_sql() -> str:
 
 def oracle(bars: str) -> str:
     return ranking_sql("{day} + {n}").replace("datediff_days(r.as_of, ", "(r.as_of - (").replace(f"+ {SHIFT}) <=", f"+ {SHIFT})) <=").format(bars=f"({bars})", lineitem="lineitem")
+
+
+PROFILE_ID, HORIZONS = "fundamental_quality_profitability_v1", ("composite",)
+#: A snapshot's metrics; cash is asked for, but not kept.
+SNAPSHOT = ["profile_metrics_version", *[x for x in REQUIRED if x != "cash_and_cash_equivalents"]]
+
+
+def snapshot(facts: DataFrame, bars: DataFrame, listings: DataFrame, run_date: date) -> DataFrame:
+    """Listed tickers with a bar on the run's date and fresh, complete and positive facts: market, ticker, close, adjusted_close, metrics."""
+    day = F.lit(run_date)
+    listed = listings.select("market", "ticker").distinct()
+    priced = bars.filter(F.col("bar_date") == day).select("market", "ticker", "close", "adjusted_close").join(listed, ["market", "ticker"], "left_semi")
+    fresh = F.greatest(F.datediff(day, "fiscal_period_end"), F.datediff(day, "balance_sheet_as_of")) <= STALE_DAYS
+    dated = F.col("fiscal_period_end").isNotNull() & F.col("balance_sheet_as_of").isNotNull() & fresh
+    held = facts.filter(dated).filter(doubles(ELIGIBLE)).join(priced, ["market", "ticker"])
+    for k in (*REQUIRED, "close", "adjusted_close"):
+        held = held.filter(checks.finite(k))
+    return held.withColumn("profile_metrics_version", F.lit(1.0)).select("market", "ticker", "close", "adjusted_close", *SNAPSHOT)
+
+
+def rankings(snap: DataFrame) -> DataFrame:
+    """market, horizon, ticker, ranking metrics, score, rank of a snapshot."""
+    return snap.sparkSession.sql("WITH " + doubles(scoring_sql("{snap}")), snap=snap)
+
+
+def settle(market: str, seen: dict) -> None:
+    """Unlike the price profiles', a run in which nobody is eligible is an error."""
+    if not seen["rows"]:
+        raise checks.DataError(f"no eligible fundamentals of {market}")

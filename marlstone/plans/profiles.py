@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass
 
 from marlstone.functions.sqlexpr import band, clamp, count_of, div, ladder, ln, penalties, percentile, tag, weighted
 
 
 @dataclass(frozen=True)
 class Profile:
-    """snapshot and layers map names to expressions; an expression may use features (f_...), and what came in layers before."""
+    """rule: how the as-of date follows from the run's (features.calendar). snapshot and layers map names to expressions; an expression may use features (f_...), and what came in layers before."""
 
     profile_id: str
     rule: str
@@ -18,7 +19,11 @@ class Profile:
     layers: list[dict[str, str]]
     ranking_keys: list[str]
     horizons: dict[str, str]
-    features: list[str] = field(default_factory=list)
+
+    @property
+    def keep(self) -> int:
+        """How many of a ticker's last bars are looked at: the history that it must have."""
+        return int(re.fullmatch(r"f_bars >= (\d+)", self.gates[0])[1])
 
 
 def by_market(tw: float, us: float) -> str:
@@ -29,8 +34,9 @@ PRICE_FLOOR = by_market(10.0, 5.0)
 LOW_LIQUIDITY, HIGH_LIQUIDITY = by_market(20e6, 5e6), by_market(50e6, 10e6)
 
 
-def history(n: int, rule: str = "A", unique: bool = False) -> list[str]:
-    out = [f"f_bars >= {n}", "f_last_date = as_of"]
+def history(n: int, unique: bool = False, on: str = "as_of") -> list[str]:
+    """At least n bars, the last of them on the as-of date (or on the run's: run_date)."""
+    out = [f"f_bars >= {n}", f"f_last_date = {on}"]
     return out + (["f_repeated_dates = 0"] if unique else [])
 
 

@@ -158,7 +158,7 @@ RELATIVE_STRENGTH_LEADER = Profile(
     "relative_strength_leader_v1",
     "C",
     [
-        *history(274, unique=True), *retained(274), *tradable(), *NORMAL_VOLATILITY, "f_volatility_126d > 0.0001", "f_volatility_6_1 > 0.0001", "f_volatility_12_1 > 0.0001", "f_extreme_273 <= 0.80",
+        *history(274, unique=True, on="run_date"), *retained(274), *tradable(), *NORMAL_VOLATILITY, "f_volatility_126d > 0.0001", "f_volatility_6_1 > 0.0001", "f_volatility_12_1 > 0.0001", "f_extreme_273 <= 0.80",
         "f_return_60d > 0.0 OR f_return_120d > 0.0", f"{P50} > -0.03", "f_adjusted_close > f_sma_200d", f"{S50} >= -0.03", "f_max_drawdown_120d > -0.40",
     ],
     {

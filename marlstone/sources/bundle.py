@@ -1,7 +1,7 @@
 """A bundle of files that holds all of a run's input: listings.csv, ohlcv.csv, fundamentals.csv, metadata.json.
 
-Tables stay DataFrames; what must hold over whole tables (no repeated keys, no bar after the run's latest date) is asked in
-aggregations that send a row to the driver.
+Tables stay DataFrames; what must hold over whole tables (no repeated keys, no bar after the run's latest date) stands in the
+plan of whatever reads them, and needs no job of its own.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.errors import DataError
+from marlstone.operators import checks
 
 # The columns of each file, and the keys of the metadata.
 LISTINGS = "market string, ticker string, listing_symbol string, exchange_segment string, listing_status string, instrument_type string, source_id string"
@@ -72,15 +73,12 @@ class Bundle:
         return rows.filter(F.col("market") == market).withColumn("ticker", F.upper("ticker")).orderBy("ticker")
 
     def bars(self, market: str, listings: DataFrame, latest: date) -> DataFrame:
+        """The bars of listed tickers. A bar after `latest`, or two of one day, end the job that reads them (checks.translated)."""
         rows = read_csv(self.spark, f"{self.path}/ohlcv.csv", BARS).withColumn("ticker", F.upper("ticker"))
         rows = rows.filter(F.col("market") == market).join(listings.select("ticker").distinct(), "ticker", "left_semi")
-        repeated = rows.groupBy("ticker", "bar_date").count().filter("count > 1").limit(1).collect()
-        if repeated:
-            raise DataError(f"{repeated[0]['ticker']} has several bars of {repeated[0]['bar_date']}")
-        late = rows.filter(F.col("bar_date") > F.lit(latest)).limit(1).collect()
-        if late:
-            raise DataError(f"{late[0]['ticker']} has a bar of {late[0]['bar_date']}, after {latest}")
-        return rows
+        day = F.col("bar_date").cast("string")
+        rows = checks.must(rows, F.col("bar_date") <= F.lit(latest), F.concat("ticker", F.lit(" has a bar of "), F.coalesce(day, F.lit("no date")), F.lit(f", not up to {latest}")))
+        return checks.unrepeated(rows, ["market", "ticker"], "bar_date", F.concat("ticker", F.lit(" has several bars of "), day))
 
     def fundamentals(self, market: str, listings: DataFrame, run_date: date) -> tuple[DataFrame, dict]:
         """The facts of listed tickers, and how many of these have some, with the latest date among them."""

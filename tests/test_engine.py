@@ -3,9 +3,11 @@
 import math
 import os
 import statistics
+from datetime import date
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.functions import sqlexpr
 from marlstone.operators import features
@@ -68,7 +70,7 @@ def test_metrics_that_are_no_numbers_go(spark):
 def test_features_like_python(spark):
     bars = panel.bars(spark, SF).filter("ticker in ('P1', 'P3', 'P4', 'P9')")
     names = ["return_60d", "volatility_60d", "max_drawdown_120d", "slope_60d", "r2_60d", "sma_200d", "median_range_pct_20d", "days_since_60d_high", "amihud_60d", "above_ma60", "stale_close_59", "downside_std_60d"]
-    got = {r["ticker"]: r for r in features.aggregate(features.as_of(bars, "A"), names).collect()}
+    got = {r["ticker"]: r for r in features.aggregate(bars, "A", 280, names).collect()}
     series = {}
     for r in bars.orderBy("bar_date").collect():
         series.setdefault(r["ticker"], []).append(r)
@@ -132,3 +134,44 @@ def test_listing_restricts_and_empty_bars(spark):
 def test_solved_rates_give_the_price(spark):
     rows = valuation.value(valuation.facts(spark, SF), valuation.scenarios(spark)).filter("solved is not null").collect()
     assert rows and all(abs(r["spread"]) < 1e-4 for r in rows)
+
+
+@pytest.fixture(scope="module")
+def some_bars(spark):
+    return panel.bars(spark, SF).filter("cast(substring(ticker, 2) as int) <= 45").cache()
+
+
+@pytest.mark.parametrize("profile_id", ["sample_price_trend_v1", "trend_quality_v1", "base_breakout_quality_v1", "relative_strength_leader_v1"])
+def test_runs_in_one_plan_are_those_of_each_date(spark, some_bars, profile_id):
+    """Each run of a calendar ranks what a run by itself ranks on bars that end on its date; a ticker's repeated or missing bars count up to that date only."""
+    p = catalog.PROFILES[profile_id]
+    again = some_bars.filter("ticker = 'P1' and bar_date = date'2025-10-06'")  # repeated from then on
+    bars = some_bars.filter("not (ticker = 'P2' and bar_date > date'2025-10-05')").unionByName(again)
+    dates = {"old": date(2025, 10, 5), "near": date(2025, 10, 6), "now": date(2025, 10, 7)}
+    runs = spark.createDataFrame([(f"{m}-{n}", m, d) for m in ("US", "TW") for n, d in dates.items()], "run_id string, market string, run_date date")
+    got = engine.rankings(p, engine.snapshot(p, bars, runs=runs)).collect()
+    for name, day in dates.items():
+        alone = engine.rankings(p, engine.snapshot(p, bars.filter(F.col("bar_date") <= F.lit(day)))).collect()
+        assert sorted(map(tuple, alone)) == sorted(tuple(r)[1:] for r in got if r["run_id"].endswith(name)) and alone
+
+
+def test_a_feed_that_stops_early(spark, some_bars):
+    """On a run date without bars, rules A and the leaders' profile rank nobody; B and C take the last date that there is."""
+    runs = spark.createDataFrame([("late", m, date(2025, 10, 9)) for m in ("US", "TW")], "run_id string, market string, run_date date")
+    for profile_id, p in catalog.PROFILES.items():
+        rows = engine.snapshot(p, some_bars, runs=runs, dated=True).select("as_of").distinct().collect()
+        stops = p.rule == "A" or profile_id == "relative_strength_leader_v1"
+        assert [r["as_of"] for r in rows] == ([] if stops else [date(2025, 10, 7)]), profile_id
+    before = spark.createDataFrame([("early", "US", date(2024, 1, 1))], "run_id string, market string, run_date date")
+    assert engine.snapshot(catalog.PROFILES["trend_quality_v1"], some_bars, runs=before).count() == 0
+
+
+def test_runs_need_one_shuffle_of_bars(spark, some_bars):
+    """Runs are joined after the bars are shuffled, and only bars that a run keeps reach its windows."""
+    p = catalog.PROFILES["sample_price_trend_v1"]
+    runs = spark.createDataFrame([(f"r{i}", "US", date(2025, 10, 7 - i)) for i in range(5)], "run_id string, market string, run_date date")
+    df = engine.snapshot(p, some_bars, runs=runs)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(market") == 1 and "BroadcastHashJoin" in plan
+    held = features.windowed(some_bars.filter("ticker = 'P1'"), p.keep).join(runs, "market").filter(features.IN_RUN.replace("as_of", "run_date"))
+    assert held.groupBy("run_id").count().filter(f"count <> {p.keep}").count() == 0

@@ -11,7 +11,8 @@ import pytest
 import yaml
 
 from marlstone import cli, config, errors, locking, output
-from marlstone.plans import assumptions, catalog, contract, valuation
+from marlstone.operators import checks, store
+from marlstone.plans import assumptions, catalog, contract, engine, fundamentals, valuation
 from marlstone.sources import bundle, live
 
 DAYS = 280
@@ -24,7 +25,8 @@ CONFIG = {
 
 
 def close(k, i):
-    return round(20 + k + 0.05 * i * (k + 1) + 0.5 * math.sin(i / 4 + k), 6)
+    """A staircase of our own: a rise of a few cents a day, with a step of a seventh that comes and goes."""
+    return round(31 + 2 * k + 0.03 * i * (k + 2) + 0.8 * ((i * (k + 3)) % 7) / 7, 4)
 
 
 def scenarios(**rates):
@@ -56,7 +58,7 @@ def place(tmp_path_factory):
     for k, t in enumerate([*tickers, "unlisted"]):
         for i in range(DAYS):
             c = close(k, i)
-            rows.append(f"US,{t.upper()},{date(2025, 1, 1) + timedelta(i)},{c},{c * 1.01},{c * 0.99},{c},{c},2000000,1")
+            rows.append(f"US,{t.upper()},{date(2025, 1, 1) + timedelta(i)},{c},{c * 1.006:.4f},{c * 0.995:.4f},{c},{c},{1700000 + 900 * i},1")
     (data / "ohlcv.csv").write_text("\n".join(rows) + "\n")
     names = [x.split()[0] for x in bundle.FUNDAMENTALS.split(", ")]
     fact = dict.fromkeys(names, "1") | {"market": "US", "ticker": "T0", "currency": "USD", "fiscal_period_end": "2025-06-30", "balance_sheet_as_of": "2025-07-31", "fiscal_period_type": "ttm", "free_cash_flow_ttm": "300", "total_debt": "50", "cash_and_cash_equivalents": "20"}
@@ -81,6 +83,14 @@ def test_command_line(spark, place, capsys):
     assert go("inspect", "US", "--ticker", "t1", "--json") == 0 and json.loads(capsys.readouterr().out)["ticker"] == "T1"
     assert go("inspect", "US", "--ticker", "none") == 2 and go("report") == 1 and go("report", "US", "--run-id", "x") == 1
     assert go("batch", "mars") == 1 and go("batch", "US", "--ranking-profile", "nothing") == 1
+    assert go("batch", "US", "--ranking-profile", fundamentals.PROFILE_ID) == 0 and go("report", "US", "--ranking-profile", fundamentals.PROFILE_ID, "--json") == 0
+    held = json.loads(capsys.readouterr().out.split("\n", 1)[1])
+    assert [s["ticker"] for s in held["snapshots"]] == ["T0"] and set(held["snapshots"][0]["metrics"]) == set(fundamentals.SNAPSHOT)
+    assert held["rankings"][0]["score"] == 100.0 and held["provider_summary"]["fundamentals_requested_count"] == "4" and held["provider_summary"]["ohlcv_provider_id"] == "x"
+    assert go("batch", "TW", "--ranking-profile", fundamentals.PROFILE_ID) == 6 and "no eligible fundamentals of TW" in capsys.readouterr().err
+    assert go("report", "US", "--ranking-profile", fundamentals.PROFILE_ID) == 0
+    told = capsys.readouterr().out
+    assert "- candidates: 1" in told and "- ohlcv_provider_id: x" in told
     with locking.writer(str(place / "lock")):
         assert go("batch", "US") == 4
 
@@ -129,8 +139,8 @@ def test_bundle_errors(spark, place, tmp_path):
     data = b.load("US", fundamentals=True)
     assert {r["ticker"] for r in data.bars.select("ticker").distinct().collect()} == {"T0", "T1", "T2", "T3"}
     assert data.metadata["fundamentals"] == {"listed": 4, "with_facts": 1, "without_facts": 3, "latest_source_date": "2025-07-31"}
-    with pytest.raises(errors.DataError):
-        b.bars("US", data.listings, LAST - timedelta(1))
+    with pytest.raises(errors.DataError, match=f"a bar of {LAST}"), checks.translated():
+        b.bars("US", data.listings, LAST - timedelta(1)).count()
     text = (place / "data" / "ohlcv.csv").read_text()
     for name, content in (("twice", text + text.splitlines()[1] + "\n"), ("lacks", text.replace("adjusted_close", "other", 1))):
         d = tmp_path / name
@@ -138,8 +148,8 @@ def test_bundle_errors(spark, place, tmp_path):
         for f in ("metadata.json", "listings.csv", "fundamentals.csv"):
             (d / f).write_text((place / "data" / f).read_text())
         (d / "ohlcv.csv").write_text(content)
-        with pytest.raises(errors.DataError):
-            bundle.Bundle(spark, str(d)).load("US")
+        with pytest.raises(errors.DataError, match="several bars of" if name == "twice" else "lacks"), checks.translated():
+            bundle.Bundle(spark, str(d)).load("US").bars.count()
 
 
 def test_wide_bars(spark):
@@ -253,3 +263,74 @@ def test_valuation_of_a_universe_is_unchanged(spark):
     all_of = valuation.value(facts, valuation.scenarios(spark)).filter("model_id = 'fcf_dcf_v1'").collect()
     key = lambda r: r["scenario"]
     assert sorted(map(tuple, one)) == sorted(map(tuple, all_of)) and len({key(r) for r in one}) == 3
+
+
+def test_only_one_listing(spark, place, capsys):
+    """A lookup that must match once tells how often it did."""
+    df = spark.createDataFrame([("A", 1), ("B", 2), ("B", 3)], "ticker string, n int")
+    assert checks.only(df.filter("ticker = 'A'"), "listing of A") == {"ticker": "A", "n": 1}
+    for t, n in (("B", 2), ("C", 0)):
+        with pytest.raises(errors.DataError, match=f"exactly one listing of {t}; found {n}"):
+            checks.only(df.filter(f"ticker = '{t}'"), f"listing of {t}")
+    assert cli.main(["--config", str(place / "config.yaml"), "value", "US", "--ticker", "NOBODY", "--assumptions", str(place / "T0.yaml")], spark) in (1, 6)
+
+
+def test_runs_are_as_of_the_run_date(spark, place, tmp_path, capsys):
+    """A bundle whose feed stopped before the run's date ranks nobody under rule A."""
+    data = tmp_path / "late"
+    data.mkdir()
+    for f in ("listings.csv", "ohlcv.csv", "fundamentals.csv"):
+        (data / f).write_text((place / "data" / f).read_text())
+    (data / "metadata.json").write_text(json.dumps({k: "x" for k in bundle.METADATA} | {"run_latest_bar_date": str(LAST + timedelta(1))}))
+    held = yaml.safe_load((place / "config.yaml").read_text()) | {"duckdb_path": str(tmp_path / "store"), "lock_path": str(tmp_path / "lock"), "fixture_dir": str(data)}
+    (tmp_path / "config.yaml").write_text(yaml.safe_dump(held))
+    go = lambda *a: cli.main(["--config", str(tmp_path / "config.yaml"), *a], spark)
+    assert go("batch", "US") == 0 and go("report", "US", "--json") == 0
+    assert json.loads(capsys.readouterr().out.split("\n", 1)[1])["snapshots"] == []
+
+
+def test_a_run_is_computed_once(spark, place, tmp_path):
+    """Each bar passes the plan once in a run: the checks ride on the job that writes the snapshot, and rankings start from what it wrote."""
+    data = bundle.Bundle(spark, str(place / "data")).load("US")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    bars = data.bars.mapInPandas(count, data.bars.schema)
+    p, run = catalog.PROFILES["trend_quality_v1"], store.RunStore(spark, str(tmp_path / "store"))
+    dates = spark.createDataFrame([("US", LAST)], "market string, run_date date")
+    once = bars.select("market", "bar_date").distinct().count() and seen.value  # rule B asks for the dates besides
+    snap, watch = contract.watched(p.profile_id, p, engine.snapshot(p, bars, data.listings, dates, dated=True))
+    assert {"first_as_of", "last_as_of", "bad_return_20d"} <= set(watch)
+    run_id = run.begin("US", p.profile_id)
+    run.commit(run_id, "US", p.profile_id, snap, lambda written: engine.rankings(p, written), list(p.horizons), None, watch, lambda seen: contract.settle(p.profile_id, "US", seen))
+    assert run.latest("US") == run_id and seen.value == 3 * once
+
+
+def test_checks_ride_on_the_write(spark, tmp_path):
+    """What settle() and the store refuse: no numbers, several as-of dates, repeated tickers, another market, gaps in ranks."""
+    p = catalog.PROFILES["trend_quality_v1"]
+    ddl = "market string, ticker string, as_of date, close double, adjusted_close double, " + ", ".join(f"{k} double" for k in p.snapshot)
+    rows = [("US", f"T{i}", LAST, 10.0, 10.0, *[1.0 + i] * len(p.snapshot)) for i in range(4)]
+    change = lambda i, k, v: [r if n != i else (*r[:k], v, *r[k + 1 :]) for n, r in enumerate(rows)]
+    run = store.RunStore(spark, str(tmp_path / "store"))
+
+    def commit(rows, rank=lambda snap: engine.rankings(p, snap)):
+        run_id = run.begin("US", p.profile_id)
+        snap, watch = contract.watched(p.profile_id, p, spark.createDataFrame(rows, ddl))
+        run.commit(run_id, "US", p.profile_id, snap, rank, list(p.horizons), None, watch, lambda seen: contract.settle(p.profile_id, "US", seen))
+        return run_id
+
+    assert run.status(commit(rows)) == "successful" and run.status(commit([])) == "successful"
+    for bad, kind, text in (
+        (change(1, 6, math.nan), errors.DataError, "no numbers in"), (change(1, 6, None), errors.DataError, "no numbers in"), (change(2, 2, LAST - timedelta(1)), errors.DataError, "several as-of dates"),
+        (change(2, 1, "T1"), errors.IntegrityError, "repeated tickers"), (change(2, 0, "TW"), errors.IntegrityError, "another market"),
+    ):
+        with pytest.raises(kind, match=text):
+            commit(bad)
+    for rank in (lambda s: engine.rankings(p, s).filter("rank > 1"), lambda s: engine.rankings(p, s).withColumn("rank", engine.F.col("rank") * 2), lambda s: engine.rankings(p, s).replace("composite", "other", ["horizon"])):
+        with pytest.raises(errors.IntegrityError):
+            commit(rows, rank)
