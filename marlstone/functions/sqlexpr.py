@@ -58,12 +58,24 @@ def penalties(*parts: tuple[str, float]) -> str:
     return "(0.0 + " + " + ".join(f"CASE WHEN {c} THEN {v:.6f} ELSE 0.0 END" for c, v in parts) + ")"
 
 
-def percentile(x: str, better: str = "high", group: str = "market") -> str:
+class Percentile(str):
+    """The SQL text of a percentile that knows what it is of, so that operators/ranks.py can find all of a layer's together."""
+
+    x: str
+    better: str
+
+    def __new__(cls, text: str, x: str, better: str) -> Percentile:
+        self = super().__new__(cls, text)
+        self.x, self.better = x, better
+        return self
+
+
+def percentile(x: str, better: str = "high", group: str = "market") -> Percentile:
     """1 for the best of a group, 0 for the worst; ties share their mean place; alone: 1. positive: only among values over 0, others 0."""
     if better == "positive":
         keys = f"{group}, CASE WHEN {x} > 0.0 THEN 1 ELSE 0 END"
-        return f"CASE WHEN {x} > 0.0 THEN {_place(x, 'DESC', keys)} ELSE 0.0 END"
-    return _place(x, "DESC" if better == "high" else "ASC", group)
+        return Percentile(f"CASE WHEN {x} > 0.0 THEN {_place(x, 'DESC', keys)} ELSE 0.0 END", x, better)
+    return Percentile(_place(x, "DESC" if better == "high" else "ASC", group), x, better)
 
 
 def _place(x: str, order: str, keys: str) -> str:

@@ -45,7 +45,7 @@ def valuation_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fundamental_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(fundamentals.spark_sql(), bars=panel.bars(spark, sf_dir), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return fundamentals.rankings(fundamentals.eligible(panel.bars(spark, sf_dir), spark.read.parquet(f"{sf_dir}/lineitem.parquet")))
 
 
 def snapshot(profile_id: str) -> Callable[[SparkSession, str], DataFrame]:

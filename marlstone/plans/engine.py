@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.sqlexpr import doubles
-from marlstone.operators import features
+from marlstone.functions.sqlexpr import Percentile, doubles
+from marlstone.operators import features, ranks
+from marlstone.operators.tables import written
 
 from .profiles import Profile
 
@@ -46,14 +47,18 @@ def finite(p: Profile) -> str:
 
 
 def of_run(x: str, several: bool) -> str:
-    """A score's expression, in which places are taken among the tickers of a market: with several runs, among those of the run."""
+    """A score's SQL, in which places are taken among the tickers of a market: with several runs, among those of the run."""
     return x.replace("PARTITION BY market", "PARTITION BY run_id, market") if several else x
 
 
 def scored(p: Profile, snap: DataFrame) -> DataFrame:
-    several = "run_id" in snap.columns
+    """snap with all score layers. A layer's percentiles are found together, from a written table as they read it several times."""
     for layer in p.layers:
-        snap = snap.select("*", *[F.expr(f"CAST({of_run(doubles(x), several)} AS DOUBLE)").alias(n) for n, x in layer.items()])
+        asked = {n: x for n, x in layer.items() if isinstance(x, Percentile)}
+        plain = [F.expr(f"CAST({doubles(x)} AS DOUBLE)").alias(n) for n, x in layer.items() if n not in asked]
+        if asked:
+            snap = ranks.percentiles(written(snap, "snapshot"), run_keys(snap), "ticker", asked)
+        snap = snap.select("*", *plain)
     return snap
 
 
@@ -62,7 +67,7 @@ def rankings(p: Profile, snap: DataFrame) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.expr(doubles(cut(f"CAST({x} AS DOUBLE)", PLACES))).alias("score")) for h, x in p.horizons.items()])).alias("h")
     run = run_keys(snap)
     rows = scored(p, snap).select(*run, "ticker", *[F.expr(doubles(cut(k, PLACES))).alias(k) for k in p.ranking_keys], each).select(*run, "h.horizon", "ticker", *p.ranking_keys, "h.score")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*run, "horizon").orderBy(F.desc("score"), "ticker")).cast("long"))
+    return ranks.ranked(rows, [*run, "horizon"], [F.desc("score"), F.asc("ticker")])
 
 
 def places(name: str) -> int:

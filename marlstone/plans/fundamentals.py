@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.sqlexpr import div, doubles, percentile, tag, weighted
-from marlstone.operators import checks
+from marlstone.operators import checks, ranks
+from marlstone.operators.tables import written
 
 from .engine import cut
 
@@ -42,7 +43,8 @@ REQUIRED = (
     " tag_fundamentals_annual_fallback tag_negative_net_income tag_negative_fcf"
 ).split()
 SCORES = {f"score_{x}": (x, "high") for x in ("roe", "roa", "operating_margin", "net_margin", "fcf_margin")} | {"score_low_debt_to_equity": ("debt_to_equity", "low")}
-ORDER = "score DESC, score_profitability DESC, score_cash_generation DESC, score_balance_sheet DESC, roe DESC, free_cash_flow_ttm DESC, ticker"
+DESCENDING = ("score", "score_profitability", "score_cash_generation", "score_balance_sheet", "roe", "free_cash_flow_ttm")
+ORDER = ", ".join(f"{k} DESC" for k in DESCENDING) + ", ticker"
 KEYS = [*SCORES, "score_positive_fcf", "score_profitability", "score_cash_generation", "score_balance_sheet", "tag_fundamentals_annual_fallback", "tag_negative_net_income", "tag_negative_fcf"]
 
 
@@ -50,39 +52,44 @@ KEYS = [*SCORES, "score_positive_fcf", "score_profitability", "score_cash_genera
 ELIGIBLE = " AND ".join(f"{x} IS NOT NULL" for x in REQUIRED) + " AND revenue_ttm > 0.0 AND total_assets > 0.0 AND shareholders_equity > 0.0 AND total_debt >= 0.0 AND cash_and_cash_equivalents >= 0.0"
 
 
+PARTS = {
+    "score_profitability": weighted((0.35, "score_roe"), (0.25, "score_roa"), (0.25, "score_operating_margin"), (0.15, "score_net_margin")),
+    "score_cash_generation": weighted((0.7, "score_fcf_margin"), (0.3, "score_positive_fcf")),
+    "score_balance_sheet": "score_low_debt_to_equity",
+}
+SCORE = weighted((0.6, "score_profitability"), (0.25, "score_cash_generation"), (0.15, "score_balance_sheet"))
+POSITIVE_FCF = "CASE WHEN free_cash_flow_ttm > 0.0 THEN 100.0 ELSE 0.0 END"
+
+
 def scoring_sql(rows: str) -> str:
-    """Scores and ranks of eligible facts: common table expressions and the query that ends them."""
+    """Scores and ranks of eligible facts in SQL: common table expressions and the query that ends them."""
     scores = ", ".join(f"CAST(100.0 * ({percentile(x, better)}) AS DOUBLE) AS {n}" for n, (x, better) in SCORES.items())
-    parts = {
-        "score_profitability": weighted((0.35, "score_roe"), (0.25, "score_roa"), (0.25, "score_operating_margin"), (0.15, "score_net_margin")),
-        "score_cash_generation": weighted((0.7, "score_fcf_margin"), (0.3, "score_positive_fcf")),
-        "score_balance_sheet": "score_low_debt_to_equity",
-    }
-    score = weighted((0.6, "score_profitability"), (0.25, "score_cash_generation"), (0.15, "score_balance_sheet"))
     return f"""
-p AS (SELECT *, {scores}, CASE WHEN free_cash_flow_ttm > 0.0 THEN 100.0 ELSE 0.0 END AS score_positive_fcf FROM {rows}),
-q AS (SELECT *, {', '.join(f'{x} AS {n}' for n, x in parts.items())} FROM p), t AS (SELECT *, {cut(score, PLACES)} AS score FROM q)
+p AS (SELECT *, {scores}, {POSITIVE_FCF} AS score_positive_fcf FROM {rows}),
+q AS (SELECT *, {', '.join(f'{x} AS {n}' for n, x in PARTS.items())} FROM p), t AS (SELECT *, {cut(SCORE, PLACES)} AS score FROM q)
 SELECT market, 'composite' AS horizon, ticker, {', '.join(f'{cut(k, PLACES)} AS {k}' for k in KEYS)}, score, CAST(row_number() OVER (PARTITION BY market ORDER BY {ORDER}) AS BIGINT) AS rank FROM t
 """
 
 
-def ranking_sql(day_added: str) -> str:
-    """The profile over {bars} and {lineitem}; one list for each market's run. day_added: how the engine adds SHIFT days to a date."""
+def eligible_sql(day_added: str) -> str:
+    """Common table expressions over {bars} and {lineitem} that end with s, the eligible facts of each market's run. day_added: how the engine adds SHIFT days to a date."""
     fresh = day_added.format(day="fiscal_period_end", n=SHIFT)
-    return doubles(f"""
+    return f"""
 WITH facts AS ({FACTS_SQL}), latest AS (SELECT market, ticker, max(bar_date) AS last_date FROM {{bars}} GROUP BY market, ticker), run AS (SELECT market, max(last_date) AS as_of FROM latest GROUP BY market),
 s AS (
   SELECT f.* FROM facts f JOIN latest l ON f.market = l.market AND f.ticker = l.ticker JOIN run r ON l.market = r.market AND l.last_date = r.as_of
   WHERE datediff_days(r.as_of, {fresh}) <= {STALE_DAYS} AND {ELIGIBLE}
-), {scoring_sql("s")}""")
+)"""
 
 
-def spark_sql() -> str:
-    return ranking_sql("date_add({day}, {n})").replace("datediff_days(", "datediff(")
+def eligible(bars: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """The eligible facts of each market, made from line items."""
+    text = eligible_sql("date_add({day}, {n})").replace("datediff_days(", "datediff(")
+    return bars.sparkSession.sql(doubles(text) + " SELECT * FROM s", bars=bars, lineitem=lineitem)
 
 
 def oracle(bars: str) -> str:
-    return ranking_sql("{day} + {n}").replace("datediff_days(r.as_of, ", "(r.as_of - (").replace(f"+ {SHIFT}) <=", f"+ {SHIFT})) <=").format(bars=f"({bars})", lineitem="lineitem")
+    return doubles(eligible_sql("{day} + {n}") + ", " + scoring_sql("s")).replace("datediff_days(r.as_of, ", "(r.as_of - (").replace(f"+ {SHIFT}) <=", f"+ {SHIFT})) <=").format(bars=f"({bars})", lineitem="lineitem")
 
 
 PROFILE_ID, HORIZONS = "fundamental_quality_profitability_v1", ("composite",)
@@ -105,7 +112,13 @@ def snapshot(facts: DataFrame, bars: DataFrame, listings: DataFrame, run_date: d
 
 def rankings(snap: DataFrame) -> DataFrame:
     """market, horizon, ticker, ranking metrics, score, rank of a snapshot."""
-    return snap.sparkSession.sql("WITH " + doubles(scoring_sql("{snap}")), snap=snap)
+    exact = lambda x: F.expr(f"CAST({doubles(x)} AS DOUBLE)")
+    rows = ranks.percentiles(written(snap, "snapshot"), ["market"], "ticker", {n: percentile(x, better) for n, (x, better) in SCORES.items()})
+    rows = rows.withColumns({n: F.lit(100.0) * F.col(n) for n in SCORES} | {"score_positive_fcf": exact(POSITIVE_FCF)})
+    rows = rows.withColumns({n: exact(x) for n, x in PARTS.items()})
+    rows = rows.withColumn("score", exact(cut(SCORE, PLACES)))
+    placed = ranks.ranked(rows, ["market"], [*[F.desc(k) for k in DESCENDING], F.asc("ticker")])
+    return placed.select("market", F.lit(HORIZONS[0]).alias("horizon"), "ticker", *[exact(cut(k, PLACES)).alias(k) for k in KEYS], "score", "rank")
 
 
 def settle(market: str, seen: dict) -> None:
