@@ -7,7 +7,7 @@ and a mapping that sums up their coverage.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
 from typing import Any
@@ -19,15 +19,17 @@ from pyspark.sql import functions as F
 from marlstone.config import MARKETS, Config, digest, market_of
 from marlstone.errors import DataError, Invalid, NotFound
 
+from marlstone.operators import checks
+
+from . import feed
 from .bundle import RunData, market_date
+from .feed import FIELDS
 from .listings import request_symbols
 
 KINDS = ("listings", "bars", "fundamentals")
-# Each market's time zone, the days of bars a run asks for, and what price feeds call the fields.
+# Each market's time zone, and the days of bars a run asks for.
 ZONES = {"US": "America/New_York", "TW": "Asia/Taipei"}
 LOOKBACK_DAYS = 420
-FIELDS = {"Open": "open", "High": "high", "Low": "low", "Close": "close", "Adj Close": "adjusted_close", "Volume": "volume"}
-FETCHED = "request_symbol string, bar_date date, " + ", ".join(f"{n} double" for n in FIELDS.values())
 
 
 class Registry:
@@ -61,22 +63,6 @@ class Registry:
 REGISTRY = Registry()
 
 
-def by_row(wide: pd.DataFrame) -> pd.DataFrame:
-    """Rows of FETCHED from a feed's answer, whose columns are pairs of field and symbol in either order; dates that can't be read are dropped."""
-    names = [x.split()[0] for x in FETCHED.split(", ")]
-    if wide is None or wide.empty:
-        return pd.DataFrame(columns=names)
-    fields = 0 if wide.columns.get_level_values(0).isin(list(FIELDS)).any() else 1
-    if fields == 1:
-        wide = wide.swaplevel(axis=1)
-    days = pd.to_datetime(pd.Series(wide.index), errors="coerce").dt.date.to_numpy()
-    parts = []
-    for symbol in wide.columns.get_level_values(1).unique():
-        held = {n: pd.to_numeric(wide[f, symbol], errors="coerce").to_numpy() if (f, symbol) in wide.columns else float("nan") for f, n in FIELDS.items()}
-        parts.append(pd.DataFrame({"request_symbol": symbol, "bar_date": days, **held}))
-    return pd.concat(parts)[names].dropna()
-
-
 @dataclass(frozen=True)
 class BarFeed:
     """Bars from fetch(symbols, first day, day after the last), called on the executors for batch_size symbols at most.
@@ -92,18 +78,14 @@ class BarFeed:
     def bars(self, listings: DataFrame, day: date) -> DataFrame:
         if self.batch_size < 1:
             raise Invalid("batch_size must be 1 or more")
-        fetch, size, first, end = self.fetch, self.batch_size, day - timedelta(LOOKBACK_DAYS), day + timedelta(1)
+        spark, first, end = listings.sparkSession, day - timedelta(LOOKBACK_DAYS), day + timedelta(1)
         named = request_symbols(listings).select("market", "ticker", "request_symbol").distinct()
-
-        def pull(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            symbols = [s for f in frames for s in f["request_symbol"]]
-            for a in range(0, len(symbols), size):
-                yield by_row(fetch(symbols[a : a + size], first, end))
-
-        named.select("request_symbol").repartition(max(1, -(-named.count() // size))).mapInPandas(pull, FETCHED).write.parquet(self.landing)
-        rows = listings.sparkSession.read.parquet(self.landing)
-        if rows.isEmpty():
+        symbols = sorted(r["request_symbol"] for r in named.select("request_symbol").distinct().toLocalIterator())  # a market's listings: tens of thousands of names
+        asked = checks.Watch(feed.read(spark, self.fetch, symbols, first, end, self.batch_size), {"rows": F.count(F.lit(1))})
+        asked.rows.write.parquet(self.landing)
+        if not asked.seen()["rows"]:
             raise DataError(f"the feed has no bars from {first} to {day}")
+        rows = spark.read.schema(feed.FETCHED).parquet(self.landing)
         return rows.join(named, "request_symbol").select("market", "ticker", "bar_date", *FIELDS.values())
 
 
