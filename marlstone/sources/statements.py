@@ -1,17 +1,39 @@
-"""Facts for valuation from a feed's statements and quotes, of any number of tickers at once.
+"""Facts from a feed's statements and quotes, of any number of tickers at once: for valuation (facts), and of a universe for ranking (universe).
 
-Cash flows are those of the latest four quarters, all complete, or else of the latest year; the balance is the latest one. A
+For valuation, cash flows are those of the latest four quarters, all complete, or else of the latest year; the balance is the latest one. A
 ticker that lacks something keeps its row and says in `problem` what is wrong first; strict() makes that an error.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.errors import DataError, NotFound
+from marlstone.operators import checks
+from marlstone.operators.tables import written
+
+# What statements call the lines of each fact, the first that a statement has; flows are of periods, balances of a day.
+FLOWS = {
+    "revenue_ttm": ("income", ("Total Revenue",)), "gross_profit_ttm": ("income", ("Gross Profit",)), "operating_income_ttm": ("income", ("Operating Income", "Operating Income Loss")),
+    "net_income_ttm": ("income", ("Net Income", "Net Income Common Stockholders", "Net Income From Continuing Operation Net Minority Interest")),
+    "operating_cash_flow_ttm": ("cash", ("Operating Cash Flow",)), "capital_expenditures_ttm": ("cash", ("Capital Expenditure", "Capital Expenditures")),
+}
+BALANCES = {
+    "total_assets": ("balance", ("Total Assets",)), "shareholders_equity": ("balance", ("Stockholders Equity", "Total Equity Gross Minority Interest", "Common Stock Equity")),
+    "total_debt": ("balance", ("Total Debt",)), "cash_and_cash_equivalents": ("balance", ("Cash And Cash Equivalents", "Cash Cash Equivalents And Short Term Investments")),
+}
+RATIOS = {
+    "roe": ("net_income_ttm", "shareholders_equity"), "roa": ("net_income_ttm", "total_assets"), "gross_margin": ("gross_profit_ttm", "revenue_ttm"), "operating_margin": ("operating_income_ttm", "revenue_ttm"),
+    "net_margin": ("net_income_ttm", "revenue_ttm"), "debt_to_equity": ("total_debt", "shareholders_equity"), "fcf_margin": ("free_cash_flow_ttm", "revenue_ttm"),
+}
+#: Columns of long statements: one row for each line and period that a statement has; the value may be null or no number.
+LINES = "ticker string, statement string, freq string, item string, period_end date, value double"
+MISSING, INVALID = "missing", "invalid"
 
 
 def _finite(name: str) -> Column:
@@ -66,3 +88,99 @@ def strict(found: DataFrame, ticker: str) -> dict:
     if row[0]["problem"]:
         raise DataError(f"{ticker}: {row[0]['problem']}")
     return {k: v for k, v in row[0].asDict().items() if k != "problem"}
+
+
+# ---------------------------------------------------------------- a universe
+
+
+def lines(frames: DataFrame) -> DataFrame:
+    """Long statements (LINES) from frames that have a column for each period beside ticker, statement, freq and item.
+
+    A column whose name is no date is left out. A null says that the ticker has no such period; a value that is no number (NaN) stays, as something that is there and unusable.
+    """
+    keys = ["ticker", "statement", "freq", "item"]
+    periods = [c for c in frames.columns if c not in keys]
+    long = frames.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in periods]).unpivot(keys, [f"`{c}`" for c in periods], "period", "value")
+    return long.filter("value is not null").select(*keys, F.expr("try_cast(replace(period, '`', '') as date)").alias("period_end"), "value").filter("period_end is not null")
+
+
+def _named(rows: DataFrame, facts: dict) -> DataFrame:
+    """ticker, freq, period_end with the value of each fact by the first of its names that the ticker's statement has (has_<fact>: whether it has one)."""
+    order = {(s, item): (fact, i) for fact, (s, items) in facts.items() for i, item in enumerate(items)}
+    number = functools.reduce(lambda c, k: c.when((F.col("statement") == k[0]) & (F.col("item") == k[1]), order[k][1]), order, F)
+    fact = functools.reduce(lambda c, k: c.when((F.col("statement") == k[0]) & (F.col("item") == k[1]), order[k][0]), order, F)
+    told = rows.filter(F.col("statement").isin(sorted({s for s, _ in facts.values()}))).withColumns({"fact": fact, "nth": number})
+    first = Window.partitionBy("ticker", "freq", "fact")
+    told = told.withColumn("first", F.min("nth").over(first)).filter("fact is null or nth = first")
+    whole = Window.partitionBy("ticker", "freq")
+    per = told.groupBy("ticker", "freq", "period_end").agg(
+        *[F.max(F.when(F.col("fact") == k, F.col("value"))).alias(k) for k in facts], *[F.max(F.col("fact").eqNullSafe(k)).alias(f"has_{k}") for k in facts],
+        *[F.max(F.col("statement") == s).alias(f"in_{s}") for s in sorted({s for s, _ in facts.values()})],
+    )
+    return per.withColumns({f"has_{k}": F.max(f"has_{k}").over(whole) for k in facts})
+
+
+def _summed(rows: DataFrame, facts: dict, freq: str, periods: int) -> DataFrame:
+    """ticker, sums of the facts over the latest periods that all statements have, `end`, and `sound` (all of them numbers); no row where a line or a period is lacking."""
+    both = functools.reduce(lambda a, b: a & b, [F.col(f"in_{s}") for s in sorted({s for s, _ in facts.values()})])
+    known = functools.reduce(lambda a, b: a & b, [F.col(f"has_{k}") for k in facts])
+    held = rows.filter((F.col("freq") == freq) & both & known)
+    last = held.withColumn("nth", F.row_number().over(Window.partitionBy("ticker", "freq").orderBy(F.desc("period_end")))).filter(F.col("nth") <= periods)
+    sound = functools.reduce(lambda a, b: a & b, [checks.finite(k) for k in facts])
+    out = last.groupBy("ticker").agg(*[F.sum(k).alias(k) for k in facts], F.max("period_end").alias("end"), F.min(sound).alias("sound"), F.count("*").alias("n"))
+    return out.filter(F.col("n") == periods).drop("n")
+
+
+def universe(listed: DataFrame, quotes: DataFrame, statements: DataFrame) -> DataFrame:
+    """A row for each ticker of listed (market, ticker): facts for ranking, or `problem` and its `kind` (missing or invalid).
+
+    quotes: ticker, currency, financial_currency; statements: LINES. Flows are summed over the four latest quarters, or, where a line or a quarter is lacking, taken
+    from the latest year; a value in them that is no number makes the ticker invalid. All steps share one shuffle of the statements by ticker.
+    """
+    by_ticker = statements.repartition("ticker")
+    flows = _named(by_ticker, FLOWS)
+    ttm, annual = _summed(flows, FLOWS, "quarterly", 4), _summed(flows, FLOWS, "yearly", 1)
+    either = ttm.withColumn("fiscal_period_type", F.lit("ttm")).unionByName(annual.join(ttm.select("ticker"), "ticker", "left_anti").withColumn("fiscal_period_type", F.lit("annual")))
+    either = either.withColumnsRenamed({"end": "fiscal_period_end", "sound": "flows_sound"})
+    held = _summed(_named(by_ticker, BALANCES), BALANCES, "quarterly", 1).withColumnsRenamed({"end": "balance_sheet_as_of", "sound": "balance_sound"})
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    named = quotes.select("ticker", text("currency").alias("quoted"), text("financial_currency").alias("stated")).dropDuplicates(["ticker"])
+    rows = listed.select("market", "ticker").distinct().join(named, "ticker", "left").join(either, "ticker", "left").join(held, "ticker", "left")
+    spent = F.abs("capital_expenditures_ttm")
+    rows = rows.withColumns({"capital_expenditures_ttm": spent, "free_cash_flow_ttm": F.col("operating_cash_flow_ttm") - spent, "currency": F.coalesce("stated", "quoted")})
+    zero = F.lit(0.0)
+    rows = rows.withColumns({k: F.col(a) / F.when(F.col(b) != zero, F.col(b)) for k, (a, b) in RATIOS.items()})
+    rows = rows.withColumns(
+        {"tag_fundamentals_annual_fallback": (F.col("fiscal_period_type") == "annual").cast("double"), "tag_negative_net_income": (F.col("net_income_ttm") < zero).cast("double"), "tag_negative_fcf": (F.col("free_cash_flow_ttm") < zero).cast("double")}
+    )
+    found = [
+        (F.col("quoted") != F.col("stated"), INVALID, "statements are in another currency"), (F.col("currency").isNull(), INVALID, "no currency"),
+        (F.col("fiscal_period_end").isNull(), MISSING, "no whole year of flows"), (~F.col("flows_sound"), INVALID, "a flow is no number"),
+        (F.col("balance_sheet_as_of").isNull(), MISSING, "no balance"), (~F.col("balance_sound"), INVALID, "a balance is no number"),
+        *[(F.col(k) <= zero, INVALID, f"{k} must be above zero") for k in ("revenue_ttm", "total_assets", "shareholders_equity")],
+        *[(F.col(k) < zero, INVALID, f"{k} must not be below zero") for k in ("total_debt", "cash_and_cash_equivalents")],
+        *[(~checks.finite(k), INVALID, f"{k} must be a number") for k in (*FLOWS, *BALANCES, "free_cash_flow_ttm", *RATIOS)],
+    ]
+    chain = lambda i: functools.reduce(lambda c, x: c.when(x[0], x[i]), found, F)
+    tags = ("tag_fundamentals_annual_fallback", "tag_negative_net_income", "tag_negative_fcf")
+    columns = ["market", "ticker", "currency", "fiscal_period_end", "balance_sheet_as_of", "fiscal_period_type", *FLOWS, "free_cash_flow_ttm", *BALANCES, *RATIOS, *tags]
+    return rows.select(*columns, chain(1).alias("kind"), chain(2).alias("problem"))
+
+
+def provider(read: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> Callable[[DataFrame, date], tuple[DataFrame, dict]]:
+    """A provider of facts for live runs from read(listings), which gives quotes and statements (LINES).
+
+    Facts are written once; how many tickers were asked for, came back, lack something or are invalid is counted by the job that writes.
+    """
+
+    def run(listings: DataFrame, day: date) -> tuple[DataFrame, dict]:
+        quotes, statements = read(listings)
+        usable = F.col("problem").isNull()
+        latest = F.max(F.when(usable, F.greatest("fiscal_period_end", "balance_sheet_as_of")))
+        watch = checks.Watch(universe(listings, quotes, statements), {"listed": F.count(F.lit(1)), "with_facts": checks.how_many(usable), "without_facts": checks.how_many(F.col("kind") == MISSING), "invalid": checks.how_many(F.col("kind") == INVALID), "latest": latest})
+        held = written(watch.rows, "fundamentals")
+        seen = watch.seen()
+        coverage = {k: seen[k] for k in ("listed", "with_facts", "without_facts", "invalid")} | {"latest_source_date": str(seen["latest"] or day)}
+        return held.filter("problem is null").drop("kind", "problem"), coverage
+
+    return run
