@@ -16,7 +16,7 @@ from .errors import Invalid, MarlstoneError, NotFound
 from .locking import writer
 from .operators import checks
 from .operators.store import RunStore, markdown
-from .plans import assumptions, contract, engine, fundamentals, valuation
+from .plans import assumptions, contract, documents, engine, fundamentals, solvers, valuation
 from .plans.catalog import PROFILES
 from .sources import live
 from .sources.bundle import Bundle
@@ -105,11 +105,11 @@ def value(spark: SparkSession, cfg: configuration.Config, market: str, ticker: s
     if not facts.limit(1).count():
         raise NotFound(f"there are no facts of {market} {ticker}")
     inputs = assumptions.usable(assumptions.resolved(facts, document, model_id), document, model_id)
-    rows = valuation.by_document(inputs, document, model_id).collect()  # three scenarios
-    if len(rows) < len(valuation.SCENARIOS):
-        raise Invalid(f"{model_id} has no solution between its bounds in every scenario")
+    rows = documents.explained(inputs, document, model_id).collect()  # three scenarios
+    if bad := [r for r in rows if r["status"] != solvers.SOLVED]:
+        raise Invalid("; ".join(documents.refusal(r, document, model_id) for r in sorted(bad, key=lambda r: valuation.SCENARIOS.index(r["scenario"]))))
     order = {s: i for i, s in enumerate(valuation.SCENARIOS)}
-    return {"market": market, "ticker": ticker, "model": model_id, "assumptions": hashed, "inputs": inputs.first().asDict(), "scenarios": [r.asDict() for r in sorted(rows, key=lambda r: order[r["scenario"]])]}
+    return {"market": market, "ticker": ticker, "model": model_id, "assumptions": hashed, "inputs": inputs.first().asDict(), "scenarios": [r.asDict(True) for r in sorted(rows, key=lambda r: order[r["scenario"]])]}
 
 
 def as_text(found: dict) -> str:
@@ -119,6 +119,16 @@ def as_text(found: dict) -> str:
     lines += ["", "| scenario | enterprise value | equity | per share | against price | solved |", "|---|---|---|---|---|---|"]
     for s in found["scenarios"]:
         lines.append(f"| {s['scenario']} | {output.money(s['enterprise_value'], code)} | {output.money(s['equity_value'], code)} | {output.money(s['value_per_share'], code, 4)} | {output.percent(s['spread'])} | {'' if s['solved'] is None else output.percent(s['solved'])} |")
+    shown = {"residual": lambda x: f"{x:.6g}", "terminal_share": output.percent}
+    names = documents.model(found["model"])
+    if names:
+        lines += ["", "| scenario | " + " | ".join(n.replace("_", " ") for n in names) + " |", "|---|" + "---|" * len(names)]
+        lines += [f"| {s['scenario']} | " + " | ".join(shown.get(n, lambda x: output.money(x, code))(s[n]) for n in names) + " |" for s in found["scenarios"]]
+    for s in found["scenarios"]:
+        if s["projection"]:
+            lines += ["", f"## {s['scenario']}, by year", "", "| year | flow | discount factor | present value |", "|---|---|---|---|"]
+            lines += [f"| {y['year']} | {output.money(y['flow'], code)} | {y['factor']:.6f} | {output.money(y['present_value'], code)} |" for y in s["projection"]]
+            lines += [f"| after | {output.money(s['terminal_value'], code)} | {s['projection'][-1]['factor']:.6f} | {output.money(s['present_value_terminal_value'], code)} |"]
     return "\n".join(lines) + "\n"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.sources import panel
 
-from . import engine, fundamentals, relational, statement_facts, valuation
+from . import engine, fundamentals, projections, relational, solvers, statement_facts, valuation
 from .profiles import PROFILES as PLAIN
 from .profiles_setups import SETUPS
 
@@ -59,7 +59,7 @@ def relation(text: str) -> Callable[[SparkSession, str], DataFrame]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"rank_{p}": ranking(p) for p in PROFILES} | {"rank_fundamental_quality_profitability_v1": fundamental_ranking}
     out |= {f"snapshot_{p}": snapshot(p) for p in PROFILES} | {"valuation_models": valuation_models}
-    out |= {f"runs_{p}": over_runs(p) for p in PROFILES} | {"statement_facts": statement_facts.run}
+    out |= {f"runs_{p}": over_runs(p) for p in PROFILES} | {"statement_facts": statement_facts.run, "valuation_solvers": solvers.run, "valuation_projections": projections.run}
     return out | {f"op_{n}": relation(x) for n, x in relational.SQL.items()}
 
 
@@ -67,5 +67,5 @@ def oracle_sql() -> dict[str, str]:
     bars = panel.bars_sql()
     out = {f"rank_{p}": engine.rankings_sql(PROFILES[p], bars) for p in PROFILES} | {"rank_fundamental_quality_profitability_v1": fundamentals.oracle(bars)}
     out |= {f"snapshot_{p}": engine.snapshot_sql(PROFILES[p], bars) for p in PROFILES} | {"valuation_models": valuation.value_sql()}
-    out |= {f"runs_{p}": engine.rankings_sql(PROFILES[p], bars, panel.runs_sql()) for p in PROFILES} | {"statement_facts": statement_facts.oracle()}
+    out |= {f"runs_{p}": engine.rankings_sql(PROFILES[p], bars, panel.runs_sql()) for p in PROFILES} | {"statement_facts": statement_facts.oracle(), "valuation_solvers": solvers.oracle(), "valuation_projections": projections.oracle()}
     return out | {f"op_{n}": x.format(**{t: t for t in relational.TABLES}) for n, x in relational.SQL.items()}

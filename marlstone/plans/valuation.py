@@ -109,34 +109,6 @@ def value(known: DataFrame, cases: DataFrame) -> DataFrame:
     return each.select("ticker", "model_id", "scenario", *[F.expr(doubles(x)).alias(n) for n, x in BRIDGE.items()])
 
 
-def by_document(known: DataFrame, document: dict, model_id: str) -> DataFrame:
-    """The same columns as value() for one model, with years, scenarios, bounds and tolerance as an assumption document has them.
-
-    known: ticker, starting_fcf, net_debt, shares, price. Solvers stand still once the value is within the tolerance; where
-    the bounds' values lie on one side of the price's, or the steps don't suffice, there is no row.
-    """
-    m = document["models"][model_id]
-    years = m.get("forecast_years", YEARS)
-    low, high = ("implied_growth_lower_bound", "implied_growth_upper_bound") if model_id == "reverse_dcf_v1" else ("implied_discount_rate_lower_bound", "implied_discount_rate_upper_bound")
-    names = {"g": ("growth_rate", "stage1_growth_rate"), "g2": ("stage2_growth_rate",), "r": ("discount_rate",), "tg": ("terminal_growth_rate",), "exit_multiple": ("terminal_ev_to_fcf_multiple",), "ev_multiple": ("ev_to_fcf_multiple",), "lo": (low,), "hi": (high,)}
-    held = [[s, *[next((float(m["scenarios"][s][k]) for k in ks if k in m["scenarios"][s]), None) for ks in names.values()]] for s in SCENARIOS]
-    rows = known.crossJoin(F.broadcast(known.sparkSession.createDataFrame(held, "scenario string, " + ", ".join(f"{n} double" for n in names))))  # three rows
-    if model_id not in SOLUTION:
-        ev = {"fcf_dcf_v1": lambda: dcf("g", "r", years), "two_stage_fcf_dcf_v1": lambda: _two_stage(m["stage1_years"], m["stage2_years"]), "exit_multiple_dcf_v1": lambda: _exit(years), "multiple_valuation_v1": lambda: VALUES[model_id]}[model_id]()
-        rows = rows.select("*", F.expr(doubles(ev)).alias("ev"), F.lit(None).cast("double").alias("solved"))
-    else:
-        at = (lambda x: dcf(x, "r", years)) if model_id == "reverse_dcf_v1" else (lambda x: dcf("g", x, years))
-        # the tolerance is of the whole value for growth, of a share's for the discount rate
-        off = lambda x: f"({at(x)} - {TARGET})" if model_id == "reverse_dcf_v1" else f"(({at(x)} - {TARGET}) / shares)"
-        mid, tol, rising = "((s.lo + s.hi) / 2.0)", f"CAST({m['solver_abs_tolerance']} AS DOUBLE)", model_id == "reverse_dcf_v1"
-        step = f"CASE WHEN abs({off(mid)}) <= {tol} THEN named_struct('lo', {mid}, 'hi', {mid}) WHEN {off(mid)} {'<' if rising else '>'} 0.0 THEN named_struct('lo', {mid}, 'hi', s.hi) ELSE named_struct('lo', s.lo, 'hi', {mid}) END"
-        fold = f"aggregate(sequence(1, {int(m['solver_max_iterations'])}), named_struct('lo', lo, 'hi', hi), (s, i) -> {step}, s -> {mid})"
-        found = f"CASE WHEN abs({off('lo')}) <= {tol} THEN lo WHEN abs({off('hi')}) <= {tol} THEN hi WHEN {off('lo')} * {off('hi')} < 0.0 THEN {fold} END"
-        rows = rows.select("*", F.expr(doubles(found)).alias("solved"))
-        rows = rows.select("*", F.expr(doubles(at("solved"))).alias("ev")).filter(doubles(f"abs({off('solved')}) <= {tol}"))
-    return rows.filter("ev IS NOT NULL").select("ticker", F.lit(model_id).alias("model_id"), "scenario", *[F.expr(doubles(x)).alias(n) for n, x in BRIDGE.items()])
-
-
 BRIDGE = {
     "enterprise_value": f"round(ev, {PLACES - 3}) + 0.0",
     "equity_value": f"round(ev - net_debt, {PLACES - 3}) + 0.0",

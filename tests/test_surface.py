@@ -12,7 +12,7 @@ import yaml
 
 from marlstone import cli, config, errors, locking, output
 from marlstone.operators import checks, store
-from marlstone.plans import assumptions, catalog, contract, engine, fundamentals, valuation
+from marlstone.plans import assumptions, catalog, contract, documents, engine, fundamentals, solvers, valuation
 from marlstone.sources import bundle, live
 
 DAYS = 280
@@ -109,7 +109,9 @@ def test_value(spark, place, capsys):
         assert go("--model", model, "--json") == 0
         for s in json.loads(capsys.readouterr().out)["scenarios"]:
             assert s["value_per_share"] == pytest.approx(price, abs=1e-5)
-    assert go() == 0 and "per share" in capsys.readouterr().out
+    assert go() == 0
+    told = capsys.readouterr().out
+    assert "per share" in told and "## base, by year" in told and told.count("| after |") == 3 and "terminal share" in told
     assert go("--model", "multiple_valuation_v1") == 1
 
 
@@ -259,7 +261,7 @@ def test_valuation_of_a_universe_is_unchanged(spark):
     """by_document with the catalogue's rates gives what value() gives."""
     facts = spark.createDataFrame([("P1", 500.0, 20.0, 10.0, 400.0)], "ticker string, starting_fcf double, net_debt double, shares double, price double")
     m = {"forecast_years": valuation.YEARS, "scenarios": {s: {"growth_rate": valuation.GROWTH[i], "discount_rate": valuation.DISCOUNT[i], "terminal_growth_rate": valuation.TERMINAL[i]} for i, s in enumerate(valuation.SCENARIOS)}}
-    one = valuation.by_document(facts, {"models": {"fcf_dcf_v1": m}}, "fcf_dcf_v1").collect()
+    one = documents.by_document(facts, {"models": {"fcf_dcf_v1": m}}, "fcf_dcf_v1").collect()
     all_of = valuation.value(facts, valuation.scenarios(spark)).filter("model_id = 'fcf_dcf_v1'").collect()
     key = lambda r: r["scenario"]
     assert sorted(map(tuple, one)) == sorted(map(tuple, all_of)) and len({key(r) for r in one}) == 3
@@ -334,3 +336,71 @@ def test_checks_ride_on_the_write(spark, tmp_path):
     for rank in (lambda s: engine.rankings(p, s).filter("rank > 1"), lambda s: engine.rankings(p, s).withColumn("rank", engine.F.col("rank") * 2), lambda s: engine.rankings(p, s).replace("composite", "other", ["horizon"])):
         with pytest.raises(errors.IntegrityError):
             commit(rows, rank)
+
+
+def test_projections_by_hand(spark):
+    """Two stages over three years, worked out by hand; and what a model without years gives."""
+    facts = spark.createDataFrame([("P1", 100.0, 20.0, 10.0, 40.0)], "ticker string, starting_fcf double, net_debt double, shares double, price double")
+    two = {"stage1_years": 2, "stage2_years": 1, "scenarios": {s: {"stage1_growth_rate": 0.5, "stage2_growth_rate": 0.0, "discount_rate": 0.25, "terminal_growth_rate": 0.0} for s in valuation.SCENARIOS}}
+    row = documents.explained(facts, {"models": {"two_stage_fcf_dcf_v1": two}}, "two_stage_fcf_dcf_v1").filter("scenario = 'base'").first()
+    assert [(y["year"], y["flow"], round(y["factor"], 12), round(y["present_value"], 9)) for y in row["projection"]] == [(1, 150.0, 0.8, 120.0), (2, 225.0, 0.64, 144.0), (3, 225.0, 0.512, 115.2)]
+    assert (row["stage1_final_fcf"], row["final_year_fcf"], row["terminal_value"], round(row["present_value_terminal_value"], 9)) == (225.0, 225.0, 900.0, 460.8)
+    assert row["enterprise_value"] == pytest.approx(840.0) and row["projected_value"] == pytest.approx(840.0) and row["terminal_share"] == pytest.approx(460.8 / 840) and row["status"] == "solved"
+    plain = {"scenarios": {s: {"ev_to_fcf_multiple": 9.0} for s in valuation.SCENARIOS}}
+    row = documents.explained(facts, {"models": {"multiple_valuation_v1": plain}}, "multiple_valuation_v1").first()
+    assert row["projection"] == [] and row["terminal_value"] is None and row["enterprise_value"] == 900.0
+    with pytest.raises(errors.NotFound):
+        documents.model("other_v1")
+    with pytest.raises(errors.Invalid):
+        documents.register("fcf_dcf_v1", ())
+
+
+def plain_search(off, lo, hi, tolerance, steps, width):
+    """Bisection step by step, and how it ended."""
+    a, b = off(lo), off(hi)
+    if abs(a) <= tolerance or abs(b) <= tolerance:
+        return (lo if abs(a) <= tolerance else hi), "solved", 0
+    if a * b > 0:
+        return None, "same sign", 0
+    for n in range(1, steps + 1):
+        x = (lo + hi) / 2
+        y = off(x)
+        if abs(y) <= tolerance:
+            return x, "solved", n
+        if a * y > 0:
+            lo, a = x, y
+        else:
+            hi = x
+        if width is not None and hi - lo <= width:
+            return None, "width", n
+    return None, "steps", steps
+
+
+@pytest.mark.parametrize(("tolerance", "steps", "width", "bounds"), [(1e-6, 200, 1e-12, (-0.9, 1.0)), (1e-13, 200, 1e-12, (-0.9, 1.0)), (1e-6, 5, None, (-0.9, 1.0)), (1e-6, 100, None, (0.8, 1.0)), (50.0, 100, 1e-12, (-0.9, 1.0)), (1e-6, 1, 10.0, (-0.9, 1.0))])
+def test_searches_end_as_they_should(spark, tolerance, steps, width, bounds):
+    facts = [(f"P{i}", 100.0 + i, 20.0, 10.0, 300.0 + 40 * i) for i in range(12)]
+    df = spark.createDataFrame(facts, "ticker string, starting_fcf double, net_debt double, shares double, price double").selectExpr("*", "cast(0.1 as double) r", "cast(0.02 as double) tg")
+    text = solvers.bisected(lambda x: f"({valuation.dcf(x, 'r', 3)} - {valuation.TARGET})", f"CAST({bounds[0]} AS DOUBLE)", f"CAST({bounds[1]} AS DOUBLE)", f"CAST({tolerance} AS DOUBLE)", str(steps), width)
+    got = {r["ticker"]: r["s"] for r in df.selectExpr("ticker", f"{text} AS s").collect()}
+    for ticker, fcf, debt, shares, price in facts:
+
+        def off(g, fcf=fcf, debt=debt, shares=shares, price=price):
+            q = (1.0 + g) / (1.0 + 0.1)
+            return fcf * q * (1.0 + q * (1.0 + q * (1.0 + (1.0 + 0.02) / (0.1 - 0.02)))) - (price * shares + debt)
+
+        root, status, n = plain_search(off, *bounds, tolerance, steps, width)
+        s = got[ticker]
+        assert (s["status"], s["steps"]) == (status, n) and (root is None) == (s["root"] is None), ticker
+        if root is not None:
+            assert s["root"] == pytest.approx(root, abs=1e-12) and abs(s["residual"]) <= tolerance
+
+
+def test_value_says_why_there_is_none(spark, place, tmp_path, capsys):
+    held = copy.deepcopy(DOCUMENT)
+    for s in held["models"]["reverse_dcf_v1"]["scenarios"].values():
+        s |= {"implied_growth_lower_bound": -0.9, "implied_growth_upper_bound": -0.89}
+    held["models"]["implied_discount_rate_v1"]["solver_max_iterations"] = 2
+    (tmp_path / "d.yaml").write_text(yaml.safe_dump(held))
+    go = lambda m: cli.main(["--config", str(place / "config.yaml"), "value", "US", "--ticker", "T0", "--assumptions", str(tmp_path / "d.yaml"), "--model", m], spark)
+    assert go("reverse_dcf_v1") == 1 and "no solution between -0.9000 and -0.8900" in capsys.readouterr().err
+    assert go("implied_discount_rate_v1") == 1 and "after 2 steps (steps)" in capsys.readouterr().err
