@@ -176,7 +176,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             if args.command == "report":
                 print(store.artifact(run_id, "json" if args.json else "markdown"))
             else:
-                found = store.inspect(run_id, args.ticker.strip().upper())
+                profile_id = store.resolve(run_id)["profile_id"]
+                if profile_id == fundamentals.PROFILE_ID:
+                    keys = (fundamentals.SNAPSHOT, fundamentals.KEYS, list(fundamentals.HORIZONS))
+                else:
+                    p = PROFILES[profile_id]
+                    keys = (list(p.snapshot), p.ranking_keys, list(p.horizons))
+                found = store.inspect(run_id, args.ticker.strip().upper(), *keys)
                 print(output.as_json(found) if args.json else output.inspected(found))
         return 0
     except MarlstoneError as e:

@@ -130,7 +130,9 @@ class RunStore:
             own["repeated"] = checks.how_many(F.col("ticker_rows") > 1)
         watched = checks.Watch(df, own | watch)
         packed = watched.rows.withColumn("metrics_json", F.to_json(F.struct(*metrics)) if metrics else F.lit("{}")).select(*[c for c in df.columns if c in CORE], "metrics_json")
-        packed.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{self.path}/{name}")
+        # by ticker within a file, with a bloom filter of tickers for each row group: a lookup reads the groups that may hold one
+        by_ticker = packed.withColumn("run_id", F.lit(run_id)).sortWithinPartitions("run_id", "ticker")
+        by_ticker.write.mode("append").partitionBy("run_id").option("parquet.bloom.filter.enabled#ticker", "true").parquet(f"{self.path}/{name}")
         seen = watched.seen()
         if seen["other_market"]:
             raise IntegrityError(f"{name}: rows of another market")
@@ -210,8 +212,8 @@ class RunStore:
         best = self.table("rankings", run_id).filter(F.col("rank") <= top_n)
         return best.join(self.table("snapshot", run_id).select("ticker", "close", "adjusted_close"), "ticker", "left").select("horizon", "rank", "ticker", "score", "close", "adjusted_close").orderBy("horizon", "rank")
 
-    def inspect(self, run_id: str, ticker: str) -> dict:
-        """A ticker's snapshot and rankings in one run, metrics as numbers."""
+    def inspect(self, run_id: str, ticker: str, snapshot_keys: list[str] | None = None, ranking_keys: list[str] | None = None, horizons: list[str] | None = None) -> dict:
+        """A ticker's snapshot and rankings in one run, metrics as numbers. With the profile's keys and horizons, a lack of any is an error."""
         numbers = F.from_json("metrics_json", "map<string, double>")
         snap = self.table("snapshot", run_id).filter(F.col("ticker") == ticker).withColumn("metrics", numbers).limit(2).collect()
         if not snap:
@@ -219,6 +221,12 @@ class RunStore:
         if len(snap) > 1:
             raise IntegrityError(f"{ticker} stands twice in run {run_id}")
         ranks = self.table("rankings", run_id).filter(F.col("ticker") == ticker).withColumn("metrics", numbers).orderBy("horizon").collect()
+        held = [r["horizon"] for r in ranks]
+        if horizons is not None and sorted(held) != sorted(horizons):
+            raise IntegrityError(f"{ticker} is ranked in {', '.join(held) or 'no horizon'} of run {run_id}, not in {', '.join(horizons)}")
+        for what, keys, rows in (("snapshot", snapshot_keys, snap), ("rankings", ranking_keys, ranks)):
+            if keys is not None and (lacking := sorted({k for r in rows for k in keys if (r["metrics"] or {}).get(k) is None})):
+                raise IntegrityError(f"{what} of {ticker} in run {run_id} lack {', '.join(lacking)}")
         return {"ticker": ticker, "close": snap[0]["close"], "adjusted_close": snap[0]["adjusted_close"], "metrics": snap[0]["metrics"], "rankings": [{"horizon": r["horizon"], "rank": r["rank"], "score": r["score"], "metrics": r["metrics"]} for r in ranks]}
 
 

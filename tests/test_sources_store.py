@@ -1,6 +1,8 @@
 """Listings and the run store."""
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.operators.store import IntegrityError, NotFound, RunStore, markdown
 from marlstone.plans import catalog, engine
@@ -66,6 +68,19 @@ def test_store(spark, tmp_path):
     best = report.first()["ticker"]
     seen = store.inspect(run, best)
     assert [x["horizon"] for x in seen["rankings"]] == sorted(p.horizons) and set(seen["metrics"]) == set(p.snapshot)
+    assert store.inspect(run, best, list(p.snapshot), p.ranking_keys, list(p.horizons)) == seen
+    for keys in ((["more"], None, None), (None, ["score_more"], None), (None, None, ["midterm"])):
+        with pytest.raises(IntegrityError):
+            store.inspect(run, best, *keys)
+    lookup = store.table("snapshot", run).filter(F.col("ticker") == best)
+    assert f"EqualTo(ticker,{best})" in lookup._jdf.queryExecution().executedPlan().toString()
+    for f in lookup.inputFiles():
+        groups = pq.ParquetFile(f.removeprefix("file://")).metadata
+        columns = [groups.row_group(0).column(i) for i in range(groups.num_columns)]
+        ticker = next(c for c in columns if c.path_in_schema == "ticker")
+        assert [c.path_in_schema for c in columns if c.has_bloom_filter] == ["ticker"] if hasattr(ticker, "has_bloom_filter") else ticker.is_stats_set
+        tickers = pq.read_table(f.removeprefix("file://"), columns=["ticker"])["ticker"].to_pylist()
+        assert tickers == sorted(tickers)
     broken = store.begin("US", p.profile_id)
     with pytest.raises(IntegrityError):
         store.commit(broken, "US", p.profile_id, snap, ranks.filter("rank > 1"), list(p.horizons))
