@@ -64,9 +64,11 @@ def scored(p: Profile, snap: DataFrame) -> DataFrame:
 
 def rankings(p: Profile, snap: DataFrame) -> DataFrame:
     """market, horizon, ticker, ranking metrics, score, rank: a row for each ticker and horizon."""
-    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.expr(doubles(cut(f"CAST({x} AS DOUBLE)", PLACES))).alias("score")) for h, x in p.horizons.items()])).alias("h")
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.expr(doubles(cut(f"CAST({x} AS DOUBLE)", PLACES))).alias("score")) for h, x in p.horizons.items()]).alias("h")
     run = run_keys(snap)
-    rows = scored(p, snap).select(*run, "ticker", *[F.expr(doubles(cut(k, PLACES))).alias(k) for k in p.ranking_keys], each).select(*run, "h.horizon", "ticker", *p.ranking_keys, "h.score")
+    rows = scored(p, snap).select(*run, "ticker", *[F.expr(doubles(cut(k, PLACES))).alias(k) for k in p.ranking_keys], each)
+    # written, as a partitioning by ranges looks at its rows twice
+    rows = written(rows, "scored").withColumn("h", F.explode("h")).select(*run, "h.horizon", "ticker", *p.ranking_keys, "h.score")
     return ranks.ranked(rows, [*run, "horizon"], [F.desc("score"), F.asc("ticker")])
 
 

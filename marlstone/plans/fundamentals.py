@@ -117,6 +117,7 @@ def rankings(snap: DataFrame) -> DataFrame:
     rows = rows.withColumns({n: F.lit(100.0) * F.col(n) for n in SCORES} | {"score_positive_fcf": exact(POSITIVE_FCF)})
     rows = rows.withColumns({n: exact(x) for n, x in PARTS.items()})
     rows = rows.withColumn("score", exact(cut(SCORE, PLACES)))
+    rows = written(rows.select("market", "ticker", *dict.fromkeys([*KEYS, *DESCENDING])), "scored")  # a partitioning by ranges looks at its rows twice
     placed = ranks.ranked(rows, ["market"], [*[F.desc(k) for k in DESCENDING], F.asc("ticker")])
     return placed.select("market", F.lit(HORIZONS[0]).alias("horizon"), "ticker", *[exact(cut(k, PLACES)).alias(k) for k in KEYS], "score", "rank")
 

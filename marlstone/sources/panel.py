@@ -45,10 +45,13 @@ COLUMNS = ["market", "ticker", "bar_date", "open", "high", "low", "close", "adju
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DAYS - 1).cast("long"))).alias("i"))
-    priced = keys.filter(KEEP_SQL).select("k", "i", F.expr(CLOSE_SQL).alias("close"), F.expr(VOLUME_SQL).alias("volume"))
+    """The panel, laid out by market and ticker: keys are dealt before they become bars, so what groups by ticker moves no bar."""
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a key is few bytes, but stands for DAYS bars
+    named = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k")).select("k", F.expr(MARKET_SQL).alias("market"), F.expr("concat('P', k)").alias("ticker"))
+    keys = named.repartition(tasks, "market", "ticker").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DAYS - 1).cast("long"))).alias("i"))
+    priced = keys.filter(KEEP_SQL).select("k", "market", "ticker", "i", F.expr(CLOSE_SQL).alias("close"), F.expr(VOLUME_SQL).alias("volume"))
     return priced.select(
-        F.expr(MARKET_SQL).alias("market"), F.expr("concat('P', k)").alias("ticker"), F.expr("date_add(DATE '2025-01-01', cast(i as int))").alias("bar_date"),
+        "market", "ticker", F.expr("date_add(DATE '2025-01-01', cast(i as int))").alias("bar_date"),
         F.col("close").alias("open"), F.expr(HIGH_SQL).alias("high"), F.expr(LOW_SQL).alias("low"), "close", F.col("close").alias("adjusted_close"), "volume",
     )
 
