@@ -19,8 +19,8 @@ from marlstone.functions.sqlexpr import Percentile
 
 from .tables import written
 
-#: Ranges into which a group's values are cut.
-RANGES = 200
+#: Ranges into which a group's values are cut; a value's range is looked for among every STEP-th edge first.
+RANGES, STEP = 200, 14
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -47,7 +47,9 @@ def places(long: DataFrame, group: list[str]) -> DataFrame:
     """group, v, score for each different v of long (group, v): 1 for the highest of its group, 0 for the lowest, mean places for ties, 1 for one alone."""
     counts = long.groupBy(*group, "v").agg(F.count("*").alias("n"))
     cuts = counts.groupBy(*group).agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 20 * RANGES).alias("cuts"))
-    ranged = _joined(counts, F.broadcast(cuts), group).select(*group, "v", "n", F.size(F.filter("cuts", lambda c: c > F.col("v"))).alias("range"))  # a row for each group and measure
+    cuts = cuts.withColumn("tops", F.expr(f"filter(cuts, (c, i) -> (i + 1) % {STEP} = 0)"))
+    found = _joined(counts, F.broadcast(cuts), group).withColumn("low", F.expr(f"{STEP} * size(filter(tops, c -> c <= v))"))  # a row for each group and measure
+    ranged = found.select(*group, "v", "n", F.expr(f"size(cuts) - low - size(filter(slice(cuts, low + 1, {STEP}), c -> c <= v))").alias("range"))
     held = ranged.groupBy(*group, "range").agg(F.sum("n").alias("held"))
     whole = Window.partitionBy(*group)
     edges = held.select(*group, "range", (F.sum("held").over(whole.orderBy("range")) - F.col("held")).alias("before"), F.sum("held").over(whole).alias("total"))
