@@ -2,7 +2,10 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of documents. SQL can't express the
-surrogates and the encoding, so ORACLE_SQL is None and the tests hold each stage against a brute-force version.
+surrogates and the encoding, so ORACLE_SQL is None. The near-duplicate stage is tested against brute force; the others by what they promise (rows kept,
+columns, surrogates of each text, round trips), as their operators have tests of their own.
+
+Stages take nulls in any column and repeated rows as their operators do; an empty table passes through all of them.
 """
 
 from __future__ import annotations
