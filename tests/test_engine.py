@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 import statistics
 from datetime import date
 
@@ -167,11 +168,13 @@ def test_a_feed_that_stops_early(spark, some_bars):
 
 
 def test_runs_need_one_shuffle_of_bars(spark, some_bars):
-    """Runs are joined after the bars are shuffled, and only bars that a run keeps reach its windows."""
+    """Runs are joined after the bars are shuffled (not at all, if they are laid out by ticker), and only bars that a run keeps reach its windows."""
     p = catalog.PROFILES["sample_price_trend_v1"]
     runs = spark.createDataFrame([(f"r{i}", "US", date(2025, 10, 7 - i)) for i in range(5)], "run_id string, market string, run_date date")
-    df = engine.snapshot(p, some_bars, runs=runs)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(market") == 1 and "BroadcastHashJoin" in plan
+    plan = lambda bars: engine.snapshot(p, bars, runs=runs)._jdf.queryExecution().executedPlan().toString()
+    moved = lambda text: len(re.findall(r"Exchange hashpartitioning\(market#\d+, ticker#\d+, \d+\), ENSURE_REQUIREMENTS", text))
+    dealt = plan(some_bars.select("*").repartition(3))
+    assert moved(dealt) == 1 and "BroadcastHashJoin" in dealt
+    assert moved(plan(panel.bars(spark, SF))) == 0
     held = features.windowed(some_bars.filter("ticker = 'P1'"), p.keep).join(runs, "market").filter(features.IN_RUN.replace("as_of", "run_date"))
     assert held.groupBy("run_id").count().filter(f"count <> {p.keep}").count() == 0
