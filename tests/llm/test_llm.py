@@ -567,3 +567,11 @@ def test_repeats_of_rows(spark):
     got = repeats.digest(repeats.remove(df)).collect()
     assert sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(want)
     assert spark.conf.get(name) == before
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    """All stages take a table without rows."""
+    import corpus_pipeline as c
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert c.run(spark, str(tmp_path)).count() == 0
