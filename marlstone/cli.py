@@ -1,4 +1,4 @@
-"""Command line: batch, report, inspect, value. `python -m marlstone.cli --config FILE COMMAND ...`; the exit code tells the kind of error."""
+"""Command line: batch, report, inspect, verify, value, upgrade. `python -m marlstone.cli --config FILE COMMAND ...`; the exit code tells the kind of error."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from . import output
 from .errors import Invalid, MarlstoneError, NotFound
 from .locking import writer
 from .operators import checks
-from .operators.store import RunStore, markdown
+from .operators.store import RunStore, markdown, upgrade
 from .plans import assumptions, contract, documents, engine, fundamentals, solvers, valuation
 from .plans.catalog import PROFILES
 from .sources import live
@@ -58,7 +58,7 @@ def run(spark: SparkSession, cfg: configuration.Config, market: str, profile_id:
             dates = spark.createDataFrame([(market, data.run_latest_bar_date)], "market string, run_date date")
             snap, watch = contract.watched(profile_id, p, engine.snapshot(p, data.bars, data.listings, dates, dated=True))
             rank, settle = lambda written: engine.rankings(p, written), lambda seen: contract.settle(profile_id, market, seen)
-        store.commit(run_id, market, profile_id, snap, rank, horizons, artifacts, watch, settle)
+        store.commit(run_id, market, profile_id, snap, rank, horizons, artifacts, watch, settle, summary | {"data_mode": cfg["data_mode"]})
     except Exception as e:
         store.fail(run_id, market, profile_id, str(e)[:500])
         raise
@@ -140,12 +140,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     b = commands.add_parser("batch")
     b.add_argument("market")
     b.add_argument("--ranking-profile", action="append", default=[])
-    for name in ("report", "inspect"):
+    commands.add_parser("upgrade", help="bring the run store to this version")
+    for name in ("report", "inspect", "verify"):
         c = commands.add_parser(name)
         c.add_argument("market", nargs="?")
         c.add_argument("--run-id")
         c.add_argument("--ranking-profile")
-        c.add_argument("--json", action="store_true")
+        if name != "verify":
+            c.add_argument("--json", action="store_true")
         if name == "inspect":
             c.add_argument("--ticker", required=True)
     v = commands.add_parser("value")
@@ -170,10 +172,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             with checks.translated():
                 found = value(spark, cfg, args.market, args.ticker, args.model, args.assumptions)
             print(output.as_json(found) if args.json else as_text(found))
+        elif args.command == "upgrade":
+            with writer(cfg["lock_path"]):
+                print("\n".join(f"version {v}" for v in upgrade(spark, cfg["duckdb_path"])))
         else:
             store = RunStore(spark, cfg["duckdb_path"])
             run_id = chosen(store, args.market, args.run_id, args.ranking_profile)
-            if args.command == "report":
+            if args.command == "verify":
+                store.verify(run_id)
+                print(run_id)
+            elif args.command == "report":
                 print(store.artifact(run_id, "json" if args.json else "markdown"))
             else:
                 profile_id = store.resolve(run_id)["profile_id"]

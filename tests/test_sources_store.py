@@ -1,9 +1,18 @@
 """Listings and the run store."""
 
+import json
+import os
+import shutil
+from datetime import datetime, timedelta
+
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.errors import Invalid, SchemaMismatch
+from marlstone.operators import manifest
+from marlstone.operators import store as stores
 from marlstone.operators.store import IntegrityError, NotFound, RunStore, markdown
 from marlstone.plans import catalog, engine
 from marlstone.sources import listings, panel
@@ -89,3 +98,142 @@ def test_store(spark, tmp_path):
         store.resolve(broken)
     with pytest.raises(NotFound):
         store.inspect(run, "NONE")
+
+
+SNAP = "market string, ticker string, close double, adjusted_close double, quality double"
+ROWS = [("US", f"T{i}", 10.0 + i, 10.0, i / 4) for i in range(6)]
+
+
+def ranked(snap):
+    return snap.select("market", F.lit("short").alias("horizon"), "ticker", F.col("quality").alias("score"), F.expr("cast(substr(ticker, 2) as long) + 1").alias("rank"), F.col("quality").alias("score_quality"))
+
+
+def commit(store, rows=ROWS, **more):
+    run = store.begin("US", "p")
+    store.commit(run, "US", "p", store.spark.createDataFrame(rows, SNAP), ranked, ["short"], lambda s, r: {"json": "{}", "markdown": "# é"}, **more)
+    return run
+
+
+def test_manifest_names_all_of_a_run(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "store"))
+    run = commit(store, metadata={"data_mode": "live", "ohlcv_provider_id": "feed"})
+    held = json.loads((tmp_path / "store" / "manifests" / f"{run}.json").read_text())
+    assert held["metadata"] == store.resolve(run)["metadata"] == {"data_mode": "live", "ohlcv_provider_id": "feed"}
+    assert held["tables"]["snapshot"]["rows"] == held["tables"]["rankings"]["rows"] == 6
+    for t in held["tables"].values():
+        assert sum(f["bytes"] for f in t["files"]) == sum(os.path.getsize(tmp_path / "store" / f["path"]) for f in t["files"]) > 0
+    store.verify(run)
+    assert store.artifact(run, "markdown") == "# é" and [r["status"] for r in store.log().collect()] == ["successful"]
+    with pytest.raises(FileExistsError):
+        manifest.publish(spark, store.path, held)
+    empty = commit(store, [])
+    store.verify(empty)
+    assert store.table("snapshot", empty).count() == 0 and store.latest("US") == empty
+
+
+def test_manifest_left_over_and_changed_files(spark, tmp_path):
+    """Files that no manifest names aren't read; files that were changed, cut or taken away are found."""
+    store = RunStore(spark, str(tmp_path / "store"))
+    run = commit(store)
+    named = tmp_path / "store" / store.resolve(run)["tables"]["snapshot"]["files"][0]["path"]
+    shutil.copy(named, named.parent / "part-of-another-attempt.parquet")
+    assert store.table("snapshot", run).count() == 6
+    store.verify(run)
+    was = named.read_bytes()
+    rows = pq.ParquetFile(named).read()
+    other = rows.set_column(rows.schema.get_field_index("close"), "close", pa.array([x + 1 for x in rows["close"].to_pylist()], pa.float64()))
+    pq.write_table(other, named)
+    (named.parent / f".{named.name}.crc").unlink()
+    with pytest.raises(IntegrityError, match="another length"):
+        store.verify(run)
+    held = store.resolve(run)
+    held["tables"]["snapshot"]["files"] = [f | ({"bytes": named.stat().st_size} if f["path"].endswith(named.name) else {}) for f in held["tables"]["snapshot"]["files"]]
+    (tmp_path / "store" / "manifests" / f"{run}.json").write_text(json.dumps(held))
+    (tmp_path / "store" / "manifests" / f".{run}.json.crc").unlink(missing_ok=True)
+    with pytest.raises(IntegrityError, match="other rows"):
+        store.verify(run)
+    named.unlink()
+    with pytest.raises(IntegrityError):
+        store.verify(run)
+    with pytest.raises(IntegrityError, match="missing"):
+        store.inspect(run, "T1")
+    named.write_bytes(was)
+
+
+def test_a_run_that_breaks_off_is_never_seen(spark, tmp_path, monkeypatch):
+    """Between any two writes: after the snapshot, after the rankings, after the reports, and before the manifest has its name."""
+    store = RunStore(spark, str(tmp_path / "store"))
+
+    class Gone(BaseException):
+        """The driver is gone: nothing that handles errors runs any more."""
+
+    def gone(*_, **__):
+        raise Gone
+
+    for where in (("RunStore", "metrics"), ("RunStore", "_agreed"), ("manifest", "files"), ("manifest", "publish")):
+        with monkeypatch.context() as m, pytest.raises(Gone):
+            m.setattr(getattr(stores, where[0]), where[1], gone)
+            commit(store)
+        with pytest.raises(NotFound):
+            store.latest("US")
+    aside = tmp_path / "store" / "manifests"
+    aside.mkdir(exist_ok=True)
+    (aside / "_us-1.json").write_text('{"run_id": "us-1", "market": "US"')
+    assert {r["status"] for r in store.log().collect()} == {"running"}
+    run = commit(store)
+    assert store.latest("US") == run and store.table("snapshot", run).count() == 6
+
+
+def test_what_a_run_may_not_be(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "store"))
+    snap = spark.createDataFrame(ROWS, SNAP)
+    with pytest.raises(Invalid):
+        store.begin("JP", "p")
+    run = store.begin("US", "p")
+    for market, profile, kind in (("TW", "p", IntegrityError), ("US", "q", IntegrityError)):
+        with pytest.raises(kind):
+            store.commit(run, market, profile, snap, ranked, ["short"])
+    with pytest.raises(Invalid, match="data_mode"):
+        store.commit(run, "US", "p", snap, ranked, ["short"], metadata={"data_mode": "guess"})
+    with pytest.raises(Invalid, match="html"):
+        store.commit(run, "US", "p", snap, ranked, ["short"], lambda s, r: {"html": ""})
+    assert store.status(run) == "failed"
+
+
+def test_upgrade(spark, tmp_path):
+    """A store of version 2: a status row made a run visible, and its reports stood in a table."""
+    path = str(tmp_path / "store")
+    at = datetime(2025, 1, 2, 3, 4, 5)
+    for name, ddl, rows in (
+        ("run_log", stores.LOG, [("us-a", "US", "p", "running", at, ""), ("us-a", "US", "p", "successful", at + timedelta(seconds=9), ""), ("us-b", "US", "p", "running", at + timedelta(1), ""), ("us-c", "US", "q", "running", at, ""), ("us-c", "US", "q", "successful", at + timedelta(1), "")]),
+        ("artifacts", stores.ARTIFACTS, [("us-a", "json", "{}"), ("us-a", "markdown", "# a")]),
+    ):
+        spark.createDataFrame(rows, ddl).write.parquet(f"{path}/{name}")
+    for name, rows in (
+        ("snapshot", [("US", "T1", 1.0, 1.0, '{"x":1.5}', "us-a"), ("US", "T2", 2.0, None, '{"x":2.5}', "us-a"), ("US", "T1", 3.0, 3.0, "{}", "us-b")]),
+        ("rankings", [("US", "short", "T1", 0.5, 1, "{}", "us-a"), ("US", "short", "T2", 0.25, 2, "{}", "us-a")]),
+    ):
+        spark.createDataFrame(rows, stores.TABLES[name]).write.partitionBy("run_id").parquet(f"{path}/{name}")
+    spark.createDataFrame([(2, stores.LAYOUTS[2])], "version int, tables string").write.parquet(f"{path}/version")
+    with pytest.raises(SchemaMismatch, match="upgrade it first"):
+        RunStore(spark, path)
+    assert stores.upgrade(spark, path) == [3] and stores.upgrade(spark, path) == []
+    store = RunStore(spark, path)
+    assert store.latest("US", "p") == "us-a" and store.latest("US", "q") == store.latest("US")  # us-b never ended
+    with pytest.raises(NotFound):
+        store.resolve("us-b")
+    for run in ("us-a", "us-c"):
+        store.verify(run)
+    assert store.inspect("us-a", "T2")["metrics"] == {"x": 2.5} and store.artifact("us-a", "markdown") == "# a" and store.table("snapshot", "us-c").count() == 0
+    assert {r["run_id"]: r["status"] for r in store.log().collect()} == {"us-a": "successful", "us-b": "running", "us-c": "successful"}
+    # an upgrade that broke off after its first manifest, before its version's row
+    shutil.rmtree(f"{path}/version")
+    os.unlink(f"{path}/manifests/us-c.json")
+    spark.createDataFrame([(2, stores.LAYOUTS[2])], "version int, tables string").write.parquet(f"{path}/version")
+    assert stores.upgrade(spark, path) == [3]
+    RunStore(spark, path).verify("us-c")
+    spark.createDataFrame([(1, "other")], "version int, tables string").write.mode("overwrite").parquet(f"{path}/version")
+    with pytest.raises(SchemaMismatch, match="nothing leads"):
+        stores.upgrade(spark, path)
+    with pytest.raises(NotFound):
+        stores.upgrade(spark, str(tmp_path / "none"))
