@@ -6,6 +6,11 @@ whether or not it says its length, and checks version, headers, lengths and the
 fails raises ValueError. Archives are kept as rows (archive, body) of a table in the shared folder, which any store of
 Spark's can hold; files() reads .warc.zst files of others as such rows (each is held in memory, so up to 2 GB).
 
+Archives of others: records that are neither response nor revisit (warcinfo, request, metadata, ...) are validated and passed over; ids that aren't of
+pages stay text (record_id, refers_to_id, with page_id and refers_to null). A payload is checked against the digest its header declares, of the algorithm
+it names, in base 32 or hex; one without a digest or of an algorithm not known here is only measured. Chunked bodies are joined. A body may be shorter
+than its HTTP header says only where the record says WARC-Truncated. payload_digest is the SHA-256 of the payload, null for a revisit that declares another.
+
 Defined cases: a null html is an empty payload; a null url leaves out the target header; line breaks in a url are
 escaped; repeated rows with the same page_id and payload are all responses if that page_id is the smallest; a null
 page_id comes after all others; an empty table gives an empty result; other columns are neither read nor returned.
@@ -13,7 +18,9 @@ page_id comes after all others; an empty table gives an empty result; other colu
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -126,29 +133,109 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if not found or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise ValueError("no WARC record in the frame")
-    headers = {}
+    headers: dict[str, str] = {}
+    name = ""
     for line in lines[1:]:
+        if line[:1] in (" ", "\t") and name:  # a header that goes on in the next line
+            headers[name] = f"{headers[name]} {line.strip()}".strip()
+            continue
         name, colon, value = line.partition(":")
-        if not colon:
+        name = name.strip().lower()
+        if not colon or not name:
             raise ValueError(f"not a header: {line[:80]!r}")
-        headers[name.strip().lower()] = value.strip()
+        headers[name] = value.strip()
     if missing := {"warc-type", "warc-record-id", "warc-date", "content-length"} - headers.keys():
         raise ValueError(f"headers are missing: {sorted(missing)}")
-    n = int(headers["content-length"])
+    n = length(headers["content-length"])
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise ValueError(f"the block has {len(rest) - 4} bytes, its header says {n}")
     return headers, rest[:n]
 
 
-def page(headers: dict[str, str], block: bytes) -> dict:
-    """The fields of a page from its record; a response's payload is checked against its length and digest."""
-    http, _, payload = block.partition(b"\r\n\r\n")
-    n = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    digest, kind = headers["warc-payload-digest"].removeprefix("sha256:"), headers["warc-type"]
-    if kind == "response" and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
-        raise ValueError(f"the payload of {headers['warc-record-id']} doesn't match its length or digest")
-    number = lambda x: int(x[10:-1]) if x and x[10:-1] else None  # noqa: E731  of <urn:page:N>
-    return {"page_id": number(headers["warc-record-id"]), "url": headers.get("warc-target-uri"), "payload": payload if kind == "response" else None, "payload_bytes": n, "payload_digest": digest, "record_type": kind, "refers_to": number(headers.get("warc-refers-to"))}
+def length(text: str) -> int:
+    if not (text.isascii() and text.isdigit()):
+        raise ValueError(f"not a length: {text[:40]!r}")
+    return int(text)
+
+
+def http(block: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers (lower-case names) and body of an HTTP message; a block that is none is all body."""
+    if not block.startswith(b"HTTP/"):
+        return {}, block
+    head, _, body = block.partition(b"\r\n\r\n")
+    pairs = (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])
+    return {name.strip().lower(): value.strip() for name, colon, value in pairs if colon}, body
+
+
+def joined(body: bytes) -> bytes:
+    """A chunked body's content."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+            raise ValueError("a chunked body is cut short")
+        n, at = int(size, 16), end + 2
+        if not n:
+            return b"".join(out)
+        if body[at + n : at + n + 2] != b"\r\n":
+            raise ValueError("a chunked body is cut short")
+        out.append(body[at : at + n])
+        at += n + 2
+
+
+#: Digests that a header may declare, by name, with their sizes in bytes.
+ALGORITHMS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
+
+
+def declared(text: str) -> tuple[str, bytes] | None:
+    """Algorithm and value of a digest header; None if the algorithm isn't known here."""
+    name, _, value = text.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ALGORITHMS:
+        return None
+    size, value = ALGORITHMS[name], value.strip()
+    try:
+        raw = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.rstrip("=").upper() + "=" * (-len(value.rstrip("=")) % 8))
+    except ValueError as e:
+        raise ValueError(f"not a digest: {text[:160]!r}") from e
+    if len(raw) != size:
+        raise ValueError(f"not a digest: {text[:160]!r}")
+    return name, raw
+
+
+def _number(identity: str | None) -> int | None:
+    """N of <urn:page:N>; None of any other id."""
+    of_page = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", identity or "")
+    return int(of_page[1]) if of_page else None
+
+
+def page(headers: dict[str, str], block: bytes) -> dict | None:
+    """The fields of a page from its record, None from a record of another type; a response's payload is checked against its length and digest."""
+    kind, identity = headers["warc-type"].lower(), headers["warc-record-id"]
+    if kind not in ("response", "revisit"):
+        return None
+    fields, body = http(block)
+    told = length(fields["content-length"]) if "content-length" in fields else None
+    digest = declared(headers.get("warc-payload-digest", ""))
+    sha256 = digest[1].hex() if digest and digest[0] == "sha256" else None
+    payload = None
+    if kind == "response":
+        payload, right = body, digest is None or hashlib.new(digest[0], body).digest() == digest[1]
+        if "chunked" in fields.get("transfer-encoding", "").lower():
+            payload, told = joined(body), None  # writers take the digest of either form
+            right = right or hashlib.new(digest[0], payload).digest() == digest[1]
+        short = "warc-truncated" in headers and told is not None and len(payload) < told
+        if not right or (told is not None and len(payload) != told and not short):
+            raise ValueError(f"the payload of {identity} doesn't match its length or digest")
+        told = len(payload)
+        if sha256 is None or payload is not body:
+            sha256 = hashlib.sha256(payload).hexdigest()
+    refers = headers.get("warc-refers-to")
+    return {
+        "page_id": _number(identity), "url": headers.get("warc-target-uri"), "payload": payload, "payload_bytes": told, "payload_digest": sha256, "record_type": kind,
+        "refers_to": _number(refers), "record_id": identity, "refers_to_id": refers,
+    }
 
 
 def plan(pages: DataFrame) -> DataFrame:
@@ -187,25 +274,33 @@ def write(pages: DataFrame) -> DataFrame:
     return materialise(plan(pages).mapInPandas(archives, "archive string, body binary"), "warc")
 
 
+READ = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string"
+
+
 def read(archives: DataFrame) -> DataFrame:
-    """All records of archives, with payloads (null for revisits)."""
+    """All pages of archives, with payloads (null for revisits)."""
+    columns = [c.split(" ")[0] for c in READ.split(", ")]
+
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         for pdf in batches:
             for body in pdf["body"]:
                 rows, size = [], 0
                 for headers, block in records(bytes(body)):
-                    rows.append(page(headers, block))
+                    found = page(headers, block)
+                    if found is None:
+                        continue
+                    rows.append(found)
                     size += len(block)
                     if size > ARCHIVE_BYTES // 4:
-                        yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+                        yield frame(rows)
                         rows, size = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    yield frame(rows)
 
-    schema = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return archives.select("body").mapInPandas(pages, schema)
+    return archives.select("body").mapInPandas(pages, READ)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:

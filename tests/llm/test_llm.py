@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import struct
 
 import numpy as np
 import pytest
@@ -111,6 +112,30 @@ def test_quality_rules(docs, empty):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, v in rows_of(quality_rules.judge(docs), "kept").items() if v[0]}
 
 
+def test_a_host_is_rejected(spark):
+    """Twenty hosts of ten documents; ten hosts have none with too many symbols, nine have three, the last has nine or ten. By hand:
+
+    ten of ten: f = 37, m = 37/200 = 0.185, q = (9 * 9 + 100) / 10 = 18.1, spread = 0.0905 - 0.034225 - 0.150775 * 20/200 = 0.0411975,
+      w = 0.150775 / 0.0411975 - 1 = 2.6598, rate = (10 + 0.185 * 2.6598) / 12.6598 = 0.8288: above 0.8, the host goes;
+    nine of ten: m = 0.18, q = 16.2, spread = 0.081 - 0.0324 - 0.01476 = 0.03384, w = 3.3617, rate = (9 + 0.18 * 3.3617) / 13.3617 = 0.7189: it stays, though 0.9 of it fails.
+    """
+    import duckdb
+
+    fail, fine = " ".join(f"{i}w#{i}" for i in range(30)), " ".join(f"{i}word{i}" for i in range(30))
+    for bad in (9, 10):
+        failures = [0] * 10 + [3] * 9 + [bad]
+        rows = [(10 * h + i, fail if i < n else fine, f"h{h}") for h, n in enumerate(failures) for i in range(10)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        judged = quality_rules.judge(docs).collect()
+        assert not any(r["base_failed"] for r in judged) and {r["host_symbols"] for r in judged if r["doc_id"] >= 190} == {bad}
+        gone = {r["doc_id"] for r in judged if not r["kept"]}
+        assert gone == (set(range(190, 200)) if bad == 10 else set())
+        assert {r["doc_id"] for r in quality_rules.keep(docs).collect()} == set(range(200)) - gone
+        con = duckdb.connect()
+        con.register("documents", docs.toPandas())
+        assert {r[0] for r in con.sql(f"SELECT doc_id FROM ({quality_rules.SQL}) WHERE NOT kept").fetchall()} == gone
+
+
 def test_toxicity(spark, empty):
     rows, labels = [], []
     for i in range(400):
@@ -413,6 +438,60 @@ def test_warc(spark):
     assert warc.read(warc.write(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
+def foreign(kind, fields, block, identity="<urn:uuid:12345678-1234-1234-1234-123456789abc>", version="WARC/1.0"):
+    head = [version, f"WARC-Type: {kind}", f"WARC-Record-ID: {identity}", "WARC-Date: 2020-05-05T05:05:05Z", *fields, f"Content-Length: {len(block)}"]
+    return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_warc_of_others(spark, tmp_path):
+    """A file as other writers make it: a raw dictionary, warcinfo and request records, sha1 in base 32, uuids, folded headers, chunks, truncation."""
+    import base64
+
+    import zstandard
+
+    samples = [f"<html><body>{' '.join(str(i * k) for k in range(60))}</body></html>".encode() for i in range(200)]
+    dictionary = zstandard.train_dictionary(4096, samples).as_bytes()
+    packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
+    body = "<html>naïve</html>".encode() * 40
+    sha1 = lambda x: "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    answer = lambda *fields: "\r\n".join(["HTTP/1.1 200 OK", *fields]).encode() + b"\r\n\r\n"
+    chunks = b"".join(b"%x;q=1\r\n%s\r\n" % (len(body[i : i + 100]), body[i : i + 100]) for i in range(0, len(body), 100)) + b"0\r\n\r\n"
+    made = [
+        foreign("warcinfo", ["Content-Type: application/warc-fields"], b"software: x\r\n"),
+        foreign("request", [], b"GET / HTTP/1.1\r\n\r\n"),
+        foreign("response", ["WARC-Target-URI: http://a/", sha1(body)], answer(f"Content-Length: {len(body)}") + body, "<urn:uuid:1>"),
+        foreign("response", ["WARC-Target-URI:", "  http://b/", f"WARC-Payload-Digest: md5:{hashlib.md5(body).hexdigest()}"], answer() + body, "<urn:uuid:2>", "WARC/1.1"),
+        foreign("response", [sha1(body)], answer("Transfer-Encoding: chunked") + chunks, "<urn:uuid:3>"),
+        foreign("response", [sha1(chunks)], answer("transfer-encoding: Chunked") + chunks, "<urn:uuid:4>"),
+        foreign("response", ["WARC-Truncated: length", sha1(body[:50])], answer(f"Content-Length: {len(body)}") + body[:50], "<urn:uuid:5>"),
+        foreign("response", ["WARC-Payload-Digest: blake3:zz"], answer() + body, "<urn:uuid:6>"),
+        foreign("revisit", ["WARC-Refers-To: <urn:uuid:1>", sha1(body)], b"", "<urn:uuid:7>"),
+        foreign("metadata", [], b""),
+    ]
+    whole = struct.pack("<II", warc.DICTIONARY_MAGIC, len(dictionary)) + dictionary + b"".join(packer.compress(r) for r in made)
+    (tmp_path / "a.warc.zst").write_bytes(whole)
+    (tmp_path / "b.warc.zst").write_bytes(b"".join(zstandard.ZstdCompressor().compress(r) for r in made[:2]))  # no dictionary, no page
+    got = {r["record_id"]: r for r in warc.read(warc.files(spark, f"{tmp_path}/*.warc.zst")).collect()}
+    assert sorted(got) == [f"<urn:uuid:{i}>" for i in range(1, 8)] and {r["page_id"] for r in got.values()} == {None}
+    for i in (1, 2, 3, 4, 6):
+        r = got[f"<urn:uuid:{i}>"]
+        assert (bytes(r["payload"]), r["payload_bytes"], r["payload_digest"], r["record_type"]) == (body, len(body), hashlib.sha256(body).hexdigest(), "response")
+    assert (got["<urn:uuid:1>"]["url"], got["<urn:uuid:2>"]["url"]) == ("http://a/", "http://b/") and bytes(got["<urn:uuid:5>"]["payload"]) == body[:50]
+    r = got["<urn:uuid:7>"]
+    assert (r["payload"], r["payload_bytes"], r["payload_digest"], r["refers_to"], r["refers_to_id"]) == (None, None, None, None, "<urn:uuid:1>")
+    for fields, block in (
+        ([sha1(body + b"x")], answer() + body),  # another digest
+        (["WARC-Payload-Digest: sha1:tooshort"], answer() + body),  # none
+        ([], answer(f"Content-Length: {len(body) + 1}") + body),  # shorter than told
+        ([], answer("Content-Length: +5") + body[:5]),
+        ([], answer("Transfer-Encoding: chunked") + chunks[:-9]),
+    ):
+        with pytest.raises(ValueError):
+            warc.page(*warc.parse(foreign("response", fields, block)))
+    with pytest.raises(ValueError):
+        warc.parse(foreign("response", [], b"x").replace(b"Content-Length: 1", b"Content-Length: 1_0"))
+
+
 def test_surrogates(docs, empty, spark):
     t = "Mr. James Miller mailed a.b@mail.example.com, again a.b@mail.example.com; +1 (212) 555-0199, 10.0.0.1, 4111 1111 1111 1111, token = \"0641917ea4e9feb9\", Frau Müller"
     new, spans = surrogates.rewritten(t)
