@@ -25,6 +25,12 @@ def shared(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "marlstone-tables")
 
 
+def located(spark: SparkSession, path: str):
+    """A path and the file system that it is in."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table: computed once, whatever reads it, and read again where an executor is lost. It is deleted when the program ends."""
     path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -37,5 +43,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def _drop() -> None:
     for path, spark in _MADE.items():
         with contextlib.suppress(Exception):  # the session may have ended
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            at, system = located(spark, path)
+            system.delete(at, True)
