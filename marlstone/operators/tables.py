@@ -31,11 +31,17 @@ def located(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def reserved(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the program ends."""
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE[path] = spark
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table: computed once, whatever reads it, and read again where an executor is lost. It is deleted when the program ends."""
-    path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = reserved(df.sparkSession, name)
     df.write.parquet(path)
-    _MADE[path] = df.sparkSession
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from marlstone.operators import tables
 from marlstone.sources import panel
+from marlstone.sources.bar_table import BarTable
 
 from . import engine, fundamentals, projections, relational, solvers, statement_facts, valuation
 from .profiles import PROFILES as PLAIN
@@ -15,6 +19,8 @@ from .profiles_setups import SETUPS
 if twice := PLAIN.keys() & SETUPS.keys():
     raise ValueError(f"profiles registered twice: {sorted(twice)}")
 PROFILES = PLAIN | SETUPS
+#: Profiles that are also ranked over a table of bars: one that keeps 63 bars, one that keeps 126.
+TABLED = ("liquidity_quality_v1", "volatility_quality_v1")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +46,24 @@ def over_runs(profile_id: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+#: From this day on, the panel's bars come to its table by a second append.
+LATER = "2025-08-15"
+
+
+def over_table(profile_id: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Rankings of the calendar's runs over bars kept as a table, to which the latest were appended; only the quarters that runs need are read."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p, bars, runs = PROFILES[profile_id], panel.bars(spark, sf_dir), panel.runs(spark, sf_dir)
+        path = tables.reserved(spark, "bars")
+        held = BarTable(spark, os.path.basename(path).replace("-", "_"), path, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        held.append(bars.filter(F.col("bar_date") < LATER))
+        held.append(bars.filter(F.col("bar_date") >= LATER))
+        return engine.rankings(p, engine.snapshot(p, held.bars(p.keep, runs), runs=runs))
+
+    return run
+
+
 def valuation_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valuation.value(valuation.facts(spark, sf_dir), valuation.scenarios(spark))
 
@@ -59,7 +83,7 @@ def relation(text: str) -> Callable[[SparkSession, str], DataFrame]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"rank_{p}": ranking(p) for p in PROFILES} | {"rank_fundamental_quality_profitability_v1": fundamental_ranking}
     out |= {f"snapshot_{p}": snapshot(p) for p in PROFILES} | {"valuation_models": valuation_models}
-    out |= {f"runs_{p}": over_runs(p) for p in PROFILES} | {"statement_facts": statement_facts.run, "valuation_solvers": solvers.run, "valuation_projections": projections.run}
+    out |= {f"runs_{p}": over_runs(p) for p in PROFILES} | {f"table_{p}": over_table(p) for p in TABLED} | {"statement_facts": statement_facts.run, "valuation_solvers": solvers.run, "valuation_projections": projections.run}
     return out | {f"op_{n}": relation(x) for n, x in relational.SQL.items()}
 
 
@@ -67,5 +91,5 @@ def oracle_sql() -> dict[str, str]:
     bars = panel.bars_sql()
     out = {f"rank_{p}": engine.rankings_sql(PROFILES[p], bars) for p in PROFILES} | {"rank_fundamental_quality_profitability_v1": fundamentals.oracle(bars)}
     out |= {f"snapshot_{p}": engine.snapshot_sql(PROFILES[p], bars) for p in PROFILES} | {"valuation_models": valuation.value_sql()}
-    out |= {f"runs_{p}": engine.rankings_sql(PROFILES[p], bars, panel.runs_sql()) for p in PROFILES} | {"statement_facts": statement_facts.oracle(), "valuation_solvers": solvers.oracle(), "valuation_projections": projections.oracle()}
+    out |= {f"{kind}_{p}": engine.rankings_sql(PROFILES[p], bars, panel.runs_sql()) for kind, ps in (("runs", PROFILES), ("table", TABLED)) for p in ps} | {"statement_facts": statement_facts.oracle(), "valuation_solvers": solvers.oracle(), "valuation_projections": projections.oracle()}
     return out | {f"op_{n}": x.format(**{t: t for t in relational.TABLES}) for n, x in relational.SQL.items()}

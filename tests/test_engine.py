@@ -38,7 +38,7 @@ def same(spark, con, name):
     return a
 
 
-@pytest.mark.parametrize("name", ["rank_sample_price_trend_v1", "rank_trend_quality_v1", "rank_base_breakout_quality_v1", "rank_fundamental_quality_profitability_v1", "valuation_models"])
+@pytest.mark.parametrize("name", ["rank_sample_price_trend_v1", "rank_trend_quality_v1", "rank_base_breakout_quality_v1", "rank_fundamental_quality_profitability_v1", "valuation_models", "table_liquidity_quality_v1"])
 def test_like_duckdb(spark, con, name):
     assert same(spark, con, name)
 
