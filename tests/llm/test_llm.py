@@ -305,6 +305,17 @@ def test_nearest(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_of_vectors_of_all_lengths(spark):
+    """Lengths spread over orders of magnitude: a hash sees directions only, but the nearest are often short vectors of any direction."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 64)) * np.exp(rng.normal(size=(3000, 1)))
+    got = collections.defaultdict(set)
+    for r in ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    best = {q: set(np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[:11].tolist()) - {q} for q in range(0, 3000, 100)}
+    assert sum(len(got[q] & b) for q, b in best.items()) >= 0.9 * sum(map(len, best.values()))
+
+
 def test_nearest_of_repeated_ids(spark):
     """A row that repeats the query's id with another vector is a candidate; clashing names don't matter."""
     rows = [(100, [1.0, 0.0], 1), (100, [1.0, 0.1], 2), (100, [1.0, 0.0], 3), (1, [1.0, 0.0], 4), (2, [0.0, 1.0], 5)]
