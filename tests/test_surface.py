@@ -81,7 +81,7 @@ def test_command_line(spark, place, capsys):
     assert all([r["rank"] for r in rows_of] == [r["ranking"]["rank"] for r in held["top_horizons"][h]] for h in held["top_horizons"] for rows_of in [[r for r in held["rankings"] if r["horizon"] == h][:3]])
     assert go("report", "US", "--ranking-profile", "momentum_v1") == 0 and "| rank |" in capsys.readouterr().out
     assert go("inspect", "US", "--ticker", "t1", "--json") == 0 and json.loads(capsys.readouterr().out)["ticker"] == "T1"
-    assert go("verify", "US") == 0 and go("verify", "--run-id", "us-none") == 2 and go("upgrade") == 0
+    assert go("verify", "US") == 0 and go("verify", "--run-id", "us-none") == 2 and go("upgrade") == 0 and capsys.readouterr().out.startswith("us-")
     assert go("inspect", "US", "--ticker", "none") == 2 and go("report") == 1 and go("report", "US", "--run-id", "x") == 1
     assert go("batch", "mars") == 1 and go("batch", "US", "--ranking-profile", "nothing") == 1
     assert go("batch", "US", "--ranking-profile", fundamentals.PROFILE_ID) == 0 and go("report", "US", "--ranking-profile", fundamentals.PROFILE_ID, "--json") == 0
