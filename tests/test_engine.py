@@ -178,3 +178,35 @@ def test_runs_need_one_shuffle_of_bars(spark, some_bars):
     assert moved(plan(panel.bars(spark, SF))) == 0
     held = features.windowed(some_bars.filter("ticker = 'P1'"), p.keep).join(runs, "market").filter(features.IN_RUN.replace("as_of", "run_date"))
     assert held.groupBy("run_id").count().filter(f"count <> {p.keep}").count() == 0
+
+
+def test_runs_bars_are_neither_sorted_nor_windowed(spark, some_bars, monkeypatch):
+    """A run's bars stream into one aggregation that no sort precedes, and a task's share of tickers is bounded, however many there are."""
+    runs = spark.createDataFrame([("a", "US", date(2025, 10, 7)), ("b", "US", date(2025, 10, 5))], "run_id string, market string, run_date date")
+    for name in ("trend_pullback_quality_v1", "defensive_compounder_quality_v1", "liquidity_quality_v1"):
+        plan = engine.snapshot(catalog.PROFILES[name], some_bars, runs=runs)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Sort [" not in plan
+    monkeypatch.setattr(panel, "TASK_TICKERS", 10)
+    assert panel.bars(spark, SF).rdd.getNumPartitions() == 20
+
+
+@pytest.mark.parametrize("keep", [126, 280])
+def test_features_of_odd_bars_are_those_of_the_sql(spark, some_bars, keep):
+    """Repeated dates, gaps, nulls, NaN, bars without a date and runs between bars: the same as by the windows of the SQL."""
+    odd = some_bars.filter("cast(substring(ticker, 2) as int) <= 16 AND NOT (ticker = 'P3' AND day(bar_date) % 3 = 0)").selectExpr(
+        "market", "ticker", "bar_date", "CASE WHEN ticker = 'P1' AND day(bar_date) = 7 THEN NULL ELSE open END AS open", "high", "low", "CASE WHEN ticker = 'P4' AND day(bar_date) = 2 THEN double('NaN') ELSE close END AS close",
+        "CASE WHEN ticker = 'P5' AND day(bar_date) = 3 THEN NULL WHEN ticker = 'P8' AND day(bar_date) = 4 THEN 0D ELSE adjusted_close END AS adjusted_close", "CASE WHEN ticker = 'P6' AND day(bar_date) = 5 THEN NULL ELSE volume END AS volume",
+    )
+    twice = some_bars.filter("ticker IN ('P9', 'P10') AND bar_date = DATE '2025-09-20'")
+    undated = some_bars.filter("ticker IN ('P12', 'P10') AND bar_date = DATE '2025-10-06'").withColumn("bar_date", F.lit(None).cast("date"))
+    odd = odd.unionByName(twice).unionByName(undated)
+    odd.createOrReplaceTempView("odd_bars")
+    runs = spark.createDataFrame([(f"{m}{d}", m, date(2025, 10, d)) for m in ("US", "TW") for d in (2, 5, 9)] + [("early", "US", date(2025, 3, 1)), ("none", "US", date(2024, 1, 1))], "run_id string, market string, run_date date")
+    runs.createOrReplaceTempView("odd_runs")
+    names = list(features.FEATURES)
+    got = {(r["run_id"], r["ticker"]): r for r in features.aggregate(odd, "C", keep, names, runs).collect()}
+    want = {(r["run_id"], r["ticker"]): r for r in spark.sql(features.aggregate_sql("SELECT * FROM odd_bars", "C", keep, names, "SELECT * FROM odd_runs")).collect()}
+    assert got.keys() == want.keys() and len(got) > 50
+    for key, row in want.items():
+        for c, v in row.asDict().items():
+            assert got[key][c] == v or (isinstance(v, float) and got[key][c] == pytest.approx(v, rel=1e-9, abs=1e-12, nan_ok=True)), (key, c)
