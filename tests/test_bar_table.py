@@ -85,3 +85,18 @@ def test_what_may_not_be_appended(spark, history, held):
     assert rows(empty.bars(63, spark.createDataFrame([("US", LAST), ("TW", date(2026, 2, 3))], "market string, run_date date"))) == rows(fresh.select(*COLUMNS)) != []
     with pytest.raises(Invalid):
         BarTable(spark, "x; DROP TABLE y", path, 4)
+
+
+def test_bars_dealt_by_ticker_are_not_moved(spark, tmp_path):
+    """Bars that come laid out as the buckets are appended without a shuffle, and read back as they were."""
+    bars = panel.bars(spark, SF, by=("ticker",)).filter("cast(substring(ticker, 2) as int) <= 30")
+    table = BarTable(spark, f"bars_{uuid.uuid4().hex[:8]}", f"{tmp_path}/dealt", panel.tasks(spark, SF))
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    empty = spark.sparkContext._jvm.java.util.ArrayList
+    moved = lambda: sum(s.shuffleWriteRecords() for s in (lambda x: [x.apply(i) for i in range(x.size())])(tracker.stageList(empty(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), empty())))
+    before = moved()
+    for part in ("bar_date < DATE '2025-08-15'", "bar_date >= DATE '2025-08-15'"):
+        table.append(bars.filter(part), dealt=True)
+    assert moved() - before < bars.count() / 2 and rows(spark.table(table.name).select(*COLUMNS)) == rows(bars)
+    with pytest.raises(DataError, match="there already"):
+        table.append(bars.filter("bar_date = DATE '2025-09-15'"), dealt=True)
