@@ -77,3 +77,11 @@ def test_universe(spark):
     assert coverage == {"listed": 13, "with_facts": 2, "without_facts": 3, "invalid": 8, "latest_source_date": str(ENDS[4])}
     facts, coverage = statements.provider(lambda listings: (quotes.limit(0), table.limit(0)))(listed, DAY)
     assert facts.count() == 0 and coverage["invalid"] == 13 and coverage["latest_source_date"] == str(DAY)
+
+
+def test_statements_are_gone_through_once_for_each_kind(spark):
+    """Quarters and years of flows are summed together: two passes over the lines, one for flows and one for balances, not four."""
+    lines = spark.range(3).selectExpr("concat('P', id) AS ticker", "'income' AS statement", "'yearly' AS freq", "'Total Revenue' AS item", "DATE '2025-12-31' AS period_end", "CAST(id AS DOUBLE) AS value")
+    listed, quotes = lines.selectExpr("'US' AS market", "ticker"), lines.selectExpr("ticker", "'USD' AS currency", "'USD' AS financial_currency")
+    plan = statements.universe(listed, quotes, lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 2
