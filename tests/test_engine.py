@@ -210,3 +210,21 @@ def test_features_of_odd_bars_are_those_of_the_sql(spark, some_bars, keep):
     for key, row in want.items():
         for c, v in row.asDict().items():
             assert got[key][c] == v or (isinstance(v, float) and got[key][c] == pytest.approx(v, rel=1e-9, abs=1e-12, nan_ok=True)), (key, c)
+
+
+def test_bars_are_looked_up_in_one_array(spark, some_bars):
+    """No window adds up 60 values a bar, no arrays are zipped, and the bars' structs are made by generated code before they are collected."""
+    for name in ("momentum_quality_v1", "mean_reversion_quality_v1", "defensive_compounder_quality_v1", "liquidity_quality_v1"):
+        plan = engine.snapshot(catalog.PROFILES[name], some_bars)._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list(bar#" in plan and "Window" not in plan and "arrays_zip" not in plan, name
+
+
+def test_means_of_60_bars_of_short_and_holed_series(spark):
+    """Sums of moved halves against plain means of what there is."""
+    values = {"short": [float(i) for i in range(7)], "long": [100.0 + i * i % 37 for i in range(150)], "holed": [None if i % 5 == 2 or 20 <= i < 90 else float(i) for i in range(160)], "none": [None] * 3}
+    series = spark.createDataFrame([(k, [(v,) for v in vs]) for k, vs in values.items()], "k string, bars array<struct<adjusted_close: double>>")
+    for r in features._with_ma60(series).select("k", "ma60").collect():
+        vs = values[r["k"]]
+        for i, got in enumerate(r["ma60"]):
+            there = [v for v in vs[max(0, i - 59) : i + 1] if v is not None]
+            assert got == (pytest.approx(sum(there) / len(there), rel=1e-12) if there else None), (r["k"], i)
