@@ -30,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, discard, filed, joined, materialise, mix, prefix_hash, slices, span_hash
+from .common import U, discard, filed, joined, materialise, mix, prefix_hash, span_hash, tidy
 from .suffix_sort import common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 24
@@ -42,7 +43,7 @@ LEFT = (LENGTH - GRAM) // 2
 PACK_BYTES, SHARD_BYTES, PIECE = 12 << 20, 8 << 20, 1 << 20
 #: Rows that are handed to Python at once: whole texts are long.
 BATCH_ROWS = 512
-#: Characters of text whose segments are found at once.
+#: Bytes of text whose segments are found, or which are cut, at once.
 SLICE = 1 << 19
 
 
@@ -96,34 +97,50 @@ def _firsts(content: np.ndarray, other: np.ndarray, doc: np.ndarray, row: np.nda
 MARK, OPEN = 0, 1
 
 
+def parts(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about limit bytes of a column's texts each, of which none is made a Python string before its turn."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    cuts = (np.flatnonzero(np.diff((ends - 1) // limit)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(ends)]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
+def marks_of(lists: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
+    """Each text's marks (start, size), as numbers of one text at a time: a slice may hold very many."""
+    start, size = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        yield list(zip(start[a:b].tolist(), size[a:b].tolist()))
+
+
+@tidy
 def sent(batches: Iterator[pa.RecordBatch], packs: int) -> Iterator[pa.RecordBatch]:
     """Packed segments (pack, minimizers, contents, docs, rows, places) of slices of (doc, row, text); places of repeated ones come without the first two."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts(whole, 2, SLICE)):
         ids, keys = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-        texts = batch.column(2).to_pylist()
-        for a, b in slices(texts, SLICE):
-            of, start, size, anchor, gram, content, other = segments(texts[a:b])
-            if not len(of):
-                continue
-            doc, key, where, other = ids[a:b][of], keys[a:b][of], place(start, size, anchor), (other >> U(32)).astype(np.uint32)
-            order, first = _firsts(content, other, doc, key, where)
-            repeated = np.ones(len(of), bool)
-            repeated[order] = ~first
-            pack = ((mix(gram) >> U(32)) * U(packs) >> U(32)).astype(np.int64)  # minimizers are small hashes: mixed again, they spread
-            new = np.flatnonzero(~repeated)
-            new = new[np.lexsort((where[new], key[new], doc[new], pack[new]))]
-            ends = np.searchsorted(pack[new], np.arange(packs + 1))
-            rows = [(p, new[ends[p] : ends[p + 1]], True) for p in np.flatnonzero(np.diff(ends)).tolist()]
-            again = np.flatnonzero(repeated)
-            if len(again):  # settled already: dealt by slice, so that a segment of many documents fills no pack
-                again = again[np.lexsort((where[again], key[again], doc[again]))]
-                rows.append((int(mix(doc[again[:1]].astype(np.uint64))[0] % U(packs)), again, False))
-            deltas = lambda x: zlib.compress(np.diff(x, prepend=0).tobytes(), 1)
-            rows = [
-                (p, *((gram[k].astype(np.uint32).tobytes(), content[k].tobytes(), other[k].tobytes()) if fresh else (b"", b"", b"")), deltas(doc[k]), deltas(key[k]), zlib.compress(where[k].tobytes(), 1))
-                for p, k, fresh in rows
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 6))], ["pack", "grams", "contents", "others", "docs", "rows", "places"])
+        of, start, size, anchor, gram, content, other = segments(batch.column(2).to_pylist())
+        if not len(of):
+            continue
+        doc, key, where, other = ids[of], keys[of], place(start, size, anchor), (other >> U(32)).astype(np.uint32)
+        order, first = _firsts(content, other, doc, key, where)
+        repeated = np.ones(len(of), bool)
+        repeated[order] = ~first
+        pack = ((mix(gram) >> U(32)) * U(packs) >> U(32)).astype(np.int64)  # minimizers are small hashes: mixed again, they spread
+        new = np.flatnonzero(~repeated)
+        new = new[np.lexsort((where[new], key[new], doc[new], pack[new]))]
+        ends = np.searchsorted(pack[new], np.arange(packs + 1))
+        rows = [(p, new[ends[p] : ends[p + 1]], True) for p in np.flatnonzero(np.diff(ends)).tolist()]
+        again = np.flatnonzero(repeated)
+        if len(again):  # settled already: dealt by slice, so that a segment of many documents fills no pack
+            again = again[np.lexsort((where[again], key[again], doc[again]))]
+            rows.append((int(mix(doc[again[:1]].astype(np.uint64))[0] % U(packs)), again, False))
+        deltas = lambda x: zlib.compress(np.diff(x, prepend=0).tobytes(), 1)
+        rows = [
+            (p, *((gram[k].astype(np.uint32).tobytes(), content[k].tobytes(), other[k].tobytes()) if fresh else (b"", b"", b"")), deltas(doc[k]), deltas(key[k]), zlib.compress(where[k].tobytes(), 1))
+            for p, k, fresh in rows
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 6))], ["pack", "grams", "contents", "others", "docs", "rows", "places"])
 
 
 PACKED = "pack int, grams binary, contents binary, others binary, docs binary, rows binary, places binary"
@@ -149,6 +166,7 @@ def settled(rows: pa.Table) -> pa.Table:
     return pa.table({"kind": kind, "doc": doc, "row": row, "place": place})
 
 
+@tidy
 def fetched(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """The bytes of open segments, cut by which side of the minimizer their windows hold, with key and shard."""
     for batch in batches:
@@ -254,21 +272,20 @@ def remove(docs: DataFrame) -> DataFrame:
     thin = placed(docs)
     whole = thin.filter(f"octet_length(text) >= {LENGTH}").select("doc", "row", "text")
     with small_batches(docs.sparkSession):
-        found = materialise(whole.mapInArrow(lambda it: sent(it, packs), PACKED).groupBy("pack").applyInArrow(settled, FOUND), "repeat-found")
+        found = materialise(whole.mapInArrow(lambda it: sent(it, packs), PACKED).groupBy("pack").applyInArrow(lambda rows: tidy(settled)(rows), FOUND), "repeat-found")
         opened = found.filter(f"kind = {OPEN}").groupBy("row").agg(F.collect_list("place").alias("places"))  # bounded by the document's own length
         bytes_of = whole.join(opened, "row").select("doc", "row", "text", "places").mapInArrow(lambda it: fetched(it, shards), "shard int, key long, doc long, row long, start long, bytes binary")
-        marks = bytes_of.groupBy("shard").applyInArrow(sorted_shard, "row long, start long, size long")
+        marks = bytes_of.groupBy("shard").applyInArrow(lambda rows: tidy(sorted_shard)(rows), "row long, start long, size long")
         all_marks = found.filter(f"kind = {MARK}").selectExpr("row", "shiftright(place, 16) as start", "shiftright(place, 8) & 255L as size").unionByName(marks)
         per = materialise(all_marks.groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("marks")), "repeat-marks")
     discard(found)
 
+    @tidy
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, marked = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b in slices(texts, SLICE):
-                rows = [cut(t, [(x["start"], x["size"]) for x in m] if m else None) for t, m in zip(texts[a:b], marked[a:b])]
-                runs = pa.array([[{"start": s, "end": e} for s, e in r] for _, r, _ in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([n for _, _, n in rows], pa.int64()), runs, pa.array([k for k, _, _ in rows], pa.binary())], ["doc_id", "n_bytes", "runs", "kept"])
+        for batch in (part for whole in batches for part in parts(whole, 1, SLICE)):
+            rows = [cut(t, m) for t, m in zip(batch.column(1).to_pylist(), marks_of(batch.column(2)))]
+            runs = pa.array([[{"start": s, "end": e} for s, e in r] for _, r, _ in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, _, n in rows], pa.int64()), runs, pa.array([k for k, _, _ in rows], pa.binary())], ["doc_id", "n_bytes", "runs", "kept"])
 
     return thin.join(per, "row", "left").select("doc_id", "text", "marks").mapInArrow(done, "doc_id long, n_bytes long, runs array<struct<start: long, end: long>>, kept binary")
 

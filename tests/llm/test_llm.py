@@ -659,6 +659,28 @@ def test_repeats_of_rows(spark):
     assert spark.conf.get(name) == before
 
 
+def test_repeats_batches_are_taken_in_small_parts():
+    """A worker's memory goes with a slice of texts, not with the batch that Spark hands it, and marks are numbers of one text at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = ["é" * 50_000, None, "", *["x" * 90_000] * 30]
+    marks = [[{"start": k, "size": 100} for k in range(n)] for n in (2, 0, 0, *[4000] * 30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([m or None for m in marks], pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int64())])))], ["doc_id", "text", "marks"])
+    tracemalloc.start()
+    got = []
+    for part in repeats.parts(batch, 1, 300_000):
+        assert part.num_rows == 1 or sum(len((t or "").encode()) for t in part.column(1).to_pylist()[:-1]) <= 300_000
+        for i, t, m in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), repeats.marks_of(part.column(2))):
+            assert t == texts[i] and m == [(x["start"], x["size"]) for x in marks[i]]
+            got.append(i)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == list(range(len(texts))) and peak < 4_000_000
+    assert list(repeats.parts(batch.slice(0, 0), 1, 300_000)) == []
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     """All stages take a table without rows."""
     import corpus_pipeline as c
