@@ -2,11 +2,11 @@
 
 A document's set holds the 64-bit hashes of its distinct word shingles. Under any global order of tokens, two sets that
 are alike enough share a token among the first n - ceil(t n) + 1 of each; candidates must do so under ORDERS orders at
-once. All orders put tokens that no other document holds first, then go by document frequency (ever more coarsely) and a
-hash of their own; the frequencies are counted over all documents.
+once. All orders put tokens that no other text holds first, then go by frequency (ever more coarsely) and a hash of their
+own; the frequencies are counted over all different texts.
 
-1. Rows are dealt into chunks of about CHUNK_BYTES. Each chunk sends its tokens' fingerprints to token buckets, which
-   answer with a byte for each: how many documents hold it. So each document knows its prefixes. If tokens that it alone
+1. Of rows with one text, told by SHA-256, one goes on for all. Rows are dealt into chunks of about CHUNK_BYTES. Each chunk
+   sends its tokens' fingerprints to token buckets, which answer with a byte for each: how many texts hold it. So each text knows its prefixes. If tokens that it alone
    holds fill them, it has no partner. (A fingerprint shared by chance only makes a token look more frequent, which loses
    nothing.)
 2. Equal sets are one class. Classes that share a prefix token under the first order are joined into clusters, by a star
@@ -56,7 +56,8 @@ def shingles(texts: list, width: int) -> tuple[np.ndarray, np.ndarray]:
             long = mix(long * U(3) + words[k : k + len(long)])
         for i, c in zip(first.tolist(), np.diff(first).tolist()):
             if c >= width:
-                out.append(np.unique(long[i : i + c - width + 1]))
+                x = np.sort(long[i : i + c - width + 1])
+                out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
             else:
                 x = np.array([c] if c else [], np.uint64)
                 for w in words[i : i + c]:
@@ -84,8 +85,19 @@ class Chunk:
             return [(x[self.at[1:]] - x[self.at[:-1]]).view(np.int64) for x in sums]
 
 
+def chosen(rows: pa.Table, firsts: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Those rows that stand for their texts, and what is known of each, in one order."""
+    pairs = lambda t: zip(t["row_file"].to_pylist(), t["row_at"].to_pylist())
+    place = {key: i for i, key in enumerate(pairs(firsts))}
+    at = [(i, place[key]) for i, key in enumerate(pairs(rows)) if key in place]
+    return rows.take(pa.array([i for i, _ in at], pa.int64())), firsts.take(pa.array([i for _, i in at], pa.int64()))
+
+
 @tidy
-def requests(rows: pa.Table, width: int, buckets: int) -> pa.Table:
+def requests(rows: pa.Table, firsts: pa.Table, width: int, buckets: int) -> pa.Table:
+    if not rows.num_rows or not firsts.num_rows:
+        return pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int64()), "prints": pa.array([], pa.binary())})
+    rows, _ = chosen(rows, firsts)
     c = Chunk(rows, width, buckets)
     prints = c.tokens[c.by_bucket].astype(np.uint32)
     some = np.flatnonzero(np.diff(c.ends))
@@ -95,7 +107,7 @@ def requests(rows: pa.Table, width: int, buckets: int) -> pa.Table:
 
 @tidy
 def answers(rows: pa.Table) -> pa.Table:
-    """For each fingerprint of a bucket a byte that grows with its number of documents; 0: only one."""
+    """For each fingerprint of a bucket a byte that grows with its number of texts; 0: only one."""
     parts = [np.frombuffer(x, np.uint32) for x in rows["prints"].to_pylist()]
     _, where, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     codes = np.minimum(255, np.round(16 * np.log2(count))).astype(np.uint8)[where]
@@ -109,21 +121,26 @@ def needed(n: int, percent: int) -> int:
 
 
 def prefix(tokens: np.ndarray, codes: np.ndarray, order: int, length: int) -> np.ndarray:
-    """The first `length` tokens under an order, without those that only this document holds."""
+    """The first `length` tokens under an order, without those that only this text holds."""
     rank = mix(tokens ^ SEEDS[order])
     band = np.where(codes == 0, 0, 1 + codes.astype(np.int64) // COARSE[order])
     first = np.lexsort((rank, band))[:length]
     return tokens[first[codes[first] > 0]]
 
 
-MEMBERS = "row_file long, row_at long, doc_id long, n_shingles long, high long, low long, tokens binary, codes binary"
+MEMBERS = "copy binary, least long, copies long, n_shingles long, high long, low long, tokens binary, codes binary"
+#: Stands for a bucket where replies hold what is known of a chunk's rows that stand for their texts.
+FIRSTS = -1
 
 
 @tidy
 def members(rows: pa.Table, replies: pa.Table, width: int, buckets: int, percent: int) -> pa.Table:
-    """All documents of a chunk; with tokens and codes if other documents hold tokens of its prefixes."""
+    """All texts of a chunk; with tokens and codes if other texts hold tokens of their prefixes."""
     if not rows.num_rows:
-        rows = pa.table({"row_file": pa.array([], pa.int64()), "row_at": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+        rows = pa.table({"row_file": pa.array([], pa.int64()), "row_at": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+    is_first = pa.array(replies["bucket"].to_numpy() == FIRSTS)
+    rows, firsts = chosen(rows, replies.filter(is_first))
+    replies = replies.filter(pa.array(replies["bucket"].to_numpy() != FIRSTS))
     c = Chunk(rows, width, buckets)
     sorted_codes = np.zeros(len(c.tokens), np.uint8)
     for b, held in zip(replies["bucket"].to_pylist(), replies["codes"].to_pylist()):
@@ -138,8 +155,8 @@ def members(rows: pa.Table, replies: pa.Table, width: int, buckets: int, percent
         tokens_out.append(c.tokens[a:b].tobytes() if keep else None)
         codes_out.append(codes[a:b].tobytes() if keep else None)
     high, low = c.digests()
-    own = rows.select(["row_file", "row_at", "doc_id"]).take(pa.array(c.order))
-    return pa.table({"row_file": own["row_file"], "row_at": own["row_at"], "doc_id": own["doc_id"], "n_shingles": pa.array(c.size), "high": pa.array(high), "low": pa.array(low), "tokens": pa.array(tokens_out, pa.binary()), "codes": pa.array(codes_out, pa.binary())})
+    own = firsts.take(pa.array(c.order))
+    return pa.table({"copy": own["copy"], "least": own["least"], "copies": own["copies"], "n_shingles": pa.array(c.size), "high": pa.array(high), "low": pa.array(low), "tokens": pa.array(tokens_out, pa.binary()), "codes": pa.array(codes_out, pa.binary())})
 
 
 def heads(batches, percent: int, order: int):
@@ -244,16 +261,24 @@ def verified(rows: pa.Table, percent: int) -> pa.Table:
 
 def groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """row_file, row_at, doc_id, n_shingles, component_id, component: one row per row of docs; component is null for a row without links."""
-    size = docs.select(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    chunks, buckets = max(1, -(-size["n"] // CHUNK_DOCS), -(-size["b"] // CHUNK_BYTES)), max(1, -(-size["b"] // (6 * BUCKET_TOKENS)))
-    dealt = keyed(docs.select("doc_id", "text")).withColumn("chunk", F.expr(f"pmod(xxhash64(row_file, row_at), {chunks})"))
-    asked = dealt.groupBy("chunk").applyInArrow(lambda t: requests(t, width, buckets), "bucket int, chunk long, prints binary")
+    own = keyed(docs.select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    thin = materialise(own.select("row_file", "row_at", "doc_id", F.unhex(F.sha2(text, 256)).alias("copy"), F.octet_length(text).cast("long").alias("bytes")), "ngram-rows")
+    firsts = materialise(thin.groupBy("copy").agg(*[F.first(c).alias(c) for c in ("row_file", "row_at", "bytes")], F.min("doc_id").alias("least"), F.count("*").alias("copies")), "ngram-firsts")
+    total = lambda t: t.select(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()
+    size = total(thin)
+    chunks, buckets = max(1, -(-size["n"] // CHUNK_DOCS), -(-size["b"] // CHUNK_BYTES)), max(1, -(-total(firsts)["b"] // (6 * BUCKET_TOKENS)))
+    chunk = F.expr(f"pmod(xxhash64(row_file, row_at), {chunks})").alias("chunk")
+    dealt, known = own.select("row_file", "row_at", "text", chunk), firsts.select(chunk, "row_file", "row_at", "copy", "least", "copies")
+    asked = dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(lambda t, k: requests(t, k, width, buckets), "bucket int, chunk long, prints binary")
     told = asked.groupBy("bucket").applyInArrow(lambda t: answers(t), "chunk long, bucket int, codes binary")
+    told = told.unionByName(known.withColumn("bucket", F.lit(FIRSTS)), allowMissingColumns=True)
     rows = materialise(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda t, r: members(t, r, width, buckets, percent), MEMBERS), "ngram-members")
+    discard(firsts)
     digest = ["high", "low", "n_shingles"]
-    classes = rows.filter("tokens is not null").groupBy(digest).agg(F.min("doc_id").alias("least"), F.first("tokens").alias("tokens"), F.first("codes").alias("codes"))
+    classes = rows.filter("tokens is not null").groupBy(digest).agg(F.min("least").alias("least"), F.first("tokens").alias("tokens"), F.first("codes").alias("codes"))
     held = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "ngram-classes")
-    thin = materialise(rows.select("row_file", "row_at", "doc_id", "n_shingles", "high", "low", F.col("tokens").isNotNull().alias("some")), "ngram-rows")
+    texts = materialise(rows.select("copy", "least", "copies", *digest, F.col("tokens").isNotNull().alias("some")), "ngram-texts")
     named = materialise(held.select(*digest, "cls", "least"), "ngram-names")
     discard(rows)
     cluster = materialise(clusters(held.withColumn("part", F.lit(0).cast("long")), percent, 0), "ngram-cluster")
@@ -288,8 +313,11 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     names = rooted.groupBy("component").agg(F.min("least").alias("name"))
     root = rooted.join(names, "component").select(*[F.col(c).alias(f"k_{c}") for c in digest], "component", "name")
     on = (F.col("some")) & (F.col("high") == F.col("k_high")) & (F.col("low") == F.col("k_low")) & (F.col("n_shingles") == F.col("k_n_shingles"))
-    out = materialise(thin.join(root, on, "left").select("row_file", "row_at", "doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"), "component"), "ngram-groups")
-    discard(thin, named, placed, tiles, *found)
+    # a text that is linked with its own copies only is a component of its own, below all numbers of classes
+    alone = F.when((F.col("copies") > 1) & (F.col("n_shingles") > 0), -1 - F.monotonically_increasing_id())
+    told = materialise(texts.join(root, on, "left").select("copy", "n_shingles", F.coalesce("component", alone).alias("component"), F.when(F.col("component").isNotNull(), F.col("name")).when(alone.isNotNull(), F.col("least")).alias("name")), "ngram-told")
+    out = materialise(thin.join(told, "copy").select("row_file", "row_at", "doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"), "component"), "ngram-groups")
+    discard(thin, texts, told, named, placed, tiles, *found)
     return out
 
 

@@ -85,6 +85,26 @@ def test_ngram_join_of_repeated_ids(spark):
     assert c.near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def test_ngram_join_hashes_each_text_once(spark, monkeypatch):
+    """Of rows with one text one is hashed and counted, whatever their number; all of them get its component."""
+    a, b, c = (" ".join(BASE.split()[i : i + 66]) for i in (0, 67, 134))
+    some = [a, a + " more", b, " ", None, "short one"]
+    docs = spark.createDataFrame([(10 * k + i, t) for k in range(4) for i, t in enumerate(some)] + [(99, c)], "doc_id long, text string")
+    sizes, write = {}, ngram_join.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs).collect()}
+    assert got == {10 * k + i: c if c is not None else 10 * k + i for k in range(4) for i, c in enumerate([0, 0, 2, None, None, 5])} | {99: 99}
+    assert sizes["ngram-members"] == 7
+    gone = ngram_join.repeated(docs, 3, 90)
+    assert gone.count() == 13
+
+
 def test_ngram_join_tiles(docs, monkeypatch):
     """A cluster larger than a tile loses no link."""
     monkeypatch.setattr(ngram_join, "TILE", 2)
