@@ -85,3 +85,16 @@ def test_statements_are_gone_through_once_for_each_kind(spark):
     listed, quotes = lines.selectExpr("'US' AS market", "ticker"), lines.selectExpr("ticker", "'USD' AS currency", "'USD' AS financial_currency")
     plan = statements.universe(listed, quotes, lines)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("row_number()") == 2
+
+
+def test_line_items_are_what_is_moved(spark):
+    """statement_facts reads line items and nothing that was written from them; its lines are those of its SQL."""
+    from marlstone.plans import statement_facts
+
+    data = "/root/testdata/sf0.001"
+    plan = statement_facts.run(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("l_partkey" in x for x in plan.splitlines() if "Relation [" in x)
+    items = spark.read.parquet(f"{data}/lineitem.parquet")
+    ours, plain = statement_facts._lines(spark, items), spark.sql(statement_facts._sql("spark", "{lineitem}")[2], lineitem=items)
+    told = [{tuple(r) for r in x.select("ticker", "statement", "freq", "item", "period_end", "value").collect()} for x in (ours, plain)]
+    assert told[0] == told[1] and ours.count() == plain.count()
